@@ -16,26 +16,27 @@ from ledgergrain import fixed_values as fixed
 from ledgergrain.functions.sequence import first_per_group, grouped_sequence
 from ledgergrain.specs import RuleOption, TextRule
 
-# Characters kept by the request normaliser, answer tokens, and the overlap that counts.
-DROPPED = r"[^a-z0-9_\s/-]+"
-TOKEN = r"[a-z0-9_]+"
+# Runs that the request normaliser turns into one space, answer tokens of two or more
+# characters, white space, and the overlap that counts.
+DROPPED = r"[^a-z0-9_/-]+"
+TOKEN = r"[a-z0-9_]{2,}"
+SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 MIN_OVERLAP = 0.45
 MIN_RULE_WORDS = 3
 
 
 def normalize(text: Column) -> Column:
     """Lower case, other characters to spaces, single spaces, no space at the ends."""
-    kept = F.regexp_replace(F.lower(text), DROPPED, " ")
-    return F.trim(F.regexp_replace(kept, r"\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(text), DROPPED, " "))
 
 
 def _normal_terms(terms: tuple[str, ...]) -> list[str]:
     """The same normalisation for configured terms."""
     found = []
     for term in terms:
-        words = re.sub(DROPPED, " ", term.lower()).split()
-        if words:
-            found.append(" ".join(words))
+        plain = re.sub(DROPPED, " ", term.lower()).strip()
+        if plain:
+            found.append(plain)
     return found
 
 
@@ -100,43 +101,50 @@ def first_rule(
 
 def answer_text(text: Column) -> Column:
     """Lower case with single spaces."""
-    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(text), SPACE, " "))
+
+
+def _words(values) -> Column:
+    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
 
 def tokens(text: Column) -> Column:
     """Distinct words of two or more characters that are no stop words; ``text`` is lower case."""
-    words = F.regexp_extract_all(text, F.lit(TOKEN), 0)
-    return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*fixed.STOPWORDS)))
+    return F.array_except(F.regexp_extract_all(text, F.lit(TOKEN), 0), _words(fixed.STOPWORDS))
 
 
 def option_tokens(option: RuleOption) -> list[str]:
     searchable = " ".join((option.id, option.label, option.resolved_rule, option.implementation)).lower()
-    words = dict.fromkeys(re.findall(TOKEN, searchable))
-    return [w for w in words if len(w) > 1 and w not in fixed.STOPWORDS]
+    return [w for w in dict.fromkeys(re.findall(TOKEN, searchable)) if w not in fixed.STOPWORDS]
+
 
+def option_score(answer: Column, option: RuleOption) -> Column:
+    """Share of an answer's tokens that the option holds; null for an answer without tokens."""
+    held = F.size(F.array_intersect(answer, _words(option_tokens(option))))
+    return F.try_divide(held.cast("double"), F.size(answer).cast("double"))
 
-def option_scores(text: Column, options: tuple[RuleOption, ...]) -> list[Column]:
-    """Share of the answer's tokens that each option holds; null for an answer without tokens."""
-    answer = tokens(text)
-    scores = []
-    for option in options:
-        words = option_tokens(option)
-        held = F.size(F.filter(answer, lambda w, words=words: w.isin(*words))) if words else F.lit(0)
-        scores.append(F.try_divide(held.cast("double"), F.size(answer).cast("double")))
-    return scores
+
+def with_option_scores(answers: DataFrame, text: Column, options: tuple[RuleOption, ...], prefix: str) -> DataFrame:
+    """Add one score column per option, named prefix + option id.
+
+    Tokens and scores are columns of their own, so each is computed once per row.
+    """
+    frame = answers.withColumn("_tokens", tokens(text))
+    scores = {f"{prefix}{o.id}": option_score(F.col("_tokens"), o) for o in options}
+    return frame.withColumns(scores).drop("_tokens")
 
 
-def best_option(text: Column, options: tuple[RuleOption, ...]) -> Column:
-    """Id of the option with the highest share of at least 0.45, the first one on a tie."""
-    scores = option_scores(text, options)
+def best_option(options: tuple[RuleOption, ...], prefix: str) -> Column:
+    """Id of the option with the highest score of at least 0.45, the first one on a tie."""
+    scores = [F.col(f"{prefix}{o.id}") for o in options]
     best = F.greatest(*scores) if len(scores) > 1 else scores[0]
     chosen = F.coalesce(*[F.when(s == best, F.lit(o.id)) for s, o in zip(scores, options, strict=True)])
     return F.when(best >= MIN_OVERLAP, chosen)
 
 
 def looks_like_rule(text: Column) -> Column:
-    """Three or more words, and one of the handling verbs anywhere in the text."""
-    words = F.size(F.filter(F.split(text, r"\s+"), lambda w: F.length(w) > 0))
+    """Three or more words, and one of the handling verbs anywhere; ``text`` comes from ``answer_text``."""
+    words = F.regexp_count(text, F.lit(r"[^ ]+"))
     verb = F.lit(False)
     for v in fixed.RULE_VERBS:
         verb = verb | F.contains(text, F.lit(v))
@@ -155,15 +163,16 @@ def classify_answers(
     predefined_option, custom_mapped_to_option, custom or invalid; an unknown question is invalid.
     """
     picked = F.when(F.length(F.col(selected)) > 0, F.col(selected))
-    free = F.trim(F.coalesce(F.col(custom), F.lit("")))
-    plain = answer_text(free)
+    frame = answers.withColumn("_plain", answer_text(F.coalesce(F.col(custom), F.lit(""))))
     mapped = F.lit(None).cast("string")
     known = F.lit(False)
     asked = F.lit(False)
-    for rule in reversed(rules):
-        here = F.col(question) == rule.question_id
+    for i, rule in enumerate(rules):
+        here = F.coalesce(F.col(question) == rule.question_id, F.lit(False))
+        # Answers to other questions have no text here, hence no tokens and no score.
+        frame = with_option_scores(frame, F.when(here, F.col("_plain")), rule.options, f"_s{i}_")
         asked = asked | here
-        mapped = F.when(here, best_option(F.col("_plain"), rule.options)).otherwise(mapped)
+        mapped = F.when(here, best_option(rule.options, f"_s{i}_")).otherwise(mapped)
         known = F.when(here, picked.isin(*[o.id for o in rule.options])).otherwise(known)
     kind = (
         F.when(~asked, "invalid")
@@ -177,11 +186,10 @@ def classify_answers(
         F.col("answer_type") == "custom_mapped_to_option", F.col("_mapped")
     )
     return (
-        answers.withColumn("_plain", plain)
-        .withColumn("_mapped", mapped)
-        .withColumn("answer_type", F.coalesce(kind, F.lit("invalid")))
+        frame.withColumn("_mapped", mapped)
+        .withColumn("answer_type", kind)
         .withColumn("option_id", option)
-        .drop("_plain", "_mapped")
+        .select(*answers.columns, "answer_type", "option_id")
     )
 
 
@@ -192,13 +200,12 @@ def latest_answers(answers: DataFrame, keys: list[str], recency: list[str]) -> D
 
 def allowed_items(items: Column, allowed: tuple[str, ...]) -> Column:
     """Items of an array that are in the allow-list, without repeats, in first-seen order."""
-    trimmed = F.transform(items, lambda i: F.trim(i))
-    return F.array_distinct(F.filter(trimmed, lambda i: i.isin(*allowed)))
+    return F.array_intersect(F.transform(items, lambda i: F.trim(i)), _words(allowed))
 
 
 def unknown_items(items: Column, allowed: tuple[str, ...]) -> Column:
-    trimmed = F.transform(items, lambda i: F.trim(i))
-    return F.array_distinct(F.filter(trimmed, lambda i: (F.length(i) > 0) & ~i.isin(*allowed)))
+    """Items outside the allow-list, without repeats and blanks."""
+    return F.array_except(F.transform(items, lambda i: F.trim(i)), _words((*allowed, "")))
 
 
 def rule_key(question: Column) -> Column:

@@ -1009,11 +1009,10 @@ def _(spark, d):
     answers = _answers(spark, d)
     text = text_rules.answer_text(F.col("custom_answer"))
     options = fixed.ADJUSTMENT_RULE.options
-    scores = text_rules.option_scores(text, options)
-    return answers.select(
-        "run_id", "position", "l_partkey",
-        *[F.round(s, 6).alias(o.id) for s, o in zip(scores, options, strict=True)],
-        text_rules.best_option(text, options).alias("best_option"),
+    scored = text_rules.with_option_scores(answers, text, options, "s_")
+    return scored.select(
+        "run_id", "position", "l_partkey", *[F.round(f"s_{o.id}", 6).alias(o.id) for o in options],
+        text_rules.best_option(options, "s_").alias("best_option"),
     )
 
 
