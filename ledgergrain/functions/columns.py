@@ -24,24 +24,39 @@ def or_zero(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(0))
 
 
-def rate(part: Column, whole: Column) -> Column:
-    """Share rounded to 4 places; an empty whole gives 0."""
-    share = F.try_divide(part.cast("double"), whole.cast("double"))
-    return F.coalesce(F.round(share, 4), F.lit(0.0))
+def sql_value(value: object) -> str:
+    """A configured value as a SQL literal."""
+    if value is None:
+        return "cast(null as string)"
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, (int, float)):
+        return repr(value)
+    escaped = str(value).replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
 
 
-def raw_rate(part: Column, whole: Column) -> Column:
-    """Unrounded share, for threshold comparison."""
-    return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
+def sql_name(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
-def text(column: Column) -> Column:
-    return column.cast("string")
+def sql_strings(values) -> str:
+    return f"cast(array({', '.join(sql_value(v) for v in values)}) as array<string>)"
 
 
-def rate_text(column: Column) -> Column:
+def sql_share(part: str, whole: str) -> str:
+    """Unrounded share for threshold comparison; an empty whole gives 0."""
+    return f"coalesce(try_divide(cast({part} as double), cast({whole} as double)), 0D)"
+
+
+def sql_rate(part: str, whole: str) -> str:
+    """Share rounded to 4 places."""
+    return f"round({sql_share(part, whole)}, 4)"
+
+
+def sql_rate_text(part: str, whole: str) -> str:
     """A rate as text with 4 places, never in scientific notation."""
-    return column.cast("decimal(10,4)").cast("string")
+    return f"cast({sql_rate(part, whole)} as decimal(10,4))"
 
 
 def month_key(column: Column | str) -> Column:

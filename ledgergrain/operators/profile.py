@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgergrain.functions.columns import rate
+from ledgergrain.functions.columns import sql_name, sql_rate, sql_value
 from ledgergrain.specs import CatalogSource, Dimension, Metric, Relationship, SourceContract
 
 
@@ -55,15 +55,10 @@ def null_rates(df: DataFrame, source: str) -> DataFrame:
     totals = df.agg(
         F.count(F.lit(1)).alias("_total"), *[F.count_if(F.col(c).isNull()).alias(f"_n_{c}") for c in df.columns]
     )
-    rows = F.explode(
-        F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_n_{c}").alias("null_count")) for c in df.columns])
-    )
-    return totals.select("_total", rows.alias("r")).select(
-        F.lit(source).alias("source"),
-        F.col("r.column").alias("column"),
-        F.col("r.null_count").alias("null_count"),
-        F.col("_total").alias("total_rows"),
-        rate(F.col("r.null_count"), F.col("_total")).alias("null_rate"),
+    cells = ", ".join(f"struct({sql_value(c)} as column, {sql_name(f'_n_{c}')} as null_count)" for c in df.columns)
+    return totals.selectExpr("_total", f"inline(array({cells}))").selectExpr(
+        f"{sql_value(source)} as source", "column", "null_count", "_total as total_rows",
+        f"{sql_rate('null_count', '_total')} as null_rate",
     )
 
 
@@ -72,20 +67,21 @@ def column_profile(df: DataFrame, contract: SourceContract) -> DataFrame:
     declared = {c.name: c for c in contract.columns}
     counts = df.agg(*[F.count(F.col(c)).alias(f"_n_{c}") for c in df.columns])
 
-    def entry(position: int, field: T.StructField) -> Column:
+    def entry(position: int, field: T.StructField) -> str:
         spec = declared.get(field.name)
-        return F.struct(
-            F.lit(position).alias("position"),
-            F.lit(field.name).alias("column"),
-            F.lit(field.dataType.simpleString()).alias("raw_type"),
-            F.lit(type_bucket(field.dataType)).alias("normalized_type"),
-            F.lit(bool(spec and not spec.nullable)).alias("not_null"),
-            F.lit(bool(spec and spec.primary_key)).alias("primary_key"),
-            F.col(f"_n_{field.name}").alias("filled_rows"),
-        )
-
-    rows = F.explode(F.array(*[entry(i, f) for i, f in enumerate(df.schema.fields)]))
-    return counts.select(rows.alias("r")).select(F.lit(contract.name).alias("source"), "r.*")
+        values = {
+            "position": str(position),
+            "column": sql_value(field.name),
+            "raw_type": sql_value(field.dataType.simpleString()),
+            "normalized_type": sql_value(type_bucket(field.dataType)),
+            "not_null": sql_value(bool(spec and not spec.nullable)),
+            "primary_key": sql_value(bool(spec and spec.primary_key)),
+            "filled_rows": sql_name(f"_n_{field.name}"),
+        }
+        return "struct(" + ", ".join(f"{v} as {n}" for n, v in values.items()) + ")"
+
+    entries = ", ".join(entry(i, f) for i, f in enumerate(df.schema.fields))
+    return counts.selectExpr(f"inline(array({entries}))").selectExpr(f"{sql_value(contract.name)} as source", "*")
 
 
 def distinct_values(df: DataFrame, contract: SourceContract) -> DataFrame:

@@ -12,11 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgergrain import fixed_values as fixed
-from ledgergrain.functions.columns import rate, rate_text, raw_rate, text
+from ledgergrain.functions.columns import sql_name, sql_rate_text, sql_share, sql_strings, sql_value
 from ledgergrain.operators.profile import contract_type, type_bucket, union_all
 from ledgergrain.specs import ColumnCheck, ColumnSpec, SourceContract
 
-FINDING_COLUMNS = ("ordinal", "id", "type", "severity", "column", "message", "evidence", "affects")
 EXAMPLES = 10
 
 
@@ -43,76 +42,81 @@ def _strings(values: tuple[str, ...]) -> Column:
 
 
 @dataclass
-class _Check:
-    """One candidate finding: when it holds, and what it says."""
+class Candidate:
+    """One possible finding over a one-row frame: when it holds, and what it says, as SQL expressions."""
 
     ordinal: int
     id: str
     type: str
     severity: str
     column: str | None
-    holds: Column
-    message: Column
-    evidence: dict[str, Column]
+    holds: str
+    message: str
+    evidence: dict[str, str]
     affects: tuple[str, ...]
 
-    def as_struct(self) -> Column:
-        pairs = [c for key, value in self.evidence.items() for c in (F.lit(key), text(value))]
-        return F.when(
-            self.holds,
-            F.struct(
-                F.lit(self.ordinal).alias("ordinal"),
-                F.lit(self.id).alias("id"),
-                F.lit(self.type).alias("type"),
-                F.lit(self.severity).alias("severity"),
-                F.lit(self.column).cast("string").alias("column"),
-                self.message.alias("message"),
-                F.create_map(*pairs).alias("evidence"),
-                _strings(self.affects).alias("affects"),
-            ),
-        )
+    def as_struct(self) -> str:
+        evidence = ", ".join(f"{sql_value(k)}, cast({v} as string)" for k, v in self.evidence.items())
+        fields = {
+            "ordinal": str(self.ordinal),
+            "id": sql_value(self.id),
+            "type": sql_value(self.type),
+            "severity": sql_value(self.severity),
+            "column": sql_value(self.column),
+            "message": self.message,
+            "evidence": f"map({evidence})",
+            "affects": sql_strings(self.affects),
+        }
+        packed = ", ".join(f"'{name}', {value}" for name, value in fields.items())
+        return f"if({self.holds}, named_struct({packed}), null)"
+
 
+def emit(row: DataFrame, candidates: list[Candidate]) -> DataFrame:
+    """The candidates that hold, one row each. One SQL expression keeps the plan quick to build."""
+    return row.selectExpr(f"inline(array_compact(array({', '.join(c.as_struct() for c in candidates)})))")
 
-def _emit(row: DataFrame, checks: list[_Check]) -> DataFrame:
-    candidates = F.array_compact(F.array(*[c.as_struct() for c in checks]))
-    return row.select(F.explode(candidates).alias("f")).select("f.*")
 
+def said(*parts: str) -> str:
+    """A message from SQL parts."""
+    return f"concat({', '.join(parts)})"
 
-def _percent(part: Column, whole: Column) -> Column:
-    return F.concat(F.format_number(raw_rate(part, whole) * 100, 1), F.lit("%"))
+
+def _percent(part: str, whole: str) -> str:
+    return f"format_number({sql_share(part, whole)} * 100, 1), '%'"
 
 
 class _TableChecks:
-    """Collects the sums of one table and the findings that read them."""
+    """Collects the sums of one table and the candidates that read them."""
 
     def __init__(self, df: DataFrame, contract: SourceContract):
         self.df, self.contract = df, contract
-        self.sums: dict[str, Column] = {"_total": F.count(F.lit(1))}
-        self.checks: list[_Check] = []
-        self.total = F.col("_total")
+        self.sums: dict[str, str] = {"_total": "count(1)"}
+        self.candidates: list[Candidate] = []
 
-    def counted(self, condition: Column) -> Column:
+    def counted(self, condition: str) -> str:
         name = f"_c{len(self.sums)}"
-        self.sums[name] = F.count_if(condition)
-        return F.col(name)
+        self.sums[name] = f"count_if({condition})"
+        return name
 
-    def nulls(self, column: str) -> Column:
+    def nulls(self, column: str) -> str:
         name = f"_null_{column}"
-        self.sums.setdefault(name, F.count_if(F.col(column).isNull()))
-        return F.col(name)
+        self.sums.setdefault(sql_name(name), f"count_if({sql_name(column)} is null)")
+        return sql_name(name)
 
     def add(self, ordinal, id, type, severity, column, holds, message, evidence, affects) -> None:
-        filled = holds & (self.total > 0)
-        self.checks.append(_Check(ordinal, id, type, severity, column, filled, message, evidence, tuple(affects)))
+        filled = f"({holds}) and _total > 0"
+        self.candidates.append(
+            Candidate(ordinal, id, type, severity, column, filled, message, evidence, tuple(affects))
+        )
 
     def live(self) -> list[ColumnSpec]:
         return [c for c in self.contract.columns if c.name in self.df.columns]
 
     def empty_table(self) -> None:
-        self.checks.append(
-            _Check(
-                0, "issue_empty_table", "empty_table", "must_answer", None, self.total == 0,
-                F.lit(f"{self.contract.name} has no rows."), {"total_rows": self.total}, ("pipeline_generation",),
+        self.candidates.append(
+            Candidate(
+                0, "issue_empty_table", "empty_table", "must_answer", None, "_total = 0",
+                sql_value(f"{self.contract.name} has no rows."), {"total_rows": "_total"}, ("pipeline_generation",),
             )
         )
 
@@ -121,8 +125,8 @@ class _TableChecks:
             if spec.name not in self.df.columns:
                 self.add(
                     100 + i, f"issue_missing_column_{spec.name}", "missing_required_column", "must_answer", spec.name,
-                    F.lit(True), F.lit(f"Expected column {spec.name} is missing from the source table."),
-                    {"expected_column": F.lit(spec.name), "expected_type": F.lit(spec.type)},
+                    "true", sql_value(f"Expected column {spec.name} is missing from the source table."),
+                    {"expected_column": sql_value(spec.name), "expected_type": sql_value(spec.type)},
                     ("sql_model", "data_tests", "documentation"),
                 )
                 continue
@@ -130,16 +134,17 @@ class _TableChecks:
             if expected and actual != "unknown" and expected != actual:
                 self.add(
                     100 + i, f"issue_type_mismatch_{spec.name}", "type_mismatch", "optional_review", spec.name,
-                    F.lit(True), F.lit(f"Column {spec.name} has type {actual}, but contract expects {expected}."),
-                    {"expected_type": F.lit(expected), "actual_type": F.lit(actual)}, ("sql_model", "data_tests"),
+                    "true", sql_value(f"Column {spec.name} has type {actual}, but contract expects {expected}."),
+                    {"expected_type": sql_value(expected), "actual_type": sql_value(actual)},
+                    ("sql_model", "data_tests"),
                 )
         declared = {c.name for c in self.contract.columns}
         extra = [c for c in self.df.columns if c not in declared]
         if extra:
             self.add(
-                199, "finding_extra_columns", "extra_columns", "info", None, F.lit(True),
-                F.lit(f"Source contains extra columns not defined in the contract: {', '.join(extra)}."),
-                {"extra_columns": F.lit(",".join(extra))}, ("documentation",),
+                199, "finding_extra_columns", "extra_columns", "info", None, "true",
+                sql_value(f"Source contains extra columns not defined in the contract: {', '.join(extra)}."),
+                {"extra_columns": sql_value(",".join(extra))}, ("documentation",),
             )
 
     def required_nulls(self) -> None:
@@ -149,11 +154,10 @@ class _TableChecks:
             nulls = self.nulls(spec.name)
             self.add(
                 200 + i, f"issue_{spec.name}_required_nulls", "required_column_nulls", "must_answer", spec.name,
-                nulls > 0,
-                F.concat(F.lit(f"Required column {spec.name} is null in "), _percent(nulls, self.total),
-                         F.lit(" of rows.")),
-                {"null_count": nulls, "total_rows": self.total, "null_rate": rate_text(rate(nulls, self.total)),
-                 "contract_nullable": F.lit("false")},
+                f"{nulls} > 0",
+                said(sql_value(f"Required column {spec.name} is null in "), _percent(nulls, "_total"), "' of rows.'"),
+                {"null_count": nulls, "total_rows": "_total", "null_rate": sql_rate_text(nulls, "_total"),
+                 "contract_nullable": "'false'"},
                 default_affects(spec.name),
             )
 
@@ -171,42 +175,42 @@ class _TableChecks:
                     ordinal += 1
 
     def _min_value(self, ordinal: int, column: str, check: ColumnCheck) -> None:
-        c = F.col(column)
-        below = (c < check.value) if check.inclusive else (c <= check.value)
-        bad = self.counted(c.isNull() | below)
-        sign = ">=" if check.inclusive else ">"
+        name = sql_name(column)
+        bad = self.counted(f"{name} is null or {name} {'<' if check.inclusive else '<='} {sql_value(check.value)}")
+        rule = f"{column} {'>=' if check.inclusive else '>'} {check.value}"
         self.add(
             ordinal, f"issue_{column}_below_min_value", "numeric_constraint", check.severity or "must_answer", column,
-            bad > 0,
-            F.concat(F.lit(f"{column} is null or violates the minimum value rule ({column} {sign} {check.value}) in "),
-                     text(bad), F.lit(" row(s).")),
-            {"affected_rows": bad, "total_rows": self.total, "min_value": F.lit(str(check.value)),
-             "inclusive": F.lit(str(check.inclusive).lower())},
+            f"{bad} > 0",
+            said(sql_value(f"{column} is null or violates the minimum value rule ({rule}) in "), bad, "' row(s).'"),
+            {"affected_rows": bad, "total_rows": "_total", "min_value": sql_value(check.value),
+             "inclusive": sql_value(check.inclusive)},
             check.affects or default_affects(column),
         )
 
     def _max_column_value(self, ordinal: int, column: str, check: ColumnCheck) -> None:
         if check.column not in self.df.columns:
             return
-        bad = self.counted(F.col(column) > F.col(check.column))
+        bad = self.counted(f"{sql_name(column)} > {sql_name(check.column)}")
         self.add(
             ordinal, f"issue_{column}_greater_than_{check.column}", "cross_column_constraint",
-            check.severity or "optional_review", column, bad > 0,
-            F.concat(F.lit(f"{column} is greater than {check.column} in "), text(bad), F.lit(" row(s).")),
-            {"affected_rows": bad, "total_rows": self.total, "compare_column": F.lit(check.column)},
+            check.severity or "optional_review", column, f"{bad} > 0",
+            said(sql_value(f"{column} is greater than {check.column} in "), bad, "' row(s).'"),
+            {"affected_rows": bad, "total_rows": "_total", "compare_column": sql_value(check.column)},
             check.affects or ("data_tests", "documentation"),
         )
 
     def _required_when(self, ordinal: int, column: str, check: ColumnCheck) -> None:
         if check.column not in self.df.columns:
             return
-        bad = self.counted((F.col(check.column) == check.equals) & F.col(column).isNull())
+        bad = self.counted(
+            f"{sql_name(check.column)} = {sql_value(check.equals)} and {sql_name(column)} is null"
+        )
         self.add(
             ordinal, f"issue_{column}_missing_when_{check.column}_{check.equals}", "conditional_required_value",
-            check.severity or "must_answer", column, bad > 0,
-            F.concat(text(bad), F.lit(f" row(s) have {check.column} = {check.equals} but missing {column}.")),
-            {"affected_rows": bad, "total_rows": self.total, "condition_column": F.lit(check.column),
-             "condition_value": F.lit(str(check.equals)), "required_column": F.lit(column)},
+            check.severity or "must_answer", column, f"{bad} > 0",
+            said(bad, sql_value(f" row(s) have {check.column} = {check.equals} but missing {column}.")),
+            {"affected_rows": bad, "total_rows": "_total", "condition_column": sql_value(check.column),
+             "condition_value": sql_value(check.equals), "required_column": sql_value(column)},
             check.affects or default_affects(column),
         )
 
@@ -217,25 +221,25 @@ class _TableChecks:
             nulls = self.nulls(spec.name)
             self.add(
                 700 + i, f"issue_{spec.name}_null_rate", "business_rule_needed", "must_answer", spec.name,
-                raw_rate(nulls, self.total) >= spec.null_rate_decision,
-                F.concat(F.lit(f"{spec.name} is null in "), _percent(nulls, self.total), F.lit(" of rows.")),
-                {"null_count": nulls, "total_rows": self.total, "null_rate": rate_text(rate(nulls, self.total)),
-                 "decision_threshold": F.lit(str(spec.null_rate_decision)),
-                 "decision_reason": F.lit(spec.decision_reason)},
+                f"{sql_share(nulls, '_total')} >= {float(spec.null_rate_decision)!r}D",
+                said(sql_value(f"{spec.name} is null in "), _percent(nulls, "_total"), "' of rows.'"),
+                {"null_count": nulls, "total_rows": "_total", "null_rate": sql_rate_text(nulls, "_total"),
+                 "decision_threshold": sql_value(str(spec.null_rate_decision)),
+                 "decision_reason": sql_value(spec.decision_reason)},
                 ("metric_logic", "sql_model", "documentation"),
             )
         positive = self.contract.positive_column
         if positive and positive in self.df.columns:
-            rows = self.counted(F.coalesce(F.col(positive), F.lit(0)) > 0)
+            rows = self.counted(f"coalesce({sql_name(positive)}, 0) > 0")
             self.add(
                 799, "issue_refund_handling_needed", "business_rule_needed", self.contract.positive_severity, positive,
-                rows > 0, F.concat(F.lit(f"{positive} is positive in "), text(rows), F.lit(" payment row(s).")),
-                {"positive_column": F.lit(positive), "affected_rows": rows, "total_rows": self.total},
+                f"{rows} > 0", said(sql_value(f"{positive} is positive in "), rows, "' payment row(s).'"),
+                {"positive_column": sql_value(positive), "affected_rows": rows, "total_rows": "_total"},
                 self.contract.positive_affects,
             )
 
     def findings(self) -> DataFrame:
-        return _emit(self.df.agg(*[c.alias(n) for n, c in self.sums.items()]), self.checks)
+        return emit(self.df.agg(*[F.expr(e).alias(n.strip("`")) for n, e in self.sums.items()]), self.candidates)
 
 
 def shared_aggregate_findings(df: DataFrame, contract: SourceContract) -> DataFrame:
@@ -266,37 +270,33 @@ def duplicate_findings(df: DataFrame, contract: SourceContract) -> list[DataFram
     frames = []
     for i, column in enumerate(c for c in contract.primary_keys if c in df.columns):
         counts = key_counts(df, column)
+        # Both branches read the same grouped counts, so Spark reuses the exchange.
         top = (
-            counts.where(F.col("filled") > 1)
+            counts.where("filled > 1")
             .orderBy(F.col("rows").desc(), F.col("value"))
             .limit(EXAMPLES)
-            .agg(F.array_sort(F.collect_list(F.struct((-F.col("rows")).alias("n"), text(F.col("value")).alias("v")))))
+            .agg(F.expr("array_sort(collect_list(struct(-rows as n, cast(value as string) as v)))"))
             .scalar()
         )
         row = counts.agg(
-            F.coalesce(F.sum("rows"), F.lit(0)).alias("_total"),
-            F.count_if(F.col("filled") > 1).alias("_duplicates"),
+            F.expr("coalesce(sum(rows), 0)").alias("_total"), F.expr("count_if(filled > 1)").alias("_duplicates")
         ).withColumn("_top", top)
-        duplicates, total = F.col("_duplicates"), F.col("_total")
-        examples = F.array_join(
-            F.transform("_top", lambda e: F.concat(e["v"], F.lit("="), text(-e["n"]))), ","
-        )
         frames.append(
-            _emit(
+            emit(
                 row,
                 [
-                    _Check(
+                    Candidate(
                         300 + i, f"issue_{column}_duplicates", "duplicate_key", "must_answer", column,
-                        (total > 0) & (duplicates > 0),
-                        F.lit(f"Primary key column {column} has duplicate value(s)."),
-                        {"duplicate_values": F.least(duplicates, F.lit(EXAMPLES)), "duplicate_key_count": duplicates,
-                         "examples": examples, "total_rows": total},
+                        "_duplicates > 0", sql_value(f"Primary key column {column} has duplicate value(s)."),
+                        {"duplicate_values": f"least(_duplicates, {EXAMPLES})", "duplicate_key_count": "_duplicates",
+                         "examples": "array_join(transform(_top, e -> concat(e.v, '=', -e.n)), ',')",
+                         "total_rows": "_total"},
                         ("metric_logic", "sql_model", "data_tests"),
                     ),
-                    _Check(
+                    Candidate(
                         300 + i, f"finding_{column}_unique", "uniqueness", "info", column,
-                        (total > 0) & (duplicates == 0), F.lit(f"Primary key column {column} appears unique."),
-                        {"duplicate_values": F.lit("0"), "total_rows": total}, ("documentation",),
+                        "_total > 0 and _duplicates = 0", sql_value(f"Primary key column {column} appears unique."),
+                        {"duplicate_values": "0", "total_rows": "_total"}, ("documentation",),
                     ),
                 ],
             )
@@ -319,34 +319,32 @@ def valid_value_findings(df: DataFrame, contract: SourceContract) -> list[DataFr
     frames = []
     specs = [c for c in contract.columns if c.valid_values and c.name in df.columns]
     for i, spec in enumerate(specs):
-        allowed = [v for v in spec.valid_values if v is not None]
-        counts = key_counts(df, spec.name)
-        outside = (F.col("filled") > 0) & ~F.col("value").isin(*allowed)
-        inside = (F.col("filled") > 0) & F.col("value").isin(*allowed)
-        row = counts.agg(
-            F.coalesce(F.sum("rows"), F.lit(0)).alias("_total"),
-            F.coalesce(F.sum(F.when(outside, F.col("rows"))), F.lit(0)).alias("_invalid"),
-            F.count_if(outside).alias("_invalid_values"),
-            F.array_sort(F.collect_set(F.when(inside, text(F.col("value"))))).alias("_observed"),
-        )
-        expected = F.lit(",".join(str(v) for v in spec.valid_values))
         name = spec.name
+        allowed = ", ".join(sql_value(v) for v in spec.valid_values if v is not None)
+        outside, inside = f"filled > 0 and value not in ({allowed})", f"filled > 0 and value in ({allowed})"
+        row = key_counts(df, name).agg(
+            F.expr("coalesce(sum(rows), 0)").alias("_total"),
+            F.expr(f"coalesce(sum(if({outside}, rows, 0)), 0)").alias("_invalid"),
+            F.expr(f"count_if({outside})").alias("_invalid_values"),
+            F.expr(f"array_sort(collect_set(if({inside}, cast(value as string), null)))").alias("_observed"),
+        )
+        expected = sql_value(",".join(str(v) for v in spec.valid_values))
         frames.append(
-            _emit(
+            emit(
                 row,
                 [
-                    _Check(
+                    Candidate(
                         400 + i, f"issue_{name}_invalid_values", "invalid_values", "must_answer", name,
-                        F.col("_invalid") > 0, F.lit(f"{name} contains values outside the contract valid_values list."),
-                        {"expected_values": expected, "invalid_value_count": F.col("_invalid_values"),
-                         "invalid_count": F.col("_invalid"), "total_rows": F.col("_total")},
+                        "_invalid > 0", sql_value(f"{name} contains values outside the contract valid_values list."),
+                        {"expected_values": expected, "invalid_value_count": "_invalid_values",
+                         "invalid_count": "_invalid", "total_rows": "_total"},
                         ("sql_model", "data_tests", "documentation"),
                     ),
-                    _Check(
+                    Candidate(
                         400 + i, f"finding_{name}_accepted_values", "accepted_values", "info", name,
-                        (F.col("_total") > 0) & (F.col("_invalid") == 0),
-                        F.lit(f"{name} values are within the contract valid_values list."),
-                        {"expected_values": expected, "observed_values": F.array_join("_observed", ",")},
+                        "_total > 0 and _invalid = 0",
+                        sql_value(f"{name} values are within the contract valid_values list."),
+                        {"expected_values": expected, "observed_values": "array_join(_observed, ',')"},
                         ("documentation",),
                     ),
                 ],

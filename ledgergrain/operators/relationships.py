@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgergrain.functions.columns import rate, rate_text, raw_rate, text
+from ledgergrain.functions.columns import sql_rate, sql_rate_text, sql_share, sql_value
 from ledgergrain.operators.profile import union_all
-from ledgergrain.operators.quality import _Check, _emit
+from ledgergrain.operators.quality import Candidate, emit, said
 from ledgergrain.specs import Relationship
 
 
@@ -39,20 +39,16 @@ def key_rows(left: DataFrame, right: DataFrame, rel: Relationship) -> DataFrame:
 
 def key_figures(left: DataFrame, right: DataFrame, rel: Relationship) -> DataFrame:
     """All counts of a relationship as one row."""
-    filled = ~F.col("is_null")
-
-    def total(value: str, condition: Column) -> Column:
-        return F.coalesce(F.sum(F.when(condition, F.col(value))), F.lit(0))
-
-    return key_rows(left, right, rel).agg(
-        total("l", F.lit(True)).alias("left_rows"),
-        total("r", F.lit(True)).alias("right_rows"),
-        F.count_if(filled & (F.col("l") > 1)).alias("left_duplicate_key_count"),
-        F.count_if(filled & (F.col("r") > 1)).alias("right_duplicate_key_count"),
-        total("r", F.col("is_null")).alias("right_null_key_count"),
-        total("l", filled & (F.col("r") == 0)).alias("unmatched_left_count"),
-        total("r", filled & (F.col("l") == 0)).alias("unmatched_right_count"),
-    )
+    figures = {
+        "left_rows": "coalesce(sum(l), 0)",
+        "right_rows": "coalesce(sum(r), 0)",
+        "left_duplicate_key_count": "count_if(not is_null and l > 1)",
+        "right_duplicate_key_count": "count_if(not is_null and r > 1)",
+        "right_null_key_count": "coalesce(sum(if(is_null, r, 0)), 0)",
+        "unmatched_left_count": "coalesce(sum(if(not is_null and r = 0, l, 0)), 0)",
+        "unmatched_right_count": "coalesce(sum(if(not is_null and l = 0, r, 0)), 0)",
+    }
+    return key_rows(left, right, rel).agg(*[F.expr(e).alias(n) for n, e in figures.items()])
 
 
 def orphans(rows: DataFrame, keys: tuple[str, ...], other: DataFrame, other_keys: tuple[str, ...]) -> DataFrame:
@@ -110,84 +106,81 @@ def _covers_payments(rel: Relationship) -> bool:
     return ends == ("stripe_invoices", "stripe_payments", ("invoice_id",), ("invoice_id",))
 
 
+COVERAGE = ("partial_count", "overpaid_count", "fully_paid_count")
+
+
 def _figures(left: DataFrame, right: DataFrame, rel: Relationship) -> DataFrame:
     row = key_figures(left, right, rel)
-    names = ("partial_count", "overpaid_count", "fully_paid_count")
     if not _covers_payments(rel):
-        return row.select("*", *[F.lit(None).cast("bigint").alias(n) for n in names])
-    coverage = payment_coverage(left, right).select(F.struct(*names)).scalar()
-    return row.withColumn("_coverage", coverage).select(
-        *row.columns, *[F.col("_coverage")[n].alias(n) for n in names]
-    )
+        return row.selectExpr("*", *[f"cast(null as bigint) as {n}" for n in COVERAGE])
+    coverage = payment_coverage(left, right).select(F.struct(*COVERAGE)).scalar()
+    return row.withColumn("_coverage", coverage).selectExpr(*row.columns, "_coverage.*")
 
 
-def _checks(rel: Relationship) -> list[_Check]:
-    left_unmatched, right_unmatched = F.col("unmatched_left_count"), F.col("unmatched_right_count")
-    left_rows, right_rows, nulls = F.col("left_rows"), F.col("right_rows"), F.col("right_null_key_count")
-    duplicates = F.col("left_duplicate_key_count")
+def _candidates(rel: Relationship) -> list[Candidate]:
     l, r = rel.left_source, rel.right_source
     l_key, r_key = ",".join(rel.left_keys), ",".join(rel.right_keys)
     ends = {
-        "relationship_id": F.lit(rel.id), "left_source": F.lit(l), "right_source": F.lit(r),
-        "left_key": F.lit(l_key), "right_key": F.lit(r_key),
+        "relationship_id": sql_value(rel.id), "left_source": sql_value(l), "right_source": sql_value(r),
+        "left_key": sql_value(l_key), "right_key": sql_value(r_key),
     }
-    joins = ("join_logic", "metric_logic", "documentation")
 
-    def by_rate(ordinal, id, type, part, whole, limit, holds, message, evidence) -> list[_Check]:
-        over = raw_rate(part, whole) > limit
+    def by_rate(ordinal, id, type, part, whole, limit, holds, message, evidence) -> list[Candidate]:
+        over = f"{sql_share(part, whole)} > {float(limit)!r}D"
         return [
-            _Check(ordinal, id, type, severity, None, holds & chosen, message, evidence, joins)
-            for severity, chosen in (("must_answer", over), ("optional_review", ~over))
+            Candidate(ordinal, id, type, severity, None, f"({holds}) and {chosen}", message, evidence,
+                      ("join_logic", "metric_logic", "documentation"))
+            for severity, chosen in (("must_answer", over), ("optional_review", f"not {over}"))
         ]
 
-    checks = []
+    found = []
     if rel.left_key_unique:
-        checks.append(
-            _Check(
-                1, f"{rel.id}__left_key_duplicates", "left_key_duplicates", "must_answer", None, duplicates > 0,
-                F.concat(text(duplicates), F.lit(f" duplicate {l}.{l_key} value(s) were detected.")),
-                {"duplicate_key_count": duplicates}, ("join_logic", "sql_model", "data_tests"),
+        found.append(
+            Candidate(
+                1, f"{rel.id}__left_key_duplicates", "left_key_duplicates", "must_answer", None,
+                "left_duplicate_key_count > 0",
+                said("left_duplicate_key_count", sql_value(f" duplicate {l}.{l_key} value(s) were detected.")),
+                {"duplicate_key_count": "left_duplicate_key_count"}, ("join_logic", "sql_model", "data_tests"),
             )
         )
-    checks += by_rate(
-        2, rel.left_issue_id or f"issue_{l}_without_{r}", "unmatched_left_records", left_unmatched, left_rows,
-        rel.max_unmatched_left_rate, left_unmatched > 0,
-        F.concat(text(left_unmatched), F.lit(f" {l} record(s) have no matching {r} record.")),
-        {**ends, "unmatched_left_count": left_unmatched,
-         "unmatched_left_rate": rate_text(rate(left_unmatched, left_rows))},
+    found += by_rate(
+        2, rel.left_issue_id or f"issue_{l}_without_{r}", "unmatched_left_records", "unmatched_left_count",
+        "left_rows", rel.max_unmatched_left_rate, "unmatched_left_count > 0",
+        said("unmatched_left_count", sql_value(f" {l} record(s) have no matching {r} record.")),
+        {**ends, "unmatched_left_count": "unmatched_left_count",
+         "unmatched_left_rate": sql_rate_text("unmatched_left_count", "left_rows")},
     )
-    checks += by_rate(
-        3, rel.right_issue_id or f"issue_{r}_without_{l}", "unmatched_right_records", right_unmatched, right_rows,
-        rel.max_unmatched_right_rate, (right_unmatched > 0) | (nulls > 0),
-        F.concat(text(right_unmatched), F.lit(f" {r} record(s) reference a missing {l} key and "), text(nulls),
-                 F.lit(" have a null join key.")),
-        {**ends, "unmatched_right_count": right_unmatched,
-         "unmatched_right_rate": rate_text(rate(right_unmatched, right_rows)),
-         "right_null_count": nulls, "right_null_rate": rate_text(rate(nulls, right_rows))},
+    found += by_rate(
+        3, rel.right_issue_id or f"issue_{r}_without_{l}", "unmatched_right_records", "unmatched_right_count",
+        "right_rows", rel.max_unmatched_right_rate, "unmatched_right_count > 0 or right_null_key_count > 0",
+        said("unmatched_right_count", sql_value(f" {r} record(s) reference a missing {l} key and "),
+             "right_null_key_count", "' have a null join key.'"),
+        {**ends, "unmatched_right_count": "unmatched_right_count",
+         "unmatched_right_rate": sql_rate_text("unmatched_right_count", "right_rows"),
+         "right_null_count": "right_null_key_count",
+         "right_null_rate": sql_rate_text("right_null_key_count", "right_rows")},
     )
     if _covers_payments(rel):
-        partial, over, full = F.col("partial_count"), F.col("overpaid_count"), F.col("fully_paid_count")
-        checks.append(
-            _Check(
+        found.append(
+            Candidate(
                 4, "issue_partial_or_overpaid_invoices", "payment_coverage_anomaly", "must_answer", None,
-                (partial > 0) | (over > 0),
-                F.concat(text(partial), F.lit(" invoice(s) appear partially paid and "), text(over),
-                         F.lit(" invoice(s) appear overpaid after aggregating payments by invoice_id.")),
-                {"partial_count": partial, "overpaid_count": over, "fully_paid_count": full},
-                ("metric_logic", "sql_model", "documentation"),
+                "partial_count > 0 or overpaid_count > 0",
+                said("partial_count", "' invoice(s) appear partially paid and '", "overpaid_count",
+                     "' invoice(s) appear overpaid after aggregating payments by invoice_id.'"),
+                {n: n for n in COVERAGE}, ("metric_logic", "sql_model", "documentation"),
             )
         )
-    return checks
+    return found
 
 
-def _missing_key_check(rel: Relationship, left_missing: bool, right_missing: bool) -> _Check:
-    return _Check(
-        0, f"{rel.id}__missing_join_key", "missing_join_key", "must_answer", None, F.lit(True),
-        F.lit(
+def _missing_key(rel: Relationship, left_missing: bool, right_missing: bool) -> Candidate:
+    return Candidate(
+        0, f"{rel.id}__missing_join_key", "missing_join_key", "must_answer", None, "true",
+        sql_value(
             f"Join key availability problem. left_key_missing={left_missing}, right_key_missing={right_missing}."
         ),
-        {"left_source": F.lit(rel.left_source), "left_key": F.lit(",".join(rel.left_keys)),
-         "right_source": F.lit(rel.right_source), "right_key": F.lit(",".join(rel.right_keys))},
+        {"left_source": sql_value(rel.left_source), "left_key": sql_value(",".join(rel.left_keys)),
+         "right_source": sql_value(rel.right_source), "right_key": sql_value(",".join(rel.right_keys))},
         ("join_logic", "sql_model", "data_tests"),
     )
 
@@ -196,14 +189,13 @@ def findings(left: DataFrame, right: DataFrame, rel: Relationship) -> DataFrame:
     """Findings of one relationship. A missing key column is the only finding then."""
     missing = _missing_keys(left, right, rel)
     if any(missing):
-        return _emit(left.agg(F.count(F.lit(1)).alias("left_rows")), [_missing_key_check(rel, *missing)])
-    return _emit(_figures(left, right, rel), _checks(rel))
+        return emit(left.agg(F.count(F.lit(1)).alias("left_rows")), [_missing_key(rel, *missing)])
+    return emit(_figures(left, right, rel), _candidates(rel))
 
 
 SUMMARY_COLUMNS = (
-    "relationship_id", "status", "left_rows", "right_rows", "left_duplicate_key_count", "right_duplicate_key_count",
-    "right_null_key_count", "unmatched_left_count", "unmatched_left_rate", "unmatched_right_count",
-    "unmatched_right_rate", "partial_count", "overpaid_count", "fully_paid_count",
+    "left_rows", "right_rows", "left_duplicate_key_count", "right_duplicate_key_count", "right_null_key_count",
+    "unmatched_left_count", "unmatched_left_rate", "unmatched_right_count", "unmatched_right_rate", *COVERAGE,
 )
 
 
@@ -213,35 +205,26 @@ def summary(left: DataFrame, right: DataFrame, rel: Relationship, composite: boo
     ``composite=False`` keeps list-valued keys at ``not_validated``; by default they are checked
     like single keys, where a key with any null part counts as null.
     """
-    nothing = F.lit(None).cast("bigint")
     if len(rel.left_keys) > 1 and not composite:
         row = left.agg(F.lit("not_validated").alias("status"))
-        return _summary_row(row, rel, {c: nothing for c in SUMMARY_COLUMNS[2:]})
+        return _summary_row(row, rel, dict.fromkeys(SUMMARY_COLUMNS, "null"))
     if any(_missing_keys(left, right, rel)):
-        sizes = left.agg(F.count(F.lit(1)).alias("left_rows")).select(
-            "left_rows", right.agg(F.count(F.lit(1))).scalar().alias("right_rows")
+        row = left.agg(F.count(F.lit(1)).alias("left_rows")).select(
+            "left_rows", right.agg(F.count(F.lit(1))).scalar().alias("right_rows"), F.lit("failed").alias("status")
         )
-        return _summary_row(sizes.withColumn("status", F.lit("failed")), rel, {c: nothing for c in SUMMARY_COLUMNS[4:]})
-    row = _figures(left, right, rel)
-    any_finding = F.lit(False)
-    for check in _checks(rel):
-        any_finding = any_finding | F.coalesce(check.holds, F.lit(False))
-    row = row.withColumn("status", F.when(any_finding, "warning").otherwise("passed"))
-    return _summary_row(
-        row, rel,
-        {
-            "unmatched_left_rate": rate(F.col("unmatched_left_count"), F.col("left_rows")),
-            "unmatched_right_rate": rate(F.col("unmatched_right_count"), F.col("right_rows")),
-        },
-    )
+        return _summary_row(row, rel, dict.fromkeys(SUMMARY_COLUMNS[2:], "null"))
+    any_finding = " or ".join(f"coalesce({c.holds}, false)" for c in _candidates(rel))
+    row = _figures(left, right, rel).selectExpr("*", f"if({any_finding}, 'warning', 'passed') as status")
+    rates = {f"unmatched_{s}_rate": sql_rate(f"unmatched_{s}_count", f"{s}_rows") for s in ("left", "right")}
+    return _summary_row(row, rel, rates)
 
 
-def _summary_row(row: DataFrame, rel: Relationship, computed: dict[str, Column]) -> DataFrame:
-    def value(name: str) -> Column:
-        column = computed.get(name, F.col(name))
-        return column.cast("double" if name.endswith("_rate") else "bigint").alias(name)
-
-    return row.select(F.lit(rel.id).alias("relationship_id"), "status", *[value(c) for c in SUMMARY_COLUMNS[2:]])
+def _summary_row(row: DataFrame, rel: Relationship, computed: dict[str, str]) -> DataFrame:
+    values = [
+        f"cast({computed.get(n, n)} as {'double' if n.endswith('_rate') else 'bigint'}) as {n}"
+        for n in SUMMARY_COLUMNS
+    ]
+    return row.selectExpr(f"{sql_value(rel.id)} as relationship_id", "status", *values)
 
 
 def for_sources(relationships: tuple[Relationship, ...], sources: set[str] | list[str]) -> list[Relationship]:

@@ -506,10 +506,10 @@ add("mart_subscription__monthly_mrr", "SELECT customer_id, plan_id, CAST(SUM(mrr
 add("dim_customers_clean", "SELECT customer_id, trim(customer_name) AS customer_name, trim(customer_segment) AS customer_segment FROM dim_customers")
 add("dim_plans_clean", "SELECT trim(plan_id) AS plan_id, trim(plan_name) AS plan_name FROM dim_plans")
 add("model_lineage",
-    "SELECT model, kind, parent, CAST(seen // 10 AS INTEGER) AS part, CAST(seen % 10 AS INTEGER) AS position FROM (SELECT model, kind, parent, MIN(part * 10 + pos) AS seen FROM ("
+    "SELECT model, kind, parent, CAST(seen // 10 AS INTEGER) AS part, CAST(seen % 10 AS INTEGER) AS position, parent NOT LIKE 'stg%' AS in_braces FROM (SELECT model, kind, parent, MIN(part * 10 + pos) AS seen FROM ("
     "SELECT 'mart_order_' || l_orderkey AS model, 'ref' AS kind, 'int_part_' || l_partkey AS parent, l_linenumber AS part, 0 AS pos FROM lineitem "
-    "UNION ALL SELECT 'mart_order_' || l_orderkey, 'ref', 'stg_line_' || l_linenumber, l_linenumber, 1 FROM lineitem "
-    "UNION ALL SELECT 'mart_order_' || l_orderkey, 'source', 'demo.supplier_' || l_suppkey, l_linenumber, 0 FROM lineitem) GROUP BY 1, 2, 3)")
+    "UNION ALL SELECT 'mart_order_' || l_orderkey, 'ref', 'stg_line_' || l_linenumber, l_linenumber, 2 FROM lineitem "
+    "UNION ALL SELECT 'mart_order_' || l_orderkey, 'source', 'demo.supplier_' || l_suppkey, l_linenumber, 1 FROM lineitem) GROUP BY 1, 2, 3)")
 add("model_levels",
     "SELECT model, CAST(MAX(level) AS BIGINT) AS level, CAST(CASE WHEN model LIKE 'stg%' THEN 0 WHEN model LIKE 'int%' THEN 1 WHEN model LIKE 'mart%' THEN 2 ELSE 3 END AS BIGINT) AS tier "
     "FROM walk GROUP BY model",
@@ -573,7 +573,7 @@ def has(column: str, *terms: str) -> str:
     return "(" + " OR ".join(f"contains({column}, '{t}')" for t in terms) + ")"
 
 
-EXPLICIT = has("t", "mail to", "phone", "by_mail", "by mail", "by e-mail", "by_phone", "by phone")
+EXPLICIT = has("t", "mail to", "license", "by_mail", "by e-mail", "tel", "by_phone", "by phone")
 LINKED = f"({has('t', 'and', 'und', 'et')} AND {has('t', 'tion', 'ung', 'ment')} AND NOT {has('t', 'password', 'api key')} AND NOT {EXPLICIT})"
 ANYP = has("t", "the", "of", "der", "nicht", "le", "que")
 add("rule_match", f"SELECT doc_id, {LINKED} AS linked_prose, {ANYP} AS any_prose, {has('t', 'the')} AS never FROM docs", DOCS)

@@ -7,33 +7,39 @@ from pyspark.sql import functions as F
 
 from ledgergrain.session import checkpointed
 
-# How a model text names another model or a source table.
-REF_CALL = r"""\bref\(\s*['"]([A-Za-z_]\w*)['"]\s*\)"""
-SOURCE_CALL = r"""\bsource\(\s*['"]([A-Za-z_]\w*)['"]\s*,\s*['"]([A-Za-z_]\w*)['"]\s*\)"""
+# Calls by which a model text names another model or a source table, with or without braces.
+_QUOTED = r"""(?:'[^'"]+'|"[^'"]+")"""
+CALL = (
+    r"(?i)(?:\{\{\s*)?(?<![\w.])(?:ref\s*\(\s*" + _QUOTED + r"\s*\)"
+    r"|source\s*\(\s*" + _QUOTED + r"\s*,\s*" + _QUOTED + r"\s*\))(?:\s*\}\})?"
+)
+NAME_IN_CALL = r"""['"]\s*([^'"]*[^'"\s])\s*['"]"""
 
 
 def lineage(texts: DataFrame, model: str = "model", text: str = "text") -> DataFrame:
-    """Unique edges of every model in first-seen order: ``model, kind, parent, position``.
+    """Unique edges of every model: ``model, kind, parent`` and where each was first seen.
 
-    A model may come in many text pieces; an optional ``part`` column orders them.
+    Calls in braces come before bare ones. A model may come in many text pieces, ordered by an optional
+    integer ``part`` column. First-seen order is one number, so the edges combine before the shuffle.
     """
-    part = F.col("part") if "part" in texts.columns else F.lit(0)
-    source = F.lit(SOURCE_CALL)
-    named = F.zip_with(
-        F.regexp_extract_all(text, source, 1), F.regexp_extract_all(text, source, 2), lambda s, t: F.concat_ws(".", s, t)
-    )
+    part = F.col("part").cast("bigint") if "part" in texts.columns else F.lit(0).cast("bigint")
     calls = texts.select(
-        F.col(model).alias("model"), part.alias("part"),
-        F.regexp_extract_all(text, F.lit(REF_CALL), 1).alias("refs"), named.alias("sources"),
+        F.col(model).alias("model"), part.alias("part"), F.posexplode(F.regexp_extract_all(text, F.lit(CALL), 0))
     )
-    # One explode for both kinds; the position is counted inside its kind.
-    tagged = F.concat(
-        F.transform("refs", lambda v, i: F.struct(F.lit("ref").alias("kind"), v.alias("parent"), i.alias("at"))),
-        F.transform("sources", lambda v, i: F.struct(F.lit("source").alias("kind"), v.alias("parent"), i.alias("at"))),
+    bare = (~(F.col("col").startswith("{{") & F.col("col").endswith("}}"))).cast("bigint")
+    seen = F.shiftleft(bare, 62) + F.shiftleft("part", 31) + F.col("pos")
+    edges = calls.select(
+        "model",
+        F.when(F.lower("col").rlike(r"^[{\s]*ref"), "ref").otherwise("source").alias("kind"),
+        F.array_join(F.regexp_extract_all("col", F.lit(NAME_IN_CALL), 1), ".").alias("parent"),
+        seen.alias("_seen"),
     )
-    rows = calls.select("model", "part", F.explode(tagged).alias("c"))
-    return rows.groupBy("model", "c.kind", "c.parent").agg(F.min(F.struct("part", "c.at")).alias("_seen")).select(
-        "model", "kind", "parent", F.col("_seen.part").alias("part"), F.col("_seen.at").alias("position")
+    low = F.lit((1 << 31) - 1)
+    return edges.groupBy("model", "kind", "parent").agg(F.min("_seen").alias("_seen")).select(
+        "model", "kind", "parent",
+        F.shiftright("_seen", 31).bitwiseAND(low).cast("int").alias("part"),
+        F.col("_seen").bitwiseAND(low).cast("int").alias("position"),
+        (F.shiftright("_seen", 62) == 0).alias("in_braces"),
     )
 
 

@@ -911,7 +911,7 @@ PROSE_RULES = (
         all_any={"joining": ("and", "und", "et"), "endings": ("tion", "ung", "ment")},
         none_any={"secrets": ("password", "api key")},
         missing_explicit_choice=True,
-        options=(RuleOption("by_mail", "By e-mail", ("@", "mail to")), RuleOption("by_phone", "By phone", ("phone",))),
+        options=(RuleOption("by_mail", "By e-mail", ("mail to", "license")), RuleOption("by_phone", "By phone", ("tel",))),
     ),
     TextRule(
         "any_prose", "q_any_prose",
