@@ -13,7 +13,6 @@ CALL = (
     r"(?i)(?:\{\{\s*)?(?<![\w.])(?:ref\s*\(\s*" + _QUOTED + r"\s*\)"
     r"|source\s*\(\s*" + _QUOTED + r"\s*,\s*" + _QUOTED + r"\s*\))(?:\s*\}\})?"
 )
-NAME_IN_CALL = r"""['"]\s*([^'"]*[^'"\s])\s*['"]"""
 
 
 def lineage(texts: DataFrame, model: str = "model", text: str = "text") -> DataFrame:
@@ -26,13 +25,16 @@ def lineage(texts: DataFrame, model: str = "model", text: str = "text") -> DataF
     calls = texts.select(
         F.col(model).alias("model"), part.alias("part"), F.posexplode(F.regexp_extract_all(text, F.lit(CALL), 0))
     )
-    bare = (~(F.col("col").startswith("{{") & F.col("col").endswith("}}"))).cast("bigint")
-    seen = F.shiftleft(bare, 62) + F.shiftleft("part", 31) + F.col("pos")
-    edges = calls.select(
+    # Pieces between quotes: the call's head, a name, and for sources a comma and a second name.
+    pieces = calls.selectExpr(
+        "model", "part", "pos", "startswith(col, '{{') and endswith(col, '}}') as braced",
+        """split(replace(col, '"', "'"), "'") as piece""",
+    )
+    edges = pieces.selectExpr(
         "model",
-        F.when(F.lower("col").rlike(r"^[{\s]*ref"), "ref").otherwise("source").alias("kind"),
-        F.array_join(F.regexp_extract_all("col", F.lit(NAME_IN_CALL), 1), ".").alias("parent"),
-        seen.alias("_seen"),
+        "if(size(piece) > 3, 'source', 'ref') as kind",
+        "if(size(piece) > 3, concat_ws('.', trim(piece[1]), trim(piece[3])), trim(piece[1])) as parent",
+        "shiftleft(if(braced, 0L, 1L), 62) + shiftleft(part, 31) + pos as _seen",
     )
     low = F.lit((1 << 31) - 1)
     return edges.groupBy("model", "kind", "parent").agg(F.min("_seen").alias("_seen")).select(

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgergrain import fixed_values as fixed
+from ledgergrain.functions.columns import money, month_key
 from ledgergrain.functions.time_phrases import in_date_phrase
 from ledgergrain.operators import datatests as dt
 from ledgergrain.operators import joins, metrics, profile, quality, text_rules
@@ -432,9 +433,9 @@ def _with_gaps(spark, d) -> dict[str, DataFrame]:
         F.when(F.col("l_returnflag") == "N", F.col("l_orderkey"))
         .when(F.col("l_linestatus") == "F", -F.col("l_orderkey") - 1)
         .alias("invoice_id"),
-        adapters.month_key("l_shipdate").alias("payment_month"),
-        adapters.money("l_extendedprice").alias("successful_amount"),
-        adapters.money(F.lit(0)).alias("refund_amount"),
+        month_key("l_shipdate").alias("payment_month"),
+        money("l_extendedprice").alias("successful_amount"),
+        money(F.lit(0)).alias("refund_amount"),
     )
     return live
 
@@ -763,14 +764,12 @@ def _(spark, d):
 def _model_texts(spark, d) -> DataFrame:
     """One text piece per order line: the order's model reads a part model twice and a supplier table."""
     lines = adapters.parquet(spark, d, "lineitem")
-    return lines.select(
-        F.concat(F.lit("mart_order_"), F.col("l_orderkey")).alias("model"),
-        F.col("l_linenumber").alias("part"),
-        F.format_string(
-            "select * from {{ ref('int_part_%d') }} p join {{ source('demo', \"supplier_%d\") }} s using (k) "
-            "join ref( 'stg_line_%d' ) l on true where exists (select 1 from {{ ref('int_part_%d') }})",
-            F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber"), F.col("l_partkey"),
-        ).alias("text"),
+    return lines.selectExpr(
+        "concat('mart_order_', l_orderkey) as model",
+        "l_linenumber as part",
+        """concat("select * from {{ ref('int_part_", l_partkey, "') }} p join {{ source('demo', ", '"supplier_',
+            l_suppkey, '") }} s using (k) ', "join ref( 'stg_line_", l_linenumber,
+            "' ) l on true where exists (select 1 from {{ ref('int_part_", l_partkey, "') }})") as text""",
     )
 
 
@@ -876,7 +875,7 @@ def _(spark, d):
     rows = orders.select(
         "o_orderkey",
         F.when(F.col("o_orderpriority") == "5-LOW", F.col("o_orderdate").cast("date").cast("string"))
-        .when(F.col("o_orderpriority") != "1-URGENT", adapters.month_key("o_orderdate"))
+        .when(F.col("o_orderpriority") != "1-URGENT", month_key("o_orderdate"))
         .alias("order_month"),
     )
     return dt.failing_rows({"rows": rows}, DataTest("t", "month_key", "rows", ("order_month",)))

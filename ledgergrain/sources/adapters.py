@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from ledgergrain.functions.columns import MONEY, money, month_key
 
 SOURCE_NAMES = ("dim_customers", "dim_plans", "fact_subscriptions", "stripe_invoices", "stripe_payments")
 
@@ -14,59 +11,53 @@ def parquet(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def _month(column: str) -> str:
+    return f"substring(cast(cast({column} as date) as string), 1, 7)"
+
+
+def _money(column: str) -> str:
+    return f"cast({column} as decimal(18,2))"
+
+
 def dim_customers(spark: SparkSession, folder: str) -> DataFrame:
     nation, region = parquet(spark, folder, "nation"), parquet(spark, folder, "region")
-    return nation.join(region, nation.n_regionkey == region.r_regionkey).select(
-        F.col("n_nationkey").alias("customer_id"),
-        F.col("n_name").alias("customer_name"),
-        F.col("r_name").alias("customer_segment"),
+    return nation.join(region, nation.n_regionkey == region.r_regionkey).selectExpr(
+        "n_nationkey as customer_id", "n_name as customer_name", "r_name as customer_segment"
     )
 
 
 def dim_plans(spark: SparkSession, folder: str) -> DataFrame:
-    customer = parquet(spark, folder, "customer")
-    return customer.select(F.col("c_mktsegment").alias("plan_id")).distinct().select(
-        "plan_id", F.lower("plan_id").alias("plan_name")
-    )
+    plans = parquet(spark, folder, "customer").selectExpr("c_mktsegment as plan_id").distinct()
+    return plans.selectExpr("plan_id", "lower(plan_id) as plan_name")
 
 
 def fact_subscriptions(spark: SparkSession, folder: str) -> DataFrame:
-    return parquet(spark, folder, "customer").select(
-        F.col("c_custkey").alias("subscription_id"),
-        F.col("c_nationkey").alias("customer_id"),
-        F.col("c_mktsegment").alias("plan_id"),
-        money("c_acctbal").alias("mrr_amount"),
+    return parquet(spark, folder, "customer").selectExpr(
+        "c_custkey as subscription_id", "c_nationkey as customer_id", "c_mktsegment as plan_id",
+        f"{_money('c_acctbal')} as mrr_amount",
     )
 
 
 def stripe_invoices(spark: SparkSession, folder: str, with_dates: bool = False) -> DataFrame:
-    amount = money("o_totalprice")
+    amount = _money("o_totalprice")
     discount = (
-        F.when(F.col("o_orderpriority") == "1-URGENT", F.lit(None).cast(MONEY))
-        .when(F.col("o_orderpriority") == "2-HIGH", (amount * F.lit("0.05").cast("decimal(3,2)")).cast(MONEY))
-        .otherwise(F.lit(0).cast(MONEY))
+        "case o_orderpriority when '1-URGENT' then null "
+        f"when '2-HIGH' then {_money(f'{amount} * 0.05')} else {_money('0')} end"
     )
-    dates = [F.col("o_orderdate").alias("invoice_date")] if with_dates else []
-    return parquet(spark, folder, "orders").select(
-        F.col("o_orderkey").alias("invoice_id"),
-        F.col("o_custkey").alias("subscription_id"),
-        month_key("o_orderdate").alias("invoice_month"),
-        amount.alias("invoice_amount"),
-        discount.alias("discount_amount"),
-        *dates,
+    return parquet(spark, folder, "orders").selectExpr(
+        "o_orderkey as invoice_id", "o_custkey as subscription_id", f"{_month('o_orderdate')} as invoice_month",
+        f"{amount} as invoice_amount", f"{discount} as discount_amount",
+        *(["o_orderdate as invoice_date"] if with_dates else []),
     )
 
 
 def stripe_payments(spark: SparkSession, folder: str, with_dates: bool = False) -> DataFrame:
-    amount = money("l_extendedprice")
-    dates = [F.col("l_shipdate").alias("payment_date")] if with_dates else []
-    return parquet(spark, folder, "lineitem").select(
-        F.concat_ws("-", F.col("l_orderkey"), F.col("l_linenumber")).alias("payment_id"),
-        F.col("l_orderkey").alias("invoice_id"),
-        month_key("l_shipdate").alias("payment_month"),
-        amount.alias("successful_amount"),
-        F.when(F.col("l_returnflag") == "R", amount).otherwise(F.lit(0).cast(MONEY)).alias("refund_amount"),
-        *dates,
+    amount = _money("l_extendedprice")
+    return parquet(spark, folder, "lineitem").selectExpr(
+        "concat_ws('-', l_orderkey, l_linenumber) as payment_id", "l_orderkey as invoice_id",
+        f"{_month('l_shipdate')} as payment_month", f"{amount} as successful_amount",
+        f"if(l_returnflag = 'R', {amount}, {_money('0')}) as refund_amount",
+        *(["l_shipdate as payment_date"] if with_dates else []),
     )
 
 
@@ -87,22 +78,11 @@ def run_events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def shape_run_events(events: DataFrame) -> DataFrame:
-    k = F.from_json("props", "k BIGINT").getField("k")
-    kind = (
-        F.when(F.col("event_type") == "signup", "session_started")
-        .when(F.col("event_type") == "view", "tool_started")
-        .when(F.col("event_type") == "click", "tool_completed")
-        .when((F.col("event_type") == "purchase") & (k % 3 == 0), "done")
-        .when((F.col("event_type") == "purchase") & (k % 3 == 1), "ask_user")
-        .when(F.col("event_type") == "purchase", "artifact_created")
-        .otherwise(F.col("event_type"))
-    )
-    return events.select(
-        "event_id",
-        F.col("user_id").alias("run_id"),
-        "ts",
-        kind.alias("type"),
-        F.concat(F.lit("agent_"), (k % 4).cast("string")).alias("agent_id"),
-        k.alias("tool_call_id"),
-        F.col("value"),
+    kind = """case event_type
+        when 'signup' then 'session_started' when 'view' then 'tool_started' when 'click' then 'tool_completed'
+        when 'purchase' then case k % 3 when 0 then 'done' when 1 then 'ask_user' else 'artifact_created' end
+        else event_type end"""
+    return events.selectExpr("*", "from_json(props, 'k BIGINT').k as k").selectExpr(
+        "event_id", "user_id as run_id", "ts", f"{kind} as type", "concat('agent_', k % 4) as agent_id",
+        "k as tool_call_id", "value",
     )
