@@ -680,7 +680,7 @@ add("recent_activity",
 add("error_list", "SELECT run_id, event_id, 'code ' || tool_call_id AS message, row_number() OVER (PARTITION BY run_id ORDER BY ts, event_id) AS position FROM ev WHERE type = 'error'")
 add("step_durations",
     "SELECT step_id, status, COUNT(*) AS runs, CAST(SUM(ms) AS DOUBLE) / COUNT(*) AS avg_ms, MAX(ms) AS max_ms, quantile_disc(ms, 0.5) AS p50_ms, quantile_disc(ms, 0.95) AS p95_ms FROM ("
-    "SELECT event_type AS step_id, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'completed' END AS status, CAST(floor(value * 10) AS BIGINT) AS ms FROM events WHERE event_id % 10 <> 9) GROUP BY 1, 2")
+    "SELECT event_type AS step_id, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'completed' END AS status, CAST(floor(value * 10) AS BIGINT) AS ms FROM events) GROUP BY 1, 2")
 add("log_compaction",
     "SELECT doc_id, length(text) AS char_count, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, length(text) // 4) END AS estimated_tokens, length(text) > 2500 AS truncated, "
     "CASE WHEN length(text) > 2500 THEN substring(text, 1, 2500) || '... [truncated]' ELSE text END AS preview FROM documents")

@@ -63,9 +63,10 @@ def preview_table(df: DataFrame, limit: int | None, order: list[str]) -> DataFra
 
 
 def direct_sql(spark: SparkSession, query: str, allowed: dict[str, DataFrame]) -> DataFrame:
-    """One query over the allowed tables, which are passed as its ``{name}`` placeholders.
+    """One read-only query over the allowed tables, which are its ``{name}`` placeholders.
 
-    Only those names resolve through placeholders; unknown tables and columns are analysis errors.
+    The text becomes a subquery, where commands are no valid syntax; unknown tables and columns are
+    analysis errors.
     """
     used = {n: df for n, df in allowed.items() if "{" + n + "}" in query}
-    return spark.sql(query, **used)
+    return spark.sql(f"SELECT * FROM ({query.strip().rstrip(';')}\n)", **used)

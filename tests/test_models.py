@@ -204,6 +204,11 @@ def test_named_tables(spark, tables):
     assert named.direct_sql(spark, sql, tables).first().n == 7
     with pytest.raises(Exception, match="TABLE_OR_VIEW_NOT_FOUND"):
         named.direct_sql(spark, "select * from nowhere_at_all", tables)
+    commented = "with a as (select * from {dim_plans}) select plan_id from a order by plan_id; -- end"
+    with pytest.raises(Exception, match="PARSE"):
+        named.direct_sql(spark, "drop view small_plans", tables)
+    assert named.table_exists(spark, "small_plans")
+    assert named.direct_sql(spark, commented.replace(";", ""), tables).first().plan_id == "base"
 
 
 CONTRACT = {
