@@ -21,31 +21,47 @@ def grouped_sequence(
 ) -> DataFrame:
     """Add the 1-based position of each row in its group; ``order`` must be unique in a group.
 
-    The group sizes are counted first. While every group fits one task, a window numbers the rows.
-    Otherwise the rows are range-sorted on (group, order), which also cuts a hot group into many
-    partitions; each piece is numbered on its own and shifted by the size of the pieces before it.
+    The group sizes are counted first. A window numbers the groups that fit one task. Groups beyond
+    ``hot_rows``, of which there are at most all rows / ``hot_rows``, are numbered in pieces.
     """
-    largest = df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
-    if largest <= hot_rows:
-        window = Window.partitionBy(*group).orderBy(*order)
-        return df.withColumn(name, F.row_number().over(window).cast("bigint"))
+    sizes = df.groupBy(*group).count()
+    hot = sizes.where(F.col("count") > hot_rows).select(*[F.col(g).alias(f"_h_{g}") for g in group])
+    hot = checkpointed(hot)
+    window = Window.partitionBy(*group).orderBy(*order)
+    numbered = F.row_number().over(window).cast("bigint")
+    if hot.isEmpty():
+        return df.withColumn(name, numbered)
+    same = _same(group, "_h_")
+    small = df.join(hot, same, "left_anti").withColumn(name, numbered)
+    return small.unionByName(_in_pieces(df.join(hot, same, "left_semi"), group, order, name))
+
+
+def _same(group: Sequence[str], prefix: str) -> Column:
+    condition = F.lit(True)
+    for g in group:
+        condition = condition & F.col(g).eqNullSafe(F.col(f"{prefix}{g}"))
+    return condition
 
-    columns = df.columns
+
+def _in_pieces(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], name: str) -> DataFrame:
+    """Rows range-sorted on (group, order), which cuts a group into partitions of even size.
+
+    Each piece is numbered on its own and shifted by the rows of the pieces before it. There is one
+    shift per partition and group in it, so few for few groups.
+    """
     placed = df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
     # Range bounds are sampled, so the placement is stored before it is used twice.
     placed = checkpointed(placed.withColumn("_at", F.monotonically_increasing_id()))
     placed = placed.withColumn("_piece", F.shiftright("_at", 33))
     pieces = placed.groupBy(*group, "_piece").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
     before = Window.partitionBy(*group).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    pieces = pieces.select(
+    shifts = pieces.select(
         *[F.col(g).alias(f"_g_{g}") for g in group],
         F.col("_piece").alias("_p"),
         (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"),
     )
-    same = F.col("_piece") == F.col("_p")
-    for g in group:
-        same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
-    return placed.join(pieces, same).select(*columns, (F.col("_at") + F.col("_shift")).cast("bigint").alias(name))
+    joined = placed.join(shifts, _same(group, "_g_") & (F.col("_piece") == F.col("_p")))
+    return joined.select(*df.columns, (F.col("_at") + F.col("_shift")).cast("bigint").alias(name))
 
 
 def first_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], rows: int = 1) -> DataFrame:
