@@ -16,14 +16,18 @@ from ledgergrain import fixed_values as fixed
 from ledgergrain.functions.sequence import first_per_group, grouped_sequence
 from ledgergrain.specs import RuleOption, TextRule
 
-# Runs that the request normaliser turns into one space, answer tokens of two or more
-# characters, white space, and the overlap that counts.
-DROPPED = r"[^a-z0-9_/-]+"
+# Characters that a request keeps, white space besides the blank, answer tokens of two or
+# more characters, and the overlap that counts.
+KEPT = "a-z0-9_/-"
+OTHER_SPACE = r"\t\n\x0b\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 TOKEN = r"[a-z0-9_]{2,}"
-SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 MIN_OVERLAP = 0.45
 MIN_RULE_WORDS = 3
 
+# Runs that become one blank. A lone blank already is one and is left alone, which saves most replacements.
+DROPPED = f"[^ {KEPT}][^{KEPT}]*| [^{KEPT}]+"
+SPACE = f"[{OTHER_SPACE}][ {OTHER_SPACE}]*| [ {OTHER_SPACE}]+"
+
 
 def normalize(text: Column) -> Column:
     """Lower case, other characters to spaces, single spaces, no space at the ends."""
@@ -169,8 +173,9 @@ def classify_answers(
     asked = F.lit(False)
     for i, rule in enumerate(rules):
         here = F.coalesce(F.col(question) == rule.question_id, F.lit(False))
-        # Answers to other questions have no text here, hence no tokens and no score.
-        frame = with_option_scores(frame, F.when(here, F.col("_plain")), rule.options, f"_s{i}_")
+        # Answers to other questions, and picked options, have no text here, hence no tokens and no score.
+        free = F.when(here & picked.isNull(), F.col("_plain"))
+        frame = with_option_scores(frame, free, rule.options, f"_s{i}_")
         asked = asked | here
         mapped = F.when(here, best_option(rule.options, f"_s{i}_")).otherwise(mapped)
         known = F.when(here, picked.isin(*[o.id for o in rule.options])).otherwise(known)
