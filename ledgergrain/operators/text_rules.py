@@ -128,14 +128,10 @@ def option_score(answer: Column, option: RuleOption) -> Column:
     return F.try_divide(held.cast("double"), F.size(answer).cast("double"))
 
 
-def with_option_scores(answers: DataFrame, text: Column, options: tuple[RuleOption, ...], prefix: str) -> DataFrame:
-    """Add one score column per option, named prefix + option id.
-
-    Tokens and scores are columns of their own, so each is computed once per row.
-    """
-    frame = answers.withColumn("_tokens", tokens(text))
-    scores = {f"{prefix}{o.id}": option_score(F.col("_tokens"), o) for o in options}
-    return frame.withColumns(scores).drop("_tokens")
+def option_scores(answer: Column, options: tuple[RuleOption, ...], prefix: str) -> dict[str, Column]:
+    """One score per option by column name (prefix + option id). ``answer`` should be a column of tokens,
+    not an expression, so that they are found once per row."""
+    return {f"{prefix}{o.id}": option_score(answer, o) for o in options}
 
 
 def best_option(options: tuple[RuleOption, ...], prefix: str) -> Column:
@@ -168,17 +164,16 @@ def classify_answers(
     """
     picked = F.when(F.length(F.col(selected)) > 0, F.col(selected))
     frame = answers.withColumn("_plain", answer_text(F.coalesce(F.col(custom), F.lit(""))))
-    mapped = F.lit(None).cast("string")
-    known = F.lit(False)
-    asked = F.lit(False)
+    asked = F.coalesce(F.col(question).isin(*[r.question_id for r in rules]), F.lit(False))
+    # Unknown questions and picked options have no text here, hence no tokens and no score.
+    frame = frame.withColumn("_tokens", tokens(F.when(asked & picked.isNull(), F.col("_plain"))))
+    mapped, known, scores = F.lit(None).cast("string"), F.lit(False), {}
     for i, rule in enumerate(rules):
-        here = F.coalesce(F.col(question) == rule.question_id, F.lit(False))
-        # Answers to other questions, and picked options, have no text here, hence no tokens and no score.
-        free = F.when(here & picked.isNull(), F.col("_plain"))
-        frame = with_option_scores(frame, free, rule.options, f"_s{i}_")
-        asked = asked | here
+        here = F.col(question) == rule.question_id
+        scores |= option_scores(F.when(here, F.col("_tokens")), rule.options, f"_s{i}_")
         mapped = F.when(here, best_option(rule.options, f"_s{i}_")).otherwise(mapped)
         known = F.when(here, picked.isin(*[o.id for o in rule.options])).otherwise(known)
+    frame = frame.withColumns(scores)
     kind = (
         F.when(~asked, "invalid")
         .when(picked.isNotNull(), F.when(known, "predefined_option").otherwise("invalid"))

@@ -1008,7 +1008,9 @@ def _(spark, d):
     answers = _answers(spark, d)
     text = text_rules.answer_text(F.col("custom_answer"))
     options = fixed.ADJUSTMENT_RULE.options
-    scored = text_rules.with_option_scores(answers, text, options, "s_")
+    scored = answers.withColumn("_tokens", text_rules.tokens(text)).withColumns(
+        text_rules.option_scores(F.col("_tokens"), options, "s_")
+    )
     return scored.select(
         "run_id", "position", "l_partkey", *[F.round(f"s_{o.id}", 6).alias(o.id) for o in options],
         text_rules.best_option(options, "s_").alias("best_option"),

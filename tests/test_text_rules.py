@@ -76,7 +76,8 @@ def test_best_option_equals_brute_force(spark):
     rng = random.Random(7)
     samples = [" ".join(rng.choices(pool, k=rng.randint(0, 7))) for _ in range(300)]
     options = fixed.ADJUSTMENT_RULE.options
-    df = tr.with_option_scores(texts(spark, *samples), F.lower("text"), options, "s_")
+    df = texts(spark, *samples).withColumn("t", tr.tokens(F.lower("text")))
+    df = df.withColumns(tr.option_scores(F.col("t"), options, "s_"))
     assert column(df, tr.best_option(options, "s_")) == [brute_best(s, options) for s in samples]
 
 
