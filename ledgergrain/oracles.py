@@ -45,7 +45,6 @@ def add(name: str, sql: str, more: str = "") -> None:
     ORACLES[name] = VIEWS + (", " + more + "\n" if more else "") + sql
 
 
-D = "DOUBLE"
 SOURCES = ("dim_customers", "dim_plans", "fact_subscriptions", "stripe_invoices", "stripe_payments")
 COLUMNS = {
     "dim_customers": ("customer_id", "customer_name", "customer_segment"),
