@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgergrain.llm import quality_rules, substring_dedup
+import public_tokenizers
+from ledgergrain.llm import bpe, kd_shards, quality_rules, substring_dedup, topk
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,9 +25,32 @@ def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_kd_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return kd_shards.shards(table(spark, folder, "documents"))
+
+
+def op7_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.search(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    ids = bpe.encode(docs, path, pattern).select("doc_id", "n_tokens", "token_ids")
+    return bpe.decode(ids, path, pattern).select(
+        "doc_id",
+        "n_tokens",
+        F.sha2(F.col("token_ids"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_substring_dedup": op2_substring_dedup,
+    "op6_kd_shards": op6_kd_shards,
+    "op7_exact_topk": op7_exact_topk,
+    "op9_byte_bpe": op9_byte_bpe,
 }
 
 #: Words of each text as a list; a text without words gives an empty list.
@@ -70,7 +94,18 @@ SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
 FROM d LEFT JOIN cov USING (r) LEFT JOIN kept USING (r)
 """
 
+_OP7 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+  list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
 ORACLES = {
+    "op7_exact_topk": _OP7,
     "op1_quality_rules": _OP1,
     "op2_substring_dedup": _OP2,
 }
