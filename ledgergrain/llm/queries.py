@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from ledgergrain.llm import bpe, kd_shards, quality_rules, substring_dedup, topk
+from ledgergrain.llm import bpe, kd_shards, quality_rules, substring_dedup, suffix_dedup, topk
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -33,6 +33,13 @@ def op7_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk.search(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return suffix_dedup.remove_repeats(docs).select(
+        "doc_id", *suffix_dedup.COUNTS, F.sha2(F.col("kept"), 256).alias("kept_sha256")
+    )
+
+
 def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -50,6 +57,7 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op6_kd_shards": op6_kd_shards,
     "op7_exact_topk": op7_exact_topk,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
@@ -104,7 +112,28 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+#: Texts as hexadecimal digits, two a byte.
+_OP8 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+pos AS (SELECT r, x, unnest(range(0, length(x) // 2 - 399)) AS i FROM d WHERE length(x) >= 800),
+win AS (SELECT r, i, md5_number(x[2 * i + 1:2 * i + 800]) AS h FROM pos),
+rep AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
+hit AS (SELECT r, i FROM win SEMI JOIN rep USING (h)),
+cut AS (SELECT r, i, coalesce(i > 400 + lag(i) OVER (PARTITION BY r ORDER BY i), true) AS new FROM hit),
+runs AS (SELECT r, i, sum(new::INT) OVER (PARTITION BY r ORDER BY i) AS k FROM cut),
+span AS (SELECT r, k, min(i) AS a, max(i) + 400 AS b FROM runs GROUP BY r, k),
+edge AS (SELECT r, b AS a, lead(a) OVER (PARTITION BY r ORDER BY k) AS b FROM span
+         UNION ALL SELECT r, 0, min(a) FROM span GROUP BY r),
+kept AS (SELECT r, string_agg(CASE WHEN b IS NULL THEN x[2 * a + 1:] ELSE x[2 * a + 1:2 * b] END, '' ORDER BY a) AS x
+         FROM edge JOIN d USING (r) GROUP BY r),
+sums AS (SELECT r, sum(b - a)::BIGINT AS n, count(*) AS k FROM span GROUP BY r)
+SELECT doc_id, length(d.x) // 2 AS n_bytes, coalesce(n, 0) AS n_removed, coalesce(k, 0) AS n_spans,
+  sha256(unhex(coalesce(kept.x, d.x))) AS kept_sha256
+FROM d LEFT JOIN kept USING (r) LEFT JOIN sums USING (r)
+"""
+
 ORACLES = {
+    "op8_suffix_dedup": _OP8,
     "op7_exact_topk": _OP7,
     "op1_quality_rules": _OP1,
     "op2_substring_dedup": _OP2,

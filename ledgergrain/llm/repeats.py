@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 4 << 20
-GROUP_KEYS = 4 << 20
+GROUP_KEYS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -74,68 +74,99 @@ def _bounds(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return prefix[first], np.r_[first, len(keys)]
 
 
-def _sent(bits: int, column: str, keys_of: Callable[[pa.Table], np.ndarray]):
-    def send(table: pa.Table) -> pa.Table:
-        keys = np.unique(keys_of(table))
+def _sent(bits: int, column: str, level: int, keys_of: Callable[[pa.Table, pa.Table], np.ndarray]):
+    def send(table: pa.Table, earlier: pa.Table) -> pa.Table:
+        keys = np.unique(keys_of(table, earlier))
         prefixes, edges = _bounds(keys, bits)
         block = table.column(column)[0].as_py() if table.num_rows else 0
-        return pa.table(
+        own = pa.table(
             {
                 "prefix": pa.array(prefixes, pa.int64()),
                 "block": pa.array(np.full(len(prefixes), block), pa.int64()),
+                "level": pa.array(np.full(len(prefixes), level), pa.int64()),
                 "keys": pa.array([_pack(keys[a:b]) for a, b in zip(edges, edges[1:])], pa.binary()),
             }
         )
+        if not earlier.num_rows:
+            return own
+        passed = [earlier.column("prefix"), pa.array([block] * earlier.num_rows, pa.int64()), *earlier.columns[2:]]
+        return pa.concat_tables([own, pa.table(passed, names=own.schema.names).cast(own.schema)])
 
     return send
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    rows = [_unpack(x.as_py()) for x in table.column("keys")]
-    together = np.sort(np.concatenate(rows)) if rows else np.empty(0, np.uint64)
-    again = np.unique(together[1:][together[1:] == together[:-1]])
-    blocks, flags = [], []
-    for block, keys in zip(table.column("block").to_pylist(), rows):
-        place = np.minimum(np.searchsorted(again, keys), max(len(again) - 1, 0))
-        hit = again[place] == keys if len(again) else np.zeros(len(keys), bool)
-        if hit.any():
-            blocks.append(block)
-            flags.append(np.packbits(hit).tobytes())
-    prefix = table.column("prefix")[0].as_py() if table.num_rows else 0
-    return pa.table(
-        {
-            "block": pa.array(blocks, pa.int64()),
-            "prefix": pa.array([prefix] * len(blocks), pa.int64()),
-            "flags": pa.array(flags, pa.binary()),
-        }
-    )
-
-
-def shared(blocks: Blocks, keys_of: Callable[[pa.Table], np.ndarray], source: DataFrame | None = None) -> DataFrame:
-    """Per block and prefix, one bit per distinct key of the block: whether another block has it."""
-    sent = (blocks.frame if source is None else source).groupBy(blocks.column).applyInArrow(
-        _sent(blocks.bits, blocks.column, keys_of), "prefix long, block long, keys binary"
-    )
-    return sent.groupBy("prefix").applyInArrow(_answer, "block long, prefix long, flags binary")
-
-
-def repeated(keys: np.ndarray, answers: pa.Table, bits: int) -> np.ndarray:
+def _answer(level: int):
+    def answer(table: pa.Table) -> pa.Table:
+        prefix = table.column("prefix")[0].as_py() if table.num_rows else 0
+        blocks, levels, flags, rows, owners = [], [], [], [], []
+        for block, at, keys in zip(*(table.column(c).to_pylist() for c in ("block", "level", "keys"))):
+            if at == level:
+                rows.append(_unpack(keys))
+                owners.append(block)
+            else:  # answers of earlier levels go on to their block
+                blocks.append(block)
+                levels.append(at)
+                flags.append(keys)
+        together = np.sort(np.concatenate(rows)) if rows else np.empty(0, np.uint64)
+        again = np.unique(together[1:][together[1:] == together[:-1]])
+        for block, keys in zip(owners, rows) if len(again) else ():
+            hit = again[np.minimum(np.searchsorted(again, keys), len(again) - 1)] == keys
+            if hit.any():
+                blocks.append(block)
+                levels.append(level)
+                flags.append(np.packbits(hit).tobytes())
+        return pa.table(
+            {
+                "block": pa.array(blocks, pa.int64()),
+                "prefix": pa.array([prefix] * len(blocks), pa.int64()),
+                "level": pa.array(levels, pa.int64()),
+                "flags": pa.array(flags, pa.binary()),
+            }
+        )
+
+    return answer
+
+
+def shared(blocks: Blocks, keys_of: Callable, before: DataFrame | None = None, level: int = 0) -> DataFrame:
+    """Per block, prefix and level, one bit per distinct key of the block: whether another block has it.
+
+    ``keys_of(rows, earlier)`` gives a block's keys; ``earlier`` holds the answers of the levels before this one,
+    which are returned again with the new ones.
+    """
+    own, sent = blocks.column, "prefix long, block long, level long, keys binary"
+    if before is None:
+        none = pa.schema([("block", pa.int64()), ("prefix", pa.int64()), ("level", pa.int64()), ("flags", pa.binary())])
+        send = _sent(blocks.bits, own, level, keys_of)
+        rows = blocks.frame.groupBy(own).applyInArrow(lambda table: send(table, none.empty_table()), sent)
+    else:
+        rows = _joined(blocks, before).applyInArrow(_renamed(_sent(blocks.bits, own, level, keys_of)), sent)
+    return rows.groupBy("prefix").applyInArrow(_answer(level), "block long, prefix long, level long, flags binary")
+
+
+def _joined(blocks: Blocks, answers: DataFrame):
+    own = blocks.column
+    ordered = answers.select(F.col("block").alias(own), F.col("prefix"), F.col("level"), F.col("flags"))
+    return blocks.frame.groupBy(own).cogroup(ordered.groupBy(own))
+
+
+def _renamed(function):
+    names = ["block", "prefix", "level", "flags"]
+    return lambda table, answers: function(table, answers.rename_columns(names))
+
+
+def repeated(keys: np.ndarray, answers: pa.Table, bits: int, level: int = 0) -> np.ndarray:
     """For each key of a block (repeats included): does it occur twice in the corpus, here or elsewhere?"""
     distinct, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
     twice = counts > 1
     prefixes, edges = _bounds(distinct, bits)
     place = dict(zip(prefixes.tolist(), range(len(prefixes))))
-    for prefix, flags in zip(answers.column("prefix").to_pylist(), answers.column("flags").to_pylist()):
-        low, high = edges[place[prefix]], edges[place[prefix] + 1]
-        twice[low:high] |= np.unpackbits(np.frombuffer(flags, np.uint8), count=high - low).astype(bool)
+    for prefix, at, flags in zip(*(answers.column(c).to_pylist() for c in ("prefix", "level", "flags"))):
+        if at == level:
+            low, high = edges[place[prefix]], edges[place[prefix] + 1]
+            twice[low:high] |= np.unpackbits(np.frombuffer(flags, np.uint8), count=high - low).astype(bool)
     return twice[inverse]
 
 
 def applied(blocks: Blocks, answers: DataFrame, function: Callable[[pa.Table, pa.Table], pa.Table], schema) -> DataFrame:
     """Give each block's rows and its answers to ``function``; blocks without answers get an empty table."""
-    own = blocks.column
-    return (
-        blocks.frame.groupBy(own)
-        .cogroup(answers.withColumnRenamed("block", own).groupBy(own))
-        .applyInArrow(function, schema)
-    )
+    return _joined(blocks, answers).applyInArrow(_renamed(function), schema)

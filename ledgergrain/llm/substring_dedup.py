@@ -33,7 +33,7 @@ def _windows(column, width: int):
 
 
 def _keys(text: str, width: int):
-    def keys(table: pa.Table) -> np.ndarray:
+    def keys(table: pa.Table, _: pa.Table) -> np.ndarray:
         return np.concatenate([np.empty(0, np.uint64), *(s[-1] for s in _windows(table.column(text), width))])
 
     return keys

@@ -137,6 +137,19 @@ def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(WORD_BASE))
 
 
+def least(values: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of every ``width`` neighbouring values, by running minima from both sides of fixed cuts."""
+    n = len(values) - width + 1
+    if n <= 0:
+        return values[:0]
+    padded = np.full(-(-len(values) // width) * width, np.iinfo(values.dtype).max, values.dtype)
+    padded[: len(values)] = values
+    cut = padded.reshape(-1, width)
+    ahead = np.minimum.accumulate(cut, axis=1).ravel()
+    behind = np.minimum.accumulate(cut[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
+
+
 def window_hashes(values: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and hashes of all windows of ``width`` neighbouring values that have one owner."""
     n = len(values) - width + 1
@@ -148,10 +161,10 @@ def window_hashes(values: np.ndarray, owner: np.ndarray, width: int) -> tuple[np
 
 
 def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
-    """True for each of n places that a window of ``width`` from one of the starts covers."""
+    """True for each of n places that a window of ``width`` from one of the distinct starts covers."""
     steps = np.zeros(n + 1, np.int32)
-    np.add.at(steps, starts, 1)
-    np.add.at(steps, starts + width, -1)
+    steps[starts] += 1
+    steps[starts + width] -= 1
     return np.cumsum(steps[:-1]) > 0
 
 
