@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from ledgergrain.llm import bpe, kd_shards, quality_rules, substring_dedup, suffix_dedup, topk
+from ledgergrain.llm import bpe, kd_shards, ngram_join, quality_rules, substring_dedup, suffix_dedup, topk
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.joined(table(spark, folder, "documents"))
+
+
 def op6_kd_shards(spark: SparkSession, folder: str) -> DataFrame:
     return kd_shards.shards(table(spark, folder, "documents"))
 
@@ -55,6 +59,7 @@ def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_substring_dedup": op2_substring_dedup,
+    "op5_ngram_join": op5_ngram_join,
     "op6_kd_shards": op6_kd_shards,
     "op7_exact_topk": op7_exact_topk,
     "op8_suffix_dedup": op8_suffix_dedup,
@@ -112,6 +117,21 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+_OP5 = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT r, s FROM (
+  SELECT r, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)
+  UNION ALL SELECT r, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4)),
+n AS (SELECT r, count(*) AS n FROM g GROUP BY r),
+pair AS (SELECT x.r AS a, y.r AS b, count(*) AS o FROM g x JOIN g y ON x.s = y.s AND x.r <> y.r GROUP BY 1, 2),
+link AS (SELECT a, b FROM pair JOIN n p ON p.r = a JOIN n q ON q.r = b WHERE 100 * o >= 80 * (p.n + q.n - o)),
+reach AS (SELECT r AS a, r AS b FROM d UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+c AS (SELECT reach.a AS r, min(e.doc_id) AS component_id FROM reach JOIN d e ON e.r = reach.b GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d JOIN c USING (r) LEFT JOIN n USING (r)
+"""
+
 #: Texts as hexadecimal digits, two a byte.
 _OP8 = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
@@ -133,6 +153,7 @@ FROM d LEFT JOIN kept USING (r) LEFT JOIN sums USING (r)
 """
 
 ORACLES = {
+    "op5_ngram_join": _OP5,
     "op8_suffix_dedup": _OP8,
     "op7_exact_topk": _OP7,
     "op1_quality_rules": _OP1,
