@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from ledgergrain.llm import bpe, kd_shards, ngram_join, quality_rules, substring_dedup, suffix_dedup, topk
+from ledgergrain.llm import bpe, kd_shards, mixing, ngram_join, quality_rules, substring_dedup, suffix_dedup
+from ledgergrain.llm import topk, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -25,6 +26,34 @@ def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: Weights of the mix: by domain, and by language in every domain; sources are equal. Domains are the source number
+#: modulo four.
+MIX_DOMAINS = {"d0": 4.0, "d1": 3.0, "d2": 2.0, "d3": 1.0}
+MIX_LANGUAGES = {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 2.0}
+MIX_SHARE, MIX_EPOCHS = 0.8, 3
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    number = F.coalesce(F.try_to_number(F.regexp_extract("source", r"(\d{1,9})", 1), F.lit("999999999")), F.lit(0))
+    levels = {
+        "domain": F.concat(F.lit("d"), (number.cast("int") % 4).cast("string")),
+        "lang": F.col("lang"),
+        "source": F.col("source"),
+    }
+    weights = {(d,): w for d, w in MIX_DOMAINS.items()}
+    weights |= {(d, x): w for d in MIX_DOMAINS for x, w in MIX_LANGUAGES.items()}
+    return mixing.mixed(docs, levels, weights, MIX_SHARE, MIX_EPOCHS)
+
+
+def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mix(table(spark, folder, "documents")).select("doc_id", "domain", "lang", "source", "epoch", "n_words")
+
+
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return toxicity.scored(docs, toxicity.fit(docs, table(spark, folder, "labels")))
+
+
 def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.joined(table(spark, folder, "documents"))
 
@@ -59,6 +88,8 @@ def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_mixing": op3_mixing,
+    "op4_toxicity": op4_toxicity,
     "op5_ngram_join": op5_ngram_join,
     "op6_kd_shards": op6_kd_shards,
     "op7_exact_topk": op7_exact_topk,
