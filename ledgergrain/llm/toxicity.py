@@ -1,6 +1,6 @@
 """Toxicity by a subsequence string kernel, Nystroem landmarks and a linear support vector machine.
 
-The kernel of two words counts their common subsequences of three characters within a span of five, each gap
+The kernel of two words counts their common subsequences of four characters within a span of six, each gap
 discounted, so an insult still resembles itself with letters inserted, dropped at the end or run together. Words are
 runs of letters, lower-cased; symbols within a word and the gaps of spaced-out letters ("i.d.i.o.t") are closed up.
 
@@ -13,8 +13,8 @@ runs of letters, lower-cased; symbols within a word and the gaps of spaced-out l
    that score highest so far, in rounds;
 4. a logistic curve over a text's toxic words turns their number and strength into a score from 0 to 1.
 
-Landmark values are linear in a word's subsequences, so the machine collapses to one weight per subsequence and a
-worker scores whole texts with array operations alone.
+Landmark values are linear in a word's subsequences, so the machine collapses to one weight per subsequence (by a
+hash of CODE_BITS bits) and a worker scores whole texts with array operations alone.
 
 Null and empty texts score like texts without words. Repeated rows score alike. Labels that are null are left out;
 with one class only, every score is the share of that class. Empty tables give empty results.
@@ -26,7 +26,8 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -35,18 +36,21 @@ from pyspark.sql import functions as F
 
 from ledgergrain.llm import textops
 
-PER_CLASS = 3000
+PER_CLASS = 1500
 SAMPLE_BYTES = 20_000
-TOXIC_LANDMARKS, CLEAN_LANDMARKS = 48, 24
-ALIKE = 0.75
-DECAY = 0.6
-#: Limits that are tried for a toxic word: clean texts have so many of them on average.
-CLEAN_HITS = (0.02, 0.05, 0.1, 0.2, 0.4, 0.8)
+TOXIC_LANDMARKS, CLEAN_LANDMARKS = 64, 24
+ALIKE = 0.65
+DECAY = 0.5
+MIN_ODDS = 4
+#: Three limits of a toxic word: clean texts have so many above each on average.
+CLEAN_HITS = (0.02, 0.1, 0.4)
 ROUNDS = 4
 CUTOFF = 0.7
-#: Offsets of the second and third character of a subsequence, and what its gaps cost.
-SHAPES = [(i, j, DECAY ** (j - 2)) for j in range(2, 5) for i in range(1, j)]
+LENGTH, SPAN = 4, 6
+#: Offsets of the characters of a subsequence after its first, and what its gaps cost.
+SHAPES = [(c, DECAY ** (c[-1] - LENGTH + 1)) for c in combinations(range(1, SPAN), LENGTH - 1)]
 EDGE = 63
+CODE_BITS = 21
 
 _LETTER = np.array([chr(c).isalpha() for c in range(0x10000)])
 _INNER = np.zeros(0x10000, bool)
@@ -112,16 +116,20 @@ def subsequences(points: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     size = ends - starts + 1
     at = np.repeat(starts - 1 - (np.cumsum(size) - size), size) + np.arange(size.sum())
     last[at] = np.repeat(ends, size)
-    for i, j, weight in SHAPES:
-        ok = at[at + j < last[at]]
-        yield ok, codes[ok] << np.uint32(12) | codes[ok + i] << np.uint32(6) | codes[ok + j], weight
+    room = last[at] - at
+    for offsets, weight in SHAPES:
+        ok = at[room > offsets[-1]]
+        code = codes[ok]
+        for i in offsets:
+            code = code << np.uint32(6) | codes[ok + i]
+        yield ok, code * np.uint32(2654435761) >> np.uint32(32 - CODE_BITS), weight
 
 
 def _own_kernel(length: np.ndarray) -> np.ndarray:
     """A word's kernel with itself when its subsequences differ, by its length."""
     total = np.zeros(len(length))
-    for _, j, weight in SHAPES:
-        total += weight**2 * np.maximum(length + 1 - j, 0)
+    for offsets, weight in SHAPES:
+        total += weight**2 * np.maximum(length + 1 - offsets[-1], 0)
     return np.sqrt(np.maximum(total, 1e-9))
 
 
@@ -147,7 +155,7 @@ class Landmarks:
     def __init__(self, words: list[str]):
         self.words = words
         who, codes, weights, size = _features(words)
-        self.row = np.zeros(1 << 18, np.int32)
+        self.row = np.zeros(1 << CODE_BITS, np.int32)
         known = np.unique(codes)
         self.row[known] = np.arange(1, len(known) + 1)
         self.table = np.zeros((len(known) + 1, len(words)))
@@ -172,43 +180,38 @@ class Landmarks:
 
 @dataclass(frozen=True)
 class Model:
-    """One weight per subsequence, the machine's bias, the limit of a toxic word, and the logistic curve."""
+    """One weight per subsequence, the machine's bias, the limits of a toxic word, and the logistic curve."""
 
     weights: np.ndarray
     bias: float
-    limit: float
+    limits: tuple[float, ...]
     curve: np.ndarray
-    prior: float
 
-    def figures(self, texts: list[str]) -> np.ndarray:
-        """Per text: toxic words, the strongest two, and the number of words."""
+    def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The machine's value of every word, and the number of its text."""
         points, offsets = characters(texts)
         starts, ends, owner = words_of(points, offsets)
-        out = np.zeros((len(texts), 4))
-        if len(starts):
-            sums = np.zeros(len(points) + 1)
-            for at, code, weight in subsequences(points, starts, ends):
-                sums[at] += self.weights[code] * weight
-            value = np.add.reduceat(sums, np.c_[starts - 1, ends].ravel())[::2]
-            value = value / _own_kernel(ends - starts) + self.bias
-            out[:, 0] = np.bincount(owner[value > self.limit], minlength=len(texts))
-            order = np.lexsort((-value, owner))
-            head = np.searchsorted(owner[order], np.arange(len(texts)))
-            for i in (0, 1):
-                at = np.minimum(head + i, len(order) - 1)
-                own = owner[order[at]] == np.arange(len(texts))
-                out[own, 1 + i] = value[order[at]][own] - self.limit
-            out[:, 3] = np.bincount(owner, minlength=len(texts))
-        return out
-
-    def scores(self, texts: list[str]) -> np.ndarray:
-        return _logistic(_curve_input(self.figures(texts)) @ self.curve) if len(texts) else np.empty(0)
+        if not len(starts):
+            return np.empty(0), owner
+        sums = np.zeros(len(points) + 1)
+        for at, code, weight in subsequences(points, starts, ends):
+            sums[at] += self.weights[code] * weight
+        value = np.add.reduceat(sums, np.c_[starts - 1, ends].ravel())[::2]
+        return value / _own_kernel(ends - starts) + self.bias, owner
 
+    def figures(self, texts: list[str]) -> np.ndarray:
+        """Per text: one, the number of words, and by limit the number and density of toxic words."""
+        value, owner = self.words(texts)
+        n = len(texts)
+        count = np.bincount(owner, minlength=n)
+        out = [np.ones(n), np.log1p(count)]
+        for limit in self.limits:
+            hits = np.bincount(owner[value > limit], minlength=n)
+            out += [np.log1p(hits), np.minimum(hits, 2), np.log1p(100 * hits / (1 + count))]
+        return np.stack(out, axis=1)
 
-def _curve_input(f: np.ndarray) -> np.ndarray:
-    hits, count = np.log1p(f[:, 0]), np.log1p(f[:, 3])
-    top = np.clip(f[:, 1:3], -1, 2)
-    return np.c_[np.ones(len(f)), hits, np.minimum(f[:, 0], 2), top, count, np.log1p(100 * f[:, 0] / (1 + f[:, 3]))]
+    def scores(self, texts: list[str]) -> np.ndarray:
+        return _logistic(self.figures(texts) @ self.curve) if len(texts) else np.empty(0)
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
@@ -227,20 +230,19 @@ def _fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def _fit_machine(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Averaged subgradient steps on the hinge loss, both classes with equal weight."""
-    w, b = np.zeros(x.shape[1]), 0.0
-    mean_w, mean_b = np.zeros_like(w), 0.0
+def _fit_machine(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Newton steps on the squared hinge loss, both classes with equal weight."""
+    x = np.c_[x, np.ones(len(x))]
     cost = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    for t in range(1, steps + 1):
-        g = cost * y * (y * (x @ w + b) < 1)
-        rate = 4 / math.sqrt(t)
-        w = w + rate * (x.T @ g - ridge * w)
-        b += rate * g.sum()
-        if t > steps // 2:
-            mean_w, mean_b = mean_w + w, mean_b + b
-    half = steps - steps // 2
-    return mean_w / half, mean_b / half
+    w, active = np.zeros(x.shape[1]), None
+    for _ in range(40):
+        now = y * (x @ w) < 1
+        if active is not None and (now == active).all():
+            break
+        active = now
+        part = x[active] * cost[active, None]
+        w = np.linalg.solve(part.T @ x[active] + ridge * np.eye(len(w)), part.T @ y[active])
+    return w[:-1], float(w[-1])
 
 
 def _apart(words: list[str]) -> list[str]:
@@ -257,9 +259,9 @@ def _apart(words: list[str]) -> list[str]:
 def train(texts: list[str], toxic: np.ndarray) -> Model:
     """Fit on labelled texts that fit in memory."""
     prior = float(toxic.mean()) if len(toxic) else 0.0
-    flat = np.array([math.log((prior + 1e-3) / (1 - prior + 1e-3)), 0, 0, 0, 0, 0, 0])
+    flat = Model(np.zeros(1 << CODE_BITS, np.float32), 0.0, (), np.array([math.log((prior + 1e-3) / (1 - prior + 1e-3)), 0.0]))
     if len(set(toxic.tolist())) < 2:
-        return Model(np.zeros(1 << 18), 0.0, 0.0, flat, prior)
+        return flat
     number: dict[str, int] = {}
     sentences, text_of, seen = [], [], (Counter(), Counter())
     for i, text in enumerate(texts):
@@ -276,11 +278,12 @@ def train(texts: list[str], toxic: np.ndarray) -> Model:
         seen[int(toxic[i])].update(met)
     n = np.bincount(toxic, minlength=2)
     odds = {w: c * math.log((c + 0.5) / n[1] * n[0] / (seen[0][w] + 0.5)) for w, c in seen[1].items() if len(w) > 2}
+    odds = {w: x for w, x in odds.items() if x > seen[1][w] * math.log(MIN_ODDS)}
     marks = _apart(sorted(odds, key=lambda w: (-odds[w], w))[: 16 * TOXIC_LANDMARKS])
     toxic_marks = len(marks)
     marks += [w for w, _ in sorted(seen[0].items(), key=lambda x: (-x[1], x[0])) if len(w) > 2][:CLEAN_LANDMARKS]
     if not marks:
-        return Model(np.zeros(1 << 18), 0.0, 0.0, flat, prior)
+        return flat
     land = Landmarks(list(dict.fromkeys(marks)))
     value = land.values(list(number))
     flat_words = np.fromiter((w for s in sentences for w in s), np.int64)
@@ -293,7 +296,7 @@ def train(texts: list[str], toxic: np.ndarray) -> Model:
         ]
     )
     root, vectors = np.linalg.eigh(land.matrix)
-    half = (vectors / np.sqrt(np.maximum(root, 1e-3))) @ vectors.T
+    half = (vectors / np.sqrt(np.maximum(root, 1e-2))) @ vectors.T
     x, owner = z @ half, np.array(text_of)
     bad = toxic[owner] == 1
     strength = value[:, :toxic_marks].max(1, initial=0)[flat_words]
@@ -308,7 +311,7 @@ def train(texts: list[str], toxic: np.ndarray) -> Model:
         w, b = _fit_machine(x[use], np.where(bad[use], 1.0, -1.0))
         score = x @ w + b
     per_landmark = half @ w
-    weights = np.zeros(1 << 18)
+    weights = np.zeros(1 << CODE_BITS, np.float32)
     known = land.row > 0
     weights[known] = (land.table @ per_landmark)[land.row[known]]
     alone = value @ per_landmark + b
@@ -316,17 +319,10 @@ def train(texts: list[str], toxic: np.ndarray) -> Model:
     often[[number[k] for k in seen[0]]] = list(seen[0].values())
     rank = np.argsort(-alone)
     passed = np.cumsum(often[rank]) / n[0]
-    y, best = toxic.astype(float), None
-    for share in CLEAN_HITS:
-        limit = float(alone[rank[min(int(np.searchsorted(passed, share)), len(rank) - 1)]])
-        model = Model(weights, b, limit, flat, prior)
-        inputs = _curve_input(np.concatenate([model.figures(texts[i : i + 500]) for i in range(0, len(texts), 500)]))
-        curve = _fit_curve(inputs, y)
-        chance = np.clip(_logistic(inputs @ curve), 1e-6, 1 - 1e-6)
-        loss = -np.mean(y * np.log(chance) + (1 - y) * np.log(1 - chance))
-        if best is None or loss < best[0]:
-            best = (loss, Model(weights, b, limit, curve, prior))
-    return best[1]
+    limits = (alone[rank[min(int(np.searchsorted(passed, share)), len(rank) - 1)]] for share in CLEAN_HITS)
+    model = Model(weights, b, tuple(float(x) for x in limits), flat.curve)
+    figures = np.concatenate([model.figures(texts[i : i + 500]) for i in range(0, len(texts), 500)])
+    return replace(model, curve=_fit_curve(figures, toxic.astype(float)))
 
 
 def held_out(doc_id: Column) -> Column:
