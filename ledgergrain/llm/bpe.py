@@ -29,7 +29,8 @@ from pyspark.sql import types as T
 from ledgergrain.llm import textops
 
 MATRIX_BYTES = 512
-CACHED_PIECES = 400_000
+CACHED_PIECES = 300_000
+SLICE_BYTES = 1 << 20
 NONE = np.int32(2**31 - 1)
 _EMPTY = np.uint64(2**64 - 1)
 _PAD = 2**31 - 1
@@ -199,7 +200,7 @@ def encoder(rank_file: bytes, pattern: str) -> Encoder:
 
 def _sized(batch: pa.RecordBatch, lengths: np.ndarray) -> Iterator[pa.RecordBatch]:
     offsets = np.r_[0, np.cumsum(lengths)]
-    for low, high in textops.slices(offsets):
+    for low, high in textops.slices(offsets, SLICE_BYTES):
         yield batch.slice(low, high - low)
 
 

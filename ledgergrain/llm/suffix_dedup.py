@@ -30,7 +30,6 @@ from ledgergrain.llm import repeats, textops
 
 WIDTH = 400
 GRAM = 100
-SLICE_BYTES = 1 << 20
 COUNTS = ("n_bytes", "n_removed", "n_spans")
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -41,19 +40,20 @@ class Suffixes:
     def __init__(self, data: np.ndarray, offsets: np.ndarray, width: int, gram: int):
         self.data, self.offsets, self.width, self.gram = data, offsets, width, gram
         long = np.maximum(np.diff(offsets) - width + 1, 0)
-        self.starts = np.repeat(offsets[:-1] - np.r_[0, np.cumsum(long)[:-1]], long) + np.arange(long.sum())
+        self.starts = np.repeat(offsets[:-1] - np.cumsum(long) + long, long) + np.arange(long.sum())
         self.ids = np.empty(0, np.uint64)
         self.anchors, self.anchor_of = self.starts, self.starts
         if len(self.starts):
             sums = textops.running(data.astype(np.uint64) + np.uint64(1), textops.BYTE_BASE)
             n = len(data) - gram + 1
             self.ids = textops.mix((sums[gram:] - sums[:n]) * textops.powers(textops.BYTE_BASE, n)[0])
-            bits = max(20, int(n).bit_length())
+            bits = int(n).bit_length()
             low = np.uint64((1 << bits) - 1)
             least = textops.least((self.ids & ~low) | np.arange(n, dtype=np.uint64), width - gram + 1)
             places = (least[self.starts] & low).astype(np.int64)
             change = np.r_[True, places[1:] != places[:-1]]
-            self.anchors, self.anchor_of = places[change], np.cumsum(change) - 1
+            self.anchors, self.anchor_of = places[change], np.cumsum(change, dtype=np.int32) - 1
+            self.starts = self.starts.astype(np.int32)
 
     def refined(self, at: np.ndarray) -> np.ndarray:
         """Bucket identifiers of ``width`` bytes, from those of doubled lengths before."""
@@ -68,10 +68,14 @@ class Suffixes:
 
         return bucket(at, self.width)
 
+    def drop(self) -> None:
+        """Free the identifiers once they are used."""
+        self.ids = self.starts = self.anchors = self.anchor_of = None
+
 
 def _suffixes(column, width: int, gram: int) -> Iterator[Suffixes]:
     data, offsets = textops.flat(column)
-    for low, high in textops.slices(offsets, SLICE_BYTES):
+    for low, high in textops.slices(offsets):
         cut = offsets[low : high + 1]
         yield Suffixes(data[cut[0] : cut[-1]], cut - cut[0], width, gram)
 
@@ -85,18 +89,16 @@ def _grams(text: str, width: int, gram: int):
 
 
 def _left(table: pa.Table, answers: pa.Table, text: str, width: int, gram: int, bits: int):
-    """The slices, with the starts that the q-gram round left open and their refined identifiers."""
-    for s, twice in _with_answers(table, answers, text, width, gram, bits):
-        at = s.starts[twice[s.anchor_of]] if len(s.starts) else s.starts
-        yield s, at, s.refined(at) if len(at) else np.empty(0, np.uint64)
-
-
-def _with_answers(table, answers, text, width, gram, bits):
-    grams = [s.ids[s.anchors] for s in _suffixes(table.column(text), width, gram)]
-    twice, done = repeats.repeated(_all(grams), answers, bits), 0
-    for s in _suffixes(table.column(text), width, gram):
-        yield s, twice[done : done + len(s.anchors)]
+    """The slices, each with the starts that the q-gram round left open and their refined identifiers."""
+    parts, out, done = list(_suffixes(table.column(text), width, gram)), [], 0
+    twice = repeats.repeated(_all([s.ids[s.anchors] for s in parts]), answers, bits)
+    for s in parts:
+        own = twice[done : done + len(s.anchors)]
         done += len(s.anchors)
+        at = s.starts[own[s.anchor_of]] if len(s.starts) else s.starts
+        out.append((s, at, s.refined(at) if len(at) else np.empty(0, np.uint64)))
+        s.drop()
+    return out
 
 
 def _refined(text: str, width: int, gram: int, bits: int):
@@ -105,10 +107,10 @@ def _refined(text: str, width: int, gram: int, bits: int):
 
 def _removed(text: str, width: int, gram: int, bits: int, names: list[str]):
     def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
-        ids = _all([k for _, _, k in _left(table, answers, text, width, gram, bits)])
-        twice, done = repeats.repeated(ids, answers, bits, level=1), 0
+        left = _left(table, answers, text, width, gram, bits)
+        twice, done = repeats.repeated(_all([k for _, _, k in left]), answers, bits, level=1), 0
         kept, counts = [], {n: [np.empty(0, np.int64)] for n in COUNTS}
-        for s, at, own in _left(table, answers, text, width, gram, bits):
+        for s, at, own in left:
             hit = at[twice[done : done + len(own)]]
             done += len(own)
             gone = textops.covered(hit, width, len(s.data))

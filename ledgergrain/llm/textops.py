@@ -15,7 +15,8 @@ import pyarrow.compute as pc
 
 BYTE_BASE = 0x9E3779B97F4A7C15
 WORD_BASE = 0xC2B2AE3D27D4EB4F
-SLICE_BYTES = 4 << 20
+#: Work arrays of a slice stay in the processor's cache.
+SLICE_BYTES = 256 << 10
 
 _WORD = np.ones(256, bool)
 _WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
@@ -41,7 +42,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     if have is None or len(have[0]) < n:
         size = 1 << max(10, int(n - 1).bit_length())
         have = tuple(_power_row(b, size) for b in (base, pow(base, -1, 1 << 64)))
-        if size <= 2 * SLICE_BYTES:
+        if size <= 4 * SLICE_BYTES:
             _POWERS[base] = have
     return have[0][:n], have[1][:n]
 
