@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from ledgergrain.llm import bpe, kd_shards, mixing, ngram_join, quality_rules, substring_dedup, suffix_dedup
-from ledgergrain.llm import topk, toxicity
+from ledgergrain.llm import topk, toxicity, weak_quality
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -85,6 +85,11 @@ def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_weak_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return weak_quality.scored(docs, weak_quality.fit(docs)).select("doc_id", "score", "kept")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_substring_dedup": op2_substring_dedup,
@@ -95,6 +100,7 @@ QUERIES = {
     "op7_exact_topk": op7_exact_topk,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_weak_quality": op10_weak_quality,
 }
 
 #: Words of each text as a list; a text without words gives an empty list.
