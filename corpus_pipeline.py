@@ -1,19 +1,58 @@
-"""A corpus pipeline of the text operators: stages over ``documents``, each stored before the next one reads it."""
+"""A corpus pipeline of the text operators: stages over ``documents``, each stored before the next one reads it.
+
+Every stage but the last returns the columns of ``documents``. The rows of each stage are the whole input of the next.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgergrain.llm import quality_rules
+from ledgergrain.llm import bpe, ngram_join, quality_rules, queries, substring_dedup
 from ledgergrain.session import run_folder
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that every quality rule lets pass."""
     return quality_rules.filtered(docs, quality_rules.Cascade.fit(docs))
 
 
-STAGES = [("quality_rules", keep_quality)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id."""
+    groups = ngram_join.joined(docs)
+    first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    return docs.join(first, "doc_id", "left_semi").select(docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words in repeated windows go; ``n_chars`` follows the text."""
+    cut = substring_dedup.remove_repeats(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+    return cut.select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights; a document may come in several epochs."""
+    return queries.mix(docs).select(docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of every document, with the number of tokens and the digest of the text decoded from them."""
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, pattern).drop("text")
+    decoded = F.sha2(F.col("decoded"), 256).alias("decoded_sha256")
+    return bpe.decode(ids, path, pattern).select("doc_id", "lang", "source", "n_tokens", "token_ids", decoded)
+
+
+STAGES = [
+    ("quality_rules", keep_quality),
+    ("ngram_join", drop_near_copies),
+    ("substring_dedup", cut_repeats),
+    ("mixing", mix_sources),
+    ("byte_bpe", encode),
+]
 
+#: Hash order and byte-pair merges have no SQL; tests/llm holds a brute-force version.
 ORACLE_SQL = None
 
 
