@@ -9,45 +9,13 @@ from pyspark.sql import functions as F
 
 from ledgergrain.session import checkpointed
 
-HOT_ROWS = 4_000_000
 
-
-def grouped_sequence(
-    df: DataFrame,
-    group: Sequence[str],
-    order: Sequence[Column | str],
-    name: str,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
+def grouped_sequence(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], name: str) -> DataFrame:
     """Add the 1-based position of each row in its group; ``order`` must be unique in a group.
 
-    The group sizes are counted first. A window numbers the groups that fit one task. Groups beyond
-    ``hot_rows``, of which there are at most all rows / ``hot_rows``, are numbered in pieces.
-    """
-    sizes = df.groupBy(*group).count()
-    hot = sizes.where(F.col("count") > hot_rows).select(*[F.col(g).alias(f"_h_{g}") for g in group])
-    hot = checkpointed(hot)
-    window = Window.partitionBy(*group).orderBy(*order)
-    numbered = F.row_number().over(window).cast("bigint")
-    if hot.isEmpty():
-        return df.withColumn(name, numbered)
-    same = _same(group, "_h_")
-    small = df.join(hot, same, "left_anti").withColumn(name, numbered)
-    return small.unionByName(_in_pieces(df.join(hot, same, "left_semi"), group, order, name))
-
-
-def _same(group: Sequence[str], prefix: str) -> Column:
-    condition = F.lit(True)
-    for g in group:
-        condition = condition & F.col(g).eqNullSafe(F.col(f"{prefix}{g}"))
-    return condition
-
-
-def _in_pieces(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], name: str) -> DataFrame:
-    """Rows range-sorted on (group, order), which cuts a group into partitions of even size.
-
-    Each piece is numbered on its own and shifted by the rows of the pieces before it. There is one
-    shift per partition and group in it, so few for few groups.
+    Rows are range-sorted on (group, order), which cuts a large group into partitions of even size. Each piece is
+    numbered on its own and shifted by the rows of the group's pieces before it. There is one shift per partition
+    and group in it, so the table of shifts has as many rows as groups, plus one per partition.
     """
     placed = df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
     # Range bounds are sampled, so the placement is stored before it is used twice.
@@ -64,6 +32,13 @@ def _in_pieces(df: DataFrame, group: Sequence[str], order: Sequence[Column | str
     return joined.select(*df.columns, (F.col("_at") + F.col("_shift")).cast("bigint").alias(name))
 
 
+def _same(group: Sequence[str], prefix: str) -> Column:
+    condition = F.lit(True)
+    for g in group:
+        condition = condition & F.col(g).eqNullSafe(F.col(f"{prefix}{g}"))
+    return condition
+
+
 def first_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], rows: int = 1) -> DataFrame:
     """The first rows of each group. Spark keeps only that many rows per group before it shuffles."""
     window = Window.partitionBy(*group).orderBy(*order)

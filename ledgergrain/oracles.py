@@ -649,7 +649,6 @@ add("resolved_rules",
 
 # Run events.
 add("event_seq", "SELECT run_id, seq, event_id, type FROM seqd")
-add("event_seq_split", "SELECT run_id, seq, event_id, type FROM seqd")
 add("events_after", "SELECT run_id, seq, event_id FROM seqd WHERE seq > 40")
 add("events_resume", "SELECT s.run_id, s.seq, s.event_id FROM seqd s LEFT JOIN (SELECT run_id, MAX(seq) AS m FROM seqd WHERE type = 'done' GROUP BY 1) d ON d.run_id = s.run_id WHERE s.seq > COALESCE(d.m, 0)")
 add("event_count", "SELECT run_id, COUNT(*) AS event_count FROM ev GROUP BY 1")
@@ -683,5 +682,6 @@ add("step_durations",
 add("log_compaction",
     "SELECT doc_id, length(text) AS char_count, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, length(text) // 4) END AS estimated_tokens, length(text) > 2500 AS truncated, "
     "CASE WHEN length(text) > 2500 THEN substring(text, 1, 2500) || '... [truncated]' ELSE text END AS preview FROM documents")
-add("stream_ingest", "SELECT run_id, type, COUNT(*) AS events, MAX(ts) AS last_ts FROM ev GROUP BY 1, 2")
+add("stream_ingest", "SELECT run_id, type, CAST(SUM(CASE WHEN event_id % 6 IN (0, 3) THEN 2 ELSE 1 END) AS BIGINT) AS events, COUNT(*) AS ids, MAX(ts) AS last_ts FROM ev GROUP BY 1, 2")
+add("stream_resume", "SELECT run_id, event_id, type FROM ev LEFT JOIN (SELECT run_id, MAX({'a': ts, 'b': event_id}) AS p FROM ev WHERE event_id % 6 < 4 GROUP BY 1) q USING (run_id) WHERE p IS NULL OR {'a': ts, 'b': event_id} > p")
 add("stream_dedup", "SELECT run_id, type, COUNT(*) AS events, COUNT(*) AS ids FROM ev GROUP BY 1, 2")

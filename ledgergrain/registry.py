@@ -1068,12 +1068,6 @@ def _(spark, d):
     return ev.with_sequence(adapters.run_events(spark, d)).select("run_id", "seq", "event_id", "type")
 
 
-@query("event_seq_split")
-def _(spark, d):
-    split = ev.with_sequence(adapters.run_events(spark, d), hot_rows=10)
-    return split.select("run_id", "seq", "event_id", "type")
-
-
 @query("events_after")
 def _(spark, d):
     return ev.events_after(ev.with_sequence(adapters.run_events(spark, d)), 40).select("run_id", "seq", "event_id")
@@ -1145,29 +1139,66 @@ def _(spark, d):
     return ev.compact_text(docs, "text")
 
 
+def _delivered(spark, d, base: str, first: bool) -> None:
+    """Event files as they arrive: every event in one of six files with interleaved times; the second delivery brings
+    the last two files and sends the first and the fourth again."""
+    events = adapters.parquet(spark, d, "events").select(*stream.EVENT_SCHEMA.names)
+    slot = F.pmod("event_id", F.lit(6))
+    for i in (0, 1, 2, 3) if first else (4, 5, 0, 3):
+        events.where(slot == i).coalesce(1).write.parquet(f"{base}/in/{'a' if first else 'b'}{i}")
+
+
+def _landed_twice(spark, d, name: str, land) -> tuple[DataFrame, str]:
+    """Land a first delivery, stop, and go on with the second from the same checkpoint, one file per batch."""
+    base = run_folder(spark, name)
+    for first in (True, False):
+        _delivered(spark, d, base, first)
+        events = stream.run_event_stream(spark, f"{base}/in", pattern="*.parquet", files_per_trigger=1)
+        landed = land(events, f"{base}/table", f"{base}/state")
+    return landed, base
+
+
 @query("stream_ingest")
 def _(spark, d):
-    return stream.land(spark, stream.run_event_stream(spark, d), "ingest").groupBy("run_id", "type").agg(
-        F.count(F.lit(1)).alias("events"), F.max("ts").alias("last_ts")
+    landed, _ = _landed_twice(spark, d, "ingest", stream.append_table)
+    return landed.groupBy("run_id", "type").agg(
+        F.count(F.lit(1)).alias("events"), F.count_distinct("event_id").alias("ids"), F.max("ts").alias("last_ts")
     )
 
 
 @query("stream_dedup")
 def _(spark, d):
-    events = stream.run_event_stream(spark, d)
-    resent = events.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("_copy")
-    return stream.land(spark, stream.without_replays(resent), "dedup").groupBy("run_id", "type").agg(
+    landed, _ = _landed_twice(spark, d, "dedup", stream.append_unique)
+    return landed.groupBy("run_id", "type").agg(
         F.count(F.lit(1)).alias("events"), F.count_distinct("event_id").alias("ids")
     )
 
 
+def _live(spark, d, name: str, state, keys: list[str]) -> DataFrame:
+    landed, base = _landed_twice(spark, d, name, stream.append_unique)
+    events = stream.landed_stream(spark, landed.schema, f"{base}/table")
+    return stream.live_table(state(events), keys, f"{base}/live", f"{base}/live_state")
+
+
 @query("stream_agent_status")
 def _(spark, d):
-    landed = stream.land(spark, stream.without_replays(stream.run_event_stream(spark, d)), "status")
-    return ev.agent_status(landed)
+    return _live(spark, d, "status", stream.live_agent_status, ["run_id", "agent_id"])
 
 
 @query("stream_tool_pairs")
 def _(spark, d):
-    landed = stream.land(spark, stream.without_replays(stream.run_event_stream(spark, d)), "tools")
-    return ev.tool_pairs(landed)
+    return _live(spark, d, "tools", stream.live_tool_pairs, ["run_id", "agent_id", "tool_call_id"])
+
+
+@query("stream_resume")
+def _(spark, d):
+    base = run_folder(spark, "resume")
+    for first in (True, False):
+        _delivered(spark, d, base, first)
+        events = stream.run_event_stream(spark, f"{base}/in", pattern="*.parquet")
+        landed = stream.append_unique(events, f"{base}/table", f"{base}/state")
+        if first:
+            last = landed.groupBy("run_id").agg(F.max(F.struct("ts", "event_id")).alias("p"))
+            sinks.write_table(last.select("run_id", "p.*"), f"{base}/positions")
+    positions = spark.read.parquet(f"{base}/positions")
+    return stream.events_from(landed, positions).select("run_id", "event_id", "type")

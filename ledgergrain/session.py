@@ -7,9 +7,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL_FOLDERS: list[tempfile.TemporaryDirectory] = []
+
 
 def local_session(cores: int | str = 8, app: str = "ledgergrain", **conf: str) -> SparkSession:
-    """A local session for tests and benchmarks; a cluster brings its own."""
+    """A local session for tests and benchmarks; a cluster brings its own.
+
+    Its checkpoint folder is a temporary one that goes when Python ends, unless ``conf`` names another.
+    """
+    if "spark.checkpoint.dir" not in conf:
+        _LOCAL_FOLDERS.append(tempfile.TemporaryDirectory(prefix="ledgergrain-", ignore_cleanup_errors=True))
+        conf = {**conf, "spark.checkpoint.dir": _LOCAL_FOLDERS[-1].name}
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -29,23 +37,22 @@ def local_session(cores: int | str = 8, app: str = "ledgergrain", **conf: str) -
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the cluster; a temporary one only for local sessions that name none."""
+    """The cluster's ``spark.checkpoint.dir``; where it is unset, a folder in the warehouse, which is shared too."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(folder)
-        return folder
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can read")
-    folder = tempfile.mkdtemp(prefix="ledgergrain-")
-    context.setCheckpointDir(folder)
+    if not folder:
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
     return folder
 
 
 def run_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, for one run's tables or streaming state."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path for one run's tables or streaming state.
+
+    All of an application lie in one folder below the shared one, which can go when the application has ended.
+    """
+    return f"{shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Structured Streaming over run events: ingest, replay removal and live state.
 
-Sinks are append-only Parquet tables with checkpoints in the shared folder, so a restarted job goes on where
-it stopped. The live-state frames are update-mode aggregations for a sink that can upsert.
+Table and checkpoint folder are parameters: a job that is started again with the same two goes on where it stopped.
+Every batch is written to a folder of its own number, so a batch that is repeated after a failure replaces its
+rows instead of adding them.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgergrain.operators.run_events import agent_status, tool_pairs
-from ledgergrain.session import run_folder
 from ledgergrain.sources.adapters import shape_run_events
 
 EVENT_SCHEMA = T.StructType(
@@ -31,6 +31,7 @@ def read_events(
 ) -> DataFrame:
     """A stream of the event files that match a pattern in a folder."""
     reader = spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", pattern)
+    reader = reader.option("recursiveFileLookup", "true")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(folder)
@@ -41,40 +42,91 @@ def run_event_stream(spark: SparkSession, folder: str, **options) -> DataFrame:
     return shape_run_events(read_events(spark, folder, **options))
 
 
-def without_replays(events: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Drop events that were delivered before; state is kept only for the delay.
+def _run(stream: DataFrame, write, checkpoint: str, mode: str) -> None:
+    """Process all available input, batch by batch, then stop."""
+    job = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode(mode)
+    job.trigger(availableNow=True).start().awaitTermination()
 
-    A watermark needs a timestamp with time zone, so the event time is cast next to the original.
+
+def _landed(spark: SparkSession, schema: T.StructType, table: str) -> DataFrame:
+    fields = [*schema.fields, T.StructField("event_date", T.DateType()), T.StructField("batch_id", T.LongType())]
+    return spark.read.schema(T.StructType(fields)).parquet(table)
+
+
+def append_table(stream: DataFrame, table: str, checkpoint: str, time: str = "ts") -> DataFrame:
+    """Append all available events to a table, by batch and event date, and return the table."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        dated = batch.withColumn("event_date", F.to_date(time))
+        dated.write.mode("overwrite").partitionBy("event_date").parquet(f"{table}/batch_id={number}")
+
+    _run(stream, write, checkpoint, "append")
+    return _landed(stream.sparkSession, stream.schema, table).select(*stream.columns)
+
+
+def append_unique(
+    stream: DataFrame, table: str, checkpoint: str, key: str = "event_id", time: str = "ts"
+) -> DataFrame:
+    """Append the events that haven't come before, however late they or their copies are, and return the table.
+
+    An event is known by its key alone. A resent event has its old time, so only the table's partitions of a batch's
+    dates are read, and nothing is kept in memory between batches. The batch's own folder doesn't count
+    as landed.
+    """
+    spark, schema = stream.sparkSession, stream.schema
+
+    def write(batch: DataFrame, number: int) -> None:
+        fresh = batch.withColumn("event_date", F.to_date(time)).dropDuplicates([key])
+        if number > 0:
+            before = _landed(batch.sparkSession, schema, table).where(F.col("batch_id") < number)
+            seen = before.select(F.col(key), F.col("event_date").alias("_date"))
+            same = (fresh[key] == seen[key]) & fresh["event_date"].eqNullSafe(seen["_date"])
+            fresh = fresh.join(seen, same, "left_anti")
+        fresh.write.mode("overwrite").partitionBy("event_date").parquet(f"{table}/batch_id={number}")
+
+    _run(stream, write, checkpoint, "append")
+    return _landed(spark, schema, table).select(*stream.columns)
+
+
+def events_from(table: DataFrame, positions: DataFrame, run: str = "run_id") -> DataFrame:
+    """A reader that goes on: the landed events of every run behind the reader's last (ts, event_id).
+
+    ``positions`` has the run, ``ts`` and ``event_id``; runs without one are read from the start. As a landed table only
+    grows, calling it again with the positions of what was read gives the new events.
+    """
+    last = positions.groupBy(run).agg(F.max(F.struct("ts", "event_id")).alias("_last"))
+    behind = F.col("_last").isNull() | (F.struct("ts", "event_id") > F.col("_last"))
+    return table.join(last, run, "left").where(behind).select(*table.columns)
+
+
+def live_table(state: DataFrame, keys: list[str], table: str, checkpoint: str) -> DataFrame:
+    """Run an update-mode aggregation to the end of its input and return the current row of every key.
+
+    Each batch writes the rows that it changed; the newest batch of a key has its current row.
     """
-    timed = events.withColumn("_event_time", F.col("ts").cast("timestamp"))
-    unique = timed.withWatermark("_event_time", delay).dropDuplicatesWithinWatermark(["event_id"])
-    return unique.drop("_event_time")
+    spark, schema = state.sparkSession, state.schema
 
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/batch_id={number}")
 
-def append_table(stream: DataFrame, path: str, checkpoint: str):
-    """Append all available input to a Parquet table, then stop."""
-    return (
-        stream.writeStream.format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
+    _run(state, write, checkpoint, "update")
+    fields = [*schema.fields, T.StructField("batch_id", T.LongType())]
+    changes = spark.read.schema(T.StructType(fields)).parquet(table)
+    newest = changes.groupBy(*keys).agg(F.max_by(F.struct(*schema.names), "batch_id").alias("row"))
+    return newest.select("row.*")
 
 
-def land(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
-    """Run an append job to its end in a fresh folder and read the table it wrote."""
-    base = run_folder(spark, name)
-    append_table(stream, f"{base}/table", f"{base}/state").awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/table")
+def landed_stream(spark: SparkSession, schema: T.StructType, table: str, files_per_trigger: int = 8) -> DataFrame:
+    """The landed events as a stream, whatever batch and date folder they lie in."""
+    reader = spark.readStream.schema(schema).option("recursiveFileLookup", "true")
+    return reader.option("maxFilesPerTrigger", files_per_trigger).parquet(table)
 
 
 def live_agent_status(events: DataFrame) -> DataFrame:
-    """Update-mode frame: the current status per run and agent."""
+    """Update-mode frame: the current status per run and agent; one state row for each, as long as the job lives."""
     return agent_status(events)
 
 
 def live_tool_pairs(events: DataFrame) -> DataFrame:
-    """Update-mode frame: the tool entries per run, agent and call."""
+    """Update-mode frame: the tool entries per run, agent and call; one state row for each."""
     return tool_pairs(events)

@@ -20,7 +20,7 @@ SOME = (
     "preview_table", "sink_csv", "profile_null_rates", "schema_graph_summary", "dq_duplicate_key", "top_findings",
     "rel_validate_all", "rel_composite_key", "join_chain_4", "metric_invoice_count", "time_phrases_date",
     "net_mrr_by_segment", "mart_billing__collection_health_monthly", "model_lineage", "model_levels",
-    "test_summary", "first_rule_wins", "answer_class", "resolved_rules", "event_seq_split", "step_durations",
+    "test_summary", "first_rule_wins", "answer_class", "resolved_rules", "step_durations",
     "stream_dedup",
 )
 pytestmark = pytest.mark.skipif(not Path(FOLDER).is_dir(), reason="no test tables")

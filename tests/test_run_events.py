@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 
 import pytest
 from conftest import as_set
+from pyspark.sql import functions as F
 
 from ledgergrain import fixed_values as fixed
 from ledgergrain.functions.sequence import grouped_sequence
@@ -48,15 +49,14 @@ def ordered(rows):
     return runs
 
 
-def test_sequence_equals_brute_force_in_both_ways(events, rows):
+def test_sequence_equals_brute_force(events, rows):
     expected = {(run, i, r[0]) for run, rs in ordered(rows).items() for i, r in enumerate(rs, 1)}
     assert as_set(ev.with_sequence(events), "run_id", "seq", "event_id") == expected
-    assert as_set(ev.with_sequence(events, hot_rows=20), "run_id", "seq", "event_id") == expected
 
 
 def test_sequence_with_null_group(spark):
     df = spark.createDataFrame([(None, i) for i in range(50)] + [(1, i) for i in range(5)], "g int, n int")
-    split = grouped_sequence(df, ["g"], ["n"], "seq", hot_rows=3)
+    split = grouped_sequence(df, ["g"], ["n"], "seq")
     assert as_set(split) == {(None, i, i + 1) for i in range(50)} | {(1, i, i + 1) for i in range(5)}
 
 
@@ -114,7 +114,6 @@ def test_recent_activity_and_errors(events, rows):
         for i, r in enumerate([r for r in rs if r[3] == "error"], 1)
     }
     assert as_set(ev.error_list(events), "run_id", "position", "event_id") == errors
-    assert as_set(ev.error_list(events, hot_rows=2), "run_id", "position", "event_id") == errors
 
 
 def test_log_lines(spark):
@@ -137,50 +136,61 @@ def test_compaction_keeps_the_whole_length(spark):
 
 
 @pytest.fixture(scope="module")
-def event_files(spark, rows, tmp_path_factory):
-    """The events in three files, the last one resending the second."""
-    folder = tmp_path_factory.mktemp("stream")
-    raw = spark.createDataFrame(
-        [(r[0], r[2], r[1], ["view", "click", "signup", "purchase", "error"][r[0] % 5], r[6], f'{{"k": {r[5]}}}')
-         for r in rows],
-        stream.EVENT_SCHEMA,
+def month_of_events(spark):
+    """Raw events over thirty days and their six files with interleaved times."""
+    rows = [
+        (i, datetime(2025, 3, 1) + timedelta(minutes=(i * 7919) % 43_200), i % 13,
+         ["view", "click", "signup", "purchase", "error"][i % 5], float(i), f'{{"k": {i % 9}}}')
+        for i in range(3000)
+    ]
+    return spark.createDataFrame(rows, stream.EVENT_SCHEMA)
+
+
+def deliver(raw, folder, names):
+    for name in names:
+        raw.where(F.col("event_id") % 6 == int(name[-1])).coalesce(1).write.parquet(f"{folder}/{name}")
+
+
+def test_no_event_is_lost_and_no_copy_stays(spark, month_of_events):
+    base = run_folder(spark, "unique")
+
+    def land():
+        source = stream.run_event_stream(spark, f"{base}/in", pattern="*.parquet", files_per_trigger=1)
+        return stream.append_unique(source, f"{base}/table", f"{base}/state")
+
+    deliver(month_of_events, f"{base}/in", ["a0", "a1", "a2", "a3"])
+    assert land().count() == 2000
+    deliver(month_of_events, f"{base}/in", ["b4", "b5", "b0", "b3"])
+    landed = land()
+    batch = stream.shape_run_events(month_of_events)
+    assert landed.count() == 3000 and as_set(landed, "event_id", "type") == as_set(batch, "event_id", "type")
+    assert land().count() == 3000  # nothing new came
+    live = stream.live_table(
+        stream.live_agent_status(stream.landed_stream(spark, landed.schema, f"{base}/table", 2)),
+        ["run_id", "agent_id"], f"{base}/live", f"{base}/live_state",
     )
-    for i, part in enumerate((raw.where("event_id % 2 = 0"), raw.where("event_id % 2 = 1"),
-                              raw.where("event_id % 2 = 1"))):
-        part.coalesce(1).write.parquet(str(folder / f"part{i}"))
-        next((folder / f"part{i}").glob("*.parquet")).rename(folder / f"events{i}.parquet")
-    return str(folder)
-
-
-def test_streamed_tables_equal_batch(spark, event_files):
-    def source():
-        return stream.run_event_stream(spark, event_files, pattern="events*.parquet", files_per_trigger=1)
-
-    landed = stream.land(spark, source(), "t")
-    once = landed.dropDuplicates(["event_id"])
-    assert landed.count() == 1500 + 750
-    unique = stream.land(spark, stream.without_replays(source()), "u")
-    assert as_set(unique, "event_id", "type") == as_set(once, "event_id", "type") and unique.count() == 1500
-    assert as_set(ev.tool_pairs(unique)) == as_set(ev.tool_pairs(once))
-
-
-def test_restart_goes_on_after_the_last_file(spark, event_files):
-    base = run_folder(spark, "restart")
-    for pattern, expected in (("events0.parquet", 750), ("events*.parquet", 2250), ("events*.parquet", 2250)):
-        source = stream.run_event_stream(spark, event_files, pattern=pattern)
-        stream.append_table(source, f"{base}/table", f"{base}/state").awaitTermination()
-        assert spark.read.parquet(f"{base}/table").count() == expected
-
-
-def test_live_frames_end_like_batch(spark, event_files):
-    source = stream.run_event_stream(spark, event_files, pattern="events[01].parquet", files_per_trigger=1)
-    for name, live, batch, keys in (
-        ("live_status", stream.live_agent_status, ev.agent_status, ["run_id", "agent_id"]),
-        ("live_tools", stream.live_tool_pairs, ev.tool_pairs, ["run_id", "agent_id", "tool_call_id"]),
-    ):
-        job = live(source).writeStream.format("memory").queryName(name).outputMode("complete").trigger(
-            availableNow=True).start()
-        job.awaitTermination()
-        files = spark.read.schema(stream.EVENT_SCHEMA).parquet(*[f"{event_files}/events{i}.parquet" for i in (0, 1)])
-        assert as_set(spark.table(name)) == as_set(batch(stream.shape_run_events(files)))
-        assert spark.table(name).select(*keys).distinct().count() == spark.table(name).count()
+    assert as_set(live) == as_set(ev.agent_status(batch)) and live.count() == ev.agent_status(batch).count()
+
+
+def test_a_repeated_batch_replaces_its_rows(spark, month_of_events):
+    base = run_folder(spark, "repeat")
+    deliver(month_of_events, f"{base}/in", ["a0", "a1"])
+    for checkpoint in ("one", "two"):  # a lost checkpoint delivers all batches again under their numbers
+        source = stream.run_event_stream(spark, f"{base}/in", pattern="*.parquet")
+        assert stream.append_table(source, f"{base}/table", f"{base}/{checkpoint}").count() == 1000
+
+
+def test_a_reader_goes_on_where_it_stopped(spark):
+    at = datetime(2025, 3, 1)
+    rows = [(1, "r", at), (2, "r", at), (3, "r", at + timedelta(hours=1)), (4, "s", at)]
+    table = spark.createDataFrame(rows, "event_id long, run_id string, ts timestamp_ntz")
+    read = spark.createDataFrame([("r", at, 1)], "run_id string, ts timestamp_ntz, event_id long")
+    assert as_set(stream.events_from(table, read), "event_id") == {(2,), (3,), (4,)}
+
+
+def test_percentiles_are_exact(spark):
+    rows = [("a", "ok", i % 101) for i in range(30_000)] + [("b", "ok", 5), ("b", "ok", None)]
+    log = spark.createDataFrame(rows, "step_id string, status string, duration_ms long").repartition(6)
+    found = {r.step_id: (r.runs, r.p50_ms, r.p95_ms, r.max_ms) for r in ev.step_durations(log).collect()}
+    values = sorted(i % 101 for i in range(30_000))
+    assert found == {"a": (30_000, values[14_999], values[28_499], 100), "b": (1, 5, 5, 5)}
