@@ -4,7 +4,8 @@ A text's set holds the distinct runs of ``width`` words (``[^\\x20\\x09-\\x0D]+`
 words has its whole sequence as the one member; one without words has none and links with nothing. Two texts link
 when ``100 * |A and B| >= threshold * |A or B|``. The join is exact:
 
-1. Every n-gram of the corpus is counted (``repeats``). Partners share at least ``threshold`` per cent of a set, so
+1. Every n-gram of the corpus is counted (``repeats``); the global order puts n-grams of few blocks first, by doubling
+   classes, and then goes by hash. Partners share at least ``threshold`` per cent of a set, so
    a text with fewer n-grams that occur elsewhere has no partner and leaves. Equal sets become one class.
 2. Classes that agree in a min-hash meet in groups; each group stores its globally ordered sets in a prefix tree.
    A set walks the tree once: overlaps of a shared path are counted once, and a subtree is left as soon as the overlap
@@ -12,16 +13,19 @@ when ``100 * |A and B| >= threshold * |A or B|``. The join is exact:
    This finds nearly all links, in groups of bounded size.
 3. What may be missing: if two classes link, they share one of their first ``m - need + 1`` shared n-grams in the
    global order (the prefix filter). An n-gram whose classes all lie in one component is settled. The classes of every
-   other one meet in prefix trees again, by pairs of pieces of bounded size, so no link is lost.
+   other one meet in prefix trees again, by pairs of pieces of bounded size, so no link is lost. N-grams that have
+   just the same classes are asked once.
 
 No group emits all its pairs: classes already connected are skipped, and links leave a group as a spanning forest.
 Null texts have no words. Rows that share an id count as one document. Rows without id get no component and take no
 part as partners. Repeated rows are copies of each other. Other columns are ignored. An empty table gives none.
-n-grams and sets are compared by hashes of 64 and 128 bits.
+n-grams and sets are compared by hashes of 60 and 128 bits.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,7 +37,10 @@ from ledgergrain.llm.components import components, stored
 WIDTH = 5
 THRESHOLD = 80
 PIECE = 256
-SEEDS = (0x1B873593A5A5A5A5, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D)
+SEEDS = (0x1B873593A5A5A5A5, 0x2545F4914F6CDD1D)
+#: Bits of an n-gram's hash that are counted over the corpus. Two n-grams that agree in them count as one that occurs
+#: twice, which only keeps a text in the running; links are decided on 60 bits.
+COUNTED = np.uint64(0xFFFFFFFFFFFF0000)
 
 
 def _sets(column, width: int):
@@ -63,7 +70,7 @@ def _sets(column, width: int):
 
 
 def _keys(text: str, width: int):
-    return lambda table, _: _sets(table.column(text), width)[1]
+    return lambda table, _: _sets(table.column(text), width)[1] & COUNTED
 
 
 _ROWS = "id long, n long, live boolean, f1 long, f2 long, tokens binary, " + ", ".join(
@@ -77,14 +84,14 @@ def _profile(doc_id: str, text: str, width: int, threshold: int, bits: int):
     def profile(table: pa.Table, answers: pa.Table) -> pa.Table:
         rows = table.num_rows
         owner, grams = _sets(table.column(text), width)
-        twice = repeats.repeated(grams, answers, bits)
+        twice, steps = repeats.spread(grams & COUNTED, answers, bits)
         n = np.bincount(owner, minlength=rows)
         named = np.asarray(table.column(doc_id).is_valid())
         shared = np.bincount(owner[twice], minlength=rows)
         live = (n > 0) & (100 * shared >= threshold * n) & named
         heads = np.flatnonzero(live)
         keep = live[owner]
-        o, g = owner[keep], grams[keep]
+        o, g, steps = owner[keep], grams[keep], steps[keep].astype(np.uint64)
         marks = np.zeros((2 + len(SEEDS), rows), np.uint64)
         tokens: list[bytes | None] = [None] * rows
         if len(heads):
@@ -92,7 +99,9 @@ def _profile(doc_id: str, text: str, width: int, threshold: int, bits: int):
             marks[0, heads] = np.add.reduceat(textops.mix(g ^ np.uint64(SEEDS[0])), cut)
             marks[1, heads] = np.bitwise_xor.reduceat(textops.mix(g + np.uint64(SEEDS[1])), cut)
             often = twice[keep]
-            o, g = o[often], g[often]
+            o, g = o[often], steps[often] << np.uint64(60) | g[often] >> np.uint64(4)
+            order = np.lexsort((g, o))  # rare n-grams come first
+            o, g = o[order], g[order]
             cut = np.searchsorted(o, heads)
             for i, seed in enumerate(SEEDS):
                 marks[2 + i, heads] = np.minimum.reduceat(textops.mix(g ^ np.uint64(seed)), cut)
@@ -194,10 +203,8 @@ def _first(threshold: int):
                 part = own[: len(own) - -(-threshold * n // 100) + 1]
                 keys.append(part)
                 counts.append(len(part))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys), pa.int64()), pa.array(np.repeat(np.array(ids, np.int64), counts))],
-                names=["key", "cls"],
-            )
+            columns = [np.concatenate(keys), *(np.repeat(np.array(x, np.int64), counts) for x in (ids, sizes))]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["key", "cls", "n"])
 
     return first
 
@@ -208,7 +215,7 @@ def joined(
     """One row per input row: ``doc_id``, ``n_shingles`` and ``component_id``, the smallest id reachable by links."""
     docs = docs.select(F.col(f"`{doc_id}`").alias(doc_id), F.col(f"`{text}`").alias(text))
     blocks = repeats.blocked(docs, text, keys_per_byte=0.2)
-    answers = repeats.shared(blocks, _keys(text, width))
+    answers = repeats.shared(blocks, _keys(text, width), counted=True)
     rows = stored(repeats.applied(blocks, answers, _profile(doc_id, text, width, threshold, blocks.bits), _ROWS), "sets")
     classes = stored(
         rows.where("live").groupBy("n", "f1", "f2").agg(
@@ -235,23 +242,33 @@ def joined(
     known = components(near)
 
     # Prefix filter: n-grams whose classes lie in several components.
-    first = sets.mapInArrow(_first(threshold), "key long, cls long").join(
-        known.withColumnRenamed("node", "cls"), "cls", "left"
-    ).select("key", "cls", F.coalesce("component", "cls").alias("comp"))
+    # Partners' sizes lie within the threshold, so they are in one band of sizes or in two neighbouring ones.
+    band = F.floor(F.log("n") * (0.999999 / math.log(max(100 / threshold, 1.01))))
+    first = (
+        sets.mapInArrow(_first(threshold), "key long, cls long, n long")
+        .join(known.withColumnRenamed("node", "cls"), "cls", "left")
+        .select("key", "cls", F.coalesce("component", "cls").alias("comp"), F.explode(F.array(band, band + 1)).alias("band"))
+    )
     first = stored(first, "prefixes")
+    # N-grams with the same classes ask the same question: one of them is enough.
+    face = F.xxhash64("cls")
     open_keys = (
-        first.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-        .where("low < high").select("key", F.ceil(F.col("c") / PIECE).alias("pieces"))
+        first.groupBy("key", "band").agg(
+            F.count(F.lit(1)).alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high"),
+            F.min("cls").alias("least"), F.bit_xor(face).alias("x"), F.sum(F.shiftright(face, 16)).alias("s"),
+        )
+        .where("low < high").groupBy("c", "least", "x", "s").agg(F.min(F.struct("key", "band")).alias("k"))
+        .select("k.key", "k.band", F.ceil(F.col("c") / PIECE).alias("pieces"))
     )
     side = F.pmod(F.xxhash64("cls"), F.col("pieces"))
-    pairs = first.join(open_keys, "key").withColumn("side", side).withColumn(
+    pairs = first.join(open_keys, ["key", "band"]).withColumn("side", side).withColumn(
         "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1))
     )
     pairs = pairs.select(
-        "cls", "comp", "side", "key", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y")
+        "cls", "comp", "side", "key", "band", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y")
     )
     rest = pairs.join(sets, "cls").withColumn("apart", F.col("x") != F.col("y"))
-    more = rest.groupBy("key", "x", "y").applyInArrow(_links(threshold), "a long, b long")
+    more = rest.groupBy("key", "band", "x", "y").applyInArrow(_links(threshold), "a long, b long")
     final = components(near.union(more))
 
     named = classes.select("n", "f1", "f2", "cls").join(final.withColumnRenamed("node", "cls"), "cls", "left")

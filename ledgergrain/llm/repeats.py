@@ -58,12 +58,17 @@ def blocked(docs: DataFrame, text: str, *, keys_per_byte: float, block_bytes: in
 
 
 def _pack(keys: np.ndarray) -> bytes:
-    """Sorted keys byte plane by byte plane: the first planes hardly vary and compress well."""
-    return np.ascontiguousarray(keys.astype(">u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Sorted keys byte plane by byte plane: the first planes hardly vary and compress well; last zero planes go."""
+    planes = np.ascontiguousarray(keys.astype(">u8").view(np.uint8).reshape(-1, 8).T)
+    held = np.flatnonzero(planes.any(axis=1))
+    return len(keys).to_bytes(4, "little") + planes[: held[-1] + 1 if len(held) else 0].tobytes()
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
+    n = int.from_bytes(data[:4], "little")
+    planes = np.zeros((8, n), np.uint8)
+    held = np.frombuffer(data, np.uint8, offset=4).reshape(-1, n)
+    planes[: len(held)] = held
     return np.ascontiguousarray(planes.T).view(">u8").ravel().astype(np.uint64)
 
 
@@ -95,7 +100,12 @@ def _sent(bits: int, column: str, level: int, keys_of: Callable[[pa.Table, pa.Ta
     return send
 
 
-def _answer(level: int):
+def _spread(blocks: np.ndarray) -> np.ndarray:
+    """Class of a number of blocks: 0 for one, then a step for every doubling, up to 15."""
+    return np.minimum(15, np.ceil(np.log2(np.maximum(blocks, 1)))).astype(np.uint8)
+
+
+def _answer(level: int, counted: bool):
     def answer(table: pa.Table) -> pa.Table:
         prefix = table.column("prefix")[0].as_py() if table.num_rows else 0
         blocks, levels, flags, rows, owners = [], [], [], [], []
@@ -108,13 +118,19 @@ def _answer(level: int):
                 levels.append(at)
                 flags.append(keys)
         together = np.sort(np.concatenate(rows)) if rows else np.empty(0, np.uint64)
-        again = np.unique(together[1:][together[1:] == together[:-1]])
+        again, count = np.unique(together[1:][together[1:] == together[:-1]], return_counts=True)
         for block, keys in zip(owners, rows) if len(again) else ():
-            hit = again[np.minimum(np.searchsorted(again, keys), len(again) - 1)] == keys
+            place = np.minimum(np.searchsorted(again, keys), len(again) - 1)
+            hit = again[place] == keys
             if hit.any():
                 blocks.append(block)
                 levels.append(level)
-                flags.append(np.packbits(hit).tobytes())
+                if counted:
+                    steps = np.zeros(len(keys) + len(keys) % 2, np.uint8)
+                    steps[: len(keys)][hit] = _spread(count[place[hit]] + 1)
+                    flags.append((steps[::2] << 4 | steps[1::2]).tobytes())
+                else:
+                    flags.append(np.packbits(hit).tobytes())
         return pa.table(
             {
                 "block": pa.array(blocks, pa.int64()),
@@ -127,9 +143,12 @@ def _answer(level: int):
     return answer
 
 
-def shared(blocks: Blocks, keys_of: Callable, before: DataFrame | None = None, level: int = 0) -> DataFrame:
+def shared(
+    blocks: Blocks, keys_of: Callable, before: DataFrame | None = None, level: int = 0, counted: bool = False
+) -> DataFrame:
     """Per block, prefix and level, one bit per distinct key of the block: whether another block has it.
 
+    ``counted`` gives four bits: the class of the number of blocks that have it.
     ``keys_of(rows, earlier)`` gives a block's keys; ``earlier`` holds the answers of the levels before this one,
     which are returned again with the new ones.
     """
@@ -140,7 +159,9 @@ def shared(blocks: Blocks, keys_of: Callable, before: DataFrame | None = None, l
         rows = blocks.frame.groupBy(own).applyInArrow(lambda table: send(table, none.empty_table()), sent)
     else:
         rows = _joined(blocks, before).applyInArrow(_renamed(_sent(blocks.bits, own, level, keys_of)), sent)
-    return rows.groupBy("prefix").applyInArrow(_answer(level), "block long, prefix long, level long, flags binary")
+    return rows.groupBy("prefix").applyInArrow(
+        _answer(level, counted), "block long, prefix long, level long, flags binary"
+    )
 
 
 def _joined(blocks: Blocks, answers: DataFrame):
@@ -167,6 +188,19 @@ def repeated(keys: np.ndarray, answers: pa.Table, bits: int, level: int = 0) ->
     return twice[inverse]
 
 
+def spread(keys: np.ndarray, answers: pa.Table, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each key of a block: does it occur twice in the corpus, and the class of the number of its blocks."""
+    distinct, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
+    steps = np.zeros(len(distinct), np.uint8)
+    prefixes, edges = _bounds(distinct, bits)
+    place = dict(zip(prefixes.tolist(), range(len(prefixes))))
+    for prefix, flags in zip(answers.column("prefix").to_pylist(), answers.column("flags").to_pylist()):
+        low, high = edges[place[prefix]], edges[place[prefix] + 1]
+        pairs = np.frombuffer(flags, np.uint8)
+        steps[low:high] = np.stack([pairs >> 4, pairs & 15], axis=1).ravel()[: high - low]
+    return ((counts > 1) | (steps > 0))[inverse], steps[inverse]
+
+
 def applied(blocks: Blocks, answers: DataFrame, function: Callable[[pa.Table, pa.Table], pa.Table], schema) -> DataFrame:
     """Give each block's rows and its answers to ``function``; blocks without answers get an empty table."""
     return _joined(blocks, answers).applyInArrow(_renamed(function), schema)
