@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ledgergrain.functions.columns import is_month_key
 from ledgergrain.operators.profile import union_all
 from ledgergrain.operators.quality import key_counts
-from ledgergrain.operators.relationships import orphans
+from ledgergrain.operators.relationships import key_rows, orphans
+from ledgergrain.sources.tables import guarded_sql
 from ledgergrain.specs import DataTest, Relationship, SourceContract
 
 ROW_KINDS = ("not_null", "accepted_values", "month_key", "metrics_not_null")
@@ -36,7 +37,7 @@ def failing_rows(models: dict[str, DataFrame], test: DataTest) -> DataFrame:
     if test.kind in ROW_KINDS:
         return df.where(failing_condition(test))
     if test.kind == "unique":
-        return key_counts(df, test.columns[0]).where(F.col("filled") > 1).select("value", F.col("rows").alias("copies"))
+        return duplicated(df, test.columns)
     if test.kind == "relationship":
         return orphans(df, test.columns, models[test.parent], test.parent_columns)
     if test.kind == "custom":
@@ -44,40 +45,62 @@ def failing_rows(models: dict[str, DataFrame], test: DataTest) -> DataFrame:
     raise ValueError(f"unknown test kind: {test.kind}")
 
 
+def duplicated(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Values that all columns together hold more than once, as ``value`` (joined by a comma) and ``copies``."""
+    if len(columns) == 1:
+        return key_counts(df, columns[0]).where(F.col("filled") > 1).select("value", F.col("rows").alias("copies"))
+    filled = df.dropna(subset=list(columns))
+    counts = filled.groupBy(*columns).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    return counts.select(F.concat_ws(",", *[F.col(c).cast("string") for c in columns]).alias("value"), "copies")
+
+
 def custom_rows(spark: SparkSession, models: dict[str, DataFrame], test: DataTest) -> DataFrame:
-    """Rows of a custom query; models are its ``{name}`` placeholders. It passes when there are none."""
-    used = {name: df for name, df in models.items() if "{" + name + "}" in test.sql}
-    return spark.sql(test.sql, **used)
+    """Rows of a custom query over the models, by their names. It passes when there are none."""
+    return guarded_sql(spark, test.sql, models)
 
 
 def passes(models: dict[str, DataFrame], test: DataTest) -> bool:
     return failing_rows(models, test).isEmpty()
 
 
+def _entries(row: DataFrame, tests: list[DataTest]) -> DataFrame:
+    """One row with columns ``_t0``, ``_t1``, ... as one row per test."""
+    entries = [
+        F.struct(F.lit(t.name).alias("test_name"), F.lit(t.model).alias("model"), F.col(f"_t{i}").alias("failing_rows"))
+        for i, t in enumerate(tests)
+    ]
+    return row.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+
+
 def summary(models: dict[str, DataFrame], tests: list[DataTest]) -> DataFrame:
-    """Name, model, failing rows and result per test. All row-level tests of a model share one pass."""
+    """Name, model, failing rows and result per test.
+
+    All row-level tests of a model share one pass. A relationship is counted by key once, which also answers the
+    uniqueness of the parent's key.
+    """
     frames = []
     for model in dict.fromkeys(t.model for t in tests):
         row_tests = [t for t in tests if t.model == model and t.kind in ROW_KINDS]
         if row_tests:
-            sums = models[model].agg(
-                *[F.count_if(failing_condition(t)).alias(f"_t{i}") for i, t in enumerate(row_tests)]
-            )
-            entries = F.array(
-                *[
-                    F.struct(F.lit(t.name).alias("test_name"), F.lit(model).alias("model"),
-                             F.col(f"_t{i}").alias("failing_rows"))
-                    for i, t in enumerate(row_tests)
-                ]
-            )
-            frames.append(sums.select(F.explode(entries).alias("e")).select("e.*"))
-    for test in tests:
-        if test.kind not in ROW_KINDS:
-            frames.append(
-                failing_rows(models, test)
-                .agg(F.count(F.lit(1)).alias("failing_rows"))
-                .select(F.lit(test.name).alias("test_name"), F.lit(test.model).alias("model"), "failing_rows")
-            )
+            sums = [F.count_if(failing_condition(t)).alias(f"_t{i}") for i, t in enumerate(row_tests)]
+            frames.append(_entries(models[model].agg(*sums), row_tests))
+    left = [t for t in tests if t.kind not in ROW_KINDS]
+    for test in [t for t in left if t.kind == "relationship"]:
+        parent = next(
+            (t for t in left if t.kind == "unique" and (t.model, t.columns) == (test.parent, test.parent_columns)), None
+        )
+        edge = Relationship(test.name, test.parent, test.model, test.parent_columns, test.columns)
+        keys = key_rows(models[test.parent], models[test.model], edge)
+        sums = [F.coalesce(F.sum(F.when(~F.col("is_null") & (F.col("l") == 0), F.col("r"))), F.lit(0)).alias("_t0")]
+        answered = [test]
+        if parent is not None:
+            sums.append(F.count_if(~F.col("is_null") & (F.col("l") > 1)).alias("_t1"))
+            answered.append(parent)
+        frames.append(_entries(keys.agg(*sums), answered))
+        left = [t for t in left if t not in answered]
+    for test in left:
+        failing = failing_rows(models, test).agg(F.count(F.lit(1)).alias("_t0"))
+        frames.append(_entries(failing, [test]))
     return union_all(frames).withColumn("passed", F.col("failing_rows") == 0)
 
 

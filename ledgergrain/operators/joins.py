@@ -45,6 +45,25 @@ def payment_chain(tables: dict[str, DataFrame]) -> DataFrame:
     )
 
 
+def chain_totals(tables: dict[str, DataFrame], *by: str) -> DataFrame:
+    """Number and collected amount of all payments along the chain, by columns of customers and plans.
+
+    Payments are summed per invoice, then per subscription, then per customer and plan, each before the next join.
+    """
+
+    def summed(df: DataFrame, *keys: str) -> DataFrame:
+        return df.groupBy(*keys).agg(F.sum("payments").alias("payments"), F.sum("collected").alias("collected"))
+
+    by_invoice = tables["stripe_payments"].groupBy("invoice_id").agg(
+        F.count(F.lit(1)).alias("payments"), F.sum("successful_amount").alias("collected")
+    )
+    invoices = tables["stripe_invoices"].select("invoice_id", "subscription_id")
+    subscriptions = tables["fact_subscriptions"].select("subscription_id", "customer_id", "plan_id")
+    by_subscription = summed(by_invoice.join(invoices, "invoice_id"), "subscription_id")
+    by_end = summed(by_subscription.join(subscriptions, "subscription_id"), "customer_id", "plan_id")
+    return summed(by_end.join(tables["dim_customers"], "customer_id").join(tables["dim_plans"], "plan_id"), *by)
+
+
 def fanout_guard(before: DataFrame, after: DataFrame, measure: str) -> DataFrame:
     """Rows and sum of a measure before and after a join; ``preserved`` is false when the join multiplied."""
     figures = [F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(measure), F.lit(0)).alias("total")]

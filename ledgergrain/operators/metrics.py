@@ -113,7 +113,8 @@ class _RollUp:
                 *self.carried(edge.left_source),
             )
             on = [F.col(k) == F.col(e) for k, e in zip(self._keys(edge), ends, strict=True)]
-            rows = folded.join(parent, on).drop(*self._keys(edge), *ends)
+            # Rows without a parent stay, under null dimensions.
+            rows = folded.join(parent, on, "left").drop(*self._keys(edge), *ends)
             kept += self.wanted.get(edge.left_source, [])
             pending = rest + self.edges(edge.left_source)
         return rows

@@ -8,12 +8,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ledgergrain import fixed_values as fixed
 from ledgergrain.functions.sequence import first_per_group, grouped_sequence
+from ledgergrain.session import checkpointed
 from ledgergrain.specs import RuleOption, TextRule
 
 # Characters that a request keeps, white space besides the blank, answer tokens of two or
@@ -122,16 +122,22 @@ def option_tokens(option: RuleOption) -> list[str]:
     return [w for w in dict.fromkeys(re.findall(TOKEN, searchable)) if w not in fixed.STOPWORDS]
 
 
-def option_score(answer: Column, option: RuleOption) -> Column:
+def option_score(hits: Column, tokens_held: Column, option: RuleOption) -> Column:
     """Share of an answer's tokens that the option holds; null for an answer without tokens."""
-    held = F.size(F.array_intersect(answer, _words(option_tokens(option))))
-    return F.try_divide(held.cast("double"), F.size(answer).cast("double"))
+    held = F.size(F.array_intersect(hits, _words(option_tokens(option))))
+    return F.try_divide(held.cast("double"), F.size(tokens_held).cast("double"))
 
 
-def option_scores(answer: Column, options: tuple[RuleOption, ...], prefix: str) -> dict[str, Column]:
-    """One score per option by column name (prefix + option id). ``answer`` should be a column of tokens,
-    not an expression, so that they are found once per row."""
-    return {f"{prefix}{o.id}": option_score(answer, o) for o in options}
+def option_hits(answer: Column, options: tuple[RuleOption, ...]) -> Column:
+    """The tokens that any option knows: few, so that the options are then compared with short lists."""
+    known = dict.fromkeys(w for o in options for w in option_tokens(o))
+    return F.array_intersect(answer, _words(known))
+
+
+def option_scores(hits: Column, answer: Column, options: tuple[RuleOption, ...], prefix: str) -> dict[str, Column]:
+    """One score per option by column name (prefix + option id). ``hits`` (from ``option_hits``) and ``answer`` should
+    be columns, not expressions, so that they are found once per row."""
+    return {f"{prefix}{o.id}": option_score(hits, answer, o) for o in options}
 
 
 def best_option(options: tuple[RuleOption, ...], prefix: str) -> Column:
@@ -167,13 +173,14 @@ def classify_answers(
     asked = F.coalesce(F.col(question).isin(*[r.question_id for r in rules]), F.lit(False))
     # Unknown questions and picked options have no text here, hence no tokens and no score.
     frame = frame.withColumn("_tokens", tokens(F.when(asked & picked.isNull(), F.col("_plain"))))
-    mapped, known, scores = F.lit(None).cast("string"), F.lit(False), {}
+    mapped, known, scores, hits = F.lit(None).cast("string"), F.lit(False), {}, F.lit(None).cast("array<string>")
     for i, rule in enumerate(rules):
         here = F.col(question) == rule.question_id
-        scores |= option_scores(F.when(here, F.col("_tokens")), rule.options, f"_s{i}_")
+        hits = F.when(here, option_hits(F.col("_tokens"), rule.options)).otherwise(hits)
+        scores |= option_scores(F.when(here, F.col("_hits")), F.col("_tokens"), rule.options, f"_s{i}_")
         mapped = F.when(here, best_option(rule.options, f"_s{i}_")).otherwise(mapped)
         known = F.when(here, picked.isin(*[o.id for o in rule.options])).otherwise(known)
-    frame = frame.withColumns(scores)
+    frame = frame.withColumn("_hits", hits).withColumns(scores)
     kind = (
         F.when(~asked, "invalid")
         .when(picked.isNotNull(), F.when(known, "predefined_option").otherwise("invalid"))
@@ -215,47 +222,72 @@ def rule_key(question: Column) -> Column:
     return F.when(F.length(key) > 0, key).otherwise("business_rule")
 
 
-def _name_in_order(pdf):
-    """Unique keys of one small family, where a key may look like a numbered form of another one."""
-    used: set[str] = set()
-    names = []
-    pdf = pdf.sort_values("_order")
-    for base in pdf["_key"]:
-        name, n = base, 1
-        while name in used:
-            n += 1
-            name = f"{base}_{n}"
-        used.add(name)
-        names.append(name)
-    return pdf.assign(rule_key=names)
-
-
 def resolved_rules(answers: DataFrame, package: str, order: str, question: str = "question_id") -> DataFrame:
     """Add ``rule_key``, unique in its package: repeats get ``_2``, ``_3`` and so on in order.
 
-    Only where a key equals a possible numbered form of another key (``x`` and ``x_2``) does the order of
-    names depend on earlier choices; those few families are named one after the other.
+    Every answer takes the first free name of its key: the key itself, then ``key_2``, ``key_3``, ... A name can also
+    be wanted by one other key, namely by the key that reads like it (``x_2`` beside ``x``), whose first answer wants
+    just that name. Who comes first gets it. So what has to be known of a pair of keys is how many answers of ``x``
+    come before the first answer of ``x_2``; the rest are folds over the numbered forms of a key, in one round for
+    each number that keys end in (``x``, ``x_2``, ``x_2_2``), as a key loses its first name to a shorter one only.
+
+    Answers are numbered by ``grouped_sequence``; ``order`` must be unique in a package.
     """
     keyed = answers.withColumn("_key", rule_key(F.col(question))).withColumn("_order", F.col(order))
-    root = F.regexp_replace("_key", r"(_[0-9]+)+$", "")
-    keyed = keyed.withColumn("_root", root)
-    tangled = (
-        keyed.groupBy(F.col(package).alias("_p"), F.col("_root").alias("_r"))
-        .agg(F.min("_key").alias("_low"), F.max("_key").alias("_high"))
-        .where(F.col("_low") != F.col("_high"))
+    numbered = checkpointed(grouped_sequence(keyed, [package, "_key"], ["_order"], "_n"))
+    keys = numbered.where(F.col("_n") == 1).select(F.col(package).alias("_pkg"), F.col("_key").alias("_k"), "_order")
+
+    # Pairs of a key and a numbered form of it that is a key too, and the answers of the key that come before.
+    form = r"^(.+)_([1-9][0-9]{0,17})$"
+    forms = keys.select(
+        "_pkg", F.regexp_extract("_k", form, 1).alias("_base"), F.col("_k").alias("_form"),
+        F.regexp_extract("_k", form, 2).try_cast("bigint").alias("_i"), F.col("_order").alias("_at"),
+    ).where(F.col("_i") >= 2)
+    forms = forms.join(keys.select("_pkg", F.col("_k").alias("_base")), ["_pkg", "_base"], "left_semi")
+    based = numbered.select(F.col(package).alias("_pkg"), F.col("_key").alias("_base"), F.col("_order").alias("_at"))
+    based = based.join(forms.select("_pkg", "_base").distinct(), ["_pkg", "_base"], "left_semi")
+    rows = based.select("*", F.lit(None).cast("string").alias("_form"), F.lit(None).cast("bigint").alias("_i"))
+    line = grouped_sequence(rows.unionByName(forms), ["_pkg", "_base"], ["_at"], "_place")
+    among = Window.partitionBy("_pkg", "_base").orderBy("_place")
+    marks = line.where(F.col("_form").isNotNull()).withColumn("_before", F.col("_place") - F.row_number().over(among))
+    children = F.array_sort(F.collect_list(F.struct("_i", "_before", "_form"))).alias("_children")
+    depth = F.regexp_count(F.regexp_extract("_base", "((_[0-9]+)*)$", 1), F.lit("_")).alias("_depth")
+    pairs = checkpointed(marks.groupBy("_pkg", "_base").agg(children).select("*", depth))
+
+    # By the number of numbers a key ends in: which numbers their own keys take, and which keys lose their first name.
+    lost = keys.select("_pkg", F.col("_k").alias("_base")).limit(0)
+    held = None
+    for level in [r[0] for r in pairs.select("_depth").distinct().orderBy("_depth").collect()]:
+        now = pairs.where(F.col("_depth") == level).join(
+            lost.distinct().withColumn("_lost", F.lit(1)), ["_pkg", "_base"], "left"
+        )
+        settled = checkpointed(now.select("_pkg", "_base", "_children", F.expr(FOLD).alias("_fold")))
+        held = settled if held is None else held.unionByName(settled)
+        gone = settled.select("_pkg", F.explode("_fold.gone").alias("_base"))
+        lost = lost.unionByName(gone)
+    if held is None:
+        blocked = pairs.select("_pkg", "_base", F.array().cast("array<bigint>").alias("_blocked"))
+    else:
+        blocked = held.select("_pkg", "_base", F.col("_fold.blocked").alias("_blocked"))
+    lost = lost.distinct().withColumn("_lost", F.lit(1))
+
+    same = (F.col(package) == F.col("_pkg")) & (F.col("_key") == F.col("_base"))
+    out = numbered.join(blocked, same, "left").drop("_pkg", "_base").join(lost, same, "left")
+    first = F.col("_n") + F.coalesce("_lost", F.lit(0))
+    name = F.expr("aggregate(coalesce(_blocked, array()), _first, (x, i) -> if(i <= x, x + 1, x))")
+    out = out.withColumn("_first", first.cast("bigint")).withColumn("_name", name)
+    repeat = F.concat_ws("_", "_key", F.col("_name").cast("string"))
+    return out.withColumn("rule_key", F.when(F.col("_name") == 1, F.col("_key")).otherwise(repeat)).select(
+        *answers.columns, "rule_key"
     )
-    columns = [*answers.columns, "rule_key"]
-    if tangled.isEmpty():
-        return _numbered(keyed, package).select(*columns)
-    same = (F.col(package) == F.col("_p")) & (F.col("_root") == F.col("_r"))
-    simple = _numbered(keyed.join(tangled, same, "left_anti"), package)
-    family = keyed.join(tangled.select("_p", "_r"), same, "left_semi")
-    schema = T.StructType([*family.schema.fields, T.StructField("rule_key", T.StringType())])
-    sequential = family.groupBy(package, "_root").applyInPandas(_name_in_order, schema)
-    return simple.select(*columns).unionByName(sequential.select(*columns))
-
-
-def _numbered(keyed: DataFrame, package: str) -> DataFrame:
-    numbered = grouped_sequence(keyed, [package, "_key"], ["_order"], "_n")
-    repeat = F.concat_ws("_", "_key", F.col("_n").cast("string"))
-    return numbered.withColumn("rule_key", F.when(F.col("_n") == 1, F.col("_key")).otherwise(repeat))
+
+
+#: Over the forms of a key by number: form i would go to the answer that is number ``i`` less the taken numbers before
+#: (and less one if the key has lost its own name). If that answer comes before the form's first one, the
+#: form's key loses its name; else the number is taken.
+FOLD = """
+aggregate(_children, named_struct('blocked', cast(array() as array<bigint>), 'gone', cast(array() as array<string>)),
+  (s, c) -> if(c._before >= c._i - size(s.blocked) - coalesce(_lost, 0),
+    named_struct('blocked', s.blocked, 'gone', array_append(s.gone, c._form)),
+    named_struct('blocked', array_append(s.blocked, c._i), 'gone', s.gone)))
+"""

@@ -7,7 +7,8 @@ from ledgergrain import fixed_values as fixed
 ORACLES: dict[str, str] = {}
 
 VIEWS = """WITH RECURSIVE
-dim_customers AS (SELECT n_nationkey AS customer_id, n_name AS customer_name, r_name AS customer_segment
+dim_customers AS (SELECT n_nationkey AS customer_id, n_name AS customer_name, CASE r_name WHEN 'AFRICA' THEN 'enterprise'
+  WHEN 'AMERICA' THEN 'mid_market' WHEN 'ASIA' THEN 'startup' WHEN 'EUROPE' THEN 'self_serve' ELSE r_name END AS customer_segment
   FROM nation JOIN region ON n_regionkey = r_regionkey),
 dim_plans AS (SELECT DISTINCT c_mktsegment AS plan_id, lower(c_mktsegment) AS plan_name FROM customer),
 fact_subscriptions AS (SELECT c_custkey AS subscription_id, c_nationkey AS customer_id, c_mktsegment AS plan_id,
@@ -450,7 +451,7 @@ add("time_phrases_date", " UNION ALL ".join([
 add("rolling_days_rows", "SELECT o_orderkey, o_orderdate, o_totalprice FROM orders, (SELECT CAST(MAX(o_orderdate) AS DATE) AS a FROM orders) "
     "WHERE o_orderdate >= a + 1 - INTERVAL 30 DAY AND o_orderdate < a + 1")
 add("month_filter", f"SELECT {INVOICE_ROW}, invoice_date FROM stripe_invoices WHERE invoice_month = '1997-05'")
-add("direct_sql", f"SELECT customer_segment, plan_name, CAST(SUM(mrr_amount) AS DOUBLE) AS total_mrr FROM {SUBS} JOIN dim_plans p ON p.plan_id = s.plan_id GROUP BY 1, 2")
+add("direct_sql", f"SELECT customer_segment, plan_name, CAST(SUM(mrr_amount) AS DOUBLE) AS total_mrr FROM {SUBS} JOIN dim_plans p ON p.plan_id = s.plan_id WHERE mrr_amount > 0 GROUP BY 1, 2")
 add("min_max_amount", "SELECT CAST(MIN(successful_amount) AS DOUBLE) AS min_successful_amount, CAST(MAX(successful_amount) AS DOUBLE) AS max_successful_amount FROM stripe_payments")
 add("monthly_stats", "SELECT invoice_month, CAST(MIN(invoice_amount) AS DOUBLE) AS min_amount, CAST(MAX(invoice_amount) AS DOUBLE) AS max_amount, "
     "CAST(SUM(invoice_amount) AS DOUBLE) / COUNT(invoice_amount) AS avg_amount FROM stripe_invoices GROUP BY 1")
@@ -478,31 +479,47 @@ CLEAN_PAYMENTS = (f"SELECT {PAYMENT_ROW} FROM (SELECT *, row_number() OVER (PART
                   "FROM stripe_payments) WHERE rn = 1")
 add("stg_clean", CLEAN_PAYMENTS)
 add("mart_payments__collections", CLEAN_PAYMENTS)
+# Marts read cleaned sources: one row per key, the first by the other columns, and only listed segments.
+CLEAN = (
+    "s_c AS (SELECT * FROM dim_customers WHERE customer_segment IN ('enterprise', 'mid_market', 'startup', 'self_serve')), "
+    "s_i AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY invoice_id ORDER BY subscription_id, invoice_month, invoice_amount, discount_amount NULLS FIRST) AS rn FROM stripe_invoices) WHERE rn = 1), "
+    "s_p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY payment_id ORDER BY invoice_id, payment_month, successful_amount, refund_amount) AS rn FROM stripe_payments) WHERE rn = 1), "
+    "s_paid AS (SELECT invoice_id, SUM(successful_amount) AS collected_amount, SUM(refund_amount) AS refund_amount FROM s_p GROUP BY 1), "
+    "s_inv AS (SELECT i.*, COALESCE(p.collected_amount, 0) AS collected_amount, COALESCE(p.refund_amount, 0) AS refund_amount FROM s_i i LEFT JOIN s_paid p USING (invoice_id)), "
+    "s_all AS (SELECT s_inv.*, customer_segment FROM s_inv LEFT JOIN fact_subscriptions s USING (subscription_id) LEFT JOIN s_c USING (customer_id)), "
+    "s_adj AS (SELECT subscription_id, invoice_month, SUM(COALESCE(discount_amount, 0)) AS d, SUM(refund_amount) AS r FROM s_inv GROUP BY 1, 2), "
+    "s_rev AS (SELECT invoice_month, customer_segment, SUM(COALESCE(mrr_amount, 0)) AS g, SUM(d) AS d, SUM(r) AS r FROM s_adj "
+    "LEFT JOIN fact_subscriptions s USING (subscription_id) LEFT JOIN s_c USING (customer_id) GROUP BY 1, 2)"
+)
 add("int_subscription__mrr_adjustments",
-    "SELECT subscription_id, invoice_month, CAST(SUM(COALESCE(discount_amount, 0)) AS DOUBLE) AS discount_amount, CAST(SUM(refund_amount) AS DOUBLE) AS refund_amount FROM inv GROUP BY 1, 2")
+    "SELECT subscription_id, invoice_month, CAST(d AS DOUBLE) AS discount_amount, CAST(r AS DOUBLE) AS refund_amount FROM s_adj", CLEAN)
 REVENUE = ("rev AS (SELECT invoice_month, customer_segment, SUM(mrr_amount) AS g, SUM(d) AS d, SUM(r) AS r FROM (SELECT subscription_id, invoice_month, "
            "SUM(COALESCE(discount_amount, 0)) AS d, SUM(refund_amount) AS r FROM inv GROUP BY 1, 2) a JOIN fact_subscriptions s ON s.subscription_id = a.subscription_id "
            "JOIN dim_customers c ON c.customer_id = s.customer_id GROUP BY 1, 2)")
 _PARTS = {"gross_mrr": "CAST(g AS DOUBLE) AS gross_mrr", "discount_amount": "CAST(d AS DOUBLE) AS discount_amount",
           "refund_amount": "CAST(r AS DOUBLE) AS refund_amount", "net_mrr": "CAST(g - d - r AS DOUBLE) AS net_mrr"}
-for _name, _use in (("mart_subscription__revenue_360_monthly", tuple(_PARTS)), ("revenue_360_gross_and_net", tuple(_PARTS)),
-                    ("revenue_360_gross_only", ("gross_mrr", "discount_amount", "refund_amount")),
-                    ("revenue_360_net_only", ("net_mrr", "discount_amount", "refund_amount"))):
-    add(_name, f"SELECT invoice_month, customer_segment, {', '.join(_PARTS[u] for u in _use)} FROM rev", REVENUE)
-add("mart_billing__invoice_reconciliation",
+MARTS = {"mart_subscription__revenue_360_monthly": f"SELECT {BY}, {', '.join(_PARTS.values())} FROM s_rev"}
+for _name, _use in (("gross_and_net", tuple(_PARTS)), ("gross_only", ("gross_mrr", "discount_amount", "refund_amount")),
+                    ("net_only", ("net_mrr", "discount_amount", "refund_amount"))):
+    add(f"revenue_360_{_name}", f"SELECT {BY}, {', '.join(_PARTS[u] for u in _use)} FROM s_rev", CLEAN)
+MARTS["mart_billing__invoice_reconciliation"] = (
     "SELECT invoice_id, CAST(invoice_amount AS DOUBLE) AS billed_amount, CAST(collected_amount AS DOUBLE) AS collected_amount, CAST(refund_amount AS DOUBLE) AS refund_amount, "
-    "CAST(invoice_amount - collected_amount AS DOUBLE) AS reconciliation_difference FROM inv")
-add("mart_billing__collection_health_monthly",
+    "CAST(invoice_amount - collected_amount AS DOUBLE) AS reconciliation_difference FROM s_inv")
+MARTS["mart_billing__collection_health_monthly"] = (
     f"SELECT {BY}, CAST(SUM(invoice_amount) AS DOUBLE) AS billed_amount, CAST(SUM(collected_amount) AS DOUBLE) AS collected_amount, CAST(SUM(refund_amount) AS DOUBLE) AS refund_amount, "
-    f"CAST(SUM(invoice_amount) - SUM(collected_amount) AS DOUBLE) AS outstanding_amount FROM {INV} GROUP BY 1, 2")
-add("collection_gap_monthly",
+    "CAST(SUM(invoice_amount) - SUM(collected_amount) AS DOUBLE) AS outstanding_amount FROM s_all GROUP BY 1, 2")
+MARTS["collection_gap_monthly"] = (
     "SELECT invoice_month, CAST(SUM(invoice_amount) AS DOUBLE) AS billed_revenue, CAST(SUM(collected_amount) AS DOUBLE) AS collected_revenue, "
-    "CAST(SUM(invoice_amount) - SUM(collected_amount) AS DOUBLE) AS collection_gap FROM inv GROUP BY 1")
-add("mart_billing__monthly_reconciliation",
+    "CAST(SUM(invoice_amount) - SUM(collected_amount) AS DOUBLE) AS collection_gap FROM s_inv GROUP BY 1")
+MARTS["mart_billing__monthly_reconciliation"] = (
     f"SELECT {BY}, CAST(SUM(invoice_amount) AS DOUBLE) AS billed_amount, CAST(SUM(collected_amount) AS DOUBLE) AS collected_payment_amount, "
-    f"CAST(SUM(invoice_amount) - SUM(collected_amount) AS DOUBLE) AS reconciliation_difference, COUNT(*) AS invoice_count FROM {INV} GROUP BY 1, 2")
+    "CAST(SUM(invoice_amount) - SUM(collected_amount) AS DOUBLE) AS reconciliation_difference, COUNT(*) AS invoice_count FROM s_all GROUP BY 1, 2")
+for _name, _sql in MARTS.items():
+    add(_name, _sql, CLEAN)
+add("sql_text_models", MARTS["mart_billing__invoice_reconciliation"], CLEAN)
 add("mart_subscription__monthly_mrr", "SELECT customer_id, plan_id, CAST(SUM(mrr_amount) AS DOUBLE) AS mrr FROM fact_subscriptions GROUP BY 1, 2")
-add("dim_customers_clean", "SELECT customer_id, trim(customer_name) AS customer_name, trim(customer_segment) AS customer_segment FROM dim_customers")
+add("dim_customers_clean", "SELECT customer_id, trim(customer_name) AS customer_name, trim(customer_segment) AS customer_segment FROM dim_customers "
+    "WHERE customer_segment IN ('enterprise', 'mid_market', 'startup', 'self_serve')")
 add("dim_plans_clean", "SELECT trim(plan_id) AS plan_id, trim(plan_name) AS plan_name FROM dim_plans")
 add("model_lineage",
     "SELECT model, kind, parent, CAST(seen // 10 AS INTEGER) AS part, CAST(seen % 10 AS INTEGER) AS position, parent NOT LIKE 'stg%' AS in_braces FROM (SELECT model, kind, parent, MIN(part * 10 + pos) AS seen FROM ("
@@ -517,9 +534,38 @@ add("model_levels",
     "UNION ALL SELECT 'mart_supplier_' || l_suppkey, 'int_order_' || l_orderkey FROM lineitem UNION ALL SELECT 'mart_supplier_' || l_suppkey, 'int_part_' || l_partkey FROM lineitem)), "
     "walk AS (SELECT model, 0 AS level FROM (SELECT model FROM edges UNION SELECT parent FROM edges) n WHERE model NOT IN (SELECT model FROM edges) "
     "UNION SELECT e.model, w.level + 1 FROM edges e JOIN walk w ON w.model = e.parent)")
-add("build_all_models",
-    "SELECT CAST(0 AS BIGINT) AS position, 'stg_stripe__invoices' AS model, 'composed' AS status, CAST(NULL AS BIGINT) AS row_count "
-    "UNION ALL SELECT 1, 'stg_stripe__payments', 'composed', NULL UNION ALL SELECT 2, 'mart_billing__invoice_reconciliation', 'completed', COUNT(DISTINCT invoice_id) FROM stripe_invoices")
+
+
+def _built() -> str:
+    """Status rows of every model and the figures of every mart, product by product."""
+    layers = {
+        "subscription_revenue_360": (
+            ("stg_demo__customers", "stg_demo__subscriptions", "stg_stripe__invoices", "stg_stripe__payments",
+             "int_subscription__mrr_adjustments"), ("mart_subscription__revenue_360_monthly",), ("stg_demo__plans",)),
+        "stripe_billing_reconciliation": (
+            ("stg_stripe__invoices", "stg_stripe__payments"),
+            ("mart_billing__invoice_reconciliation", "collection_gap_monthly"), ()),
+        "subscription_collection_health": (
+            ("stg_demo__customers", "stg_demo__subscriptions", "stg_stripe__invoices", "stg_stripe__payments"),
+            ("mart_billing__collection_health_monthly", "mart_billing__monthly_reconciliation"), ()),
+    }
+    rows = []
+    for product, (composed, marts, unused) in layers.items():
+        for n in composed:
+            rows.append(f"SELECT '{product}' AS product, '{n}' AS model, 'composed' AS key, 'row_count' AS figure, CAST(NULL AS DOUBLE) AS value")
+        for n in unused:
+            rows.append(f"SELECT '{product}', '{n}', 'completed', 'row_count', CAST(COUNT(*) AS DOUBLE) FROM dim_plans")
+        for n in marts:
+            rows.append(f"SELECT '{product}', '{n}', 'completed', 'row_count', CAST(COUNT(*) AS DOUBLE) FROM ({MARTS[n]})")
+            key = {"mart_billing__invoice_reconciliation": "CAST(invoice_id AS VARCHAR)", "collection_gap_monthly": "invoice_month"}.get(
+                n, "invoice_month || '|' || COALESCE(customer_segment, '-')")
+            figures = [x.split()[-1] for x in MARTS[n].split(" FROM ")[0].split(", ") if " AS " in x]
+            for f in figures:
+                rows.append(f"SELECT '{product}', '{n}', {key}, '{f}', CAST({f} AS DOUBLE) FROM ({MARTS[n]})")
+    return " UNION ALL ".join(rows)
+
+
+add("build_all_models", _built(), CLEAN)
 
 # Data tests.
 add("test_not_null", "SELECT invoice_id, invoice_month FROM stripe_invoices WHERE discount_amount IS NULL")
@@ -685,3 +731,13 @@ add("log_compaction",
 add("stream_ingest", "SELECT run_id, type, CAST(SUM(CASE WHEN event_id % 6 IN (0, 3) THEN 2 ELSE 1 END) AS BIGINT) AS events, COUNT(*) AS ids, MAX(ts) AS last_ts FROM ev GROUP BY 1, 2")
 add("stream_resume", "SELECT run_id, event_id, type FROM ev LEFT JOIN (SELECT run_id, MAX({'a': ts, 'b': event_id}) AS p FROM ev WHERE event_id % 6 < 4 GROUP BY 1) q USING (run_id) WHERE p IS NULL OR {'a': ts, 'b': event_id} > p")
 add("stream_dedup", "SELECT run_id, type, COUNT(*) AS events, COUNT(*) AS ids FROM ev GROUP BY 1, 2")
+
+# The first free name, answer by answer.
+add("resolved_rules_forms",
+    "SELECT l_orderkey, l_linenumber, used[len(used)] AS rule_key FROM walk",
+    "ask AS (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS pos, "
+    "'flag_' || lower(r.f) || CASE r.p % 3 WHEN 0 THEN '' WHEN 1 THEN '_2' ELSE '_2_2' END AS k FROM ("
+    "SELECT l_orderkey, l_linenumber, MIN({'p': l_partkey, 'f': l_returnflag}) AS r FROM lineitem GROUP BY 1, 2)), "
+    "walk AS (SELECT l_orderkey, l_linenumber, pos, [k] AS used FROM ask WHERE pos = 1 "
+    "UNION ALL SELECT ask.l_orderkey, ask.l_linenumber, ask.pos, list_append(used, list_filter(list_prepend(k, list_transform(range(2, 99), "
+    "lambda i: k || '_' || i)), lambda n: NOT list_contains(used, n))[1]) FROM walk JOIN ask ON ask.l_orderkey = walk.l_orderkey AND ask.pos = walk.pos + 1)")

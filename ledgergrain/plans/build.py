@@ -6,6 +6,7 @@ import time
 from dataclasses import dataclass
 from graphlib import CycleError, TopologicalSorter
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgergrain import fixed_values as fixed
@@ -62,6 +63,7 @@ def product_models(product: str, variant: str = "gross_and_net") -> list[ModelSp
             base[INVOICES],
             base[PAYMENTS],
             ModelSpec("mart_billing__invoice_reconciliation", (INVOICES, PAYMENTS), m.invoice_reconciliation),
+            ModelSpec("collection_gap_monthly", (INVOICES, PAYMENTS), m.collection_gap),
         ]
     if product == "subscription_collection_health":
         return [
@@ -71,6 +73,11 @@ def product_models(product: str, variant: str = "gross_and_net") -> list[ModelSp
                 (INVOICES, PAYMENTS, SUBSCRIPTIONS, CUSTOMERS),
                 m.collection_health,
             ),
+            ModelSpec(
+                "mart_billing__monthly_reconciliation",
+                (INVOICES, PAYMENTS, SUBSCRIPTIONS, CUSTOMERS),
+                m.monthly_reconciliation,
+            ),
         ]
     if product == "fact_subscriptions":
         return [
@@ -147,7 +154,7 @@ def build_all(
             else:
                 rows, state = None, "composed"
             status.append((position, spec.name, state, rows, int((time.monotonic() - started) * 1000), None))
-        except Exception as error:  # the status table reports it
+        except PySparkException as error:  # what Spark rejects; the status table reports it
             failed = True
-            status.append((position, spec.name, "failed", None, None, str(error)[:500]))
+            status.append((position, spec.name, "failed", None, None, str(error)))
     return spark.createDataFrame(status, STATUS_SCHEMA)

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgergrain.session import checkpointed
+from ledgergrain.session import checkpointed, run_folder
 
 # Calls by which a model text names another model or a source table, with or without braces.
 _QUOTED = r"""(?:'[^'"]+'|"[^'"]+")"""
 CALL = (
-    r"(?i)(?:\{\{\s*)?(?<![\w.])(?:ref\s*\(\s*" + _QUOTED + r"\s*\)"
-    r"|source\s*\(\s*" + _QUOTED + r"\s*,\s*" + _QUOTED + r"\s*\))(?:\s*\}\})?"
+    r"(?i)(?:\{\{\s*)?(?:ref(?<![\w.]ref)\s*\(\s*" + _QUOTED + r"\s*\)"
+    r"|source(?<![\w.]source)\s*\(\s*" + _QUOTED + r"\s*,\s*" + _QUOTED + r"\s*\))(?:\s*\}\})?"
 )
 
 
@@ -53,22 +53,24 @@ def model_levels(edges: DataFrame, models: DataFrame, check_cycles: bool = True)
     """Level of every model: 0 without known parents, else 1 + the highest parent level.
 
     ``models`` has ``model``; ``edges`` has ``model, parent``. Each round settles the models whose parents
-    are all settled, so the number of rounds is the depth of the graph, and each round is one join
-    on the edges that are still open. Edges to unknown parents do not count. Models on or behind a cycle
+    are all settled, so the number of rounds is the depth of the graph. A round joins the newest levels to the edges
+    that are still open, once, and appends what it settles to one table. Edges to unknown parents do not count. Models on or behind a cycle
     raise, or get a null level with ``check_cycles=False``.
     """
     nodes = models.select("model").distinct()
     known = edges.select("model", "parent").distinct().join(nodes.select(F.col("model").alias("parent")), "parent")
-    waiting = checkpointed(known)
-    settled = checkpointed(
-        nodes.join(waiting.select("model").distinct(), "model", "left_anti").withColumn("level", F.lit(0))
-    )
-    result, newest = settled, settled
-    open_edges = waiting.withColumn("parent_level", F.lit(None).cast("int"))
-    while True:
+    folder = run_folder(nodes.sparkSession, "levels")
+    waiting = checkpointed(known.withColumn("parent_level", F.lit(None).cast("int")))
+    newest = checkpointed(nodes.join(waiting.select("model").distinct(), "model", "left_anti").withColumn("level", F.lit(0)))
+    rounds = 0
+    while not newest.isEmpty():
+        newest.write.parquet(f"{folder}/round={rounds}")
+        rounds += 1
         levels = newest.select(F.col("model").alias("parent"), F.col("level").alias("_level"))
-        marked = open_edges.join(levels, "parent", "left").select(
-            "model", "parent", F.coalesce("parent_level", "_level").alias("parent_level")
+        marked = checkpointed(
+            waiting.join(levels, "parent", "left").select(
+                "model", "parent", F.coalesce("parent_level", "_level").alias("parent_level")
+            )
         )
         grouped = marked.groupBy("model").agg(
             F.count_if(F.col("parent_level").isNull()).alias("_open"), F.max("parent_level").alias("_top")
@@ -76,15 +78,15 @@ def model_levels(edges: DataFrame, models: DataFrame, check_cycles: bool = True)
         newest = checkpointed(
             grouped.where(F.col("_open") == 0).select("model", (F.col("_top") + 1).cast("int").alias("level"))
         )
-        if newest.isEmpty():
-            break
-        result = result.unionByName(newest)
-        open_edges = checkpointed(marked.join(newest.select("model"), "model", "left_anti"))
-    if check_cycles and not open_edges.isEmpty():
-        stuck = open_edges.agg(F.min("model")).first()[0]
+        waiting = marked.join(newest.select("model"), "model", "left_anti")
+    if check_cycles and not waiting.isEmpty():
+        stuck = waiting.agg(F.min("model")).first()[0]
         raise CircularModels(f"circular model dependency at {stuck}")
-    stuck = open_edges.select("model").distinct()
-    return result.unionByName(stuck.withColumn("level", F.lit(None).cast("int")))
+    stuck = waiting.select("model").distinct().withColumn("level", F.lit(None).cast("int"))
+    if not rounds:
+        return stuck
+    settled = nodes.sparkSession.read.schema("model string, level int, round int").parquet(folder)
+    return settled.drop("round").unionByName(stuck)
 
 
 def model_tier(model: str = "model"):

@@ -23,12 +23,13 @@ def project(df: DataFrame, columns: tuple[str, ...], contract: SourceContract |
 def clean(df: DataFrame, contract: SourceContract) -> DataFrame:
     """Trimmed text, month keys cut to ``yyyy-MM``, rows that break the contract dropped, one row per key.
 
-    Among copies of a key the first by all other columns stays, so the choice is repeatable.
+    Among copies of a key the first by all other columns stays, so the choice is repeatable. A row whose key
+    has a null, where the contract allows it, is a copy of none.
     """
     kinds = dict(df.dtypes)
     columns = []
     for c in contract.columns:
-        if kinds[c.name] == "string":
+        if kinds.get(c.name) == "string":
             trimmed = F.trim(c.name)
             columns.append((F.substring(trimmed, 1, 7) if c.logical_type == "month" else trimmed).alias(c.name))
         else:
@@ -40,7 +41,13 @@ def clean(df: DataFrame, contract: SourceContract) -> DataFrame:
         if c.valid_values:
             rows = rows.where(F.col(c.name).isNull() | F.col(c.name).isin(*[v for v in c.valid_values if v]))
     keys = list(contract.primary_keys)
-    return first_per_group(rows, keys, [F.col(c.name) for c in contract.columns if c.name not in keys])
+    order = [F.col(c.name) for c in contract.columns if c.name not in keys]
+    if not any(contract.column(k).nullable for k in keys):
+        return first_per_group(rows, keys, order)
+    filled = F.lit(True)
+    for k in keys:
+        filled = filled & F.col(k).isNotNull()
+    return first_per_group(rows.where(filled), keys, order).unionByName(rows.where(~filled))
 
 
 def monthly_metric(staged: DataFrame, spec: MonthlyMetricMart) -> DataFrame:
@@ -76,18 +83,21 @@ REVENUE_COLUMNS = {
 def revenue_360(
     adjustments: DataFrame, subscriptions: DataFrame, customers: DataFrame, mode: str = "gross_and_net"
 ) -> DataFrame:
-    """Month and segment: gross MRR once per invoiced subscription-month, adjustments and net MRR."""
+    """Month and segment: gross MRR once per invoiced subscription-month, adjustments and net MRR.
+
+    What belongs to no known subscription or customer stays, under a null segment.
+    """
     by_customer = (
-        adjustments.join(subscriptions.select("subscription_id", "customer_id", "mrr_amount"), "subscription_id")
+        adjustments.join(subscriptions.select("subscription_id", "customer_id", "mrr_amount"), "subscription_id", "left")
         .groupBy("customer_id", "invoice_month")
         .agg(
-            F.sum("mrr_amount").alias("g"),
+            F.sum(or_zero("mrr_amount")).alias("g"),
             F.sum("discount_amount").alias("d"),
             F.sum("refund_amount").alias("r"),
         )
     )
     sums = (
-        by_customer.join(customers.select("customer_id", "customer_segment"), "customer_id")
+        by_customer.join(customers.select("customer_id", "customer_segment"), "customer_id", "left")
         .groupBy("invoice_month", "customer_segment")
         .agg(F.sum("g").alias("g"), F.sum("d").alias("d"), F.sum("r").alias("r"))
     )
@@ -115,7 +125,7 @@ def invoice_reconciliation(invoices: DataFrame, payments: DataFrame) -> DataFram
 
 
 def _by_month_and_segment(invoices, payments, subscriptions, customers) -> DataFrame:
-    """Exact sums by month and segment, grouped before each join."""
+    """Exact sums by month and segment, grouped before each join; orphans come under a null segment."""
     measures = ("billed", "collected", "refund", "invoices")
 
     def summed(df: DataFrame, *keys: str) -> DataFrame:
@@ -131,12 +141,12 @@ def _by_month_and_segment(invoices, payments, subscriptions, customers) -> DataF
     )
     by_subscription = summed(paid, "subscription_id", "invoice_month")
     by_customer = summed(
-        by_subscription.join(subscriptions.select("subscription_id", "customer_id"), "subscription_id"),
+        by_subscription.join(subscriptions.select("subscription_id", "customer_id"), "subscription_id", "left"),
         "customer_id",
         "invoice_month",
     )
     return summed(
-        by_customer.join(customers.select("customer_id", "customer_segment"), "customer_id"),
+        by_customer.join(customers.select("customer_id", "customer_segment"), "customer_id", "left"),
         "invoice_month",
         "customer_segment",
     )

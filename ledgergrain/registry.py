@@ -19,7 +19,7 @@ from ledgergrain.operators import joins, metrics, profile, quality, text_rules
 from ledgergrain.operators import relationships as rel
 from ledgergrain.operators import run_events as ev
 from ledgergrain.operators.metrics import MetricRequest
-from ledgergrain.plans import build, lineage
+from ledgergrain.plans import build, lineage, sql_models
 from ledgergrain.plans import models as m
 from ledgergrain.session import run_folder
 from ledgergrain.sources import adapters, contracts, drift, sinks, tables
@@ -123,9 +123,10 @@ def _(spark, d):
 
 @query("source_contract_load")
 def _(spark, d):
-    return profile.union_all(
-        [contracts.contract_coverage(df, fixed.CONTRACTS[n]) for n, df in src(spark, d).items()]
-    )
+    folder = run_folder(spark, "contracts")
+    contracts.write_contracts(spark, fixed.CONTRACTS, folder)
+    loaded = contracts.read_contracts(spark, folder)
+    return profile.union_all([contracts.contract_coverage(df, loaded[n]) for n, df in src(spark, d).items()])
 
 
 @query("rebuild_if_schema_drift")
@@ -511,11 +512,7 @@ def _(spark, d):
 
 @query("join_chain_4")
 def _(spark, d):
-    return (
-        joins.payment_chain(src(spark, d))
-        .groupBy("customer_segment", "plan_name")
-        .agg(F.count(F.lit(1)).alias("payments"), F.sum("successful_amount").cast("double").alias("collected"))
-    )
+    return _money(joins.chain_totals(src(spark, d), "customer_segment", "plan_name"))
 
 
 @query("fanout_guard")
@@ -613,13 +610,14 @@ def _(spark, d):
 @query("direct_sql")
 def _(spark, d):
     text = """
+        WITH paying AS (SELECT * FROM fact_subscriptions WHERE mrr_amount > 0)
         SELECT c.customer_segment, p.plan_name, CAST(SUM(s.mrr_amount) AS DOUBLE) AS total_mrr
-        FROM {fact_subscriptions} s
-        JOIN {dim_customers} c ON c.customer_id = s.customer_id
-        JOIN {dim_plans} p ON p.plan_id = s.plan_id
+        FROM paying s
+        JOIN dim_customers c ON c.customer_id = s.customer_id
+        JOIN dim_plans p ON p.plan_id = s.plan_id
         GROUP BY c.customer_segment, p.plan_name
     """
-    return tables.direct_sql(spark, text, src(spark, d))
+    return tables.guarded_sql(spark, text, src(spark, d))
 
 
 @query("min_max_amount")
@@ -697,45 +695,24 @@ def _(spark, d):
 
 @query("int_subscription__mrr_adjustments")
 def _(spark, d):
-    live = src(spark, d)
-    return _money(m.mrr_adjustments(live["stripe_invoices"], live["stripe_payments"]))
+    return _money(_product(spark, d, "subscription_revenue_360", "int_subscription__mrr_adjustments"))
 
 
 def revenue_mart(spark, d, variant: str = "gross_and_net") -> DataFrame:
-    live = src(spark, d)
-    adjustments = m.mrr_adjustments(live["stripe_invoices"], live["stripe_payments"])
-    return m.revenue_360(adjustments, live["fact_subscriptions"], live["dim_customers"], variant)
+    return _product(spark, d, "subscription_revenue_360", "mart_subscription__revenue_360_monthly", variant)
 
 
 QUERIES["mart_subscription__revenue_360_monthly"] = revenue_mart
 for _variant in m.REVENUE_COLUMNS:
     QUERIES[f"revenue_360_{_variant}"] = lambda spark, d, v=_variant: revenue_mart(spark, d, v)
 
-
-@query("mart_billing__invoice_reconciliation")
-def _(spark, d):
-    live = src(spark, d)
-    return m.invoice_reconciliation(live["stripe_invoices"], live["stripe_payments"])
-
-
-def _four(spark, d) -> list[DataFrame]:
-    live = src(spark, d)
-    return [live[n] for n in ("stripe_invoices", "stripe_payments", "fact_subscriptions", "dim_customers")]
-
-
-@query("mart_billing__collection_health_monthly")
-def _(spark, d):
-    return m.collection_health(*_four(spark, d))
-
-
-@query("collection_gap_monthly")
-def _(spark, d):
-    return m.collection_gap(*_four(spark, d)[:2])
-
-
-@query("mart_billing__monthly_reconciliation")
-def _(spark, d):
-    return m.monthly_reconciliation(*_four(spark, d))
+for _mart, _of in (
+    ("mart_billing__invoice_reconciliation", "stripe_billing_reconciliation"),
+    ("collection_gap_monthly", "stripe_billing_reconciliation"),
+    ("mart_billing__collection_health_monthly", "subscription_collection_health"),
+    ("mart_billing__monthly_reconciliation", "subscription_collection_health"),
+):
+    QUERIES[_mart] = lambda spark, d, p=_of, n=_mart: _product(spark, d, p, n)
 
 
 @query("mart_subscription__monthly_mrr")
@@ -745,10 +722,7 @@ def _(spark, d):
 
 @query("dim_customers_clean")
 def _(spark, d):
-    open_contract = replace(
-        fixed.DIM_CUSTOMERS, columns=tuple(replace(c, valid_values=()) for c in fixed.DIM_CUSTOMERS.columns)
-    )
-    return m.clean(adapters.dim_customers(spark, d), open_contract)
+    return _product(spark, d, "dim_customers", "dim_customers_clean")
 
 
 @query("dim_plans_clean")
@@ -810,12 +784,71 @@ def _(spark, d):
                          lineage.model_tier().cast("bigint").alias("tier"))
 
 
+PRODUCTS = {
+    "subscription_revenue_360": ("mart_subscription__revenue_360_monthly",),
+    "stripe_billing_reconciliation": ("mart_billing__invoice_reconciliation", "collection_gap_monthly"),
+    "subscription_collection_health": (
+        "mart_billing__collection_health_monthly", "mart_billing__monthly_reconciliation",
+    ),
+}
+
+
+def _figures(df: DataFrame, product: str, model: str) -> DataFrame:
+    """A mart as one row per key and figure."""
+    keys = [c for c, t in df.dtypes if t not in ("double", "bigint") or c == "invoice_id"]
+    figures = [c for c in df.columns if c not in keys]
+    pairs = F.array(*[F.struct(F.lit(c).alias("figure"), F.col(c).cast("double").alias("value")) for c in figures])
+    key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in keys])
+    return df.select(F.lit(product).alias("product"), F.lit(model).alias("model"), key.alias("key"),
+                     F.explode(pairs).alias("p")).select("product", "model", "key", "p.*")
+
+
 @query("build_all_models")
 def _(spark, d):
-    specs = build.product_models("stripe_billing_reconciliation")
-    return build.build_all(spark, src(spark, d), specs, run_folder(spark, "build")).select(
-        F.col("position").cast("bigint").alias("position"), "model", "status", "row_count"
-    )
+    parts = []
+    for product, marts in PRODUCTS.items():
+        folder = run_folder(spark, "build")
+        status = build.build_all(spark, src(spark, d), build.product_models(product), folder)
+        parts.append(
+            status.select(
+                F.lit(product).alias("product"), "model", F.coalesce("error", "status").alias("key"),
+                F.lit("row_count").alias("figure"), F.col("row_count").cast("double").alias("value"),
+            )
+        )
+        done = {r.model for r in status.where("status = 'completed'").collect()}
+        parts += [_figures(spark.read.parquet(f"{folder}/{mart}"), product, mart) for mart in marts if mart in done]
+    return profile.union_all(parts)
+
+
+#: Models as SQL texts, in no order.
+SQL_TEXTS = {
+    "mart_billing__reconciliation_by_text": """
+        SELECT i.invoice_id, CAST(invoice_amount AS DOUBLE) AS billed_amount,
+          CAST(coalesce(collected, 0) AS DOUBLE) AS collected_amount, CAST(coalesce(refund, 0) AS DOUBLE) AS refund_amount,
+          CAST(invoice_amount - coalesce(collected, 0) AS DOUBLE) AS reconciliation_difference
+        FROM {{ ref('stg_text__invoices') }} i LEFT JOIN {{ ref("int_text__paid") }} p ON p.invoice_id = i.invoice_id""",
+    "int_text__paid": """
+        SELECT invoice_id, sum(successful_amount) AS collected, sum(refund_amount) AS refund
+        FROM {{ ref('stg_text__payments') }} GROUP BY invoice_id""",
+    "stg_text__payments": """
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY payment_id
+          ORDER BY invoice_id, payment_month, successful_amount, refund_amount) AS place
+          FROM {{ source('demo', 'stripe_payments') }}) WHERE place = 1""",
+    "stg_text__invoices": """
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY invoice_id
+          ORDER BY subscription_id, invoice_month, invoice_amount, discount_amount) AS place
+          FROM {{ source('demo', 'stripe_invoices') }}) WHERE place = 1""",
+}
+
+
+@query("sql_text_models")
+def _(spark, d):
+    folder = run_folder(spark, "texts")
+    texts = spark.createDataFrame(list(SQL_TEXTS.items()), "model string, text string")
+    status = sql_models.build_texts(spark, texts, src(spark, d), folder)
+    if failed := [r.error for r in status.collect() if r.error]:
+        raise RuntimeError(failed[0])
+    return spark.read.parquet(f"{folder}/mart_billing__reconciliation_by_text")
 
 
 # --- data tests --------------------------------------------------------------------------------------
@@ -847,7 +880,7 @@ def _(spark, d):
 
 OVERPAID = DataTest(
     "no_overpaid_invoices", "custom", "mart_billing__invoice_reconciliation",
-    sql="SELECT invoice_id, reconciliation_difference FROM {mart_billing__invoice_reconciliation} "
+    sql="SELECT invoice_id, reconciliation_difference FROM mart_billing__invoice_reconciliation "
         "WHERE reconciliation_difference < 0",
 )
 
@@ -1008,8 +1041,10 @@ def _(spark, d):
     answers = _answers(spark, d)
     text = text_rules.answer_text(F.col("custom_answer"))
     options = fixed.ADJUSTMENT_RULE.options
-    scored = answers.withColumn("_tokens", text_rules.tokens(text)).withColumns(
-        text_rules.option_scores(F.col("_tokens"), options, "s_")
+    scored = (
+        answers.withColumn("_tokens", text_rules.tokens(text))
+        .withColumn("_hits", text_rules.option_hits(F.col("_tokens"), options))
+        .withColumns(text_rules.option_scores(F.col("_hits"), F.col("_tokens"), options, "s_"))
     )
     return scored.select(
         "run_id", "position", "l_partkey", *[F.round(f"s_{o.id}", 6).alias(o.id) for o in options],
@@ -1060,6 +1095,20 @@ def _(spark, d):
     return text_rules.resolved_rules(answers, "run_id", "at").drop("at")
 
 
+@query("resolved_rules_forms")
+def _(spark, d):
+    """Keys that read like numbered forms of others: the line's flag, with none, one or two numbers behind."""
+    number = F.pmod("l_partkey", F.lit(3))
+    ending = F.when(number == 0, "").when(number == 1, "_2").otherwise("-2-2")
+    answers = adapters.parquet(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
+        F.min(F.struct("l_partkey", "l_returnflag")).alias("r")
+    ).select("l_orderkey", "l_linenumber", "r.*")
+    answers = answers.withColumn("question_id", F.concat(F.lit("q_Flag "), "l_returnflag", ending))
+    return text_rules.resolved_rules(answers, "l_orderkey", "l_linenumber").select(
+        "l_orderkey", "l_linenumber", "rule_key"
+    )
+
+
 # --- run events --------------------------------------------------------------------------------------
 
 

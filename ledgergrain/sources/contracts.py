@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,6 +80,52 @@ def from_mapping(data: dict, where: str = "contract") -> SourceContract:
     )
 
 
+def to_mapping(contract: SourceContract) -> dict:
+    """The mapping that ``from_mapping`` reads as this contract."""
+    columns = {}
+    for c in contract.columns:
+        column = {"type": c.type, "nullable": c.nullable, "primary_key": c.primary_key, "logical_type": c.logical_type}
+        if c.valid_values:
+            column["valid_values"] = list(c.valid_values)
+        if c.checks:
+            column["checks"] = [
+                {"type": k.type, "value": k.value, "inclusive": k.inclusive, "column": k.column, "equals": k.equals,
+                 "severity": k.severity, "affects": list(k.affects or ())}
+                for k in c.checks
+            ]
+        if c.null_rate_decision is not None:
+            column["business_rules"] = {
+                "require_decision_when_null_rate_ge": c.null_rate_decision, "decision_reason": c.decision_reason
+            }
+        columns[c.name] = column
+    data = {
+        "source": {"name": contract.name}, "columns": columns,
+        "business_context": {"grain": list(contract.grain), "final_mart": contract.final_mart},
+    }
+    if contract.positive_column:
+        data["business_rules"] = {
+            "refund_handling": {
+                "required_when_positive_column_present": contract.positive_column,
+                "severity": contract.positive_severity, "affects": list(contract.positive_affects),
+            }
+        }
+    return data
+
+
+def write_contracts(spark: SparkSession, contracts: dict[str, SourceContract], folder: str) -> None:
+    """One JSON file per contract, in any store that Spark writes to."""
+    for name, contract in contracts.items():
+        row = spark.createDataFrame([(json.dumps(to_mapping(contract)),)], "value string")
+        row.coalesce(1).write.mode("overwrite").text(f"{folder}/{name}")
+
+
+def read_contracts(spark: SparkSession, folder: str) -> dict[str, SourceContract]:
+    """The JSON contracts below a folder in any store that Spark reads; contracts are configuration, so few and small."""
+    texts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(folder)
+    found = [from_mapping(json.loads(r.value)) for r in texts.collect() if r.value.strip()]
+    return {c.name: c for c in sorted(found, key=lambda c: c.name)}
+
+
 def load_contract(path: str | Path) -> SourceContract:
     path = Path(path)
     return from_mapping(_parse(path), path.name)

@@ -62,11 +62,42 @@ def preview_table(df: DataFrame, limit: int | None, order: list[str]) -> DataFra
     return shown.rows.withColumn("total_rows", shown.total.scalar())
 
 
-def direct_sql(spark: SparkSession, query: str, allowed: dict[str, DataFrame]) -> DataFrame:
-    """One read-only query over the allowed tables, which are its ``{name}`` placeholders.
+class NotAllowed(ValueError):
+    """A query reads something that isn't on its list."""
 
-    The text becomes a subquery, where commands are no valid syntax; unknown tables and columns are
-    analysis errors.
+
+LITERAL = re.compile(r"'(?:[^'\\]|\\.|'')*'")
+
+
+def _foreign_names(spark: SparkSession, allowed: set[str]) -> list[str]:
+    """Views and tables of the session that aren't allowed."""
+    return sorted({t.name.lower() for t in spark.catalog.listTables()} - allowed)
+
+
+def guarded_sql(spark: SparkSession, query: str, allowed: dict[str, DataFrame]) -> DataFrame:
+    """One read-only query over the allowed tables, by their plain names.
+
+    The text becomes a subquery, where commands are no valid syntax, behind one CTE per allowed table. A CTE of its own
+    may take the name of an allowed table. Refused are texts that name another view or table of the session or a
+    database, and plans that read files which no allowed table has, so paths as well.
     """
-    used = {n: df for n, df in allowed.items() if "{" + n + "}" in query}
-    return spark.sql(f"SELECT * FROM ({query.strip().rstrip(';')}\n)", **used)
+    names = {checked_name(n).lower(): n for n in allowed}
+    plain = LITERAL.sub("''", query).lower()
+    for name in _foreign_names(spark, set(names)):
+        if re.search(rf"\b{re.escape(name)}\b", plain):
+            raise NotAllowed(f"not an allowed table: {name}")
+    databases = {d.name.lower() for d in spark.catalog.listDatabases()} | {"global_temp", "spark_catalog"}
+    for name in sorted(databases):
+        if re.search(rf"(?<![\w.]){re.escape(name)}`?\s*\.", plain):
+            raise NotAllowed(f"names of databases are not allowed: {name}")
+    used = {n: df for n, df in allowed.items() if re.search(rf"\b{n.lower()}\b", plain)}
+    heads = ", ".join(f"`{n}` AS (SELECT * FROM {{{n}}})" for n in used)
+    text = f"SELECT * FROM ({query.strip().rstrip(';')}\n)"
+    if used:  # braces of the text itself are no placeholders
+        df = spark.sql(f"WITH {heads} " + text.replace("{", "{{").replace("}", "}}"), **used)
+    else:
+        df = spark.sql(text)
+    known = {f for table in used.values() for f in table.inputFiles()}
+    if extra := set(df.inputFiles()) - known:
+        raise NotAllowed(f"not a file of an allowed table: {min(extra)}")
+    return df

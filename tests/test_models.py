@@ -9,11 +9,12 @@ from conftest import INVOICES, PAYMENTS, as_set, cash, make, plan_of
 
 from ledgergrain import fixed_values as fixed
 from ledgergrain.operators import datatests as dt
-from ledgergrain.plans import build, lineage
+from ledgergrain.operators.metrics import MetricRequest, run
+from ledgergrain.plans import build, lineage, sql_models
 from ledgergrain.plans import models as m
 from ledgergrain.sources import contracts, drift, sinks
 from ledgergrain.sources import tables as named
-from ledgergrain.specs import DataTest
+from ledgergrain.specs import ColumnSpec, DataTest, SourceContract
 
 
 def test_monthly_marts(tables):
@@ -99,8 +100,8 @@ def test_build_writes_marts_only_and_reports(spark, tables, tmp_path):
     specs = build.product_models("subscription_collection_health")
     status = build.build_all(spark, tables, specs, str(tmp_path), partition_by={specs[-1].name: ["invoice_month"]})
     rows = status.orderBy("position").collect()
-    assert [r.status for r in rows] == ["composed"] * 4 + ["completed"]
-    assert rows[-1].row_count == 6
+    assert [r.status for r in rows] == ["composed"] * 4 + ["completed"] * 2
+    assert [r.row_count for r in rows[-2:]] == [6, 6]
     assert (tmp_path / specs[-1].name / "invoice_month=2025-01").is_dir()
 
 
@@ -108,8 +109,8 @@ def test_build_stops_at_the_first_failure(spark, tables, tmp_path):
     specs = build.product_models("stripe_billing_reconciliation")
     broken = dict(tables, stripe_payments=tables["stripe_payments"].drop("refund_amount"))
     rows = build.build_all(spark, broken, specs, str(tmp_path), every_layer=True).orderBy("position").collect()
-    assert [r.status for r in rows] == ["completed", "failed", "skipped"]
-    assert rows[0].row_count == 7 and rows[1].error
+    assert [r.status for r in rows] == ["completed", "failed", "skipped", "skipped"]
+    assert rows[0].row_count == 7 and "refund_amount" in rows[1].error
 
 
 def test_run_order_and_cycles():
@@ -159,7 +160,7 @@ def test_data_tests_can_fail(spark, tables):
     tests = dt.contract_tests("stripe_payments", fixed.STRIPE_PAYMENTS) + dt.relationship_tests(fixed.RELATIONSHIPS[3:])
     tests += dt.contract_tests("dim_customers", fixed.DIM_CUSTOMERS)
     tests.append(DataTest("big", "custom", "stripe_payments",
-                          sql="select * from {stripe_payments} where successful_amount > 705"))
+                          sql="select * from stripe_payments where successful_amount > 705"))
     tests.append(dt.metrics_not_null("stripe_payments", ("successful_amount", "refund_amount")))
     failing = {r.test_name: r.failing_rows for r in dt.summary(t, tests).collect()}
     assert {k: v for k, v in failing.items() if v} == {
@@ -200,15 +201,69 @@ def test_named_tables(spark, tables):
     assert [named.preview_limit(n) for n in (None, 0, -5, 10, 999)] == [50, 1, 1, 10, 200]
     shown = named.preview(tables["dim_plans"], 2, ["plan_id"])
     assert [r.plan_id for r in shown.rows.collect()] == ["base", "corp"] and shown.total.first()[0] == 4
-    sql = "select count(*) n from {stripe_invoices} i join {fact_subscriptions} s using (subscription_id)"
-    assert named.direct_sql(spark, sql, tables).first().n == 7
+
+
+def test_guarded_sql(spark, tables, tmp_path):
+    named.register({"small_plans": tables["dim_plans"], "secret": tables["dim_customers"]})
+    ask = lambda sql: named.guarded_sql(spark, sql, tables)
+    assert ask("select count(*) n from stripe_invoices i join fact_subscriptions using (subscription_id);").first().n == 7
+    cte = "with a as (select * from dim_plans) select plan_id, '{x} secret' t from a order by plan_id -- end"
+    assert ask(cte).first().asDict() == {"plan_id": "base", "t": "{x} secret"}
+    shadow = "with dim_plans as (select 1 as one) select * from dim_plans"
+    assert ask(shadow).columns == ["one"]
+    assert ask("select 1 as x").first().x == 1
+    tables["dim_plans"].write.parquet(f"{tmp_path}/plans")
+    tables["dim_plans"].write.csv(f"{tmp_path}/text")
+    refused = [
+        "select * from secret", "select * from dim_plans where plan_id in (select customer_id from SECRET)",
+        f"select * from parquet.`{tmp_path}/plans`", f"select plan_id from dim_plans union select _c0 from csv.`{tmp_path}/text`",
+        "select * from default.dim_plans", "select * from global_temp.small",
+    ]
+    for sql in refused:
+        with pytest.raises(named.NotAllowed):
+            ask(sql)
+    for sql in ("drop view small_plans", "insert into small_plans select * from dim_plans", "select 1) -- ",
+                "select 1; drop view small_plans", "create table t as select 1"):
+        with pytest.raises(Exception, match="PARSE|not an allowed"):
+            ask(sql)
     with pytest.raises(Exception, match="TABLE_OR_VIEW_NOT_FOUND"):
-        named.direct_sql(spark, "select * from nowhere_at_all", tables)
-    commented = "with a as (select * from {dim_plans}) select plan_id from a order by plan_id; -- end"
-    with pytest.raises(Exception, match="PARSE"):
-        named.direct_sql(spark, "drop view small_plans", tables)
+        ask("select * from nowhere_at_all")
+    custom = DataTest("t", "custom", "dim_plans", sql="drop view small_plans")
+    with pytest.raises(Exception, match="PARSE|not an allowed"):
+        dt.failing_rows(tables, custom)
     assert named.table_exists(spark, "small_plans")
-    assert named.direct_sql(spark, commented.replace(";", ""), tables).first().plan_id == "base"
+    for name in ("small_plans", "secret"):
+        spark.catalog.dropTempView(name)
+
+
+def test_unique_over_two_columns(spark):
+    df = spark.createDataFrame([(1, 1), (1, 2), (2, 2), (2, 2), (None, 5), (None, 5)], "a int, b int")
+    test = DataTest("u", "unique", "m", ("a", "b"))
+    assert as_set(dt.failing_rows({"m": df}, test)) == {("2,2", 2)}
+    assert as_set(dt.summary({"m": df}, [test]), "failing_rows") == {(1,)}
+
+
+def test_orphan_money_stays_under_a_null_segment(spark, tables):
+    half = {**tables, "fact_subscriptions": tables["fact_subscriptions"].where("subscription_id in ('s1', 's2')")}
+    i, p, s, c = (half[n] for n in ("stripe_invoices", "stripe_payments", "fact_subscriptions", "dim_customers"))
+    total = m.collection_gap(i, p).selectExpr("sum(billed_revenue)", "sum(collected_revenue)").first()
+    health = m.collection_health(i, p, s, c)
+    assert health.selectExpr("sum(billed_amount)", "sum(collected_amount)").first() == total
+    assert health.where("customer_segment is null").count() > 0
+    revenue = m.revenue_360(m.mrr_adjustments(i, p), s, c)
+    assert revenue.agg({"refund_amount": "sum"}).first()[0] == p.agg({"refund_amount": "sum"}).first()[0]
+    whole = run(half, MetricRequest("billed_revenue", "aggregate")).first()[0]
+    split = run(half, MetricRequest("billed_revenue", "group_by", ("customer_segment",)))
+    assert split.agg({"billed_revenue": "sum"}).first()[0] == whole
+
+
+def test_rows_without_key_are_no_copies(spark):
+    contract = SourceContract(
+        name="t", grain=("k",), final_mart="x",
+        columns=(ColumnSpec("k", "text", nullable=True, primary_key=True), ColumnSpec("v", "integer", nullable=True)),
+    )
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3), ("a", 4)], "k string, v int")
+    assert sorted(as_set(m.clean(df, contract), "v")) == [(1,), (2,), (3,)]
 
 
 CONTRACT = {
@@ -262,3 +317,22 @@ def test_drift(spark, tables):
     assert states == {"dim_customers": "missing_table", "dim_plans": "empty_table", "fact_subscriptions": "ok",
                       "stripe_invoices": "changed_columns", "stripe_payments": "ok"}
     assert drift.needs_rebuild(changed, fixed.CONTRACTS)
+
+
+def test_contracts_come_back_from_files(spark, tmp_path):
+    contracts.write_contracts(spark, fixed.CONTRACTS, str(tmp_path))
+    assert contracts.read_contracts(spark, str(tmp_path)) == dict(sorted(fixed.CONTRACTS.items()))
+
+
+def test_models_from_texts(spark, tables, tmp_path):
+    texts = {
+        "mart_b": "select a.n + 1 as n from {{ ref('stg_a') }} a",
+        "stg_a": "select count(*) as n from {{ source('demo', 'dim_plans') }}",
+    }
+    rows = spark.createDataFrame(list(texts.items()), "model string, text string")
+    status = sql_models.build_texts(spark, rows, tables, str(tmp_path)).orderBy("position").collect()
+    assert [(r.model, r.status) for r in status] == [("stg_a", "composed"), ("mart_b", "completed")]
+    assert spark.read.parquet(f"{tmp_path}/mart_b").first().n == 5
+    bad = spark.createDataFrame([("stg_a", "drop view {{ ref('dim_plans') }}")], "model string, text string")
+    assert sql_models.build_texts(spark, bad, tables, str(tmp_path)).first().status == "failed"
+    assert sql_models.plain_sql("x.ref('a') preref('b') ref( 'c' )").split() == ["x.ref('a')", "preref('b')", "c"]

@@ -77,7 +77,8 @@ def test_best_option_equals_brute_force(spark):
     samples = [" ".join(rng.choices(pool, k=rng.randint(0, 7))) for _ in range(300)]
     options = fixed.ADJUSTMENT_RULE.options
     df = texts(spark, *samples).withColumn("t", tr.tokens(F.lower("text")))
-    df = df.withColumns(tr.option_scores(F.col("t"), options, "s_"))
+    df = df.withColumn("h", tr.option_hits(F.col("t"), options))
+    df = df.withColumns(tr.option_scores(F.col("h"), F.col("t"), options, "s_"))
     assert column(df, tr.best_option(options, "s_")) == [brute_best(s, options) for s in samples]
 
 
@@ -134,6 +135,7 @@ def test_resolved_rule_keys_equal_brute_force(spark):
     rng = random.Random(3)
     pool = ["q_Foo", "foo", "q_foo_2", "foo--2", "foo_2_2", "q_bar baz", "bar_baz", "q_!!", "x_9"]
     packages = {p: [rng.choice(pool) for _ in range(rng.randint(1, 9))] for p in range(40)}
+    packages[40] = [rng.choice(["x", "x_2", "x_3", "x_2_2", "x_02", "x_10"]) for _ in range(400)]  # one large family
     rows = [(p, i, q) for p, qs in packages.items() for i, q in enumerate(qs)]
     df = spark.createDataFrame(rows, "package int, n int, question_id string")
     found = tr.resolved_rules(df, "package", "n").orderBy("package", "n").collect()
