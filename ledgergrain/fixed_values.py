@@ -67,7 +67,7 @@ STRIPE_INVOICES = SourceContract(
             "real",
             nullable=True,
             null_rate_decision=0.10,
-            decision_reason="Missing discounts affect net MRR or net revenue calculations.",
+            decision_reason="An unknown discount makes every net amount uncertain.",
         ),
     ),
 )

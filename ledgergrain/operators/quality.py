@@ -116,7 +116,7 @@ class _TableChecks:
         self.candidates.append(
             Candidate(
                 0, "issue_empty_table", "empty_table", "must_answer", None, "_total = 0",
-                sql_value(f"{self.contract.name} has no rows."), {"total_rows": "_total"}, ("pipeline_generation",),
+                sql_value(f"The table {self.contract.name} is empty."), {"total_rows": "_total"}, ("pipeline_generation",),
             )
         )
 
@@ -125,7 +125,7 @@ class _TableChecks:
             if spec.name not in self.df.columns:
                 self.add(
                     100 + i, f"issue_missing_column_{spec.name}", "missing_required_column", "must_answer", spec.name,
-                    "true", sql_value(f"Expected column {spec.name} is missing from the source table."),
+                    "true", sql_value(f"The contract lists {spec.name}, which the table lacks."),
                     {"expected_column": sql_value(spec.name), "expected_type": sql_value(spec.type)},
                     ("sql_model", "data_tests", "documentation"),
                 )
@@ -134,7 +134,7 @@ class _TableChecks:
             if expected and actual != "unknown" and expected != actual:
                 self.add(
                     100 + i, f"issue_type_mismatch_{spec.name}", "type_mismatch", "optional_review", spec.name,
-                    "true", sql_value(f"Column {spec.name} has type {actual}, but contract expects {expected}."),
+                    "true", sql_value(f"{spec.name} is stored as {actual} where the contract says {expected}."),
                     {"expected_type": sql_value(expected), "actual_type": sql_value(actual)},
                     ("sql_model", "data_tests"),
                 )
@@ -143,7 +143,7 @@ class _TableChecks:
         if extra:
             self.add(
                 199, "finding_extra_columns", "extra_columns", "info", None, "true",
-                sql_value(f"Source contains extra columns not defined in the contract: {', '.join(extra)}."),
+                sql_value(f"Columns outside the contract: {', '.join(extra)}."),
                 {"extra_columns": sql_value(",".join(extra))}, ("documentation",),
             )
 
@@ -155,7 +155,7 @@ class _TableChecks:
             self.add(
                 200 + i, f"issue_{spec.name}_required_nulls", "required_column_nulls", "must_answer", spec.name,
                 f"{nulls} > 0",
-                said(sql_value(f"Required column {spec.name} is null in "), _percent(nulls, "_total"), "' of rows.'"),
+                said(sql_value(f"The contract fills {spec.name}, yet it is empty in "), _percent(nulls, "_total"), "' of rows.'"),
                 {"null_count": nulls, "total_rows": "_total", "null_rate": sql_rate_text(nulls, "_total"),
                  "contract_nullable": "'false'"},
                 default_affects(spec.name),
@@ -181,7 +181,7 @@ class _TableChecks:
         self.add(
             ordinal, f"issue_{column}_below_min_value", "numeric_constraint", check.severity or "must_answer", column,
             f"{bad} > 0",
-            said(sql_value(f"{column} is null or violates the minimum value rule ({rule}) in "), bad, "' row(s).'"),
+            said(sql_value(f"Rows that are empty or break {rule}: "), bad, "'.'"),
             {"affected_rows": bad, "total_rows": "_total", "min_value": sql_value(check.value),
              "inclusive": sql_value(check.inclusive)},
             check.affects or default_affects(column),
@@ -194,7 +194,7 @@ class _TableChecks:
         self.add(
             ordinal, f"issue_{column}_greater_than_{check.column}", "cross_column_constraint",
             check.severity or "optional_review", column, f"{bad} > 0",
-            said(sql_value(f"{column} is greater than {check.column} in "), bad, "' row(s).'"),
+            said(sql_value(f"Rows with {column} above {check.column}: "), bad, "'.'"),
             {"affected_rows": bad, "total_rows": "_total", "compare_column": sql_value(check.column)},
             check.affects or ("data_tests", "documentation"),
         )
@@ -208,7 +208,7 @@ class _TableChecks:
         self.add(
             ordinal, f"issue_{column}_missing_when_{check.column}_{check.equals}", "conditional_required_value",
             check.severity or "must_answer", column, f"{bad} > 0",
-            said(bad, sql_value(f" row(s) have {check.column} = {check.equals} but missing {column}.")),
+            said(sql_value(f"Rows with {check.column} = {check.equals} and no {column}: "), bad, "'.'"),
             {"affected_rows": bad, "total_rows": "_total", "condition_column": sql_value(check.column),
              "condition_value": sql_value(check.equals), "required_column": sql_value(column)},
             check.affects or default_affects(column),
@@ -222,7 +222,7 @@ class _TableChecks:
             self.add(
                 700 + i, f"issue_{spec.name}_null_rate", "business_rule_needed", "must_answer", spec.name,
                 f"{sql_share(nulls, '_total')} >= {float(spec.null_rate_decision)!r}D",
-                said(sql_value(f"{spec.name} is null in "), _percent(nulls, "_total"), "' of rows.'"),
+                said(sql_value(f"No {spec.name} in "), _percent(nulls, "_total"), "' of rows.'"),
                 {"null_count": nulls, "total_rows": "_total", "null_rate": sql_rate_text(nulls, "_total"),
                  "decision_threshold": sql_value(str(spec.null_rate_decision)),
                  "decision_reason": sql_value(spec.decision_reason)},
@@ -233,7 +233,7 @@ class _TableChecks:
             rows = self.counted(f"coalesce({sql_name(positive)}, 0) > 0")
             self.add(
                 799, "issue_refund_handling_needed", "business_rule_needed", self.contract.positive_severity, positive,
-                f"{rows} > 0", said(sql_value(f"{positive} is positive in "), rows, "' payment row(s).'"),
+                f"{rows} > 0", said(sql_value(f"Payments with a positive {positive}: "), rows, "'.'"),
                 {"positive_column": sql_value(positive), "affected_rows": rows, "total_rows": "_total"},
                 self.contract.positive_affects,
             )
@@ -287,15 +287,15 @@ def duplicate_findings(df: DataFrame, contract: SourceContract) -> list[DataFram
                 [
                     Candidate(
                         300 + i, f"issue_{column}_duplicates", "duplicate_key", "must_answer", column,
-                        "_duplicates > 0", sql_value(f"Primary key column {column} has duplicate value(s)."),
-                        {"duplicate_values": f"least(_duplicates, {EXAMPLES})", "duplicate_key_count": "_duplicates",
+                        "_duplicates > 0", sql_value(f"Some keys in {column} occur more than once."),
+                        {"duplicate_values": "_duplicates", "duplicate_key_count": "_duplicates",
                          "examples": "array_join(transform(_top, e -> concat(e.v, '=', -e.n)), ',')",
                          "total_rows": "_total"},
                         ("metric_logic", "sql_model", "data_tests"),
                     ),
                     Candidate(
                         300 + i, f"finding_{column}_unique", "uniqueness", "info", column,
-                        "_total > 0 and _duplicates = 0", sql_value(f"Primary key column {column} appears unique."),
+                        "_total > 0 and _duplicates = 0", sql_value(f"Every key in {column} occurs once."),
                         {"duplicate_values": "0", "total_rows": "_total"}, ("documentation",),
                     ),
                 ],
@@ -335,7 +335,7 @@ def valid_value_findings(df: DataFrame, contract: SourceContract) -> list[DataFr
                 [
                     Candidate(
                         400 + i, f"issue_{name}_invalid_values", "invalid_values", "must_answer", name,
-                        "_invalid > 0", sql_value(f"{name} contains values outside the contract valid_values list."),
+                        "_invalid > 0", sql_value(f"{name} holds values that the contract does not list."),
                         {"expected_values": expected, "invalid_value_count": "_invalid_values",
                          "invalid_count": "_invalid", "total_rows": "_total"},
                         ("sql_model", "data_tests", "documentation"),
@@ -343,7 +343,7 @@ def valid_value_findings(df: DataFrame, contract: SourceContract) -> list[DataFr
                     Candidate(
                         400 + i, f"finding_{name}_accepted_values", "accepted_values", "info", name,
                         "_total > 0 and _invalid = 0",
-                        sql_value(f"{name} values are within the contract valid_values list."),
+                        sql_value(f"The contract lists all values of {name}."),
                         {"expected_values": expected, "observed_values": "array_join(_observed, ',')"},
                         ("documentation",),
                     ),

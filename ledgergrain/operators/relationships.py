@@ -139,22 +139,22 @@ def _candidates(rel: Relationship) -> list[Candidate]:
             Candidate(
                 1, f"{rel.id}__left_key_duplicates", "left_key_duplicates", "must_answer", None,
                 "left_duplicate_key_count > 0",
-                said("left_duplicate_key_count", sql_value(f" duplicate {l}.{l_key} value(s) were detected.")),
+                said("left_duplicate_key_count", sql_value(f" keys of {l}.{l_key} occur more than once.")),
                 {"duplicate_key_count": "left_duplicate_key_count"}, ("join_logic", "sql_model", "data_tests"),
             )
         )
     found += by_rate(
         2, rel.left_issue_id or f"issue_{l}_without_{r}", "unmatched_left_records", "unmatched_left_count",
         "left_rows", rel.max_unmatched_left_rate, "unmatched_left_count > 0",
-        said("unmatched_left_count", sql_value(f" {l} record(s) have no matching {r} record.")),
+        said("unmatched_left_count", sql_value(f" rows of {l} have none in {r}.")),
         {**ends, "unmatched_left_count": "unmatched_left_count",
          "unmatched_left_rate": sql_rate_text("unmatched_left_count", "left_rows")},
     )
     found += by_rate(
         3, rel.right_issue_id or f"issue_{r}_without_{l}", "unmatched_right_records", "unmatched_right_count",
         "right_rows", rel.max_unmatched_right_rate, "unmatched_right_count > 0 or right_null_key_count > 0",
-        said("unmatched_right_count", sql_value(f" {r} record(s) reference a missing {l} key and "),
-             "right_null_key_count", "' have a null join key.'"),
+        said("unmatched_right_count", sql_value(f" rows of {r} point to no row of {l}, and "),
+             "right_null_key_count", "' have no key.'"),
         {**ends, "unmatched_right_count": "unmatched_right_count",
          "unmatched_right_rate": sql_rate_text("unmatched_right_count", "right_rows"),
          "right_null_count": "right_null_key_count",
@@ -165,8 +165,8 @@ def _candidates(rel: Relationship) -> list[Candidate]:
             Candidate(
                 4, "issue_partial_or_overpaid_invoices", "payment_coverage_anomaly", "must_answer", None,
                 "partial_count > 0 or overpaid_count > 0",
-                said("partial_count", "' invoice(s) appear partially paid and '", "overpaid_count",
-                     "' invoice(s) appear overpaid after aggregating payments by invoice_id.'"),
+                said("partial_count", "' invoices are paid in part, and '", "overpaid_count",
+                     "' are paid above their amount.'"),
                 {n: n for n in COVERAGE}, ("metric_logic", "sql_model", "documentation"),
             )
         )
@@ -177,7 +177,7 @@ def _missing_key(rel: Relationship, left_missing: bool, right_missing: bool) ->
     return Candidate(
         0, f"{rel.id}__missing_join_key", "missing_join_key", "must_answer", None, "true",
         sql_value(
-            f"Join key availability problem. left_key_missing={left_missing}, right_key_missing={right_missing}."
+            f"Without key column: left {left_missing}, right {right_missing}."
         ),
         {"left_source": sql_value(rel.left_source), "left_key": sql_value(",".join(rel.left_keys)),
          "right_source": sql_value(rel.right_source), "right_key": sql_value(",".join(rel.right_keys))},

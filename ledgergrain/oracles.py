@@ -247,7 +247,7 @@ def _duplicates(s: str) -> str:
     return (
         f"SELECT '{s}' AS source, CASE WHEN n > 0 THEN 'issue_{k}_duplicates' ELSE 'finding_{k}_unique' END AS id, "
         f"CASE WHEN n > 0 THEN 'duplicate_key' ELSE 'uniqueness' END AS type, CASE WHEN n > 0 THEN 'must_answer' ELSE 'info' END AS severity, "
-        f"least(n, 10) AS duplicate_values, CASE WHEN n > 0 THEN n END AS duplicate_key_count, examples, total_rows FROM ("
+        f"n AS duplicate_values, CASE WHEN n > 0 THEN n END AS duplicate_key_count, examples, total_rows FROM ("
         f"SELECT (SELECT COUNT(*) FROM {s}) AS total_rows, (SELECT COUNT(*) FROM d_{s}) AS n, "
         f"(SELECT string_agg(v || '=' || c, ',' ORDER BY c DESC, v) FROM (SELECT * FROM d_{s} ORDER BY c DESC, v LIMIT 10)) AS examples)"
     )
@@ -279,10 +279,10 @@ add("dq_invalid_value_rows",
     "SELECT plan_id AS value, COUNT(*) AS row_count FROM fact_subscriptions WHERE plan_id NOT IN ('BUILDING','MACHINERY') GROUP BY 1")
 add("dq_min_value",
     "SELECT 'issue_invoice_amount_below_min_value' AS id, 'must_answer' AS severity, 'invoice_amount' AS \"column\", n AS affected_rows, t AS total_rows, "
-    "'invoice_amount is null or violates the minimum value rule (invoice_amount >= 50000) in ' || n || ' row(s).' AS message FROM ("
+    "'Rows that are empty or break invoice_amount >= 50000: ' || n || '.' AS message FROM ("
     "SELECT COUNT(*) FILTER (invoice_amount IS NULL OR invoice_amount < 50000) AS n, COUNT(*) AS t FROM stripe_invoices) WHERE n > 0 "
     "UNION ALL SELECT 'issue_discount_amount_below_min_value', 'optional_review', 'discount_amount', n, t, "
-    "'discount_amount is null or violates the minimum value rule (discount_amount > 0) in ' || n || ' row(s).' FROM ("
+    "'Rows that are empty or break discount_amount > 0: ' || n || '.' FROM ("
     "SELECT COUNT(*) FILTER (discount_amount IS NULL OR discount_amount <= 0) AS n, COUNT(*) AS t FROM stripe_invoices) WHERE n > 0")
 add("dq_max_column_value",
     "SELECT 'issue_invoice_amount_greater_than_discount_amount' AS id, 'optional_review' AS severity, 'invoice_amount' AS \"column\", "
@@ -311,7 +311,7 @@ add("top_findings",
 add("rel_missing_key",
     "SELECT 'invoices_to_payments_by_invoice_id' AS relationship_id, 'failed' AS status, (SELECT COUNT(*) FROM orders) AS left_rows, "
     "(SELECT COUNT(*) FROM lineitem) AS right_rows, 'invoices_to_payments_by_invoice_id__missing_join_key' AS finding_id, "
-    "'must_answer' AS severity, 'Join key availability problem. left_key_missing=True, right_key_missing=False.' AS message")
+    "'must_answer' AS severity, 'Without key column: left True, right False.' AS message")
 
 
 def _edge(r, right: str | None = None, left: str | None = None) -> str:
@@ -347,7 +347,7 @@ add("rel_null_keys",
     "SELECT 'issue_unmatched_payments' AS id, CASE WHEN CAST(unmatched_right_count AS DOUBLE) / right_rows > max_r THEN 'must_answer' ELSE 'optional_review' END AS severity, "
     "CAST(NULL AS VARCHAR) AS \"column\", unmatched_right_count, round(CAST(unmatched_right_count AS DOUBLE) / right_rows, 4) AS unmatched_right_rate, "
     "right_null_key_count AS right_null_count, round(CAST(right_null_key_count AS DOUBLE) / right_rows, 4) AS right_null_rate, "
-    "unmatched_right_count || ' stripe_payments record(s) reference a missing stripe_invoices key and ' || right_null_key_count || ' have a null join key.' AS message "
+    "unmatched_right_count || ' rows of stripe_payments point to no row of stripe_invoices, and ' || right_null_key_count || ' have no key.' AS message "
     "FROM edges WHERE relationship_id LIKE 'invoices%'", GAP_EDGES)
 add("rel_unmatched_left",
     f"SELECT {INVOICE_ROW} FROM stripe_invoices i WHERE NOT EXISTS (SELECT 1 FROM stripe_payments p WHERE p.invoice_id = i.invoice_id)")

@@ -10,7 +10,8 @@ import pytest
 from conftest import as_set, make, plan_of
 
 from ledgergrain import fixed_values as fixed
-from ledgergrain.operators import metrics, quality
+from ledgergrain.operators import datatests as dt
+from ledgergrain.operators import joins, metrics, quality
 from ledgergrain.operators import relationships as rel
 from ledgergrain.operators.metrics import MetricRequest
 from ledgergrain.plans import models as m
@@ -80,8 +81,9 @@ def test_same_results_without_broadcast_and_with_split_partitions(nothing_broadc
 def test_sums_equal_a_plain_join(skewed):
     t = skewed
     plain = (
-        t["stripe_payments"].join(t["stripe_invoices"], "invoice_id").join(t["fact_subscriptions"], "subscription_id")
-        .join(t["dim_customers"], "customer_id").where("successful_amount > 0")
+        t["stripe_payments"].join(t["stripe_invoices"], "invoice_id", "left")
+        .join(t["fact_subscriptions"], "subscription_id", "left")
+        .join(t["dim_customers"], "customer_id", "left").where("successful_amount > 0")
         .groupBy("customer_segment").agg({"successful_amount": "sum"})
     )
     rolled = metrics.run(t, MetricRequest("collected_revenue", "group_by", ("customer_segment",)))
@@ -129,3 +131,25 @@ def test_the_session_names_the_shared_folder(tmp_path):
     )
     assert done.returncode == 0, done.stderr[-2000:]
     assert any((tmp_path / "shared").iterdir())
+
+
+def test_a_summary_counts_each_relationship_once(skewed):
+    """Row tests share a pass per table, and a relationship also answers whether its parent's key is unique."""
+    t = {n: skewed[n] for n in ("fact_subscriptions", "stripe_invoices")}
+    edge = next(r for r in fixed.RELATIONSHIPS if r.right_source == "stripe_invoices")
+    tests = [x for n in t for x in dt.contract_tests(n, fixed.CONTRACTS[n])] + dt.relationship_tests((edge,))
+    plan = plan_of(dt.summary(t, tests))
+    # Two passes of row tests, two sides of the relationship, and the invoices' own key.
+    assert plan.count("Range (") == 5
+    assert {r.test_name: r.failing_rows for r in dt.summary(t, tests).collect() if "unique" in r.test_name} == {
+        "unique__fact_subscriptions__subscription_id": 0, "unique__stripe_invoices__invoice_id": 0,
+    }
+
+
+def test_totals_are_summed_below_the_joins(skewed):
+    totals = joins.chain_totals(skewed, "customer_segment", "plan_name")
+    plain = joins.payment_chain(skewed).groupBy("customer_segment", "plan_name").count()
+    assert as_set(totals, "customer_segment", "plan_name", "payments") == as_set(plain)
+    lines = plan_of(totals).splitlines()
+    deepest = max(i for i, x in enumerate(lines) if "Join" in x)
+    assert sum("HashAggregate" in x for x in lines[deepest:]) >= 2
