@@ -29,7 +29,9 @@ from pyspark.sql import types as T
 from ledgergrain.llm import textops
 
 MATRIX_BYTES = 512
-CACHED_PIECES = 300_000
+CACHED_PIECES = 150_000
+#: What a worker keeps between tasks.
+KEPT_PIECES = 20_000
 SLICE_BYTES = 1 << 20
 NONE = np.int32(2**31 - 1)
 _EMPTY = np.uint64(2**64 - 1)
@@ -76,7 +78,6 @@ class Encoder:
     def __init__(self, rank_file: bytes, pattern: str):
         pairs = (line.split() for line in rank_file.splitlines() if line.strip())
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
-        self.words = {i: t for t, i in self.ranks.items()}
         self.split = regex.compile(pattern).findall
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         merges = {}
@@ -182,6 +183,19 @@ class Encoder:
                     heapq.heappush(heap, (r, left, ids[left], ids[right]))
         return [x for x in ids if x is not None]
 
+    def rest(self) -> None:
+        """Let a large cache go at the end of a task: idle workers share the executor's memory with other jobs."""
+        if len(self.cache) > KEPT_PIECES:
+            self.cache = {}
+
+
+class Decoder:
+    """The bytes of every id."""
+
+    def __init__(self, rank_file: bytes):
+        pairs = (line.split() for line in rank_file.splitlines() if line.strip())
+        self.words = {int(rank): base64.b64decode(token) for token, rank in pairs}
+
     def decoded(self, ids: bytes) -> bytes:
         return b"".join(map(self.words.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
@@ -225,19 +239,20 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, text: str = "text") ->
                     [*batch.columns, counts, pa.array(ids, pa.binary())],
                     names=[*batch.schema.names, "n_tokens", "token_ids"],
                 )
+        own.rest()
 
     new = [T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.BinaryType())]
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *new]))
 
 
-def decode(tokens: DataFrame, rank_path: str, pattern: str, ids: str = "token_ids", to: str = "decoded") -> DataFrame:
+def decode(tokens: DataFrame, rank_path: str, ids: str = "token_ids", to: str = "decoded") -> DataFrame:
     """All rows with the bytes that the ids stand for in column ``to``; null ids give null."""
     tokens = tokens.drop(to)
     with open(rank_path, "rb") as f:
         ranks = tokens.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(ranks.value, pattern)
+        own = Decoder(ranks.value)
         for whole in batches:
             for batch in _sized(whole, _bytes_of(whole.column(ids))):
                 out = [None if i is None else own.decoded(i) for i in batch.column(ids).to_pylist()]

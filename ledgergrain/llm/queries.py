@@ -77,7 +77,7 @@ def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     ids = bpe.encode(docs, path, pattern).select("doc_id", "n_tokens", "token_ids")
-    return bpe.decode(ids, path, pattern).select(
+    return bpe.decode(ids, path).select(
         "doc_id",
         "n_tokens",
         F.sha2(F.col("token_ids"), 256).alias("ids_sha256"),

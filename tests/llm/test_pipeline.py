@@ -9,6 +9,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 import corpus_pipeline  # noqa: E402
 from ledgergrain.llm import mixing, queries  # noqa: E402
 from test_text_operators import WORDS, figures, linked, repeated_words, table  # noqa: E402
+from text_fixtures import docs, lone_docs, no_docs  # noqa: E402, F401
 
 
 @pytest.fixture(scope="module")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import base64
-import hashlib
+import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -27,6 +28,8 @@ from ledgergrain.llm import (  # noqa: E402
     weak_quality,
 )
 
+from text_fixtures import docs, frame, lone_docs, no_docs, prose  # noqa: E402, F401
+
 WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -132,9 +135,6 @@ def linked(rows, threshold=80):
 
 @pytest.mark.parametrize("threshold,piece", [(80, 256), (50, 2), (100, 256)])
 def test_ngram_join(spark, docs, no_docs, lone_docs, threshold, piece, monkeypatch):
-    from conftest import frame, prose
-    import random
-
     monkeypatch.setattr(ngram_join, "PIECE", piece)
     rng = random.Random(9)
     base = prose(rng, 120).split(" ")
@@ -156,13 +156,11 @@ def test_ngram_join(spark, docs, no_docs, lone_docs, threshold, piece, monkeypat
 
 
 def test_kd_shards(spark, docs, no_docs, lone_docs):
-    from conftest import frame
-
     many = frame(spark, [f"text number {i} " * (i % 7 + 1) for i in range(3000)] + ["a hot text"] * 1500)
     for df in (many, docs, lone_docs):
         rows = kd_shards.shards(df).collect()
         assert Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == Counter(
-            (r["doc_id"], len(t) + 1, __import__("zlib").crc32(t))
+            (r["doc_id"], len(t) + 1, zlib.crc32(t))
             for r in table(df)
             for t in [(r["text"] or "").encode()]
         )
@@ -178,8 +176,6 @@ def test_kd_shards(spark, docs, no_docs, lone_docs):
 
 
 def test_kd_shards_by_three(spark):
-    from conftest import frame
-
     df = frame(spark, [f"row {i}" for i in range(1000)])
     size = Counter()
     for r in kd_shards.shards(df, n_shards=3).collect():
@@ -212,7 +208,7 @@ def test_byte_bpe(docs, no_docs, lone_docs):
     for df in (docs, lone_docs, no_docs):
         ids = bpe.encode(df, RANKS, PATTERN)
         assert ids.columns == [*df.columns, "n_tokens", "token_ids"]
-        for r in bpe.decode(ids, RANKS, PATTERN).collect():
+        for r in bpe.decode(ids, RANKS).collect():
             want = own.encode_ordinary(r.text or "")
             assert np.frombuffer(r.token_ids, "<u4").tolist() == want and r.n_tokens == len(want)
             assert bytes(r.decoded) == (r.text or "").encode()
@@ -268,9 +264,6 @@ def test_mixing(docs, no_docs, lone_docs):
 
 
 def test_toxicity(spark, docs, no_docs, lone_docs):
-    from conftest import frame, prose
-    import random
-
     rng = random.Random(5)
     texts, toxic = [], []
     for i in range(240):
@@ -287,7 +280,7 @@ def test_toxicity(spark, docs, no_docs, lone_docs):
     model = toxicity.fit(df, labels)
     rows = {r.doc_id: r for r in toxicity.scored(df, model).collect()}
     held = [r for r in rows.values() if r.held_out]
-    assert len(held) > 50 and all(r.held_out == (__import__("zlib").crc32(str(r.doc_id).encode()) % 3 == 1) for r in held)
+    assert len(held) > 50 and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in held)
     assert np.mean([r.predicted == toxic[r.doc_id - 1] for r in held]) > 0.95
     base = prose(rng, 40)
     clean, spaced, starred, longer = model.scores(
@@ -303,9 +296,6 @@ def test_toxicity(spark, docs, no_docs, lone_docs):
 
 
 def test_weak_quality(spark, docs, no_docs, lone_docs):
-    from conftest import frame, prose
-    import random
-
     rng = random.Random(8)
     good = [prose(rng, rng.randint(30, 120)) for _ in range(200)]
     bad = [prose(rng, 60).upper().replace(" ", "!! ") for _ in range(15)]

@@ -1,3 +1,5 @@
+"""Fixtures and rows that the text tests share."""
+
 from __future__ import annotations
 
 import random
