@@ -42,7 +42,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, pattern).drop("text")
     decoded = F.sha2(F.col("decoded"), 256).alias("decoded_sha256")
-    return bpe.decode(ids, path, pattern).select("doc_id", "lang", "source", "n_tokens", "token_ids", decoded)
+    return bpe.decode(ids, path).select("doc_id", "lang", "source", "n_tokens", "token_ids", decoded)
 
 
 STAGES = [
