@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ledgergrain.llm import textops
 
-PER_CLASS = 1500
+PER_CLASS = 1000
 SAMPLE_BYTES = 20_000
 TOXIC_LANDMARKS, CLEAN_LANDMARKS = 64, 24
 ALIKE = 0.65
