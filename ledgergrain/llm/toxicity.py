@@ -4,7 +4,7 @@ The kernel of two words counts their common subsequences of four characters with
 discounted, so an insult still resembles itself with letters inserted, dropped at the end or run together. Words are
 runs of letters, lower-cased; symbols within a word and the gaps of spaced-out letters ("i.d.i.o.t") are closed up.
 
-``fit`` trains on at most ``PER_CLASS`` labelled texts of each class:
+``fit`` trains on at most ``PER_CLASS`` labelled ids of each class. Their texts are read whole, in Spark tasks:
 
 1. landmarks: the words of toxic texts with the highest log odds, and the most frequent words of clean ones;
 2. every sentence is mapped by its strongest kernel value to each landmark and the inverse root of the landmarks'
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -31,13 +32,18 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgergrain.llm import textops
+from ledgergrain.session import checkpointed
 
 PER_CLASS = 1000
-SAMPLE_BYTES = 20_000
+#: Sentences are read in runs of so many characters; a task keeps the values of so many words.
+GROUP_CHARS, KNOWN_WORDS = 1 << 18, 50_000
+#: Tasks of the training rows: by their bytes, within limits.
+LEAST_PARTS, MOST_PARTS, PART_BYTES = 12, 1024, 4 << 20
 TOXIC_LANDMARKS, CLEAN_LANDMARKS = 64, 24
 ALIKE = 0.65
 DECAY = 0.5
@@ -230,21 +236,6 @@ def _fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def _fit_machine(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Newton steps on the squared hinge loss, both classes with equal weight."""
-    x = np.c_[x, np.ones(len(x))]
-    cost = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    w, active = np.zeros(x.shape[1]), None
-    for _ in range(40):
-        now = y * (x @ w) < 1
-        if active is not None and (now == active).all():
-            break
-        active = now
-        part = x[active] * cost[active, None]
-        w = np.linalg.solve(part.T @ x[active] + ridge * np.eye(len(w)), part.T @ y[active])
-    return w[:-1], float(w[-1])
-
-
 def _apart(words: list[str]) -> list[str]:
     """The first words of which no two are alike, TOXIC_LANDMARKS at most."""
     if not words:
@@ -256,73 +247,222 @@ def _apart(words: list[str]) -> list[str]:
     return [words[i] for i in chosen]
 
 
-def train(texts: list[str], toxic: np.ndarray) -> Model:
-    """Fit on labelled texts that fit in memory."""
-    prior = float(toxic.mean()) if len(toxic) else 0.0
+def _groups(text: str) -> Iterator[list[str]]:
+    """The sentences of a text, in runs of about GROUP_CHARS characters."""
+    group, size = [], 0
+    for sentence in re.split(r"[.!?\n]+", text):
+        # A second blank before each: spaced-out letters don't run from one sentence into the next.
+        group.append(" " + sentence)
+        size += len(sentence) + 1
+        if size >= GROUP_CHARS:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
+def _sentences(group: list[str]) -> tuple[list[str], np.ndarray]:
+    """All words of some sentences, and the places where a sentence begins; sentences without words are left out."""
+    points, offsets = characters(group)
+    starts, ends, owner = words_of(points, offsets)
+    joined = points.astype(np.uint32).tobytes()
+    words = [joined[4 * a : 4 * b].decode("utf-32-le") for a, b in zip(starts.tolist(), ends.tolist())]
+    return words, np.flatnonzero(np.diff(owner, prepend=-1))
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per word the number of clean and of toxic texts of a batch that hold it."""
+    for batch in batches:
+        seen = (Counter(), Counter())
+        for text, y in zip(batch.column("t"), batch.column("y").to_pylist()):
+            met: set[str] = set()
+            for group in _groups(text.as_py()):
+                met.update(_sentences(group)[0])
+            seen[y].update(met)
+        words = list(dict.fromkeys([*seen[0], *seen[1]]))
+        counts = [pa.array([of[w] for w in words], pa.int64()) for of in seen]
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *counts], names=["word", "clean", "toxic"])
+
+
+def _landmark_values(land: Landmarks):
+    """Arrow function: per run of sentences their strongest values to each landmark, as float32 in row order."""
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, known = {}, np.empty((0, len(land.words)), np.float32)
+        for batch in batches:
+            for owner, y, text in zip(*(batch.column(c) for c in ("owner", "y", "t"))):
+                for part, group in enumerate(_groups(text.as_py())):
+                    words, heads = _sentences(group)
+                    if not words:
+                        continue
+                    if len(number) > KNOWN_WORDS:
+                        number, known = {}, known[:0]
+                    new = [w for w in dict.fromkeys(words) if w not in number]
+                    number.update(zip(new, range(len(number), len(number) + len(new))))
+                    known = np.concatenate([known, land.values(new)]) if new else known
+                    at = np.fromiter((number[w] for w in words), np.int64, len(words))
+                    z = np.maximum.reduceat(known[at], heads)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([owner.as_py()], pa.int64()), pa.array([part], pa.int64()),
+                         pa.array([y.as_py()], pa.int32()), pa.array([z.tobytes()], pa.binary())],
+                        names=["owner", "part", "y", "z"],
+                    )
+
+    return values
+
+
+def _each(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    for batch in batches:
+        for owner, part, z in zip(*(batch.column(c) for c in ("owner", "part", "z"))):
+            yield owner.as_py(), part.as_py(), np.frombuffer(z.as_buffer(), np.float32).reshape(-1, width)
+
+
+def _two_best(sentences: DataFrame, score, width: int) -> np.ndarray:
+    """Values of the two sentences of each toxic text that score highest; of equal ones the first."""
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for owner, part, z in _each(batches, width):
+            own = score(z)
+            at = np.argsort(-own, kind="stable")[:2]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([owner] * len(at), pa.int64()), pa.array([part] * len(at), pa.int64()),
+                 pa.array(at.astype(np.int64)), pa.array(own[at].astype(float)), pa.array([z[i].tobytes() for i in at])],
+                names=["owner", "part", "place", "score", "z"],
+            )
+
+    rows = sentences.where("y = 1").mapInArrow(best, "owner long, part long, place long, score double, z binary").collect()
+    taken: Counter = Counter()
+    out = []
+    for r in sorted(rows, key=lambda r: (r.owner, -r.score, r.part, r.place)):
+        taken[r.owner] += 1
+        if taken[r.owner] <= 2:
+            out.append(np.frombuffer(r.z, np.float32))
+    return np.stack(out) if out else np.empty((0, width), np.float32)
+
+
+def _active_sums(sentences: DataFrame, half: np.ndarray, w: np.ndarray):
+    """Of the clean sentences within the margin: sums of products, sums, number, and a mark of which they are."""
+    width = len(half)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        products, line, n, mark = np.zeros((width + 1, width + 1)), np.zeros(width + 1), 0, 0
+        for _, _, z in _each(batches, width):
+            x = np.c_[z @ half, np.ones(len(z))]
+            active = -(x @ w) < 1
+            mark = zlib.crc32(active.tobytes(), mark)
+            x = x[active]
+            products, line, n = products + x.T @ x, line + x.sum(0), n + len(x)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([products.tobytes()]),
+             pa.array([line.tobytes()]), pa.array([n], pa.int64()), pa.array([mark], pa.int64())],
+            names=["task", "products", "line", "n", "mark"],
+        )
+
+    rows = sentences.where("y = 0").mapInArrow(sums, "task long, products binary, line binary, n long, mark long").collect()
+    rows.sort(key=lambda r: r.task)
+    products, line = np.zeros((width + 1, width + 1)), np.zeros(width + 1)
+    for r in rows:
+        products += np.frombuffer(r.products).reshape(width + 1, -1)
+        line += np.frombuffer(r.line)
+    return products, line, sum(r.n for r in rows), [(r.task, r.mark) for r in rows]
+
+
+def _fit_machine(toxic: np.ndarray, sentences: DataFrame, half: np.ndarray, start, ridge: float = 1e-4) -> np.ndarray:
+    """Newton steps on the squared hinge loss, both classes with equal weight; the last weight is the bias.
+
+    Clean sentences stay in Spark, which sums them in each step; ``start`` holds their sums for weights of zero.
+    """
+    x = np.c_[toxic @ half, np.ones(len(toxic))]
+    cost, clean_cost = 0.5 / max(1, len(x)), 0.5 / max(1, start[2])
+    w, before = np.zeros(x.shape[1]), None
+    for step in range(40):
+        active = x @ w < 1
+        products, line, _, mark = _active_sums(sentences, half, w) if step else start
+        if before is not None and before[0] == mark and (before[1] == active).all():
+            break
+        before = mark, active
+        part = x[active] * cost
+        w = np.linalg.solve(
+            part.T @ x[active] + clean_cost * products + ridge * np.eye(len(w)), part.sum(0) - clean_cost * line
+        )
+    return w
+
+
+def _limits(words: DataFrame, land: Landmarks, per_landmark: np.ndarray, bias: float, n_clean: int) -> tuple[float, ...]:
+    """Values of words that clean texts exceed CLEAN_HITS times each. A task sends its highest words only."""
+    most = CLEAN_HITS[-1] * n_clean
+
+    def highest(value: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rank = np.argsort(-value, kind="stable")
+        rank = rank[: int(np.searchsorted(np.cumsum(count[rank]), most)) + 1]
+        use = (count[rank] > 0) | (np.arange(len(rank)) == len(rank) - 1)
+        return value[rank][use], count[rank][use]
+
+    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        value, count = np.empty(0), np.empty(0, np.int64)
+        for batch in batches:
+            own = land.values(batch.column("word").to_pylist()) @ per_landmark + bias
+            value, count = highest(np.r_[value, own], np.r_[count, batch.column("clean").to_numpy()])
+        yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(count)], names=["value", "n"])
+
+    rows = words.select("word", "clean").mapInArrow(top, "value double, n long").collect()
+    value, count = np.array([r.value for r in rows]), np.array([r.n for r in rows])
+    rank = np.argsort(-value, kind="stable")
+    passed = np.cumsum(count[rank]) / n_clean
+    return tuple(float(value[rank[min(int(np.searchsorted(passed, s)), len(rank) - 1)]]) for s in CLEAN_HITS)
+
+
+def train(texts: DataFrame, n: tuple[int, int]) -> Model:
+    """Fit on stored rows of ``owner``, ``t`` and ``y``, of which ``n`` are clean and toxic.
+
+    Whole texts are read in tasks. The driver gets the landmarks, sums of sentences, the two best sentences of toxic
+    texts, the words near the limits and the figures of each text.
+    """
+    prior = n[1] / sum(n) if sum(n) else 0.0
     flat = Model(np.zeros(1 << CODE_BITS, np.float32), 0.0, (), np.array([math.log((prior + 1e-3) / (1 - prior + 1e-3)), 0.0]))
-    if len(set(toxic.tolist())) < 2:
+    if not all(n):
         return flat
-    number: dict[str, int] = {}
-    sentences, text_of, seen = [], [], (Counter(), Counter())
-    for i, text in enumerate(texts):
-        met = set()
-        for sentence in re.split(r"[.!?\n]+", text):
-            points, offsets = characters([sentence])
-            starts, ends, _ = words_of(points, offsets)
-            joined = points.astype(np.uint32).tobytes()
-            words = [joined[4 * a : 4 * b].decode("utf-32-le") for a, b in zip(starts.tolist(), ends.tolist())]
-            if words:
-                sentences.append([number.setdefault(w, len(number)) for w in words])
-                text_of.append(i)
-                met.update(words)
-        seen[int(toxic[i])].update(met)
-    n = np.bincount(toxic, minlength=2)
-    odds = {w: c * math.log((c + 0.5) / n[1] * n[0] / (seen[0][w] + 0.5)) for w, c in seen[1].items() if len(w) > 2}
-    odds = {w: x for w, x in odds.items() if x > seen[1][w] * math.log(MIN_ODDS)}
-    marks = _apart(sorted(odds, key=lambda w: (-odds[w], w))[: 16 * TOXIC_LANDMARKS])
+    words = texts.select("t", "y").mapInArrow(_word_counts, "word string, clean long, toxic long")
+    words = checkpointed(words.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
+    c, long_enough = F.col("toxic"), words.where(F.length("word") > 2)
+    odds = c * F.log((c + 0.5) / F.lit(n[1]) * F.lit(n[0]) / (F.col("clean") + 0.5))
+    toxic_words = long_enough.where((c > 0) & (odds > c * math.log(MIN_ODDS))).orderBy(odds.desc(), "word")
+    marks = _apart([r.word for r in toxic_words.select("word").limit(16 * TOXIC_LANDMARKS).collect()])
     toxic_marks = len(marks)
-    marks += [w for w, _ in sorted(seen[0].items(), key=lambda x: (-x[1], x[0])) if len(w) > 2][:CLEAN_LANDMARKS]
+    clean_words = long_enough.where("clean > 0").orderBy(F.col("clean").desc(), "word")
+    marks += [r.word for r in clean_words.select("word").limit(CLEAN_LANDMARKS).collect()]
     if not marks:
         return flat
     land = Landmarks(list(dict.fromkeys(marks)))
-    value = land.values(list(number))
-    flat_words = np.fromiter((w for s in sentences for w in s), np.int64)
-    heads = np.r_[0, np.cumsum([len(s) for s in sentences])][:-1]
-    z = np.concatenate(
-        [
-            np.maximum.reduceat(value[flat_words[heads[a] : (heads[b] if b < len(heads) else None)]], heads[a:b] - heads[a])
-            for a in range(0, len(heads), 20_000)
-            for b in [min(a + 20_000, len(heads))]
-        ]
+    width = len(land.words)
+    sentences = checkpointed(
+        texts.mapInArrow(_landmark_values(land), "owner long, part long, y int, z binary")
     )
     root, vectors = np.linalg.eigh(land.matrix)
     half = (vectors / np.sqrt(np.maximum(root, 1e-2))) @ vectors.T
-    x, owner = z @ half, np.array(text_of)
-    bad = toxic[owner] == 1
-    strength = value[:, :toxic_marks].max(1, initial=0)[flat_words]
-    score = np.maximum.reduceat(strength, heads)
-    w, b = np.zeros(x.shape[1]), 0.0
-    for _ in range(ROUNDS):
-        order = np.lexsort((-score, owner))
-        place = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
-        chosen = np.zeros(len(owner), bool)
-        chosen[order[place < 2]] = True
-        use = (chosen & bad) | ~bad
-        w, b = _fit_machine(x[use], np.where(bad[use], 1.0, -1.0))
-        score = x @ w + b
-    per_landmark = half @ w
+    w, start = np.zeros(width + 1), _active_sums(sentences, half, np.zeros(width + 1))
+    for turn in range(ROUNDS):
+        at = half @ w[:-1]
+        best = _two_best(sentences, (lambda z, at=at: z @ at) if turn else (lambda z: z[:, :toxic_marks].max(1, initial=0)), width)
+        w = _fit_machine(best, sentences, half, start)
+    per_landmark, bias = half @ w[:-1], float(w[-1])
     weights = np.zeros(1 << CODE_BITS, np.float32)
     known = land.row > 0
     weights[known] = (land.table @ per_landmark)[land.row[known]]
-    alone = value @ per_landmark + b
-    often = np.zeros(len(number))
-    often[[number[k] for k in seen[0]]] = list(seen[0].values())
-    rank = np.argsort(-alone)
-    passed = np.cumsum(often[rank]) / n[0]
-    limits = (alone[rank[min(int(np.searchsorted(passed, share)), len(rank) - 1)]] for share in CLEAN_HITS)
-    model = Model(weights, b, tuple(float(x) for x in limits), flat.curve)
-    figures = np.concatenate([model.figures(texts[i : i + 500]) for i in range(0, len(texts), 500)])
-    return replace(model, curve=_fit_curve(figures, toxic.astype(float)))
+    model = Model(weights, bias, _limits(words, land, per_landmark, bias, n[0]), flat.curve)
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+
+    def figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high in textops.slices(textops.flat(batch.column("t"))[1]):
+                own = shared.value.figures(batch.column("t").slice(low, high - low).to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(c).slice(low, high - low) for c in ("owner", "y")] + [pa.array(list(own))],
+                    names=["owner", "y", "x"],
+                )
+
+    rows = sorted(texts.mapInArrow(figures, "owner long, y int, x array<double>").collect())
+    return replace(model, curve=_fit_curve(np.array([r.x for r in rows]), np.array([float(r.y) for r in rows])))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -332,7 +472,10 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
         per_class: int = PER_CLASS) -> Model:
-    """Train on at most ``per_class`` texts of each class, cut at SAMPLE_BYTES, from rows that aren't held out."""
+    """Train on about ``per_class`` whole texts of each class at most, from rows that aren't held out.
+
+    Rows that share an id are texts of their own; where they make it over four times as many rows, a sample of these trains.
+    """
     known = labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{label}`").cast("int").alias("y"))
     known = known.where(F.col("y").isin(0, 1) & ~held_out(F.col("id")) & F.col("id").isNotNull())
     counts = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -342,13 +485,19 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         for y, n in sorted(counts.items())
     ]
     if not some:
-        return train([], np.empty(0, np.int64))
-    picked = some[0].unionAll(some[-1]) if len(some) > 1 else some[0]
-    body = F.substring(F.coalesce(F.col(f"`{text}`"), F.lit("")), 1, SAMPLE_BYTES).alias("t")
+        return train(docs, (0, 0))
+    picked = checkpointed(some[0].unionAll(some[-1]) if len(some) > 1 else some[0])
+    body = F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t")
     # At most 2 * per_class rows of ids are broadcast.
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), body).join(F.broadcast(picked), "id")
-    rows = sorted((r.id, r.t, r.y) for r in rows.limit(4 * per_class).collect())
-    return train([t for _, t, _ in rows], np.array([y for _, _, y in rows], np.int64))
+    found = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("t")).alias("size")).first()
+    share = min(1.0, 4 * per_class / max(found.n, 1))
+    rows = rows.sample(share, seed=7) if share < 1 else rows
+    parts = int(min(MOST_PARTS, max(LEAST_PARTS, (found.size or 0) * share // PART_BYTES)))
+    rows = rows.repartition(parts).select(F.monotonically_increasing_id().alias("owner"), "t", "y")
+    rows = checkpointed(rows)
+    n = {r.y: r.n for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return train(rows, (n.get(0, 0), n.get(1, 0)))
 
 
 def scored(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

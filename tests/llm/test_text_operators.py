@@ -295,6 +295,26 @@ def test_toxicity(spark, docs, no_docs, lone_docs):
     assert {round(r.score, 6) for r in toxicity.scored(df, none).collect()} == {round(1e-3 / 1.002, 6)}
 
 
+def test_toxicity_learns_from_the_end_of_long_texts(spark):
+    rng = random.Random(6)
+    vocabulary = prose(rng, 200).split(" ")
+    texts, toxic = [], []
+    for i in range(90):
+        words = [f"{rng.choice(vocabulary)}{'.' * (k % 15 == 14)}" for k in range(6000)]
+        assert len(" ".join(words[:5900])) > 20_000
+        if i % 3 == 0:
+            for w in rng.sample(["stupid", "moron", "worthless", "clownish"], 3):
+                words[rng.randrange(5900, 6000)] = w
+        texts.append(" ".join(words))
+        toxic.append(int(i % 3 == 0))
+    df = frame(spark, texts)
+    labels = spark.createDataFrame([(i + 1, t) for i, t in enumerate(toxic)], "doc_id long, toxic int")
+    model = toxicity.fit(df, labels)
+    value = {w: model.words([w])[0].max() for w in ("stupid", "moron", "worthless", "clownish", *vocabulary)}
+    assert min(value[w] for w in ("stupid", "moron", "worthless", "clownish")) > 0.5
+    assert np.mean([value[w] < 0 for w in vocabulary]) > 0.9
+
+
 def test_weak_quality(spark, docs, no_docs, lone_docs):
     rng = random.Random(8)
     good = [prose(rng, rng.randint(30, 120)) for _ in range(200)]
