@@ -3,7 +3,7 @@
 Overlapping heuristic labellers vote good, bad or nothing on every whole text. Spark counts the vote patterns over all
 rows (three to the number of labellers at most), and expectation-maximisation estimates from the counts how often each
 labeller votes what on good and on bad texts, without any true label. The posterior of a text's pattern is its soft
-label, and a hashed linear scorer learns these on at most ``SAMPLE_ROWS`` rows. The scorer sees word shapes, not the
+label, and a hashed linear scorer learns these on at most ``SAMPLE_ROWS`` whole texts. The scorer sees word shapes, not the
 labellers' figures, so it also judges texts on which the labellers are silent or disagree.
 
 Null and empty texts get the votes and features of a text without words. Repeated rows are judged alike. Other columns
@@ -26,7 +26,6 @@ from ledgergrain.llm import textops
 from ledgergrain.llm.quality_rules import Texts
 
 SAMPLE_ROWS = 6000
-SAMPLE_BYTES = 20_000
 HASH_BITS = 12
 ROUNDS = 200
 #: Words added to the length when shares are taken, so that few words say little.
@@ -142,10 +141,12 @@ def features(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return who, (textops.mix(what.astype(np.uint64)) >> np.uint64(64 - HASH_BITS)).astype(np.int64), value
 
 
-def matrix(texts: Texts) -> np.ndarray:
+def sparse(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets of each text, and its hashed features with their summed values."""
     who, what, value = features(texts)
-    flat = np.bincount((who << HASH_BITS) + what, value, minlength=texts.n << HASH_BITS)
-    return flat.reshape(texts.n, 1 << HASH_BITS)
+    keys, at = np.unique((who << HASH_BITS) + what, return_inverse=True)
+    sums = np.bincount(at, value, minlength=len(keys)).astype(np.float32)
+    return np.searchsorted(keys, np.arange(texts.n + 1) << HASH_BITS), (keys & (1 << HASH_BITS) - 1).astype(np.int32), sums
 
 
 @dataclass(frozen=True)
@@ -200,13 +201,22 @@ def fit(docs: DataFrame, text: str = "text", labellers=LABELLERS, sample_rows: i
     codes, counts = np.array([r.code for r in rows], np.int64), np.array([r.n for r in rows], np.int64)
     good = dict(zip(codes.tolist(), posteriors(codes, counts, len(labellers)).tolist()))
     share = min(1.0, 1.2 * sample_rows / max(int(counts.sum()), 1))
-    sample = body.sample(share, seed=11).where(F.coalesce(F.octet_length("t"), F.lit(0)) <= SAMPLE_BYTES)
-    picked = pa.array([r.t for r in sample.limit(sample_rows).collect()], pa.string())
-    x, y = [np.zeros((0, 1 << HASH_BITS), np.float32)], [np.empty(0)]
-    for part in _texts(picked):
-        x.append(matrix(part).astype(np.float32))
-        y.append(np.array([good.get(c, 0.5) for c in patterns(part, labellers).tolist()]))
-    return train(np.concatenate(x), np.concatenate(y))
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _texts(batch.column("t")):
+                offsets, what, value = sparse(part)
+                offsets = pa.array(offsets, pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (what, value)]
+                yield pa.RecordBatch.from_arrays([pa.array(patterns(part, labellers)), *lists], names=["code", "what", "value"])
+
+    # Whole texts stay in the tasks; the driver gets 2 ** HASH_BITS features of a row at most.
+    sample = body.sample(share, seed=11).mapInArrow(sampled, "code long, what array<int>, value array<float>")
+    rows = sample.limit(sample_rows).collect()
+    x, y = np.zeros((len(rows), 1 << HASH_BITS), np.float32), np.array([good.get(r.code, 0.5) for r in rows])
+    for i, r in enumerate(rows):
+        x[i, r.what] = r.value
+    return train(x, y)
 
 
 def scored(docs: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame:

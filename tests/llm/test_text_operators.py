@@ -330,6 +330,17 @@ def test_weak_quality(spark, docs, no_docs, lone_docs):
     assert weak_quality.scored(no_docs, scorer).count() == 0
 
 
+def test_weak_quality_learns_from_long_texts(spark):
+    rng = random.Random(9)
+    good = [prose(rng, 5000) for _ in range(24)]
+    bad = [prose(rng, 4500).upper().replace(" ", "!! ") for _ in range(4)]
+    bad += [prose(rng, 4500).replace(" ", "### ") for _ in range(4)]
+    assert min(len(t) for t in good + bad) > 20_000
+    df = frame(spark, good + bad)
+    rows = {r.doc_id: r for r in weak_quality.scored(df, weak_quality.fit(df)).collect()}
+    assert all(rows[i].kept == (i <= 24) for i in rows) and len({r.score for r in rows.values()}) > 8
+
+
 def test_expectation_maximisation_trusts_the_better_labeller():
     rng = np.random.default_rng(2)
     truth = rng.random(20_000) < 0.7
