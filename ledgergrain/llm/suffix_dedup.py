@@ -1,16 +1,14 @@
-"""Suffix-array dedup of byte strings by bucket-pointer refinement.
+"""Dedup of byte strings by hashes of all their windows, in two counted rounds.
 
 ``remove_repeats(docs)`` removes every byte that a string of ``width`` bytes covers which also starts anywhere else,
-in the same or another text. The suffixes of all texts are put into buckets by a q-gram at first; a bucket is then
-refined by sorting on the bucket identifiers at later offsets, and refined identifiers serve the next, doubled length:
-q, 2q, 4q, up to ``width`` bytes. A bucket with one suffix is settled and takes no further part.
-
-* Bucket identifiers are 64-bit values of the bytes, so that a worker finds the identifier at a later offset, and
-  those of doubled lengths, without asking others. Whether a bucket holds one suffix or more is counted by Spark over
-  all blocks (``repeats``).
-* The q-gram round needs only one suffix of each string: the one with the least identifier. Equal strings have it at
-  the same place, so a string whose least q-gram is alone in its bucket is unique; about one suffix in 150 is sent.
-* The last round sorts the identifiers of ``width`` bytes of all suffixes that are left.
+in the same or another text. Hashing stands in for the bucket-pointer refinement of a suffix array: suffixes aren't
+sorted, and there are no counted rounds between ``gram`` and ``width`` bytes.
+
+* Identifiers are 64-bit values of the bytes, so that a worker composes those of ``width`` bytes from those of grams
+  without asking others. Whether an identifier occurs once or more is counted by Spark over all blocks (``repeats``).
+* The gram round needs only one suffix of each string: the one with the least identifier. Equal strings have it at
+  the same place, so a string whose least gram occurs once is unique; about one suffix in 150 is sent.
+* The last round counts the identifiers of ``width`` bytes of all suffixes that are left.
 
 Null and empty texts are empty byte strings. Repeated rows are repeats of each other. Other columns pass unchanged;
 ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept`` (binary, as a cut may split a character) replace columns of these
