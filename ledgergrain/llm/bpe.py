@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with length-bucketed padded numpy matrices.
 
 ``encode`` splits every whole text by a pattern and encodes each match by merge ranks; ``decode`` turns ids back into
-bytes. Distinct pieces that a worker hasn't met lately go through ``Encoder.merge``: pieces of like length share a
+bytes; ``round_trip`` does both in one worker, which then holds one set of vocabulary tables. Distinct pieces that a worker hasn't met lately go through ``Encoder.merge``: pieces of like length share a
 padded matrix, every row merges its leftmost pair of lowest rank each round, the row's other cells close up, and
 finished rows leave the matrix. Pair ranks come from an open-addressed hash table that is probed for all rows at once;
 only the two pairs beside a merge are looked up again. A piece of over ``MATRIX_BYTES`` bytes is merged by a heap, which
@@ -30,8 +30,8 @@ from ledgergrain.llm import textops
 
 MATRIX_BYTES = 512
 CACHED_PIECES = 150_000
-#: What a worker keeps between tasks.
-KEPT_PIECES = 20_000
+#: Cells of a matrix; the work arrays of a merge are about ten times as large.
+MATRIX_CELLS = 1 << 18
 SLICE_BYTES = 1 << 20
 NONE = np.int32(2**31 - 1)
 _EMPTY = np.uint64(2**64 - 1)
@@ -74,10 +74,14 @@ class PairTable:
         return out.reshape(keys.shape)
 
 
+def token_ranks(rank_file: bytes) -> dict[bytes, int]:
+    pairs = (line.split() for line in rank_file.splitlines() if line.strip())
+    return {base64.b64decode(token): int(rank) for token, rank in pairs}
+
+
 class Encoder:
     def __init__(self, rank_file: bytes, pattern: str):
-        pairs = (line.split() for line in rank_file.splitlines() if line.strip())
-        self.ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
+        self.ranks = token_ranks(rank_file)
         self.split = regex.compile(pattern).findall
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         merges = {}
@@ -112,7 +116,7 @@ class Encoder:
             else:
                 buckets.setdefault(int(_WIDTHS[np.searchsorted(_WIDTHS, len(raw))]), []).append((p, raw))
         for width, members in buckets.items():
-            step = max(1, (1 << 20) // width)
+            step = max(1, MATRIX_CELLS // width)
             for at in range(0, len(members), step):
                 part = members[at : at + step]
                 self.cache.update(zip((p for p, _ in part), self.merge([raw for _, raw in part], width)))
@@ -183,35 +187,22 @@ class Encoder:
                     heapq.heappush(heap, (r, left, ids[left], ids[right]))
         return [x for x in ids if x is not None]
 
-    def rest(self) -> None:
-        """Let a large cache go at the end of a task: idle workers share the executor's memory with other jobs."""
-        if len(self.cache) > KEPT_PIECES:
-            self.cache = {}
+    def ids(self, texts: Iterable[str]) -> list[bytes]:
+        """The ids of each text."""
+        cut = self.pieces(texts)
+        return [b"".join(map(self.cache.__getitem__, c)) for c in cut]
 
 
 class Decoder:
     """The bytes of every id."""
 
-    def __init__(self, rank_file: bytes):
-        pairs = (line.split() for line in rank_file.splitlines() if line.strip())
-        self.words = {int(rank): base64.b64decode(token) for token, rank in pairs}
+    def __init__(self, ranks: dict[bytes, int]):
+        self.words = {rank: token for token, rank in ranks.items()}
 
     def decoded(self, ids: bytes) -> bytes:
         return b"".join(map(self.words.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_READY: dict[tuple[int, str], Encoder] = {}
-
-
-def encoder(rank_file: bytes, pattern: str) -> Encoder:
-    """The worker's encoder of a rank file; the last one is kept between tasks."""
-    key = (hash(rank_file), pattern)
-    if key not in _READY:
-        _READY.clear()
-        _READY[key] = Encoder(rank_file, pattern)
-    return _READY[key]
-
-
 def _sized(batch: pa.RecordBatch, lengths: np.ndarray) -> Iterator[pa.RecordBatch]:
     offsets = np.r_[0, np.cumsum(lengths)]
     for low, high in textops.slices(offsets, SLICE_BYTES):
@@ -222,29 +213,41 @@ def _bytes_of(column: pa.Array) -> np.ndarray:
     return np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64)
 
 
-def encode(docs: DataFrame, rank_path: str, pattern: str, text: str = "text") -> DataFrame:
-    """All rows with ``n_tokens`` and ``token_ids``."""
-    docs = docs.drop("n_tokens", "token_ids")
+def _coded(docs: DataFrame, rank_path: str, pattern: str, text: str, to: str | None) -> DataFrame:
+    new = [T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.BinaryType())]
+    new += [T.StructField(to, T.BinaryType())] if to else []
+    docs = docs.drop(*(f.name for f in new))
     with open(rank_path, "rb") as f:
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(ranks.value, pattern)
+        own = Encoder(ranks.value, pattern)
+        back = Decoder(own.ranks) if to else None
         for whole in batches:
             for batch in _sized(whole, _bytes_of(whole.column(text))):
-                cut = own.pieces(t or "" for t in batch.column(text).to_pylist())
-                ids = [b"".join(map(own.cache.__getitem__, c)) for c in cut]
-                counts = pa.array([len(i) // 4 for i in ids], pa.int64())
+                ids = own.ids(t or "" for t in batch.column(text).to_pylist())
+                columns = [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())]
+                if back:
+                    columns.append(pa.array(map(back.decoded, ids), pa.binary()))
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, counts, pa.array(ids, pa.binary())],
-                    names=[*batch.schema.names, "n_tokens", "token_ids"],
+                    [*batch.columns, *columns], names=[*batch.schema.names, *(f.name for f in new)]
                 )
-        own.rest()
+        del own, back
+        textops.give_back()
 
-    new = [T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.BinaryType())]
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *new]))
 
 
+def encode(docs: DataFrame, rank_path: str, pattern: str, text: str = "text") -> DataFrame:
+    """All rows with ``n_tokens`` and ``token_ids``."""
+    return _coded(docs, rank_path, pattern, text, None)
+
+
+def round_trip(docs: DataFrame, rank_path: str, pattern: str, text: str = "text", to: str = "decoded") -> DataFrame:
+    """All rows with ``n_tokens``, ``token_ids`` and, in column ``to``, the bytes that the ids stand for."""
+    return _coded(docs, rank_path, pattern, text, to)
+
+
 def decode(tokens: DataFrame, rank_path: str, ids: str = "token_ids", to: str = "decoded") -> DataFrame:
     """All rows with the bytes that the ids stand for in column ``to``; null ids give null."""
     tokens = tokens.drop(to)
@@ -252,7 +255,7 @@ def decode(tokens: DataFrame, rank_path: str, ids: str = "token_ids", to: str =
         ranks = tokens.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Decoder(ranks.value)
+        own = Decoder(token_ranks(ranks.value))
         for whole in batches:
             for batch in _sized(whole, _bytes_of(whole.column(ids))):
                 out = [None if i is None else own.decoded(i) for i in batch.column(ids).to_pylist()]

@@ -219,5 +219,6 @@ def filtered(docs: DataFrame, cascade: Cascade, text: str = "text") -> DataFrame
         for batch in batches:
             ok = [cascade.kept(p) for p in _parts(batch.column(text))]
             yield batch.filter(pa.array(np.concatenate([np.empty(0, bool), *ok]), pa.bool_()))
+        textops.give_back()
 
     return docs.mapInArrow(keep, docs.schema)

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgergrain.llm import textops
+
 BLOCK_BYTES = 4 << 20
 GROUP_KEYS = 1 << 20
 
@@ -156,11 +158,12 @@ def shared(
     if before is None:
         none = pa.schema([("block", pa.int64()), ("prefix", pa.int64()), ("level", pa.int64()), ("flags", pa.binary())])
         send = _sent(blocks.bits, own, level, keys_of)
-        rows = blocks.frame.groupBy(own).applyInArrow(lambda table: send(table, none.empty_table()), sent)
+        alone = textops.giving_back(lambda table: send(table, none.empty_table()), 1)
+        rows = blocks.frame.groupBy(own).applyInArrow(alone, sent)
     else:
         rows = _joined(blocks, before).applyInArrow(_renamed(_sent(blocks.bits, own, level, keys_of)), sent)
     return rows.groupBy("prefix").applyInArrow(
-        _answer(level, counted), "block long, prefix long, level long, flags binary"
+        textops.giving_back(_answer(level, counted), 1), "block long, prefix long, level long, flags binary"
     )
 
 
@@ -172,7 +175,7 @@ def _joined(blocks: Blocks, answers: DataFrame):
 
 def _renamed(function):
     names = ["block", "prefix", "level", "flags"]
-    return lambda table, answers: function(table, answers.rename_columns(names))
+    return textops.giving_back(lambda table, answers: function(table, answers.rename_columns(names)), 2)
 
 
 def repeated(keys: np.ndarray, answers: pa.Table, bits: int, level: int = 0) -> np.ndarray:

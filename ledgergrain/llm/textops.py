@@ -7,6 +7,7 @@ Rabin-Karp hashes are polynomials modulo 2**64 with odd bases. They are read off
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,37 @@ _LOWER[65:91] += 32
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def give_back() -> None:
+    """Let the tables of powers go and return freed memory to the system.
+
+    Workers stay between tasks and share the executor's memory with the JVM and with the workers of other stages.
+    """
+    _POWERS.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only glibc has it
+        pass
+
+
+def giving_back(function, tables: int):
+    """The function of one or two tables, with memory returned after each call."""
+
+    def of_one(table: pa.Table) -> pa.Table:
+        try:
+            return function(table)
+        finally:
+            give_back()
+
+    def of_two(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return function(left, right)
+        finally:
+            give_back()
+
+    return of_one if tables == 1 else of_two
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values (the finaliser of splitmix64)."""
     x = x.astype(np.uint64, copy=True)
