@@ -1,6 +1,9 @@
 """A corpus pipeline of the text operators: stages over ``documents``, each stored before the next one reads it.
 
 Every stage but the last returns the columns of ``documents``. The rows of each stage are the whole input of the next.
+Null and empty texts have no words, so the quality rules reject them; called alone, the later stages keep them as empty
+texts. Texts are never cut by length. Equal texts are copies, whatever their ids; ties go to the smaller key. An empty
+table passes every stage as an empty table.
 """
 
 from __future__ import annotations
@@ -9,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgergrain.llm import bpe, ngram_join, quality_rules, queries, substring_dedup
+from ledgergrain.llm import bpe, components, ngram_join, quality_rules, queries, repeats, substring_dedup
 from ledgergrain.session import run_folder
 
 
@@ -18,12 +21,31 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality_rules.filtered(docs, quality_rules.Cascade.fit(docs))
 
 
+def _with_keys(docs: DataFrame, key: str) -> DataFrame:
+    """The rows with a key of their own: the id where it is alone, else a number beyond all ids.
+
+    Only rows without id or with a shared one are stored with their numbers, so that a lost executor changes none.
+    """
+    ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
+    low, high = ids.agg(F.min("doc_id"), F.max("doc_id")).first()
+    number = F.monotonically_increasing_id()
+    beyond = F.lit(low or 0) - 1 - number if (high or 0) > 1 << 62 else F.lit(high or 0) + 1 + number
+    twice = ids.where("_rows > 1 AND doc_id IS NOT NULL").select("doc_id")
+    odd = docs.join(twice, "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    alone = docs.where("doc_id IS NOT NULL").join(twice, "doc_id", "left_anti").select(docs.columns)
+    return alone.withColumn(key, F.col("doc_id")).unionByName(components.stored(odd.withColumn(key, beyond), "odd"))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id, once; rows without id stay."""
-    groups = ngram_join.joined(docs)
-    first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    """Of each group of near copies one document, that with the smallest id where ids are unique.
+
+    Rows that share an id, or have none, are documents of their own. Texts without words have no copies and stay.
+    """
+    key = repeats.fresh(docs, "row")
+    keyed = _with_keys(docs, key)
+    groups = ngram_join.joined(keyed, key)
+    first = groups.where(F.col(key) == F.col("component_id")).select(key)
+    return keyed.join(first, key, "left_semi").select(docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +62,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of every document, with the number of tokens and the digest of the text decoded from them."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, pattern).drop("text")
     decoded = F.sha2(F.col("decoded"), 256).alias("decoded_sha256")
-    return bpe.decode(ids, path).select("doc_id", "lang", "source", "n_tokens", "token_ids", decoded)
+    coded = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), path, pattern)
+    return coded.select("doc_id", "lang", "source", "n_tokens", "token_ids", decoded)
 
 
 STAGES = [
