@@ -30,7 +30,8 @@ def _with_keys(docs: DataFrame, key: str) -> DataFrame:
     low, high = ids.agg(F.min("doc_id"), F.max("doc_id")).first()
     number = F.monotonically_increasing_id()
     beyond = F.lit(low or 0) - 1 - number if (high or 0) > 1 << 62 else F.lit(high or 0) + 1 + number
-    twice = ids.where("_rows > 1 AND doc_id IS NOT NULL").select("doc_id")
+    # Stored, so Spark knows its size and need not shuffle the texts to find that few ids are shared.
+    twice = components.stored(ids.where("_rows > 1 AND doc_id IS NOT NULL").select("doc_id"), "shared-ids")
     odd = docs.join(twice, "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
     alone = docs.where("doc_id IS NOT NULL").join(twice, "doc_id", "left_anti").select(docs.columns)
     return alone.withColumn(key, F.col("doc_id")).unionByName(components.stored(odd.withColumn(key, beyond), "odd"))
