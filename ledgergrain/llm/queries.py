@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from ledgergrain.llm import bpe, kd_shards, mixing, ngram_join, quality_rules, substring_dedup, suffix_dedup
-from ledgergrain.llm import topk, toxicity, weak_quality
+from ledgergrain.llm import bpe, decontaminate, kd_shards, merkle, mixing, ngram_join, periodic_runs, quality_rules
+from ledgergrain.llm import substring_dedup, suffix_dedup, topk, toxicity, weak_quality
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -90,6 +90,60 @@ def op10_weak_quality(spark: SparkSession, folder: str) -> DataFrame:
     return weak_quality.scored(docs, weak_quality.fit(docs)).select("doc_id", "score", "kept")
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Every tenth text, by a checksum of its id, with its words from some place on in a cycle."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
+    n = F.greatest(F.size("w"), F.lit(1))
+    p = (1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))).cast("int")
+    chosen = docs.select("doc_id", "text", g.alias("g"), F.when(h % 10 == 0, words).alias("w"))
+    placed = chosen.withColumn("a", (F.col("g") % n).cast("int")).withColumn("p", p)
+    cycle = F.slice("w", F.col("a") + 1, F.col("p"))
+    turns = F.ceil((n - F.col("a")) / F.col("p")).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(cycle, turns)), F.lit(1), n - F.col("a"))
+    changed = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), tail), " ")
+    return placed.select("doc_id", F.when(F.size("w") > 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = with_planted_runs(table(spark, folder, "documents").select("doc_id", "text"))
+    found = periodic_runs.find(docs).select("doc_id", "runs", "collapsed")
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    # Runs come by start and period, so of equal exponents the first stays.
+    best = F.aggregate(
+        "runs", F.get("runs", F.lit(0)),
+        lambda a, r: F.when(r["length"] * a["period"] > a["length"] * r["period"], r).otherwise(a),
+    )
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(line, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return decontaminate.find(docs, table(spark, folder, "benchmark")).drop("text")
+
+
+MANIFEST_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select(*MANIFEST_FIELDS)
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    lower = F.translate("text", decontaminate.UPPER, decontaminate.LOWER)
+    text = merkle.encoded(F.when(tampered, lower).otherwise(F.col("text")))
+    claim = merkle.digest(*[merkle.encoded(F.col(f)) for f in MANIFEST_FIELDS[:-1]], text)
+    return merkle.proved(merkle.build(docs, MANIFEST_FIELDS, "source", "doc_id", ["doc_id"], claim))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_substring_dedup": op2_substring_dedup,
@@ -101,6 +155,9 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_weak_quality": op10_weak_quality,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_decontamination": op12_decontamination,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 #: Words of each text as a list; a text without words gives an empty list.
@@ -189,10 +246,106 @@ SELECT doc_id, length(d.x) // 2 AS n_bytes, coalesce(n, 0) AS n_removed, coalesc
 FROM d LEFT JOIN kept USING (r) LEFT JOIN sums USING (r)
 """
 
+#: CRC-32 of the decimal id, bit by bit: each character enters with the first of its eight steps.
+_CRC = (
+    "xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), "
+    "lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), "
+    "lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1))), 4294967295)"
+)
+
+_OP11 = rf"""
+WITH h AS (SELECT row_number() OVER () AS r, doc_id, {_CRC} AS h, {_WORDS} AS w FROM documents),
+g AS (SELECT *, len(w) AS n, h // 10 AS g, (h // 10) % greatest(len(w), 1) AS a FROM h),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM g),
+d AS (SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+  THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w FROM p),
+word AS (SELECT r, unnest(w) AS x, unnest(range(n)) AS i FROM d),
+q AS (SELECT r, n, unnest(range(1, n // 4 + 1)) AS q FROM d),
+k AS (SELECT r, q, unnest(range((n - 1) // q)) AS k FROM q),
+same AS (SELECT k.r, q, k FROM k JOIN word a ON a.r = k.r AND a.i = k * q JOIN word b ON b.r = k.r AND b.i = k * q + q
+         WHERE a.x = b.x),
+hope AS (SELECT DISTINCT x.r, x.q FROM same x JOIN same y ON y.r = x.r AND y.q = x.q AND y.k = x.k + 1
+         JOIN same z ON z.r = x.r AND z.q = x.q AND z.k = x.k + 2),
+cut AS (SELECT hope.r, q, a.i FROM hope JOIN word a ON a.r = hope.r JOIN word b ON b.r = a.r AND b.i = a.i + q
+        WHERE a.x <> b.x UNION ALL SELECT r, q, -1 FROM hope
+        UNION ALL SELECT hope.r, q, n - q FROM hope JOIN d ON d.r = hope.r),
+gap AS (SELECT r, q, lag(i) OVER (PARTITION BY r, q ORDER BY i) + 1 AS start, i AS stop FROM cut),
+run AS (SELECT r, start, stop - start + q AS length, min(q) AS period FROM gap
+        WHERE stop - start + q >= greatest(6, 4 * q) GROUP BY 1, 2, 3),
+gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM run),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY i) AS t FROM word ANTI JOIN gone USING (r, i) GROUP BY r),
+best AS (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY r ORDER BY length / period DESC, start, period) = 1),
+list AS (SELECT r, count(*) AS n, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS t
+         FROM run GROUP BY r)
+SELECT doc_id, coalesce(list.n, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+  sha256(coalesce(list.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+FROM d LEFT JOIN list USING (r) LEFT JOIN best USING (r) LEFT JOIN kept USING (r)
+"""
+
+_LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = rf"regexp_extract_all(coalesce({_LOW}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+_OP12 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {_TERMS} AS w FROM benchmark),
+win AS (SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS s FROM (
+  SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+pos AS (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n),
+hit AS (SELECT r, i, n, item FROM (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM pos) JOIN win USING (n, s)),
+cov AS (SELECT r, count(DISTINCT i) AS n FROM (SELECT r, unnest(range(i, i + n)) AS i FROM hit) GROUP BY r),
+who AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS t FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(cov.n, 0) AS n_hit, coalesce(who.n, 0) AS n_items,
+  sha256(coalesce(who.t, '')) AS items_sha256, coalesce(cov.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN cov USING (r) LEFT JOIN who USING (r)
+"""
+
+
+def _coded(value: str) -> str:
+    return f"coalesce(strlen(({value})::VARCHAR) || ':' || ({value})::VARCHAR, '-')"
+
+
+#: Levels of nodes upwards from ``leaf`` (t, i, h), as long as a tree has several nodes.
+_LEVELS = """{up} AS (SELECT t, 0 AS l, i, h FROM {leaf} UNION ALL
+  SELECT t, l + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)) FROM (
+    SELECT *, max(i) OVER (PARTITION BY t) AS m FROM {up}) WHERE m > 0 GROUP BY t, l, i // 16)"""
+#: The siblings of each leaf (t, i) by level, with which of them stand left.
+_SIBLINGS = """SELECT leaf.t, leaf.i, l, coalesce(string_agg(u.h, '' ORDER BY u.i) FILTER (u.i < (leaf.i >> (4 * l))), '') AS a,
+  coalesce(string_agg(u.h, '' ORDER BY u.i) FILTER (u.i > (leaf.i >> (4 * l))), '') AS b
+  FROM {leaf} leaf JOIN {up} u ON u.t = leaf.t AND (u.i >> 4) = (leaf.i >> (4 * u.l + 4))
+  JOIN (SELECT t, max(l) AS top FROM {up} GROUP BY t) m ON m.t = u.t WHERE l < top GROUP BY 1, 2, 3"""
+
+_OP13 = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, source,
+  sha256({" || ".join(map(_coded, MANIFEST_FIELDS))}) AS h, sha256({" || ".join(map(_coded, MANIFEST_FIELDS[:-1]))} || {
+    _coded(f"CASE WHEN {_CRC} % 5 = 0 THEN {_LOW} ELSE text END")
+}) AS claim FROM documents),
+s AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS t FROM (SELECT DISTINCT source FROM d)),
+leaf AS (SELECT r, doc_id, claim, t, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, h) - 1 AS i, h
+         FROM d JOIN s ON s.source IS NOT DISTINCT FROM d.source),
+{_LEVELS.format(up="up", leaf="leaf")},
+sub AS (SELECT 0 AS t, t AS i, arg_max(h, l) AS h FROM up GROUP BY up.t),
+{_LEVELS.format(up="top", leaf="sub")},
+near AS ({_SIBLINGS.format(leaf="leaf", up="up")}),
+far AS ({_SIBLINGS.format(leaf="sub", up="top")}),
+path AS (SELECT t, i, 0 AS part, l, a, b FROM near
+         UNION ALL SELECT leaf.t, leaf.i, 1, l, a, b FROM leaf JOIN far ON far.i = leaf.t),
+way AS (SELECT t, i, string_agg(a || b, '' ORDER BY part, l) AS every, list(a || '|' || b ORDER BY part, l) AS steps
+        FROM path GROUP BY t, i),
+root AS (SELECT arg_max(h, l) AS root FROM top),
+f AS (SELECT doc_id, leaf.h AS leaf, sub.h AS subroot, root, sha256(coalesce(every, '')) AS proof_sha256,
+  list_reduce(list_prepend(claim, coalesce(steps, [])),
+    lambda a, x: sha256(split_part(x, '|', 1) || a || split_part(x, '|', 2))) AS folded_root
+  FROM leaf JOIN sub ON sub.i = leaf.t LEFT JOIN way ON way.t = leaf.t AND way.i = leaf.i, root)
+SELECT *, folded_root = root AS verified FROM f
+"""
+
 ORACLES = {
     "op5_ngram_join": _OP5,
     "op8_suffix_dedup": _OP8,
     "op7_exact_topk": _OP7,
     "op1_quality_rules": _OP1,
     "op2_substring_dedup": _OP2,
+    "op11_periodic_runs": _OP11,
+    "op12_decontamination": _OP12,
+    "op13_merkle_manifest": _OP13,
 }

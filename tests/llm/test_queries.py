@@ -24,7 +24,7 @@ def plain(columns, rows):
 def test_query_equals_sql(spark, name):
     df = queries.QUERIES[name](spark, FOLDER)
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "labels"):
+    for t in ("documents", "embeddings", "labels", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{FOLDER}/{t}.parquet')")
     cursor = con.execute(queries.ORACLES[name])
     names = [c[0] for c in cursor.description]
@@ -34,4 +34,4 @@ def test_query_equals_sql(spark, name):
 
 def test_every_operator_has_one_query():
     numbers = [int(n.split("_")[0][2:]) for n in queries.QUERIES]
-    assert sorted(numbers) == list(range(1, 11))
+    assert sorted(numbers) == list(range(1, 14))
