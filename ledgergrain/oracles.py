@@ -728,8 +728,20 @@ add("step_durations",
 add("log_compaction",
     "SELECT doc_id, length(text) AS char_count, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, length(text) // 4) END AS estimated_tokens, length(text) > 2500 AS truncated, "
     "CASE WHEN length(text) > 2500 THEN substring(text, 1, 2500) || '... [truncated]' ELSE text END AS preview FROM documents")
-add("stream_ingest", "SELECT run_id, type, CAST(SUM(CASE WHEN event_id % 6 IN (0, 3) THEN 2 ELSE 1 END) AS BIGINT) AS events, COUNT(*) AS ids, MAX(ts) AS last_ts FROM ev GROUP BY 1, 2")
-add("stream_resume", "SELECT run_id, event_id, type FROM ev LEFT JOIN (SELECT run_id, MAX({'a': ts, 'b': event_id}) AS p FROM ev WHERE event_id % 6 < 4 GROUP BY 1) q USING (run_id) WHERE p IS NULL OR {'a': ts, 'b': event_id} > p")
+add("stream_ingest", "SELECT run_id, type, CAST(SUM(CASE WHEN event_id % 6 IN (0, 2, 3) THEN 2 ELSE 1 END) AS BIGINT) AS events, COUNT(*) AS ids, MAX(ts) AS last_ts FROM ev GROUP BY 1, 2")
+# Delivered in three parts by id; numbers follow the delivery, then the time. The second stop reads even runs only.
+add("stream_resume",
+    "SELECT CAST(CASE WHEN part = 2 AND run_id % 2 <> 0 THEN 3 ELSE part END AS INTEGER) AS stop, run_id, "
+    "row_number() OVER (PARTITION BY run_id ORDER BY part, ts, event_id) AS seq, event_id, type FROM ("
+    "SELECT *, CASE event_id % 6 WHEN 4 THEN 2 WHEN 5 THEN 3 ELSE 1 END AS part FROM ev)")
+add("stream_tool_closed",
+    "SELECT run_id, agent_id, tool_call_id, s + o AS entries, done AS completed_entries, s + o - done AS running_entries, o = 1 AS completed_without_start, first_started, last_completed, opened FROM ("
+    "SELECT run_id, agent_id, tool_call_id, MIN(ts) AS opened, MAX(ts) AS closed, COUNT(*) FILTER (type = 'tool_started') AS s, CAST(COUNT(*) FILTER (type = 'tool_completed') > 0 AS BIGINT) AS done, "
+    "CAST(arg_min(type, seq) = 'tool_completed' AS BIGINT) AS o, MIN(ts) FILTER (type = 'tool_started') AS first_started, MAX(ts) FILTER (type = 'tool_completed') AS last_completed FROM ("
+    "SELECT *, SUM(fresh) OVER (PARTITION BY run_id, agent_id, tool_call_id ORDER BY ts, seq) AS visit FROM ("
+    "SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY run_id, agent_id, tool_call_id ORDER BY ts, seq) + INTERVAL 2 DAY THEN 0 ELSE 1 END AS fresh "
+    "FROM seqd WHERE type IN ('tool_started', 'tool_completed'))) GROUP BY run_id, agent_id, tool_call_id, visit) "
+    "WHERE closed + INTERVAL 2 DAY <= (SELECT MAX(ts) FROM ev WHERE type IN ('tool_started', 'tool_completed')) - INTERVAL 5 DAY")
 add("stream_dedup", "SELECT run_id, type, COUNT(*) AS events, COUNT(*) AS ids FROM ev GROUP BY 1, 2")
 
 # The first free name, answer by answer.

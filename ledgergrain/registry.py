@@ -1188,28 +1188,39 @@ def _(spark, d):
     return ev.compact_text(docs, "text")
 
 
-def _delivered(spark, d, base: str, first: bool) -> None:
-    """Event files as they arrive: every event in one of six files with interleaved times; the second delivery brings
-    the last two files and sends the first and the fourth again."""
-    events = adapters.parquet(spark, d, "events").select(*stream.EVENT_SCHEMA.names)
+#: Events arrive in three deliveries, dealt by id, so their times interleave: the slots of each, and those sent twice in
+#: it. Slots of an earlier delivery come again.
+DELIVERIES = (((0, 1, 2, 3), (2,)), ((4, 0), ()), ((5, 3), ()))
+
+
+def _deliver(spark, d, base: str, stop: int) -> None:
+    """One delivery as the files of one folder, written in one job."""
+    slots, twice = DELIVERIES[stop]
     slot = F.pmod("event_id", F.lit(6))
-    for i in (0, 1, 2, 3) if first else (4, 5, 0, 3):
-        events.where(slot == i).coalesce(1).write.parquet(f"{base}/in/{'a' if first else 'b'}{i}")
+    events = adapters.parquet(spark, d, "events").select(*stream.EVENT_SCHEMA.names).where(slot.isin(*slots))
+    copies = F.when(slot.isin(*twice), 2).otherwise(1) if twice else F.lit(1)
+    copied = events.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies))).drop("_copy")
+    copied.write.parquet(f"{base}/in/{stop}")
 
 
-def _landed_twice(spark, d, name: str, land) -> tuple[DataFrame, str]:
-    """Land a first delivery, stop, and go on with the second from the same checkpoint, one file per batch."""
+def _land(spark, base: str, land) -> tuple[DataFrame, stream.Landing]:
+    """Go on from the checkpoint with what has been delivered since."""
+    events = stream.run_event_stream(spark, f"{base}/in", pattern="*.parquet")
+    return land(events, f"{base}/table", f"{base}/state"), stream.Landing(spark, events.schema, f"{base}/table")
+
+
+def _landed(spark, d, name: str, land) -> tuple[DataFrame, stream.Landing, str]:
+    """Land all deliveries, stopping after each."""
     base = run_folder(spark, name)
-    for first in (True, False):
-        _delivered(spark, d, base, first)
-        events = stream.run_event_stream(spark, f"{base}/in", pattern="*.parquet", files_per_trigger=1)
-        landed = land(events, f"{base}/table", f"{base}/state")
-    return landed, base
+    for stop in range(len(DELIVERIES)):
+        _deliver(spark, d, base, stop)
+        landed, landing = _land(spark, base, land)
+    return landed, landing, base
 
 
 @query("stream_ingest")
 def _(spark, d):
-    landed, _ = _landed_twice(spark, d, "ingest", stream.append_table)
+    landed, _, _ = _landed(spark, d, "ingest", stream.append_table)
     return landed.groupBy("run_id", "type").agg(
         F.count(F.lit(1)).alias("events"), F.count_distinct("event_id").alias("ids"), F.max("ts").alias("last_ts")
     )
@@ -1217,16 +1228,15 @@ def _(spark, d):
 
 @query("stream_dedup")
 def _(spark, d):
-    landed, _ = _landed_twice(spark, d, "dedup", stream.append_unique)
+    landed, _, _ = _landed(spark, d, "dedup", stream.append_unique)
     return landed.groupBy("run_id", "type").agg(
         F.count(F.lit(1)).alias("events"), F.count_distinct("event_id").alias("ids")
     )
 
 
 def _live(spark, d, name: str, state, keys: list[str]) -> DataFrame:
-    landed, base = _landed_twice(spark, d, name, stream.append_unique)
-    events = stream.landed_stream(spark, landed.schema, f"{base}/table")
-    return stream.live_table(state(events), keys, f"{base}/live", f"{base}/live_state")
+    _, landing, base = _landed(spark, d, name, stream.append_unique)
+    return stream.live_table(state(stream.landed_stream(landing)), keys, f"{base}/live", f"{base}/live_state")
 
 
 @query("stream_agent_status")
@@ -1239,15 +1249,37 @@ def _(spark, d):
     return _live(spark, d, "tools", stream.live_tool_pairs, ["run_id", "agent_id", "tool_call_id"])
 
 
+#: A call is closed after so long without an event; events may come so much later than newer ones.
+CALL_BOUNDS = ("2 days", "5 days")
+
+
+@query("stream_tool_closed")
+def _(spark, d):
+    """Calls that are closed, by deliveries of ten days; every seventh event of a delivery's last two days is late."""
+    base = run_folder(spark, "closed")
+    events = adapters.parquet(spark, d, "events").select(*stream.EVENT_SCHEMA.names)
+    part = F.least(F.lit(2), F.floor((F.dayofmonth("ts") - 1) / 10))
+    late = (F.pmod("event_id", F.lit(7)) == 0) & ((F.dayofmonth("ts") - 1) % 10 >= 8) & (part < 2)
+    stop = F.when(late, part + 1).otherwise(part)
+    for number in range(3):
+        events.where(stop == number).write.parquet(f"{base}/in/{number}")
+        feed = stream.run_event_stream(spark, f"{base}/in", pattern="*.parquet")
+        closed = stream.append_closed(stream.closing_tool_pairs(feed, *CALL_BOUNDS), f"{base}/closed", f"{base}/state")
+    return closed
+
+
 @query("stream_resume")
 def _(spark, d):
+    """A reader with three stops: all of the first delivery, then the even runs of the second, then what is left."""
     base = run_folder(spark, "resume")
-    for first in (True, False):
-        _delivered(spark, d, base, first)
-        events = stream.run_event_stream(spark, f"{base}/in", pattern="*.parquet")
-        landed = stream.append_unique(events, f"{base}/table", f"{base}/state")
-        if first:
-            last = landed.groupBy("run_id").agg(F.max(F.struct("ts", "event_id")).alias("p"))
-            sinks.write_table(last.select("run_id", "p.*"), f"{base}/positions")
-    positions = spark.read.parquet(f"{base}/positions")
-    return stream.events_from(landed, positions).select("run_id", "event_id", "type")
+    nothing = spark.createDataFrame([], "run_id long, seq long")
+    for stop in range(len(DELIVERIES)):
+        _deliver(spark, d, base, stop)
+        _, landing = _land(spark, base, stream.append_unique)
+        had = stream.positions_of(spark.read.parquet(f"{base}/read")) if stop else nothing
+        # The first batch has been read to the end, the second one hasn't.
+        new = stream.events_from(landing.events(after=-1 if stop == 0 else 0), had)
+        if stop == 1:
+            new = new.where(F.col("run_id") % 2 == 0)
+        new.withColumn("stop", F.lit(stop + 1)).write.mode("append").parquet(f"{base}/read")
+    return spark.read.parquet(f"{base}/read").select("stop", "run_id", "seq", "event_id", "type")

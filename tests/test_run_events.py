@@ -165,8 +165,9 @@ def test_no_event_is_lost_and_no_copy_stays(spark, month_of_events):
     batch = stream.shape_run_events(month_of_events)
     assert landed.count() == 3000 and as_set(landed, "event_id", "type") == as_set(batch, "event_id", "type")
     assert land().count() == 3000  # nothing new came
+    landing = stream.Landing(spark, batch.schema, f"{base}/table")
     live = stream.live_table(
-        stream.live_agent_status(stream.landed_stream(spark, landed.schema, f"{base}/table", 2)),
+        stream.live_agent_status(stream.landed_stream(landing, 2)),
         ["run_id", "agent_id"], f"{base}/live", f"{base}/live_state",
     )
     assert as_set(live) == as_set(ev.agent_status(batch)) and live.count() == ev.agent_status(batch).count()
@@ -181,11 +182,131 @@ def test_a_repeated_batch_replaces_its_rows(spark, month_of_events):
 
 
 def test_a_reader_goes_on_where_it_stopped(spark):
-    at = datetime(2025, 3, 1)
-    rows = [(1, "r", at), (2, "r", at), (3, "r", at + timedelta(hours=1)), (4, "s", at)]
-    table = spark.createDataFrame(rows, "event_id long, run_id string, ts timestamp_ntz")
-    read = spark.createDataFrame([("r", at, 1)], "run_id string, ts timestamp_ntz, event_id long")
-    assert as_set(stream.events_from(table, read), "event_id") == {(2,), (3,), (4,)}
+    rows = [(1, "r", 1, 0), (2, "r", 2, 0), (3, "r", 3, 1), (4, "s", 1, 1), (5, None, 1, 0), (6, None, 2, 1)]
+    table = spark.createDataFrame(rows, "event_id long, run_id string, seq long, batch_id long")
+    read = spark.createDataFrame([("r", 1), ("r", 2), (None, 1)], "run_id string, seq long")
+    assert as_set(stream.events_from(table, read), "event_id") == {(3,), (4,), (6,)}
+    assert as_set(stream.positions_of(table)) == {("r", 3), ("s", 1), (None, 2)}
+
+
+def raw_events(spark, rows):
+    """Rows of id, minute, run."""
+    start = datetime(2025, 3, 1)
+    made = [(i, start + timedelta(minutes=m), run, "view", 0.0, '{"k": 1}') for i, m, run in rows]
+    return spark.createDataFrame(made, stream.EVENT_SCHEMA)
+
+
+def feed(spark, base):
+    return stream.run_event_stream(spark, f"{base}/in", pattern="*.parquet")
+
+
+def test_late_events_are_numbered_and_read_in_order_of_arrival(spark):
+    base, got, since = run_folder(spark, "late"), [], -1
+    arrivals = [[(1, 50, 1), (2, 60, 1), (3, 10, 2)], [(4, 5, 1), (5, 55, 1)], [], [(6, 1, 2), (7, 0, 1), (8, 70, 3)]]
+    for number, rows in enumerate(arrivals):
+        raw_events(spark, rows).write.parquet(f"{base}/in/{number}")
+        stream.append_table(feed(spark, base), f"{base}/table", f"{base}/state")
+        landing = stream.Landing(spark, feed(spark, base).schema, f"{base}/table")
+        got.append({(r.run_id, r.seq, r.event_id) for r in landing.events(since).collect()})
+        since = landing.last()[1]
+    assert got == [
+        {(1, 1, 1), (1, 2, 2), (2, 1, 3)}, {(1, 3, 4), (1, 4, 5)}, set(), {(2, 2, 6), (1, 5, 7), (3, 1, 8)}
+    ]
+
+
+def test_events_without_id_all_stay(spark):
+    base = run_folder(spark, "nulls")
+    for number in range(2):
+        rows = [(None, m, 1) for m in range(10)] + [(None, 3, 1), (7, number, 1), (7, 5, 1)]
+        raw_events(spark, rows).write.parquet(f"{base}/in/{number}")
+        landed = stream.append_unique(feed(spark, base), f"{base}/table", f"{base}/state")
+    assert landed.where("event_id IS NULL").count() == 22 and landed.where("event_id = 7").count() == 1
+    assert sorted(r.seq for r in landed.collect()) == list(range(1, 24))
+
+
+def test_a_batch_reads_no_events_of_older_batches(spark, month_of_events, monkeypatch):
+    """What landing reads of the table: marks, heads since the last snapshot and its own rows."""
+    base, reads = run_folder(spark, "reads"), []
+    plain = stream.Landing._read
+
+    def read(self, schema, path):
+        reads.append((path.split("/table/")[1].split("/")[0], path.rsplit("/", 1)[-1]))
+        return plain(self, schema, path)
+
+    monkeypatch.setattr(stream, "SNAPSHOT", 2)
+    sizes = []
+    for number in range(5):
+        month_of_events.where(F.col("event_id") % 5 == number).write.parquet(f"{base}/in/{number}")
+        source = stream.run_event_stream(spark, f"{base}/in", pattern="*.parquet")
+        with monkeypatch.context() as patch:
+            patch.setattr(stream.Landing, "_read", read)
+            reads.clear()
+            landed = stream.append_unique(source, f"{base}/table", f"{base}/state")
+        events = [name for kind, name in reads if kind == "events"]
+        assert events[0] == f"batch_id={number}" and len(events) == 2  # the second is the table that is returned
+        landing = stream.Landing(spark, source.schema, f"{base}/table")
+        heads = landing.heads(landing.last()[0], number + 1)
+        sizes.append(len(heads.inputFiles()))
+        assert heads.count() == landed.select("run_id").distinct().count()
+    assert landed.count() == 3000 == landed.select("run_id", "seq").distinct().count()
+    counts = landed.groupBy("run_id").agg(F.max("seq") == F.count("seq")).collect()
+    assert all(r[1] for r in counts)
+
+
+def test_a_batch_that_failed_after_landing_lands_once(spark, month_of_events):
+    """The commit of the stream is lost, not the mark; then also the mark: both times the rows stay the same."""
+    base = run_folder(spark, "again")
+    month_of_events.where("event_id < 500").write.parquet(f"{base}/in/0")
+    first = stream.append_unique(feed(spark, base), f"{base}/table", f"{base}/state")
+    want = as_set(first, "event_id", "run_id", "seq")
+    landing = stream.Landing(spark, feed(spark, base).schema, f"{base}/table")
+    job, last = landing.last()
+    batch = first.drop("seq", "batch_id").where("event_id < 400")  # another content must not replace what is landed
+    landing.land(batch, last, job, [F.col("ts"), F.col("event_id")])
+    assert as_set(landing.events(), "event_id", "run_id", "seq") == want and len(want) == 500
+
+
+def test_a_lost_checkpoint_starts_the_table_anew(spark, month_of_events):
+    base = run_folder(spark, "anew")
+    for number in range(3):
+        month_of_events.where(F.col("event_id") % 3 == number).write.parquet(f"{base}/in/{number}")
+        stream.append_unique(feed(spark, base), f"{base}/table", f"{base}/one")
+    landed = stream.append_unique(feed(spark, base), f"{base}/table", f"{base}/two")  # all of it in one batch
+    assert landed.count() == 3000 and landed.select("batch_id").distinct().count() == 1
+
+
+def test_keys_are_forgotten_after_their_lifetime(spark):
+    """Arrival counts: an early time is not late, and only keys that came long ago may come again."""
+    base = run_folder(spark, "lifetime")
+    for number, rows in enumerate([[(1, 100, 1), (2, 0, 1)], [(1, 100, 1), (3, -90_000, 1), (3, -90_000, 1)]]):
+        raw_events(spark, rows).write.parquet(f"{base}/in/{number}")
+        landed = stream.append_unique(feed(spark, base), f"{base}/table", f"{base}/state", lifetime="1 day")
+    assert sorted(r.event_id for r in landed.collect()) == [1, 2, 3]
+
+
+def test_state_of_closed_calls_goes(spark):
+    """Calls close after the bound; a completion after that stands alone; what is open stays in the state."""
+    base, at = run_folder(spark, "close"), datetime(2025, 3, 1)
+
+    def arrive(number, rows):
+        made = [(i, r, at + timedelta(hours=h), kind, "a", call, 0.0) for i, (r, call, kind, h) in enumerate(rows)]
+        spark.createDataFrame(made, SCHEMA).write.parquet(f"{base}/in/{number}")
+        events = spark.readStream.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(f"{base}/in")
+        rows = stream.append_closed(
+            stream.closing_tool_pairs(events, "4 hours", "1 hour"), f"{base}/closed", f"{base}/state")
+        return {(r.run_id, r.tool_call_id, r.entries, r.completed_entries, r.completed_without_start) for r in rows.collect()}
+
+    s, c = "tool_started", "tool_completed"
+    assert arrive(0, [(1, 1, s, 0), (1, 1, c, 1), (1, 2, s, 0), (2, 3, s, 2)]) == set()
+    done = {(1, 1, 1, 1, False), (1, 2, 1, 0, False)}
+    assert arrive(1, [(2, 3, c, 4), (2, 4, s, 7)]) == done
+    done |= {(2, 3, 1, 1, False), (2, 4, 1, 0, False)}
+    assert arrive(2, [(1, 2, c, 16), (2, 5, s, 30)]) == done | {(1, 2, 1, 1, True)}
+    events = spark.readStream.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(f"{base}/in")
+    closed = stream.closing_tool_pairs(events, "4 hours", "1 hour")
+    job = closed.writeStream.format("memory").queryName("left").outputMode("append").trigger(availableNow=True).start()
+    job.awaitTermination()
+    assert job.lastProgress.stateOperators[0].numRowsTotal == 1  # the call of hour 30
 
 
 def test_percentiles_are_exact(spark):
