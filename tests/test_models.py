@@ -228,6 +228,41 @@ def test_guarded_sql(spark, tables, tmp_path):
             ask(sql)
     with pytest.raises(Exception, match="TABLE_OR_VIEW_NOT_FOUND"):
         ask("select * from nowhere_at_all")
+    hidden = tables["fact_subscriptions"].drop("mrr_amount")
+    tables["fact_subscriptions"].write.parquet(f"{tmp_path}/subs")
+    stored = spark.read.parquet(f"{tmp_path}/subs")
+    narrow = {"subs": stored.drop("mrr_amount"), "dim_plans": tables["dim_plans"]}
+    spark.udf.register("abs_of", lambda x: x)
+    named.register({"wide_subs": stored})
+    exploits = [
+        "select java_method('java.lang.System', 'getProperty', 'user.home')", "select reflect('java.lang.System', 'exit', '1')",
+        f"select s.plan_id, h.mrr_amount from subs s join parquet.`{tmp_path}/subs` h using (subscription_id)",
+        "select mrr_amount from wide_subs", "select * from (with wide_subs as (select 1 a) select a from wide_subs) join wide_subs",
+        "select _metadata.file_path from subs", "select abs_of(1)", "select transform(plan_id) using 'cat' from subs",
+        "select input_file_name() from subs", "select try_reflect('java.lang.System', 'getenv', 'PATH')",
+        "select * from identifier('wide' || '_subs')", "select plan_id from subs where exists (select 1 from wide_subs)",
+        "select sum(1) over w from subs window w as (order by java_method('java.lang.System', 'getProperty', 'user.home'))",
+        "select (select max(mrr_amount) from wide_subs) m", "select * from subs, lateral (select * from wide_subs) x",
+        "show tables", "set x = 1", "describe wide_subs", "explain select 1", "select current_user()", "select uuid()",
+        f"select read_files('{tmp_path}')", "select spark_catalog.default.abs_of(1)", "select raise_error('x')",
+    ]
+    for sql in exploits:
+        with pytest.raises(named.NotAllowed):
+            named.guarded_sql(spark, sql, narrow)
+    with pytest.raises(Exception, match="UNRESOLVED_COLUMN"):
+        named.guarded_sql(spark, "select mrr_amount from subs", narrow)
+    assert hidden.columns == narrow["subs"].columns
+    fine = [
+        "with a as (select plan_id, count(*) n from subs group by plan_id having count(*) > 0), b as (select max(n) m from a) "
+        "select a.plan_id, rank() over w r from a join b on a.n <= b.m window w as (partition by a.n order by a.plan_id)",
+        "select plan_id from dim_plans except select plan_id from subs", "select * from values (1, 'a') t(x, y)",
+        "select p.plan_id, x from dim_plans p lateral view explode(split(plan_name, 'a')) as x",
+        "select s1.plan_id from subs s1 join subs s2 using (plan_id) where s1.plan_id in (select plan_id from dim_plans) limit 3",
+        "select id from range(3)", "select cast(sum(case when plan_id = 'base' then 1 else 0 end) as decimal(18,2)) c from subs",
+    ]
+    for sql in fine:
+        assert named.guarded_sql(spark, sql, narrow).count() > 0
+    spark.catalog.dropTempView("wide_subs")
     custom = DataTest("t", "custom", "dim_plans", sql="drop view small_plans")
     with pytest.raises(Exception, match="PARSE|not an allowed"):
         dt.failing_rows(tables, custom)
