@@ -493,9 +493,6 @@ CLEAN = (
 )
 add("int_subscription__mrr_adjustments",
     "SELECT subscription_id, invoice_month, CAST(d AS DOUBLE) AS discount_amount, CAST(r AS DOUBLE) AS refund_amount FROM s_adj", CLEAN)
-REVENUE = ("rev AS (SELECT invoice_month, customer_segment, SUM(mrr_amount) AS g, SUM(d) AS d, SUM(r) AS r FROM (SELECT subscription_id, invoice_month, "
-           "SUM(COALESCE(discount_amount, 0)) AS d, SUM(refund_amount) AS r FROM inv GROUP BY 1, 2) a JOIN fact_subscriptions s ON s.subscription_id = a.subscription_id "
-           "JOIN dim_customers c ON c.customer_id = s.customer_id GROUP BY 1, 2)")
 _PARTS = {"gross_mrr": "CAST(g AS DOUBLE) AS gross_mrr", "discount_amount": "CAST(d AS DOUBLE) AS discount_amount",
           "refund_amount": "CAST(r AS DOUBLE) AS refund_amount", "net_mrr": "CAST(g - d - r AS DOUBLE) AS net_mrr"}
 MARTS = {"mart_subscription__revenue_360_monthly": f"SELECT {BY}, {', '.join(_PARTS.values())} FROM s_rev"}
@@ -567,12 +564,39 @@ def _built() -> str:
 
 add("build_all_models", _built(), CLEAN)
 
+
+
+def _rebuilt() -> str:
+    """Status rows of three builds: payments lack a column, are mended, are fewer."""
+    count = {"stg_demo__customers": "s_c", "stg_demo__subscriptions": "fact_subscriptions", "stg_stripe__invoices": "s_i"}
+    marts = ("mart_billing__collection_health_monthly", "mart_billing__monthly_reconciliation")
+    pay, rows = "stg_stripe__payments", []
+
+    def row(build, model, status, reason, table=None):
+        n = f"(SELECT COUNT(*) FROM {table})" if table else "CAST(NULL AS BIGINT)"
+        rows.append(f"SELECT CAST({build} AS INTEGER) AS build, '{model}' AS model, '{status}' AS status, '{reason}' AS reason, {n} AS row_count")
+
+    for build in (1, 2, 3):
+        for model, table in count.items():
+            row(build, model, "built" if build == 1 else "kept", "new" if build == 1 else "unchanged", table)
+    row(1, pay, "failed", "new")
+    row(2, pay, "built", "failed before", "s_p")
+    row(3, pay, "built", "changed: stripe_payments", "(SELECT DISTINCT payment_id FROM stripe_payments WHERE successful_amount > 1000)")
+    for mart in marts:
+        row(1, mart, "skipped", f"failed input: {pay}")
+        row(2, mart, "built", "skipped before", f"({MARTS[mart]})")
+        row(3, mart, "built", f"changed: {pay}", f"({MARTS[mart]})")
+    return " UNION ALL ".join(rows)
+
+
+add("rebuild_changed", _rebuilt(), CLEAN)
+
 # Data tests.
 add("test_not_null", "SELECT invoice_id, invoice_month FROM stripe_invoices WHERE discount_amount IS NULL")
 add("test_unique", "SELECT payment_id AS value, COUNT(*) AS copies FROM stripe_payments GROUP BY 1 HAVING COUNT(*) > 1")
 add("test_accepted_values", "SELECT subscription_id, plan_id FROM fact_subscriptions WHERE plan_id NOT IN ('BUILDING', 'MACHINERY')")
 add("test_relationship", "SELECT payment_id, invoice_id, payment_month FROM gaps g WHERE invoice_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM stripe_invoices i WHERE i.invoice_id = g.invoice_id)")
-add("test_custom_sql", "SELECT invoice_id, CAST(invoice_amount - collected_amount AS DOUBLE) AS reconciliation_difference FROM inv WHERE invoice_amount - collected_amount < 0")
+add("test_custom_sql", "SELECT invoice_id, CAST(invoice_amount - collected_amount AS DOUBLE) AS reconciliation_difference FROM s_inv WHERE invoice_amount - collected_amount < 0", CLEAN)
 add("test_metrics_not_null",
     "SELECT i.invoice_id, CAST(discount_amount AS DOUBLE) AS discount_amount, CAST(p.collected_amount AS DOUBLE) AS collected_amount FROM stripe_invoices i "
     "LEFT JOIN paid p ON p.invoice_id = i.invoice_id WHERE discount_amount IS NULL OR p.collected_amount IS NULL")
@@ -601,12 +625,12 @@ def _tests() -> str:
         row(f"relationship__{r.id}", r.right_source,
             f"SELECT COUNT(*) FROM {r.right_source} x WHERE x.{r.right_key} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {r.left_source} y WHERE y.{r.left_key} = x.{r.right_key})")
         row(f"not_null__{r.id}", r.right_source, f"SELECT COUNT(*) FROM {r.right_source} WHERE {r.right_key} IS NULL")
-    row("no_overpaid_invoices", "mart_billing__invoice_reconciliation", "SELECT COUNT(*) FROM inv WHERE collected_amount > invoice_amount")
-    row("metrics_not_null__mart_subscription__revenue_360_monthly", "mart_subscription__revenue_360_monthly", "SELECT COUNT(*) FROM rev WHERE g IS NULL OR d IS NULL OR r IS NULL")
+    row("no_overpaid_invoices", "mart_billing__invoice_reconciliation", "SELECT COUNT(*) FROM s_inv WHERE collected_amount > invoice_amount")
+    row("metrics_not_null__mart_subscription__revenue_360_monthly", "mart_subscription__revenue_360_monthly", "SELECT COUNT(*) FROM s_rev WHERE g IS NULL OR d IS NULL OR r IS NULL")
     return "SELECT *, failing_rows = 0 AS passed FROM (" + " UNION ALL ".join(rows) + ")"
 
 
-add("test_summary", _tests(), REVENUE)
+add("test_summary", _tests(), CLEAN)
 
 # Text rules.
 NORM = r"trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9_\s/-]+', ' ', 'g'), '\s+', ' ', 'g'))"
@@ -705,6 +729,19 @@ AGENT = ("SELECT run_id, agent_id, COALESCE(MAX(st) FILTER (rk = 1 AND st IS NOT
          f"SELECT *, {_case} AS st FROM ev)) GROUP BY 1, 2")
 add("agent_status", AGENT)
 add("stream_agent_status", AGENT)
+add("agent_tree",
+    "SELECT n.run_id, n.agent_id, n.parent_id, depth, n.status, n.event_count, n.placeholder, tree_agents, tree_events, tree_status "
+    "FROM nodes n JOIN (SELECT run_id, agent_id, MAX(d) AS depth FROM up GROUP BY 1, 2) USING (run_id, agent_id) JOIN ("
+    "SELECT u.run_id, u.top, COUNT(*) AS tree_agents, CAST(SUM(m.event_count) AS BIGINT) AS tree_events, CASE WHEN bool_or(m.status = 'failed') THEN 'failed' "
+    "WHEN bool_or(m.status = 'waiting_for_user') THEN 'waiting_for_user' WHEN bool_or(m.status IN ('running', 'queued')) THEN 'running' ELSE 'completed' END AS tree_status "
+    "FROM up u JOIN nodes m ON m.run_id = u.run_id AND m.agent_id = u.agent_id GROUP BY 1, 2) t ON t.run_id = n.run_id AND t.top = n.agent_id",
+    f"said AS (SELECT *, 'agent_' || tool_call_id AS a, CASE WHEN tool_call_id > 0 THEN 'agent_' || ((tool_call_id - 1) // 3) END AS par, {_case} AS st FROM ev), "
+    "spoken AS (SELECT run_id, a AS agent_id, par AS parent_id, COALESCE(arg_max(st, {'t': ts, 'e': event_id}) FILTER (st IS NOT NULL), 'queued') AS status, COUNT(*) AS event_count, FALSE AS placeholder "
+    "FROM said GROUP BY 1, 2, 3), "
+    "nodes AS (SELECT * FROM spoken UNION ALL SELECT DISTINCT run_id, parent_id, NULL::VARCHAR, 'running', 0, TRUE FROM spoken s WHERE parent_id IS NOT NULL "
+    "AND NOT EXISTS (SELECT 1 FROM spoken o WHERE o.run_id = s.run_id AND o.agent_id = s.parent_id)), "
+    "up AS (SELECT run_id, agent_id, agent_id AS top, parent_id AS next, 0 AS d FROM nodes "
+    "UNION ALL SELECT up.run_id, up.agent_id, n.agent_id, n.parent_id, d + 1 FROM up JOIN nodes n ON n.run_id = up.run_id AND n.agent_id = up.next)")
 RUN = ("SELECT run_id, COALESCE(MAX(st) FILTER (rk = 1 AND st IS NOT NULL), 'idle') AS last, bool_or(COALESCE(st = 'failed', FALSE)) AS failed FROM ("
        "SELECT *, row_number() OVER (PARTITION BY run_id, st IS NULL ORDER BY ts DESC, event_id DESC) AS rk FROM ("
        f"SELECT *, {_run_case} AS st FROM ev)) GROUP BY 1")

@@ -17,11 +17,16 @@ from ledgergrain.sources.sinks import write_table
 
 @dataclass(frozen=True)
 class ModelSpec:
-    """A named model, the models and sources it reads, and the function that builds it from them."""
+    """A named model, the models and sources it reads, and the function that builds it from them.
+
+    ``version`` stands for the definition where a model is built again only if that has changed; SQL models have
+    their text there.
+    """
 
     name: str
     parents: tuple[str, ...]
     build: object
+    version: str = ""
 
 
 def staging(name: str, source: str) -> ModelSpec:

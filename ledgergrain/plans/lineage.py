@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgergrain.session import checkpointed, run_folder
+from ledgergrain.functions.closure import closure
+from ledgergrain.session import checkpointed
 
 # Calls by which a model text names another model or a source table, with or without braces.
 _QUOTED = r"""(?:'[^'"]+'|"[^'"]+")"""
@@ -52,41 +53,27 @@ class CircularModels(ValueError):
 def model_levels(edges: DataFrame, models: DataFrame, check_cycles: bool = True) -> DataFrame:
     """Level of every model: 0 without known parents, else 1 + the highest parent level.
 
-    ``models`` has ``model``; ``edges`` has ``model, parent``. Each round settles the models whose parents
-    are all settled, so the number of rounds is the depth of the graph. A round joins the newest levels to the edges
-    that are still open, once, and appends what it settles to one table. Edges to unknown parents do not count. Models on or behind a cycle
-    raise, or get a null level with ``check_cycles=False``.
+    ``models`` has ``model``; ``edges`` has ``model, parent``. A level is the longest way to an ancestor, so all of them
+    follow from the closure of the graph, whose rounds double the reach. Edges to unknown parents do not count. Models on
+    or behind a cycle raise, or get a null level with ``check_cycles=False``.
     """
     nodes = models.select("model").distinct()
-    known = edges.select("model", "parent").distinct().join(nodes.select(F.col("model").alias("parent")), "parent")
-    folder = run_folder(nodes.sparkSession, "levels")
-    waiting = checkpointed(known.withColumn("parent_level", F.lit(None).cast("int")))
-    newest = checkpointed(nodes.join(waiting.select("model").distinct(), "model", "left_anti").withColumn("level", F.lit(0)))
-    rounds = 0
-    while not newest.isEmpty():
-        newest.write.parquet(f"{folder}/round={rounds}")
-        rounds += 1
-        levels = newest.select(F.col("model").alias("parent"), F.col("level").alias("_level"))
-        marked = checkpointed(
-            waiting.join(levels, "parent", "left").select(
-                "model", "parent", F.coalesce("parent_level", "_level").alias("parent_level")
-            )
-        )
-        grouped = marked.groupBy("model").agg(
-            F.count_if(F.col("parent_level").isNull()).alias("_open"), F.max("parent_level").alias("_top")
-        )
-        newest = checkpointed(
-            grouped.where(F.col("_open") == 0).select("model", (F.col("_top") + 1).cast("int").alias("level"))
-        )
-        waiting = marked.join(newest.select("model"), "model", "left_anti")
-    if check_cycles and not waiting.isEmpty():
-        stuck = waiting.agg(F.min("model")).first()[0]
-        raise CircularModels(f"circular model dependency at {stuck}")
-    stuck = waiting.select("model").distinct().withColumn("level", F.lit(None).cast("int"))
-    if not rounds:
-        return stuck
-    settled = nodes.sparkSession.read.schema("model string, level int, round int").parquet(folder)
-    return settled.drop("round").unionByName(stuck)
+    known = edges.select("model", "parent").join(nodes.select(F.col("model").alias("parent")), "parent", "left_semi")
+    ways = closure(known, "model", "parent")
+    lost = nodes.limit(0)
+    if ways.cyclic:
+        if check_cycles:
+            stuck = ways.pairs.where("child = ancestor").agg(F.min("child")).first()[0]
+            raise CircularModels(f"circular model dependency at {stuck}")
+        short = closure(known, "model", "parent", longest=False).pairs
+        looped = short.where("child = ancestor").select(F.col("child").alias("model")).distinct()
+        behind = short.join(looped.withColumnRenamed("model", "ancestor"), "ancestor", "left_semi")
+        lost = checkpointed(behind.select(F.col("child").alias("model")).distinct())
+        ways = closure(known.join(lost, "model", "left_anti"), "model", "parent")
+    levels = ways.pairs.groupBy(F.col("child").alias("model")).agg(F.max("distance").alias("level"))
+    found = nodes.join(levels, "model", "left").join(lost.withColumn("_lost", F.lit(True)), "model", "left")
+    level = F.when(F.col("_lost").isNull(), F.coalesce("level", F.lit(0)))
+    return found.select("model", level.cast("int").alias("level"))
 
 
 def model_tier(model: str = "model"):

@@ -38,7 +38,7 @@ def specs(texts: DataFrame) -> list[ModelSpec]:
         def build(*frames: DataFrame) -> DataFrame:
             return guarded_sql(frames[0].sparkSession, plain_sql(text), dict(zip(needed, frames, strict=True)))
 
-        return ModelSpec(name, needed, build)
+        return ModelSpec(name, needed, build, text)
 
     return [spec(r.model, r.text) for r in texts.orderBy("model").collect()]
 

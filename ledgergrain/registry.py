@@ -19,7 +19,7 @@ from ledgergrain.operators import joins, metrics, profile, quality, text_rules
 from ledgergrain.operators import relationships as rel
 from ledgergrain.operators import run_events as ev
 from ledgergrain.operators.metrics import MetricRequest
-from ledgergrain.plans import build, lineage, sql_models
+from ledgergrain.plans import build, lineage, rebuild, sql_models
 from ledgergrain.plans import models as m
 from ledgergrain.session import run_folder
 from ledgergrain.sources import adapters, contracts, drift, sinks, tables
@@ -820,6 +820,18 @@ def _(spark, d):
     return profile.union_all(parts)
 
 
+@query("rebuild_changed")
+def _(spark, d):
+    """Three builds of a product in one folder: with a broken source, with the source mended, and with fewer payments."""
+    folder, specs, parts = run_folder(spark, "rebuild"), build.product_models("subscription_collection_health"), []
+    tables = src(spark, d)
+    payments = tables["stripe_payments"]
+    for number, given in enumerate((payments.drop("refund_amount"), payments, payments.where("successful_amount > 1000"))):
+        status = rebuild.rebuild(spark, {**tables, "stripe_payments": given}, specs, folder)
+        parts.append(status.select(F.lit(number + 1).alias("build"), "model", "status", "reason", "row_count"))
+    return profile.union_all(parts)
+
+
 #: Models as SQL texts, in no order.
 SQL_TEXTS = {
     "mart_billing__reconciliation_by_text": """
@@ -887,8 +899,7 @@ OVERPAID = DataTest(
 
 @query("test_custom_sql")
 def _(spark, d):
-    live = src(spark, d)
-    mart = m.invoice_reconciliation(live["stripe_invoices"], live["stripe_payments"])
+    mart = _product(spark, d, "stripe_billing_reconciliation", OVERPAID.model)
     return dt.failing_rows({OVERPAID.model: mart}, OVERPAID)
 
 
@@ -917,9 +928,7 @@ def _(spark, d):
 @query("test_summary")
 def _(spark, d):
     live = src(spark, d)
-    live["mart_billing__invoice_reconciliation"] = m.invoice_reconciliation(
-        live["stripe_invoices"], live["stripe_payments"]
-    )
+    live[OVERPAID.model] = _product(spark, d, "stripe_billing_reconciliation", OVERPAID.model)
     live["mart_subscription__revenue_360_monthly"] = revenue_mart(spark, d)
     tests = [t for n, c in fixed.CONTRACTS.items() for t in dt.contract_tests(n, c)]
     tests += dt.relationship_tests(fixed.RELATIONSHIPS)
@@ -1139,6 +1148,14 @@ def _(spark, d):
     return ev.agent_status(adapters.run_events(spark, d))
 
 
+@query("agent_tree")
+def _(spark, d):
+    """Agents by the number of their tool call; agent n was started by agent (n - 1) div 3."""
+    parent = F.when(F.col("tool_call_id") > 0, F.floor((F.col("tool_call_id") - 1) / 3))
+    events = adapters.run_events(spark, d).withColumn("agent_id", F.concat(F.lit("agent_"), "tool_call_id"))
+    return ev.agent_tree(events.withColumn("parent_id", F.concat(F.lit("agent_"), parent)))
+
+
 @query("run_status")
 def _(spark, d):
     return ev.run_status(adapters.run_events(spark, d))

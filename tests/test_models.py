@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 from dataclasses import replace
 from pathlib import Path
 
@@ -8,9 +9,10 @@ import pytest
 from conftest import INVOICES, PAYMENTS, as_set, cash, make, plan_of
 
 from ledgergrain import fixed_values as fixed
+from ledgergrain.functions import closure as closing
 from ledgergrain.operators import datatests as dt
 from ledgergrain.operators.metrics import MetricRequest, run
-from ledgergrain.plans import build, lineage, sql_models
+from ledgergrain.plans import build, lineage, rebuild, sql_models
 from ledgergrain.plans import models as m
 from ledgergrain.sources import contracts, drift, sinks
 from ledgergrain.sources import tables as named
@@ -141,6 +143,85 @@ def test_levels_and_cycle(spark):
     assert as_set(stuck) == {("a", 0), ("e", 0), ("b", None), ("c", None), ("d", None)}
 
 
+def test_levels_of_a_deep_chain_and_of_diamonds(spark, monkeypatch):
+    """Rounds follow the digits of the depth, not the depth."""
+    rounds = []
+    plain = closing.checkpointed
+    monkeypatch.setattr(closing, "checkpointed", lambda df: rounds.append(1) or plain(df))
+    chain = spark.range(1, 2000).selectExpr("concat('m', id) as model", "concat('m', id - 1) as parent")
+    models = spark.range(2000).selectExpr("concat('m', id) as model")
+    levels = lineage.model_levels(chain, models)
+    assert levels.where("model != concat('m', level)").count() == 0 and levels.count() == 2000
+    assert len(rounds) == 12
+    edges = [(f"{i}{side}", f"{i - 1}{other}") for i in range(1, 40) for side in "ab" for other in "ab"]
+    edges += [(f"{i}a", "0b") for i in range(1, 40)]
+    nodes = spark.createDataFrame([(f"{i}{s}",) for i in range(40) for s in "ab"], "model string")
+    levels = lineage.model_levels(spark.createDataFrame(edges, "model string, parent string"), nodes)
+    assert all(r.level == int(r.model[:-1]) for r in levels.collect())
+
+
+def test_closure_with_cycles_has_shortest_ways(spark):
+    rng, edges = random.Random(3), set()
+    for g in (1, None):
+        edges |= {(g, rng.randrange(30), rng.randrange(30)) for _ in range(45)}
+    df = spark.createDataFrame([*edges, (1, None, 2)], "g int, c int, p int")
+    found = closing.closure(df, "c", "p", ["g"], longest=False)
+    want = set()
+    for g in (1, None):
+        for start in range(30):
+            seen, now, step = {}, {start}, 0
+            while now:
+                step += 1
+                now = {p for gg, c, p in edges if gg == g and c in now} - set(seen)
+                seen |= dict.fromkeys(now, step)
+            want |= {(g, start, end, n) for end, n in seen.items()}
+    assert as_set(found.pairs, "g", "child", "ancestor", "distance") == want and found.cyclic
+
+
+def test_rebuild(spark, tables, tmp_path):
+    texts = {
+        "stg_a": "select plan_id, plan_name from {{ source('s', 'dim_plans') }}",
+        "stg_b": "select subscription_id, plan_id from {{ source('s', 'fact_subscriptions') }}",
+        "mart_c": "select a.plan_id, count(b.plan_id) n from {{ ref('stg_a') }} a left join {{ ref('stg_b') }} b "
+                  "on a.plan_id = b.plan_id group by a.plan_id",
+        "mart_d": "select count(*) n from {{ ref('stg_b') }}",
+    }
+
+    def build_now(**changed):
+        rows = spark.createDataFrame(list({**texts, **changed.pop("texts", {})}.items()), "model string, text string")
+        status = rebuild.rebuild(spark, {**tables, **changed}, sql_models.specs(rows), f"{tmp_path}/built")
+        return {r.model: (r.status, r.reason) for r in status.collect()}
+
+    kept = ("kept", "unchanged")
+    assert set(build_now().values()) == {("built", "new")}
+    assert set(build_now().values()) == {kept}
+    assert build_now(texts={"stg_a": texts["stg_a"] + " where plan_id <> 'gold'"}) == {
+        "stg_a": ("built", "definition changed"), "stg_b": kept, "mart_c": ("built", "changed: stg_a"), "mart_d": kept}
+    assert rebuild.current(spark, f"{tmp_path}/built", "mart_c").count() == 3
+    broken = {"stg_b": "select nothing_here from {{ source('s', 'fact_subscriptions') }}"}
+    assert build_now(texts=broken) == {
+        "stg_a": kept, "stg_b": ("failed", "definition changed"),
+        "mart_c": ("skipped", "failed input: stg_b"), "mart_d": ("skipped", "failed input: stg_b")}
+    assert rebuild.current(spark, f"{tmp_path}/built", "mart_c").count() == 3  # the last good one
+    refused = {"mart_d": "select java_method('java.lang.System', 'exit', '1') from {{ ref('stg_b') }}"}
+    assert build_now(texts=refused)["mart_d"][0] == "failed"
+    assert build_now() == dict.fromkeys(texts, kept)  # all of it had been built as it is now
+    fewer = tables["fact_subscriptions"].where("plan_id = 'base'")
+    assert build_now(fact_subscriptions=fewer) == {
+        "stg_a": kept, "stg_b": ("built", "changed: fact_subscriptions"),
+        "mart_c": ("built", "changed: stg_b"), "mart_d": ("built", "changed: stg_b")}
+    one = spark.createDataFrame([("x", 1)], "a string, b int")
+    two = spark.createDataFrame([("y", 1), ("x", 1)], "a string, b int")
+    assert rebuild.source_fingerprint(one) != rebuild.source_fingerprint(two)
+    assert rebuild.source_fingerprint(two) == rebuild.source_fingerprint(two.repartition(3))
+    two.write.parquet(f"{tmp_path}/t")
+    first = rebuild.source_fingerprint(spark.read.parquet(f"{tmp_path}/t"))
+    assert first == rebuild.source_fingerprint(spark.read.parquet(f"{tmp_path}/t"))
+    assert first != rebuild.source_fingerprint(spark.read.parquet(f"{tmp_path}/t").where("b > 0"))
+    one.write.mode("append").parquet(f"{tmp_path}/t")
+    assert first != rebuild.source_fingerprint(spark.read.parquet(f"{tmp_path}/t"))
+
+
 def test_lineage_reads_calls_once_in_order(spark):
     text = (
         "select * from bare ref('z') join {{ ref( 'a' ) }} join {{REF(\"b\")}} join {{ ref('a') }} "

@@ -86,6 +86,33 @@ def test_statuses_equal_a_reducer(events, rows):
     assert as_set(ev.run_status(events, failed_is_terminal=True)) == terminal
 
 
+def test_agent_tree(spark):
+    at, rows = datetime(2025, 1, 1), []
+    said = [
+        ("r", "boss", None, "agent_started"), ("r", "a", "boss", "agent_started"), ("r", "b", "a", "agent_failed"),
+        ("r", "a", "other", "agent_completed"), ("r", "c", "unseen", "agent_completed"), ("r", "d", "c", "ask_user"),
+        ("s", "a", None, "agent_completed"), (None, "x", "y", "note"), (None, "y", None, "agent_completed"),
+    ]
+    for i, (run, agent, parent, kind) in enumerate(said):
+        rows.append((i, run, at + timedelta(seconds=i), kind, agent, parent))
+    schema = "event_id long, run_id string, ts timestamp_ntz, type string, agent_id string, parent_id string"
+    tree = ev.agent_tree(spark.createDataFrame(rows, schema))
+    assert as_set(tree.drop("event_count")) == {
+        ("r", "boss", None, 0, "running", False, 3, 4, "failed"), ("r", "a", "boss", 1, "completed", False, 2, 3, "failed"),
+        ("r", "b", "a", 2, "failed", False, 1, 1, "failed"), ("r", "unseen", None, 0, "running", True, 3, 2, "waiting_for_user"),
+        ("r", "c", "unseen", 1, "completed", False, 2, 2, "waiting_for_user"),
+        ("r", "d", "c", 2, "waiting_for_user", False, 1, 1, "waiting_for_user"),
+        ("s", "a", None, 0, "completed", False, 1, 1, "completed"),
+        (None, "y", None, 0, "completed", False, 2, 2, "running"), (None, "x", "y", 1, "queued", False, 1, 1, "running"),
+    }
+    chain = [(i, 1, at, "note", f"n{i}", f"n{i - 1}" if i else None) for i in range(600)]
+    deep = ev.agent_tree(spark.createDataFrame(chain, schema.replace("run_id string", "run_id int")))
+    assert deep.where("depth + tree_agents != 600").count() == 0 and deep.count() == 600
+    loop = [(i, "r", at, "note", f"n{i}", f"n{(i + 1) % 5}") for i in range(5)]
+    with pytest.raises(ev.CircularAgents):
+        ev.agent_tree(spark.createDataFrame(loop, schema))
+
+
 def test_tool_entries_equal_a_reducer(events, rows):
     entries = defaultdict(list)
     for run, rs in ordered(rows).items():
