@@ -754,9 +754,9 @@ TOOLS = ("SELECT run_id, agent_id, tool_call_id, s + o AS entries, done AS compl
 add("tool_pairs", TOOLS)
 add("stream_tool_pairs", TOOLS)
 add("recent_activity",
-    "SELECT run_id, event_id, ts, CASE type WHEN 'session_started' THEN 'Run started.' WHEN 'tool_started' THEN agent_id || ' is using ' || tool_call_id || '...' "
-    "WHEN 'tool_completed' THEN agent_id || ' completed ' || tool_call_id || '.' WHEN 'ask_user' THEN 'Waiting for user input...' "
-    "WHEN 'artifact_created' THEN agent_id || ' created ' || tool_call_id || '.' WHEN 'error' THEN agent_id || ' failed.' WHEN 'done' THEN 'Run completed.' END AS activity FROM ("
+    "SELECT run_id, event_id, ts, CASE type WHEN 'session_started' THEN 'Run begins' WHEN 'tool_started' THEN agent_id || ' calls tool ' || tool_call_id "
+    "WHEN 'tool_completed' THEN agent_id || ' is done with tool ' || tool_call_id WHEN 'ask_user' THEN 'A question is open' "
+    "WHEN 'artifact_created' THEN agent_id || ' made artifact ' || tool_call_id WHEN 'error' THEN agent_id || ' hit an error' WHEN 'done' THEN 'Run ends' END AS activity FROM ("
     "SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts DESC, event_id DESC) AS rk FROM ev) WHERE rk <= 8")
 add("error_list", "SELECT run_id, event_id, 'code ' || tool_call_id AS message, row_number() OVER (PARTITION BY run_id ORDER BY ts, event_id) AS position FROM ev WHERE type = 'error'")
 add("step_durations",
