@@ -20,8 +20,8 @@ def payments_by_invoice(payments: DataFrame) -> DataFrame:
 
 
 def invoices_with_payments(invoices: DataFrame, payments: DataFrame) -> DataFrame:
-    """Every invoice once, with its summed payments; unpaid invoices get 0."""
-    paid = payments_by_invoice(payments)
+    """Every invoice once, with its summed payments; unpaid invoices get 0. Payments may come summed by invoice."""
+    paid = payments if "collected_amount" in payments.columns else payments_by_invoice(payments)
     return invoices.join(paid, "invoice_id", "left").select(
         *invoices.columns,
         F.coalesce("collected_amount", F.lit(0)).alias("collected_amount"),

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import inspect
+import re
 import time
 import uuid
 from dataclasses import is_dataclass
@@ -30,7 +31,7 @@ STATUS_SCHEMA = (
 STATE_SCHEMA = f"build string, {STATUS_SCHEMA}, fingerprint string, inputs string, path string, at timestamp"
 
 
-def _digest(*parts: str) -> str:
+def fingerprint(*parts: str) -> str:
     return hashlib.sha256("\x00".join(parts).encode()).hexdigest()[:32]
 
 
@@ -47,21 +48,33 @@ def definition(spec: ModelSpec) -> str:
     return "\x00".join([text, *plain])
 
 
+#: Parts of a listed file's description that reading it may change.
+_ACCESS = re.compile(r"access_?[tT]ime=\d+")
+
+
+def _listed(df: DataFrame) -> str | None:
+    """Path, size and time of every file that a frame reads, as Spark has listed them; None if it reads anything else."""
+    found, leaves = [], df._jdf.queryExecution().analyzed().collectLeaves()
+    for leaf in (leaves.apply(i) for i in range(leaves.size())):
+        if leaf.getClass().getSimpleName() != "LogicalRelation":
+            return None
+        relation = leaf.relation()
+        if relation.getClass().getSimpleName() != "HadoopFsRelation":
+            return None
+        found.append(_ACCESS.sub("", relation.location().allFiles().mkString("\n")))
+    return "\n".join(sorted(found)) or None
+
+
 def source_fingerprint(df: DataFrame) -> str:
-    """Of a source: plan, and name, size and time of its files (their content isn't read); without files, of its rows.
+    """Of a source: its plan and the path, size and time of its files, which aren't read; without files, its rows.
 
     The rows' digest is a sum of row hashes with their number, so the order of rows doesn't count.
     """
     kinds = df.schema.simpleString()
-    if files := sorted(df.inputFiles()):
-        listed = df.sparkSession.read.format("binaryFile").load(files).select("path", "length", "modificationTime")
-        seen = listed.agg(
-            F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")), F.count(F.lit(1))
-        ).first()
-        shape = df._jdf.queryExecution().analyzed().canonicalized().toString()
-        return _digest("files", kinds, shape, str(seen[0]), str(seen[1]))
+    if files := _listed(df):
+        return fingerprint("files", kinds, df._jdf.queryExecution().analyzed().canonicalized().toString(), files)
     row = df.agg(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")), F.count(F.lit(1))).first()
-    return _digest("rows", kinds, str(row[0]), str(row[1]))
+    return fingerprint("rows", kinds, str(row[0]), str(row[1]))
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:
@@ -116,7 +129,7 @@ def rebuild(spark: SparkSession, tables: dict[str, DataFrame], specs: list[Model
                     prints[p] = source_fingerprint(tables[p])
             inputs = {p: prints[p] for p in spec.parents}
             held = ",".join(f"{n}={v}" for n, v in inputs.items())
-            own = prints[spec.name] = _digest(definition(spec), held)
+            own = prints[spec.name] = fingerprint(definition(spec), held)
             same = last.get((spec.name, own))  # built like this before, perhaps not last
             reason = None if same is not None else _reason(spec, inputs, before, done)
             path, status = f"{folder}/{spec.name}/{own}", "built"

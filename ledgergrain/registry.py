@@ -19,9 +19,9 @@ from ledgergrain.operators import joins, metrics, profile, quality, text_rules
 from ledgergrain.operators import relationships as rel
 from ledgergrain.operators import run_events as ev
 from ledgergrain.operators.metrics import MetricRequest
-from ledgergrain.plans import build, lineage, rebuild, sql_models
+from ledgergrain.plans import build, lineage, rebuild, sql_models, staged
 from ledgergrain.plans import models as m
-from ledgergrain.session import run_folder
+from ledgergrain.session import application_folder, run_folder
 from ledgergrain.sources import adapters, contracts, drift, sinks, tables
 from ledgergrain.specs import ColumnCheck, DataTest, Relationship, RuleOption, SourceContract, TextRule
 from ledgergrain.streaming import events as stream
@@ -685,7 +685,7 @@ def _(spark, d):
 
 
 def _product(spark, d, product: str, model: str, variant: str = "gross_and_net") -> DataFrame:
-    return build.compose(src(spark, d), build.product_models(product, variant))[model]
+    return staged.product(spark, src(spark, d), product, application_folder(spark, "staged"), variant)[model]
 
 
 @query("stg_clean")

@@ -47,12 +47,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def application_folder(spark: SparkSession, name: str) -> str:
+    """One path for all of an application's tables of a kind."""
+    return f"{shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{name}"
+
+
 def run_folder(spark: SparkSession, name: str) -> str:
     """A fresh path for one run's tables or streaming state.
 
     All of an application lie in one folder below the shared one, which can go when the application has ended.
     """
-    return f"{shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return f"{application_folder(spark, name)}-{uuid.uuid4().hex}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
