@@ -210,11 +210,15 @@ def _first(threshold: int):
 
 
 def joined(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, threshold: int = THRESHOLD
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, threshold: int = THRESHOLD,
+    **sizes: int,
 ) -> DataFrame:
-    """One row per input row: ``doc_id``, ``n_shingles`` and ``component_id``, the smallest id reachable by links."""
+    """One row per input row: ``doc_id``, ``n_shingles`` and ``component_id``, the smallest id reachable by links.
+
+    ``sizes`` are those of ``repeats.blocked``.
+    """
     docs = docs.select(F.col(f"`{doc_id}`").alias(doc_id), F.col(f"`{text}`").alias(text))
-    blocks = repeats.blocked(docs, text, keys_per_byte=0.2)
+    blocks = repeats.blocked(docs, text, keys_per_byte=0.2, **sizes)
     answers = repeats.shared(blocks, _keys(text, width), counted=True)
     rows = stored(repeats.applied(blocks, answers, _profile(doc_id, text, width, threshold, blocks.bits), _ROWS), "sets")
     classes = stored(

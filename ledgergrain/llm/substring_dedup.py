@@ -62,10 +62,10 @@ def _removed(text: str, width: int, bits: int, block: str, names: list[str]):
     return remove
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH) -> DataFrame:
-    """The rows with repeated windows cut out of ``text``, and their word counts."""
+def remove_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH, **sizes: int) -> DataFrame:
+    """The rows with repeated windows cut out of ``text``, and their word counts; ``sizes`` as ``repeats.blocked``."""
     docs = docs.drop("n_words", "n_removed")
-    blocks = repeats.blocked(docs, text, keys_per_byte=0.2)
+    blocks = repeats.blocked(docs, text, keys_per_byte=0.2, **sizes)
     names = blocks.names
     schema = T.StructType(
         [T.StructField(f.name, f.dataType) for f in docs.schema]

@@ -79,21 +79,27 @@ def repeated_words(texts, width):
         yield w, gone
 
 
-@pytest.mark.parametrize("width", [35, 3])
-def test_substring_dedup(docs, no_docs, lone_docs, width):
+#: Some fifty blocks and prefixes for the fixture's texts, in place of one.
+MANY_BLOCKS = {"block_bytes": 3 << 10, "group_keys": 1 << 9}
+
+
+@pytest.mark.parametrize("width,sizes", [(35, {}), (3, {}), (35, MANY_BLOCKS), (3, MANY_BLOCKS)])
+def test_substring_dedup(docs, no_docs, lone_docs, width, sizes):
     for df in (docs, lone_docs, no_docs):
         rows = table(df)
         want = Counter()
         for r, (w, gone) in zip(rows, repeated_words([WORDS(r["text"] or "") for r in rows], width)):
             want[(r["doc_id"], len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone))] += 1
-        out = substring_dedup.remove_repeats(df, width=width)
+        out = substring_dedup.remove_repeats(df, width=width, **sizes)
         assert out.columns == [*df.columns, "n_words", "n_removed"]
         assert Counter(out.select("doc_id", "n_words", "n_removed", "text").collect()) == want
     assert sum(k[2] for k in want) == 0
 
 
-@pytest.mark.parametrize("width,gram", [(400, 100), (30, 10), (25, 10), (12, 12)])
-def test_suffix_dedup(docs, no_docs, lone_docs, width, gram):
+@pytest.mark.parametrize("width,gram,sizes", [
+    (400, 100, {}), (30, 10, {}), (25, 10, {}), (12, 12, {}), (400, 100, MANY_BLOCKS), (90, 10, MANY_BLOCKS),
+])
+def test_suffix_dedup(docs, no_docs, lone_docs, width, gram, sizes):
     for df in (docs, lone_docs, no_docs) if width == 30 else (docs,):
         rows = table(df)
         texts = [(r["text"] or "").encode() for r in rows]
@@ -107,7 +113,7 @@ def test_suffix_dedup(docs, no_docs, lone_docs, width, gram):
             kept = bytes(b for b, x in zip(t, gone) if not x)
             runs = int((np.diff(np.r_[False, gone].astype(int)) == 1).sum())
             want[(r["doc_id"], len(t), int(gone.sum()), runs, kept)] += 1
-        out = suffix_dedup.remove_repeats(df, width=width, gram=gram)
+        out = suffix_dedup.remove_repeats(df, width=width, gram=gram, **sizes)
         got = Counter((*r[:4], bytes(r[4])) for r in out.select("doc_id", *suffix_dedup.COUNTS, "kept").collect())
         assert got == want
 
@@ -145,7 +151,8 @@ def test_ngram_join(spark, docs, no_docs, lone_docs, threshold, piece, monkeypat
             base[rng.randrange(len(base))] = prose(rng, 1)
         chain.append(" ".join(base))
     df = docs.unionByName(frame(spark, chain, 1000))
-    got = {tuple(r) for r in ngram_join.joined(df, threshold=threshold).collect()}
+    sizes = MANY_BLOCKS if threshold == 50 else {}
+    got = {tuple(r) for r in ngram_join.joined(df, threshold=threshold, **sizes).collect()}
     assert got == linked(table(df), threshold)
     if threshold == 80:
         assert ngram_join.joined(no_docs).count() == 0
