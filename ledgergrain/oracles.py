@@ -129,6 +129,20 @@ add("profile_null_rates", NULL_RATES)
 add("profile_distinct_values",
     "SELECT 'fact_subscriptions' AS source, 'plan_id' AS \"column\", plan_id AS value, COUNT(*) AS row_count FROM fact_subscriptions GROUP BY plan_id "
     "UNION ALL SELECT 'dim_customers', 'customer_segment', customer_segment, COUNT(*) FROM dim_customers GROUP BY customer_segment")
+
+
+def _state(column: str, text: bool) -> str:
+    """Exact figures of a column; the sketches are within their bounds."""
+    low, high = f"MIN({column})", f"MAX({column})"
+    bounds = f"{low} AS low, {high} AS high, NULL::DOUBLE AS low_number, NULL::DOUBLE AS high_number" if text else (
+        f"NULL::VARCHAR AS low, NULL::VARCHAR AS high, {low}::DOUBLE AS low_number, {high}::DOUBLE AS high_number")
+    median = "TRUE" if column == "o_totalprice" else "NULL::BOOLEAN"
+    return (f"SELECT '{column}' AS column, COUNT(*) AS row_count, COUNT(*) - COUNT({column}) AS null_count, {bounds}, "
+            f"TRUE AS distinct_within, {median} AS median_within FROM orders")
+
+
+add("profile_state", " UNION ALL ".join(
+    _state(c, c == "o_orderpriority") for c in ("o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice")))
 add("profile_month_range",
     "SELECT 'stripe_invoices' AS source, 'invoice_month' AS \"column\", MIN(invoice_month) AS first_month, MAX(invoice_month) AS last_month, "
     "COUNT(DISTINCT invoice_month) AS months, COUNT(*) AS row_count FROM stripe_invoices "
@@ -646,6 +660,7 @@ EXPLICIT = has("t", "mail to", "license", "by_mail", "by e-mail", "tel", "by_pho
 LINKED = f"({has('t', 'and', 'und', 'et')} AND {has('t', 'tion', 'ung', 'ment')} AND NOT {has('t', 'password', 'api key')} AND NOT {EXPLICIT})"
 ANYP = has("t", "the", "of", "der", "nicht", "le", "que")
 add("rule_match", f"SELECT doc_id, {LINKED} AS linked_prose, {ANYP} AS any_prose, {has('t', 'the')} AS never FROM docs", DOCS)
+add("rule_table_match", f"SELECT doc_id, 'linked_prose' AS rule_id FROM docs WHERE {LINKED} UNION ALL SELECT doc_id, 'any_prose' FROM docs WHERE {ANYP}", DOCS)
 add("explicit_choice", f"SELECT doc_id, {EXPLICIT} AS explicit FROM docs", DOCS)
 add("first_rule_wins_prose", f"SELECT conv_id, turn, CASE WHEN {LINKED} THEN 'linked_prose' WHEN {ANYP} THEN 'any_prose' END AS rule_id FROM "
     f"(SELECT conv_id, turn, {NORM} AS t FROM conversations WHERE role = 'user')")

@@ -15,7 +15,7 @@ from ledgergrain import fixed_values as fixed
 from ledgergrain.functions.columns import money, month_key
 from ledgergrain.functions.time_phrases import in_date_phrase
 from ledgergrain.operators import datatests as dt
-from ledgergrain.operators import joins, metrics, profile, quality, text_rules
+from ledgergrain.operators import joins, metrics, profile, profile_state, quality, rule_tables, text_rules
 from ledgergrain.operators import relationships as rel
 from ledgergrain.operators import run_events as ev
 from ledgergrain.operators.metrics import MetricRequest
@@ -172,6 +172,26 @@ def _(spark, d):
     )
 
 
+@query("profile_state")
+def _(spark, d):
+    """Orders that arrive in two deliveries: exact figures, and whether the merged sketches keep their bounds."""
+    base, columns = run_folder(spark, "profile"), ("o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice")
+    orders = adapters.parquet(spark, d, "orders").select(*columns)
+    for late in (False, True):
+        orders.where((F.col("o_orderkey") % 3 == 0) == late).write.parquet(f"{base}/in/{int(late)}")
+        profile_state.update(spark, f"{base}/in", f"{base}/state")
+    found = profile_state.merged(spark, f"{base}/in", f"{base}/state")
+    exact = orders.agg(*[F.count_distinct(c).alias(c) for c in columns])
+    cells = ", ".join(f"struct('{c}' as column, {c} as n)" for c in columns)
+    median = found.where("column = 'o_totalprice'").select(F.col("quantiles")[0]).scalar()
+    below = orders.agg(F.count_if(F.col("o_totalprice") <= median) / F.count(F.lit(1))).scalar()
+    return found.join(exact.selectExpr(f"inline(array({cells}))"), "column").select(
+        "column", "row_count", "null_count", "low", "high", "low_number", "high_number",
+        (F.abs(F.col("distinct_estimate") - F.col("n")) <= 0.06 * F.col("n")).alias("distinct_within"),
+        F.when(F.col("column") == "o_totalprice", F.abs(below - 0.5) <= 0.03).alias("median_within"),
+    )
+
+
 @query("profile_month_range")
 def _(spark, d):
     return profile.month_ranges(src(spark, d), fixed.CONTRACTS)
@@ -962,6 +982,12 @@ PROSE_RULES = (
 )
 
 
+@query("rule_table_match")
+def _(spark, d):
+    docs = adapters.parquet(spark, d, "documents").select("doc_id", "text")
+    return rule_tables.matches(docs, *rule_tables.as_tables(spark, PROSE_RULES), "doc_id").select("doc_id", "rule_id")
+
+
 @query("rule_match")
 def _(spark, d):
     docs = adapters.parquet(spark, d, "documents").withColumn("_t", text_rules.normalize(F.col("text")))

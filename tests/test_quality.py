@@ -1,11 +1,15 @@
 from __future__ import annotations
 
+import bisect
+import random
 from dataclasses import replace
+from pathlib import Path
 
+import pyarrow.parquet as pq
 from conftest import INVOICES, PAYMENTS, as_set, cash, make, plan_of
 
 from ledgergrain import fixed_values as fixed
-from ledgergrain.operators import profile, quality
+from ledgergrain.operators import profile, profile_state, quality
 from ledgergrain.specs import ColumnCheck, ColumnSpec, SourceContract
 
 INV = fixed.STRIPE_INVOICES
@@ -145,3 +149,31 @@ def test_profiles(tables):
     approx = as_set(profile.approx_distinct(tables["dim_plans"], "p"), "column", "approx_distinct")
     assert approx == {("plan_id", 4), ("plan_name", 4)}
     assert profile.column_differences(tables["dim_plans"], fixed.DIM_PLANS).count() == 0
+
+
+def test_profile_state_reads_new_files_only(spark, tmp_path, monkeypatch):
+    rng, source, state, read = random.Random(7), f"{tmp_path}/in", f"{tmp_path}/state", []
+    plain = profile_state.profiled
+    monkeypatch.setattr(profile_state, "profiled", lambda df: read.append(len(df.inputFiles())) or plain(df))
+    rows = [(i, rng.gauss(0, 1), None if i % 4 == 0 else f"name{rng.randrange(3000)}", i % 7 == 0) for i in range(20_000)]
+    schema = "id long, x double, name string, flag boolean"
+    for part in range(4):
+        df = spark.createDataFrame(rows[part * 5000 : (part + 1) * 5000], schema)
+        df.coalesce(1).write.mode("append").parquet(source)
+        assert len(profile_state.update(spark, source, state)) == 1
+    assert read == [1] * 4 and profile_state.update(spark, source, state) == []
+    found = {r.column: r for r in profile_state.merged(spark, source, state, (0.25, 0.5)).collect()}
+    names = {r[2] for r in rows} - {None}
+    assert (found["name"].row_count, found["name"].null_count, found["name"].files) == (20_000, 5000, 4)
+    assert (found["name"].low, found["name"].high) == (min(names), max(names)) and found["name"].quantiles is None
+    assert (found["id"].low_number, found["id"].high_number, found["flag"].distinct_estimate) == (0.0, 19_999.0, 2)
+    assert abs(found["id"].distinct_estimate - 20_000) < 1200 and abs(found["name"].distinct_estimate - len(names)) < 180
+    values = sorted(r[1] for r in rows)
+    for share, value in zip((0.25, 0.5), found["x"].quantiles):
+        assert abs(bisect.bisect(values, value) / 20_000 - share) < 0.02
+    # A file that changes is read again, and its old figures no longer count.
+    path = next(iter(spark.read.parquet(source).inputFiles())).removeprefix("file://")
+    pq.write_table(pq.read_table(path).slice(0, 10), path)
+    Path(path).parent.joinpath("." + Path(path).name + ".crc").unlink(missing_ok=True)
+    assert len(profile_state.update(spark, source, state)) == 1
+    assert {r.row_count for r in profile_state.merged(spark, source, state).collect()} == {15_010}

@@ -7,6 +7,7 @@ from conftest import as_set
 from pyspark.sql import functions as F
 
 from ledgergrain import fixed_values as fixed
+from ledgergrain.operators import rule_tables, text_rules
 from ledgergrain.operators import text_rules as tr
 from ledgergrain.specs import RuleOption, TextRule
 
@@ -143,3 +144,44 @@ def test_resolved_rule_keys_equal_brute_force(spark):
     assert [r.rule_key for r in found] == expected
     plain = df.where("question_id in ('q_Foo', 'x_9')")
     assert tr.resolved_rules(plain, "package", "n").count() == plain.count()
+
+
+def test_rules_as_tables_match_like_single_rules(spark):
+    rng = random.Random(12)
+    words = ["alpha", "beta", "gamma", "al", "x", "beta gamma", "é!", "z" * 40, "a b"]
+    pick = lambda: tuple(rng.choice(words) for _ in range(rng.randint(1, 3)))
+    rules = []
+    for i in range(60):
+        rules.append(TextRule(
+            f"r{i}", f"q{i}", all_any={f"g{j}": pick() for j in range(rng.randint(0, 2))},
+            any_any={f"g{j}": pick() for j in range(rng.randint(0, 2))},
+            none_any={"n": pick()} if rng.random() < 0.4 else {}, missing_explicit_choice=rng.random() < 0.3,
+            options=(RuleOption("opt_a", "Gamma ray", ("alphabet",)),), enabled=rng.random() < 0.9,
+        ))
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 6))) for _ in range(50)] + [None, "", "Alphabet!"]
+    requests = spark.createDataFrame(list(enumerate(texts)), "request_id int, text string")
+    tables = rule_tables.as_tables(spark, tuple(rules))
+    found = {(r.request_id, r.rule_id) for r in rule_tables.matches(requests, *tables, "request_id").collect()}
+    plain = requests.withColumn("t", F.coalesce(text_rules.normalize(F.col("text")), F.lit("")))
+    single = plain.select("request_id", *[text_rules.rule_matches(F.col("t"), r).alias(r.id) for r in rules if r.enabled])
+    want = {(r.request_id, n) for r in single.collect() for n, hit in r.asDict().items() if n != "request_id" and hit}
+    assert found == want and len(want) > 100
+    first = {r.request_id: r.rule_id for r in rule_tables.first_match(requests, *tables, "request_id").collect()}
+    order = {r.id: i for i, r in enumerate(rules)}
+    assert first == {i: min((n for j, n in want if j == i), key=order.get, default=None) for i in range(len(texts))}
+
+
+def test_ten_thousand_terms_have_the_plan_of_ten(spark):
+    requests = spark.createDataFrame([(i, f"needs term{i} and more") for i in range(200)], "id int, text string")
+
+    def many(n):
+        rules = tuple(TextRule(f"r{i}", f"q{i}", any_any={"a": (f"term{i} ",)}) for i in range(n))
+        heads, terms = rule_tables.as_tables(spark, rules)
+        return rule_tables.matches(requests, heads.repartition(2), terms.repartition(2), "id")
+
+    def nodes(df):
+        return [line.strip(" +-:*").split(" ")[0] for line in df._jdf.queryExecution().optimizedPlan().toString().split("\n")]
+
+    found = many(10_000)
+    assert nodes(found) == nodes(many(10))
+    assert {(r.id, r.rule_id) for r in found.collect()} >= {(i, f"r{i}") for i in range(200)}
