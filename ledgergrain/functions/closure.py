@@ -49,3 +49,29 @@ def closure(edges: DataFrame, child: str, parent: str, group: Sequence[str] = ()
         )
         pairs = checkpointed(pairs.unionByName(further).groupBy(*keys).agg(best("distance").alias("distance")))
         reach *= 2
+
+
+def longest_ways(edges: DataFrame, child: str, parent: str, nodes: int) -> tuple[DataFrame, DataFrame | None]:
+    """``child`` and ``level``, the most steps that lead up from it, of every node with a parent; and what is left over.
+
+    ``ways`` of a round are the pairs that k steps join. Who has one gets k more than the highest of their other ends
+    has within k steps; then the pairs are joined to themselves and k doubles, until none is left. Pairs that are left
+    when k reaches the number of nodes go round a cycle; they are returned, else None.
+    """
+    steps = edges.select(F.col(child).alias("child"), F.col(parent).alias("ancestor")).distinct()
+    ways, reach = checkpointed(steps), 1
+    levels = ways.select("child").distinct().withColumn("level", F.lit(1))
+    while not ways.isEmpty():
+        if reach > nodes:
+            return levels, ways
+        within = levels.select(F.col("child").alias("ancestor"), F.col("level").alias("_rest"))
+        higher = ways.join(within, "ancestor", "left").groupBy("child").agg(
+            (F.coalesce(F.max("_rest"), F.lit(0)) + reach).alias("_higher")
+        )
+        levels = levels.join(higher, "child", "left")
+        levels = checkpointed(levels.select("child", F.coalesce("_higher", "level").cast("int").alias("level")))
+        middle = ways.select(F.col("child").alias("_from"), F.col("ancestor").alias("_middle"))
+        on = middle.join(ways, F.col("_middle") == F.col("child"))
+        ways = checkpointed(on.select(F.col("_from").alias("child"), "ancestor").distinct())
+        reach *= 2
+    return levels, None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgergrain.functions.closure import closure
+from ledgergrain.functions.closure import closure, longest_ways
 from ledgergrain.session import checkpointed
 
 # Calls by which a model text names another model or a source table, with or without braces.
@@ -53,24 +53,23 @@ class CircularModels(ValueError):
 def model_levels(edges: DataFrame, models: DataFrame, check_cycles: bool = True) -> DataFrame:
     """Level of every model: 0 without known parents, else 1 + the highest parent level.
 
-    ``models`` has ``model``; ``edges`` has ``model, parent``. A level is the longest way to an ancestor, so all of them
-    follow from the closure of the graph, whose rounds double the reach. Edges to unknown parents do not count. Models on
+    ``models`` has ``model``; ``edges`` has ``model, parent``. A level is the longest way up, found in rounds that double
+    the reach: a graph of 2,000 levels takes eleven. Edges to unknown parents do not count. Models on
     or behind a cycle raise, or get a null level with ``check_cycles=False``.
     """
-    nodes = models.select("model").distinct()
+    nodes = checkpointed(models.select("model").distinct())
     known = edges.select("model", "parent").join(nodes.select(F.col("model").alias("parent")), "parent", "left_semi")
-    ways = closure(known, "model", "parent")
-    lost = nodes.limit(0)
-    if ways.cyclic:
+    count, lost = nodes.count(), nodes.limit(0)
+    levels, rounds = longest_ways(known, "model", "parent", count)
+    if rounds is not None:
         if check_cycles:
-            stuck = ways.pairs.where("child = ancestor").agg(F.min("child")).first()[0]
-            raise CircularModels(f"circular model dependency at {stuck}")
+            raise CircularModels(f"circular model dependency at {rounds.agg(F.min('child')).first()[0]}")
         short = closure(known, "model", "parent", longest=False).pairs
         looped = short.where("child = ancestor").select(F.col("child").alias("model")).distinct()
         behind = short.join(looped.withColumnRenamed("model", "ancestor"), "ancestor", "left_semi")
         lost = checkpointed(behind.select(F.col("child").alias("model")).distinct())
-        ways = closure(known.join(lost, "model", "left_anti"), "model", "parent")
-    levels = ways.pairs.groupBy(F.col("child").alias("model")).agg(F.max("distance").alias("level"))
+        levels, _ = longest_ways(known.join(lost, "model", "left_anti"), "model", "parent", count)
+    levels = levels.withColumnRenamed("child", "model")
     found = nodes.join(levels, "model", "left").join(lost.withColumn("_lost", F.lit(True)), "model", "left")
     level = F.when(F.col("_lost").isNull(), F.coalesce("level", F.lit(0)))
     return found.select("model", level.cast("int").alias("level"))
