@@ -190,7 +190,11 @@ def test_kd_shards_by_three(spark):
     assert len(size) == 3 and max(size.values()) < 1.05 * min(size.values())
 
 
-def test_topk(spark):
+@pytest.mark.parametrize("cells", [None, 300])
+def test_topk(spark, cells, monkeypatch):
+    if cells:  # dozens of chunks and groups
+        for name in ("CHUNK_CELLS", "GROUP_CELLS", "LEAST_ROWS"):
+            monkeypatch.setattr(topk, name, cells if name == "CHUNK_CELLS" else 100)
     rng = np.random.default_rng(1)
     vectors = [(i, rng.normal(0, 0.2, 40).astype("float32").tolist()) for i in range(400)]
     vectors += [(400 + i, vectors[i][1]) for i in range(30)]  # ties
