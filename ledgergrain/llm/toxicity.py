@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from ledgergrain.llm import textops
 from ledgergrain.session import checkpointed
 
-PER_CLASS = 1000
+PER_CLASS = 3000
 #: Sentences are read in runs of so many characters; a task keeps the values of so many words.
 GROUP_CHARS, KNOWN_WORDS = 1 << 18, 50_000
 #: Tasks of the training rows: by their bytes, within limits.
