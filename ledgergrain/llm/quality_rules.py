@@ -1,11 +1,11 @@
 """Quality rules: a short-circuit cascade ordered by rejections per cost, as measured on a sample.
 
 ``text_figures`` gives figures of every whole text (words are ``[^\\x20\\x09-\\x0D]+``). ``Cascade.fit`` runs every
-rule on a bounded sample, measures its cost per row and its rejections, and orders the rules greedily: next comes the
+rule on a sample in Spark tasks, measures its cost and its rejections, and orders the rules greedily: next comes the
 rule with the most rejections per second among the rows that the earlier ones let pass. Each rule then sees only the
 rows that are still alive. A verdict is "no rule rejects", so it doesn't depend on the order.
 
-Null and empty texts have no words and fail the base rule. Ties and repeated rows get the same verdict. An empty
+Texts of any length are read whole, in one task each; figures take some ten bytes of work memory a byte of text. Null and empty texts have no words and fail the base rule. Ties and repeated rows get the same verdict. An empty
 table gives an empty table; fitting on one keeps the order given.
 """
 
@@ -24,7 +24,6 @@ from pyspark.sql import types as T
 from ledgergrain.llm import textops
 
 SAMPLE_ROWS = 2000
-SAMPLE_BYTES = 100_000
 REPEAT_WIDTH = 8
 MIN_WORDS = 20
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -140,36 +139,63 @@ RULES = (
 )
 
 
-def _ordered(texts: Texts, rules: tuple[Rule, ...]) -> tuple[Rule, ...]:
-    """Greedy order by rejections per second; each rule is timed on texts without earlier figures."""
-    if texts.n == 0:
-        return rules
-    cost, rejects = {}, {}
-    for r in rules:
-        started = time.perf_counter()
-        rejects[r.name] = r.test(Texts(texts.data, texts.offsets))
-        cost[r.name] = max(time.perf_counter() - started, 1e-9)
-    left, order, alive = list(rules), [], np.ones(texts.n, bool)
+def _ordered(rules: tuple[Rule, ...], cost: dict[int, float], masks: dict[int, int]) -> tuple[Rule, ...]:
+    """Greedy order by rejections per second. ``masks`` counts texts by the rules (bits) that reject them."""
+    left, order, gone = list(range(len(rules))), [], 0
     while left:
-        best = max(left, key=lambda r: (int((rejects[r.name] & alive).sum()) / cost[r.name], -cost[r.name]))
+
+        def rate(i: int) -> tuple[float, float]:
+            fresh = sum(n for mask, n in masks.items() if mask >> i & 1 and not mask & gone)
+            return fresh / max(cost[i], 1e-9), -cost[i]
+
+        best = max(left, key=rate)
         left.remove(best)
-        order.append(best)
-        alive &= ~rejects[best.name]
+        order.append(rules[best])
+        gone |= 1 << best
     return tuple(order)
 
 
+def _timed(rules: tuple[Rule, ...]):
+    """Per task: seconds of each rule on texts without earlier figures, and texts by the rules that reject them."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seconds, masks = np.zeros(len(rules)), {}
+        for batch in batches:
+            for part in _parts(batch.column(0)):
+                mask = np.zeros(part.n, np.int64)
+                for i, rule in enumerate(rules):
+                    started = time.perf_counter()
+                    rejects = rule.test(Texts(part.data, part.offsets))
+                    seconds[i] += time.perf_counter() - started
+                    mask |= rejects.astype(np.int64) << i
+                for key, n in zip(*np.unique(mask, return_counts=True)):
+                    masks[int(key)] = masks.get(int(key), 0) + int(n)
+        rows = [(-1 - i, s) for i, s in enumerate(seconds)] + [(k, float(n)) for k, n in masks.items()]
+        if masks:
+            keys, values = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(values, pa.float64())], names=["k", "v"])
+
+    return measure
+
+
 @dataclass(frozen=True)
 class Cascade:
     rules: tuple[Rule, ...] = RULES
 
     @staticmethod
     def fit(docs: DataFrame, text: str = "text", rules=RULES, sample_rows: int = SAMPLE_ROWS) -> Cascade:
-        """Order the rules on a seeded sample of at most ``sample_rows`` texts, none above SAMPLE_BYTES."""
-        column = F.col(f"`{text}`")
-        share = min(1.0, 2 * sample_rows / max(docs.count(), 1))
-        sample = docs.select(column.alias("t")).sample(share, seed=7).where(F.octet_length("t") <= SAMPLE_BYTES)
-        rows = [r.t for r in sample.limit(sample_rows).collect()]
-        return Cascade(_ordered(Texts(*textops.flat(pa.array(rows, pa.string()))), tuple(rules)))
+        """Order the rules (62 at most) on a seeded sample of about ``sample_rows`` whole texts of any length.
+
+        Rules are timed in tasks; what comes to the driver is a number per rule and one per set of rules that reject
+        the same texts.
+        """
+        share = min(1.0, sample_rows / max(docs.count(), 1))
+        sample = docs.select(F.col(f"`{text}`").alias("t")).sample(share, seed=7)
+        rows = sample.mapInArrow(_timed(tuple(rules)), "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
+        if not rows:
+            return Cascade(tuple(rules))
+        cost = {-1 - r.k: r.v for r in rows if r.k < 0}
+        return Cascade(_ordered(tuple(rules), cost, {r.k: int(r.v) for r in rows if r.k >= 0}))
 
     def kept(self, texts: Texts) -> np.ndarray:
         """True for rows that no rule rejects; each rule sees the rows that are left."""

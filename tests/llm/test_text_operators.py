@@ -60,6 +60,10 @@ def test_quality_rules(docs, no_docs, lone_docs):
         assert tuple(r[c] for c in quality_rules.BASE) == want, r["doc_id"]
         assert r["base_failed"] == (want[0] < 20 or 100 * want[4] > 30 * want[0])
         assert not (r["kept"] and r["base_failed"])
+    # Ordered by rejections per cost among what is left: b rejects most per second, then a, as c rejects nothing new.
+    named = tuple(quality_rules.Rule(n, None) for n in "abc")
+    order = quality_rules._ordered(named, {0: 1.0, 1: 1.0, 2: 0.9}, {0b110: 50, 0b010: 10, 0b001: 40, 0: 900})
+    assert [r.name for r in order] == ["b", "a", "c"]
     backwards = quality_rules.Cascade(tuple(reversed(quality_rules.RULES)))
     kept = {r["doc_id"] for r in rows if r["kept"]}
     assert {r.doc_id for r in quality_rules.filtered(docs, backwards).collect()} == kept and len(kept) > 20
