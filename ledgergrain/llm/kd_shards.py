@@ -9,7 +9,8 @@ Medians are found by histograms that Spark sums and narrows: each round keeps on
 bucket's figures come to the driver. Cuts fall between points, so shards differ by a few ``GRAIN`` at most, unless rows
 alike in id and text weigh more than that.
 
-Null texts weigh one byte and count as empty; null dimensions count as the lowest value; null ids are ids like others.
+Texts count by their bytes, whatever their length; they are hashed whole in the JVM and never leave it. Null texts weigh
+one byte and count as empty; null dimensions count as the lowest value; null ids are ids like others.
 Extra columns are ignored, and only the named result columns return. An empty table gives an empty table. ``slot``
 numbers the rows of a shard from 0 without gaps, in the order of a hash of id and text.
 """

@@ -11,7 +11,7 @@ found from token sums of 4096 hash ranges per leaf and one running sum within th
 holds a third of all rows is never in one task. Rows are then chosen by comparing their hash with that place, without
 a shuffle.
 
-Null or missing level values count as "" and null texts hold no tokens: rows without tokens come with every whole
+Texts count by their words, whatever their length; none is cut. Null or missing level values count as "" and null texts hold no tokens: rows without tokens come with every whole
 epoch of their leaf and with a prefix by their place in it. Rows alike in id and text have one place: they come in
 together or not at all. Columns that clash with the level names are replaced when levels are given as expressions.
 An empty table gives an empty table. The table of leaves is metadata and is planned on the driver; more than

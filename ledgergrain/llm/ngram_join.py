@@ -17,7 +17,8 @@ when ``100 * |A and B| >= threshold * |A or B|``. The join is exact:
    just the same classes are asked once.
 
 No group emits all its pairs: classes already connected are skipped, and links leave a group as a spanning forest.
-Null texts have no words. Rows that share an id count as one document. Rows without id get no component and take no
+Texts of any length are read whole, each in one task, with some fifty bytes of work memory a byte. Null and empty texts
+have no words. Rows that share an id count as one document. Rows without id get no component and take no
 part as partners. Repeated rows are copies of each other. Other columns are ignored. An empty table gives none.
 n-grams and sets are compared by hashes of 60 and 128 bits.
 """

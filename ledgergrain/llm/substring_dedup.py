@@ -4,7 +4,8 @@
 anywhere else too, in the same or another text; repeated windows merge into maximal intervals. Windows are judged on
 the input. Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. Texts whose words are all kept are rejoined by one blank too.
 
-Null and empty texts have no words and come out as ``""``. Repeated rows count as repeats of each other, whatever
+Texts of any length are read whole, each in one task, with some fifty bytes of work memory a byte of text. Null and
+empty texts have no words and come out as ``""``. Repeated rows count as repeats of each other, whatever
 their ids. Every other column passes unchanged; ``n_words`` and ``n_removed`` replace columns of those names. An
 empty table gives an empty table. Hashes have 64 bits: two different windows collide with probability 2**-64.
 """

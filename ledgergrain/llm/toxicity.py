@@ -16,7 +16,9 @@ runs of letters, lower-cased; symbols within a word and the gaps of spaced-out l
 Landmark values are linear in a word's subsequences, so the machine collapses to one weight per subsequence (by a
 hash of CODE_BITS bits) and a worker scores whole texts with array operations alone.
 
-Null and empty texts score like texts without words. Repeated rows score alike. Labels that are null are left out;
+Texts of any length are scored whole. Null and empty texts score like texts without words. Repeated rows score alike.
+Ties among words, landmarks and sentences go by text, then id, so a fit repeats. Only id and text are read, and only the
+named result columns return, so no name clashes. Labels that are null are left out;
 with one class only, every score is the share of that class. Empty tables give empty results.
 """
 

@@ -6,7 +6,8 @@ labeller votes what on good and on bad texts, without any true label. The poster
 label, and a hashed linear scorer learns these on at most ``SAMPLE_ROWS`` whole texts. The scorer sees word shapes, not the
 labellers' figures, so it also judges texts on which the labellers are silent or disagree.
 
-Null and empty texts get the votes and features of a text without words. Repeated rows are judged alike. Other columns
+Texts of any length are judged whole. Ties don't arise: a text is kept or not by its own score. Null and empty texts get
+the votes and features of a text without words. Repeated rows are judged alike. Other columns
 pass; ``score`` and ``kept`` replace columns of these names. An empty table gives an empty table; a model fitted on one
 scores everything 0.5.
 """

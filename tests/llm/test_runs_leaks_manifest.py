@@ -16,7 +16,14 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
 
-from ledgergrain.llm import decontaminate, merkle, periodic_runs, queries  # noqa: E402
+from ledgergrain.llm import (  # noqa: E402
+    decontaminate,
+    merkle,
+    periodic_runs,
+    queries,
+    substring_dedup,
+    suffix_dedup,
+)
 
 from text_fixtures import docs, frame, lone_docs, no_docs, prose  # noqa: E402, F401
 
@@ -131,6 +138,23 @@ def test_op11_contract(spark, tmp_path):
     assert sum(r[1] > 0 for r in want) > 10
 
 
+def test_one_very_long_text(spark):
+    """Two megabytes in one text, with a passage that comes twice and a loop, through all that read texts in tasks."""
+    rng = np.random.default_rng(3)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    words = ["".join(w) for w in letters[rng.integers(0, 26, (220_000, 8))]]
+    passage = words[:100]
+    text = " ".join([*words[:150_000], *passage, *words[150_000:], *["loop", "again"] * 30])
+    df = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    cut = {r.doc_id: r for r in substring_dedup.remove_repeats(df).collect()}
+    assert (cut[1].n_words, cut[1].n_removed) == (220_160, 200 + 60) and cut[2].text == ""
+    gone = {r.doc_id: r for r in suffix_dedup.remove_repeats(df).drop("kept", "text").collect()}
+    # The passage and the blank behind it, at both places; the one before is at one only.
+    assert gone[1].n_bytes == len(text) and gone[1].n_removed - 2 * len(" ".join(passage)) in range(6)
+    runs = {r.doc_id: r.runs for r in periodic_runs.find(df).drop("text", "collapsed").collect()}
+    assert [tuple(x) for x in runs[1]] == [(220_100, 60, 2)] and runs[2] == []
+
+
 # --- decontamination ----------------------------------------------------------------------------------
 
 
