@@ -243,7 +243,11 @@ def resolved_rules(answers: DataFrame, package: str, order: str, question: str =
         "_pkg", F.regexp_extract("_k", form, 1).alias("_base"), F.col("_k").alias("_form"),
         F.regexp_extract("_k", form, 2).try_cast("bigint").alias("_i"), F.col("_order").alias("_at"),
     ).where(F.col("_i") >= 2)
-    forms = forms.join(keys.select("_pkg", F.col("_k").alias("_base")), ["_pkg", "_base"], "left_semi")
+    forms = checkpointed(forms.join(keys.select("_pkg", F.col("_k").alias("_base")), ["_pkg", "_base"], "left_semi"))
+    if forms.isEmpty():  # no key reads like a numbered form of another, so nobody competes for a name
+        repeat = F.concat_ws("_", "_key", F.col("_n").cast("string"))
+        name = F.when(F.col("_n") == 1, F.col("_key")).otherwise(repeat)
+        return numbered.withColumn("rule_key", name).select(*answers.columns, "rule_key")
     based = numbered.select(F.col(package).alias("_pkg"), F.col("_key").alias("_base"), F.col("_order").alias("_at"))
     based = based.join(forms.select("_pkg", "_base").distinct(), ["_pkg", "_base"], "left_semi")
     rows = based.select("*", F.lit(None).cast("string").alias("_form"), F.lit(None).cast("bigint").alias("_i"))
