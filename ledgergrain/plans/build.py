@@ -13,6 +13,7 @@ from ledgergrain import fixed_values as fixed
 from ledgergrain.plans import models as m
 from ledgergrain.plans.lineage import CircularModels
 from ledgergrain.sources.sinks import write_table
+from ledgergrain.sources.tables import NotAllowed
 
 
 @dataclass(frozen=True)
@@ -159,7 +160,7 @@ def build_all(
             else:
                 rows, state = None, "composed"
             status.append((position, spec.name, state, rows, int((time.monotonic() - started) * 1000), None))
-        except PySparkException as error:  # what Spark rejects; the status table reports it
+        except (PySparkException, NotAllowed) as error:  # what Spark or the guard rejects; the status reports it
             failed = True
             status.append((position, spec.name, "failed", None, None, str(error)))
     return spark.createDataFrame(status, STATUS_SCHEMA)
