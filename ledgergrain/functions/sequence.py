@@ -10,9 +10,33 @@ from pyspark.sql import functions as F
 from ledgergrain.session import checkpointed
 
 
-def grouped_sequence(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], name: str) -> DataFrame:
+#: A group may be larger than one task should sort if its first column has more rows than this.
+LARGE = 1 << 17
+
+
+def grouped_sequence(
+    df: DataFrame, group: Sequence[str], order: Sequence[Column | str], name: str, large: int = LARGE
+) -> DataFrame:
     """Add the 1-based position of each row in its group; ``order`` must be unique in a group.
 
+    Groups are dealt whole, in one shuffle. Those whose first column has a value with more than ``large`` rows, found by
+    a count of that column alone, are cut into pieces instead; with 0 all are, and nothing is counted.
+    """
+    if not large:
+        return _in_pieces(df, group, order, name)
+    value = df.select(F.col(group[0]).alias("_value"))
+    hot = checkpointed(value.groupBy("_value").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > large))
+    position = F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("bigint").alias(name)
+    if hot.isEmpty():
+        return df.select("*", position)
+    is_hot = F.col(group[0]).eqNullSafe(F.col("_value"))
+    cut = _in_pieces(df.join(hot, is_hot, "left_semi"), group, order, name)
+    return df.join(hot, is_hot, "left_anti").select("*", position).unionByName(cut)
+
+
+def _in_pieces(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], name: str) -> DataFrame:
+    """Positions also when one group holds a large part of all rows.
+
     Rows are range-sorted on (group, order), which cuts a large group into partitions of even size. Each piece is
     numbered on its own and shifted by the rows of the group's pieces before it. There is one shift per partition
     and group in it, so the table of shifts has as many rows as groups, plus one per partition.

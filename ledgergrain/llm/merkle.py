@@ -267,11 +267,11 @@ def build(
         F.col(f"`{group}`").alias("g"), F.col(f"`{order}`").alias("o"), leaf.alias("leaf"),
         (leaf if claim is None else claim).alias("claim"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)],
     )
-    placed = grouped_sequence(rows, ["g"], [F.col("o").asc_nulls_first(), F.col("leaf")], "place")
+    placed = grouped_sequence(rows, ["g"], [F.col("o").asc_nulls_first(), F.col("leaf")], "place", large=0)
     placed = placed.withColumn("place", F.col("place") - 1).drop("o")
     counts = placed.groupBy(F.col("g").alias("name")).agg(F.count(F.lit(1)).alias("leaves"))
     # Groups are numbered by the bytes of their names: that is how Spark sorts strings.
-    counts = grouped_sequence(counts.withColumn("all", F.lit(0)), ["all"], [F.col("name").asc_nulls_first()], "tree")
+    counts = grouped_sequence(counts.withColumn("all", F.lit(0)), ["all"], [F.col("name").asc_nulls_first()], "tree", large=0)
     named = stored(counts.select("name", "leaves", (F.col("tree") - 1).alias("tree")), "merkle-groups")
     leaves = placed.join(named, placed["g"].eqNullSafe(named["name"])).drop("g", "name")
     trees = forest(leaves.select("tree", "place", F.unhex("leaf").alias("digest"), "leaves"))

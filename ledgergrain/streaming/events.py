@@ -62,14 +62,25 @@ def _run(stream: DataFrame, write, checkpoint: str, mode: str) -> None:
 
 @contextmanager
 def _rocksdb(spark: SparkSession):
-    """State of jobs that start here lies on local disk, with changes in the checkpoint, not on the heap."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """State of jobs that start here lies on local disk, with changes in the checkpoint, not on the heap.
+
+    A batch uploads what it changed; whole states go up now and then, in the background. Rows aren't counted, which
+    would read each key once more.
+    """
+    store = "spark.sql.streaming.stateStore"
+    wanted = {
+        f"{store}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        f"{store}.rocksdb.changelogCheckpointing.enabled": "true",
+        f"{store}.rocksdb.trackTotalNumberOfRows": "false",
+    }
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 #: Every so many batches the heads of all runs are written, else only those of the batch's runs.
@@ -118,8 +129,14 @@ class Landing:
         return rows.groupBy(self.run).agg(F.max("seq").alias("_head"))
 
     def land(self, batch: DataFrame, number: int, job: str, order: list[Column]) -> None:
-        """Number a batch's rows behind those of earlier batches and publish them."""
+        """Number a batch's rows behind those of earlier batches and publish them.
+
+        The batch is stored first: numbering reads it more than once, and each reading would go through its state.
+        """
         place = f"job={job}/batch_id={number}"
+        came = f"{self.table}/_staged/{uuid.uuid4().hex}"
+        batch.write.parquet(came)
+        batch = self._read(batch.schema, came)
         numbered = grouped_sequence(batch, [self.run], order, "_number")
         heads = self.heads(job, number)
         same = numbered[self.run].eqNullSafe(heads[self.run])
@@ -239,11 +256,19 @@ def live_table(state: DataFrame, keys: list[str], table: str, checkpoint: str) -
     return newest.select("row.*")
 
 
-def landed_stream(landing: Landing, files_per_trigger: int = 64) -> DataFrame:
+#: What a reader of landed events takes at once. State tasks cost time per batch, so batches follow bytes, not files.
+BYTES = 8 << 30
+
+
+def landed_stream(landing: Landing, files_per_trigger: int | None = None) -> DataFrame:
     """The events that a job has landed as a stream; batches appear whole."""
     fields = [*landing.schema.fields, T.StructField("seq", T.LongType())]
     reader = landing.spark.readStream.schema(T.StructType(fields)).option("recursiveFileLookup", "true")
-    return reader.option("maxFilesPerTrigger", files_per_trigger).parquet(f"{landing.table}/events/job={landing.last()[0]}")
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    else:
+        reader = reader.option("maxBytesPerTrigger", BYTES)
+    return reader.parquet(f"{landing.table}/events/job={landing.last()[0]}")
 
 
 def live_agent_status(events: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from collections import defaultdict
 from datetime import datetime, timedelta
 
 import pytest
-from conftest import as_set
+from conftest import as_set, plan_of
 from pyspark.sql import functions as F
 
 from ledgergrain import fixed_values as fixed
@@ -342,3 +342,40 @@ def test_percentiles_are_exact(spark):
     found = {r.step_id: (r.runs, r.p50_ms, r.p95_ms, r.max_ms) for r in ev.step_durations(log).collect()}
     values = sorted(i % 101 for i in range(30_000))
     assert found == {"a": (30_000, values[14_999], values[28_499], 100), "b": (1, 5, 5, 5)}
+
+
+def test_groups_are_dealt_whole_and_only_large_ones_cut(spark):
+    rows = [(g, n) for g, size in ((None, 40), (1, 60), (2, 3), (3, 1)) for n in range(size)]
+    df = spark.createDataFrame(rows, "g int, n int").repartition(5)
+    expected = {(g, n, n + 1) for g, n in rows}
+    small, mixed = (grouped_sequence(df, ["g"], ["n"], "seq", large=k) for k in (100, 30))
+    assert as_set(small) == as_set(mixed) == as_set(grouped_sequence(df, ["g"], ["n"], "seq", large=0)) == expected
+    assert "rangepartitioning" not in plan_of(small) and "Join" not in plan_of(small)
+    assert "Join" in plan_of(mixed)
+
+
+def test_a_batch_goes_through_its_state_once(spark, month_of_events):
+    """However often the numbering reads a batch."""
+    base = run_folder(spark, "once")
+    deliver(month_of_events, f"{base}/in", ["a0"])
+    source = stream.run_event_stream(spark, f"{base}/in", pattern="*.parquet")
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(value):
+        seen.add(1)
+        return value
+
+    counted = F.udf(count, "long")("event_id")
+    stream.append_table(source.withColumn("event_id", counted), f"{base}/table", f"{base}/state")
+    assert seen.value == 500
+
+
+def test_landed_events_are_read_by_bytes(spark, month_of_events):
+    """A landing of many small files is one batch of its reader."""
+    base = run_folder(spark, "bytes")
+    month_of_events.repartition(70).write.parquet(f"{base}/table/events/job=x/batch_id=0")
+    landing = stream.Landing(spark, stream.shape_run_events(month_of_events).schema, f"{base}/table")
+    spark.range(1).selectExpr("'x' as job", "0L as batch_id", "current_timestamp() as at").write.parquet(f"{base}/table/landed")
+    ran = []
+    stream._run(stream.landed_stream(landing), lambda batch, number: ran.append(number), f"{base}/state", "append")
+    assert ran == [0]
