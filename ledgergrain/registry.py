@@ -792,7 +792,7 @@ def model_graph(spark, d) -> tuple[DataFrame, DataFrame]:
             edge(lines, "mart_supplier_", "l_suppkey", "int_part_", "l_partkey"),
         ]
     )
-    models = edges.select("model").union(edges.select("parent")).distinct()
+    models = edges.select(F.explode(F.array("model", "parent")).alias("model")).distinct()
     return edges, models
 
 

@@ -222,6 +222,27 @@ def test_rebuild(spark, tables, tmp_path):
     assert first != rebuild.source_fingerprint(spark.read.parquet(f"{tmp_path}/t"))
 
 
+def test_models_that_nobody_reads_never_meet_themselves(spark, monkeypatch):
+    """Wide rounds of leaves are set aside, so the doubling gets the inner edges; levels equal a plain recursion."""
+    rng = random.Random(5)
+    edges = [(f"mart{i}", f"int{rng.randrange(40)}") for i in range(400)] + [(f"mart{i}", "gone") for i in range(9)]
+    edges += [(f"int{i}", f"int{rng.randrange(i)}") for i in range(1, 40)] + [("int3", "mart_read"), ("mart_read", "x")]
+    names = {n for e in edges for n in e} - {"gone"}
+    nodes = spark.createDataFrame([(n,) for n in names], "model string")
+    seen = []
+    monkeypatch.setattr(lineage, "longest_ways", lambda e, *rest: seen.append(e.count()) or closing.longest_ways(e, *rest))
+
+    def expected(name):
+        return max((1 + expected(p) for m, p in edges if m == name and p in names), default=0)
+
+    got = as_set(lineage.model_levels(spark.createDataFrame(edges, "model string, parent string"), nodes))
+    assert got == {(n, expected(n)) for n in names} and max(seen) < 50
+    loop = spark.createDataFrame([*edges, ("int0", "int39"), ("int39", "int0")], "model string, parent string")
+    stuck = dict(as_set(lineage.model_levels(loop, nodes, check_cycles=False)))
+    assert stuck["int0"] is None and stuck["x"] == 0 and stuck["mart_read"] == 1
+    assert all(stuck[m] is None for m, p in edges if p.startswith("int"))
+
+
 def test_staged_once_and_joined_without_a_shuffle_of_keys(spark, tables, tmp_path):
     """Marts of stored staging equal those of live staging; invoices and paid sums meet in their buckets."""
     for name, df in tables.items():
