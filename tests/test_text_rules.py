@@ -185,3 +185,21 @@ def test_ten_thousand_terms_have_the_plan_of_ten(spark):
     found = many(10_000)
     assert nodes(found) == nodes(many(10))
     assert {(r.id, r.rule_id) for r in found.collect()} >= {(i, f"r{i}") for i in range(200)}
+
+
+def test_rule_names_are_found_in_one_pass_over_the_answers(spark):
+    """No sampling pass for a range sort: the question of each answer is read once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(value):
+        seen.add(1)
+        return value
+
+    answers = spark.range(300, numPartitions=4).selectExpr("id % 60 as run", "id as at", "concat('q_Of ', id % 2) as q")
+    got = text_rules.resolved_rules(answers.withColumn("q", F.udf(read, "string")("q")), "run", "at", "q").collect()
+    assert seen.value == 300
+    assert sorted(r.rule_key for r in got if r.run == 7) == ["of_1", "of_1_2", "of_1_3", "of_1_4", "of_1_5"]
+    keys = spark.createDataFrame([("q_q_a",), ("Q_a",), ("q_",), ("aq_b",), (None,), ("q_K\u212aİz",)], "q string").select(
+        text_rules.rule_key(F.col("q")).alias("k")
+    )
+    assert [r.k for r in keys.collect()] == ["q_a", "q_a", "business_rule", "aq_b", "business_rule", "k_z"]
