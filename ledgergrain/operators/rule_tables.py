@@ -1,17 +1,18 @@
 """Clarification rules as data: a table of rules and a table of their terms, matched in one plan for any number of them.
 
-A normalised text contains a term only if it contains the term's first three characters. So the distinct grams of one
-to three characters of every text meet the terms by these, and what meets is compared. The plan doesn't grow with the
-rules; a text is cut once, whatever their number. Texts, rules and terms are joined by keys, and the sides are
-broadcast only where Spark has measured them to be small.
+A normalised text contains a term only if it contains the term's first three characters. Normalised terms have 40
+characters to begin with, so their beginnings are a bounded list, of 66,000 at most. Those that a text contains are found
+in its scan; only they meet the terms, and what meets is compared. The plan doesn't grow with the rules. Texts, rules and
+terms are joined by keys, and the sides are broadcast only where Spark has measured them to be small.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgergrain.operators.text_rules import _normal_terms, normalize
+from ledgergrain.session import run_folder
 from ledgergrain.specs import TextRule
 
 RULES = "rule_id string, question_id string, position int, enabled boolean, all_groups int, any_groups int"
@@ -32,17 +33,37 @@ def as_tables(spark: SparkSession, rules: tuple[TextRule, ...]) -> tuple[DataFra
     return spark.createDataFrame(heads, RULES), spark.createDataFrame(terms, TERMS)
 
 
-def term_hits(texts: DataFrame, terms: DataFrame, key: str, text: str) -> DataFrame:
-    """``key`` and ``term`` for every distinct term that a text contains; texts are normalised, keys unique."""
-    wanted = terms.select("term").where(F.length("term") > 0).distinct()
-    wanted = wanted.withColumn("gram", F.substring("term", 1, GRAM))
+#: So many beginnings are looked up in each text; with more, the text is cut into its grams instead.
+FEW = 64
+#: So many terms meet the texts themselves; with more, texts go by key, so that none is copied for every beginning.
+SMALL = 20_000
+
+
+def _beginnings(text: str, wanted: Column) -> Column:
+    """Those of the wanted grams that a text contains."""
     # Grams of a text: at every place that of three characters, and the shorter ones that it begins with.
     cut = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{GRAM}}}))"), F.lit(1)))
-    whole = texts.select(key, F.explode(cut).alias("_g"))
-    heads = F.array(*[F.substring("_g", 1, n) for n in range(1, GRAM + 1)])
-    grams = whole.select(key, F.explode(heads).alias("gram"))
-    maybe = grams.join(wanted, "gram").select(key, "term").distinct()
-    return maybe.join(texts.select(key, text), key).where(F.contains(F.col(text), F.col("term"))).select(key, "term")
+    heads = F.transform(cut, lambda g: F.array(*[F.substring(g, 1, n) for n in range(1, GRAM + 1)]))
+    looked_up = F.filter(wanted, lambda g: F.contains(F.col(text), g))
+    return F.when(F.size(wanted) <= FEW, looked_up).otherwise(F.array_intersect(wanted, F.flatten(heads)))
+
+
+def term_hits(texts: DataFrame, terms: DataFrame, key: str, text: str) -> DataFrame:
+    """``key`` and ``term`` for every distinct term that a text contains; texts and terms are normalised, keys unique."""
+    spark = texts.sparkSession
+    path = run_folder(spark, "terms")
+    wanted = terms.select("term").where(F.length("term") > 0).distinct()
+    # Stored, so that Spark knows its size.
+    wanted.withColumn("gram", F.substring("term", 1, GRAM)).write.parquet(path)
+    wanted = spark.read.parquet(path)
+    grams = wanted.agg(F.array_sort(F.collect_set("gram")).alias("_wanted"))
+    found = F.explode(_beginnings(text, F.col("_wanted"))).alias("gram")
+    if wanted.count() <= SMALL:
+        maybe = texts.crossJoin(grams).select(key, text, found).join(wanted, "gram")
+    else:
+        maybe = texts.crossJoin(grams).select(key, found).join(wanted, "gram").select(key, "term")
+        maybe = maybe.join(texts.select(key, text), key)
+    return maybe.where(F.contains(F.col(text), F.col("term"))).select(key, "term")
 
 
 def matches(requests: DataFrame, rules: DataFrame, terms: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -55,7 +76,7 @@ def matches(requests: DataFrame, rules: DataFrame, terms: DataFrame, key: str, t
     live = rules.where("enabled")
     hits = term_hits(texts, terms.join(live.select("rule_id"), "rule_id", "left_semi"), key, "_text")
     found = hits.join(terms, "term").groupBy(key, "rule_id").agg(
-        F.count_distinct(F.when(F.col("kind") == "all", F.col("grp"))).alias("_all"),
+        F.size(F.collect_set(F.when(F.col("kind") == "all", F.col("grp")))).alias("_all"),
         F.bool_or(F.col("kind") == "any").alias("_any"),
         F.bool_or(F.col("kind").isin("none", "choice")).alias("_bad"),
     )

@@ -30,9 +30,13 @@ DROPPED = f"[^ {KEPT}][^{KEPT}]*| [^{KEPT}]+"
 SPACE = f"[{OTHER_SPACE}][ {OTHER_SPACE}]*| [ {OTHER_SPACE}]+"
 
 
+# The same as DROPPED for lower-case text in Java, where \w is ASCII; a class of several ranges takes ten times as long.
+DROPPED_IN_LOWER = r"[^ \w/-][^\w/-]*| [^\w/-]+"
+
+
 def normalize(text: Column) -> Column:
     """Lower case, other characters to spaces, single spaces, no space at the ends."""
-    return F.trim(F.regexp_replace(F.lower(text), DROPPED, " "))
+    return F.trim(F.regexp_replace(F.lower(text), DROPPED_IN_LOWER, " "))
 
 
 def _normal_terms(terms: tuple[str, ...]) -> list[str]:

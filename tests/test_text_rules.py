@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 import re
 
-from conftest import as_set
+from conftest import as_set, plan_of
 from pyspark.sql import functions as F
 
 from ledgergrain import fixed_values as fixed
@@ -203,3 +203,27 @@ def test_rule_names_are_found_in_one_pass_over_the_answers(spark):
         text_rules.rule_key(F.col("q")).alias("k")
     )
     assert [r.k for r in keys.collect()] == ["q_a", "q_a", "business_rule", "aq_b", "business_rule", "k_z"]
+
+
+def test_normalisation_of_odd_characters_in_one_class(spark):
+    rng = random.Random(8)
+    odd = "aZ9_/- \t\nÄßéİK\u212aıſ\u0660\u2028٣漢😀.[]\\^"
+    values = ["".join(rng.choice(odd) for _ in range(rng.randrange(30))) for _ in range(300)]
+    df = texts(spark, *values)
+    plain = F.trim(F.regexp_replace(F.lower("text"), "[^ a-z0-9_/-]+|(?<= ) +", " "))
+    assert column(df, tr.normalize(F.col("text"))) == column(df, F.trim(F.regexp_replace(plain, " +", " ")))
+
+
+def test_few_and_many_terms_find_the_same(spark, monkeypatch):
+    """Looked up or cut, joined with the texts or by key; no text is shuffled where terms are few."""
+    rng = random.Random(9)
+    words = ["a", "of", "the", "then", "tion", "x/y", "_", "no one"]
+    requests = texts(spark, *[" ".join(rng.choice(words)[: rng.randrange(1, 7)] for _ in range(rng.randrange(9))) for _ in range(90)])
+    terms = spark.createDataFrame([(w,) for w in words], "term string")
+    want = {(r.id, w) for r in requests.collect() for w in words if w in r.text}
+    for few, small in ((64, 20_000), (0, 20_000), (0, 0), (64, 0)):
+        monkeypatch.setattr(rule_tables, "FEW", few)
+        monkeypatch.setattr(rule_tables, "SMALL", small)
+        hits = rule_tables.term_hits(requests, terms, "id", "text")
+        assert as_set(hits) == want and hits.count() == len(want)
+        assert ("Exchange hashpartitioning" in plan_of(hits)) <= (small == 0)
