@@ -54,6 +54,25 @@ def stage(
     return frames
 
 
+def specs_of(
+    spark: SparkSession, tables: dict[str, DataFrame], name: str, folder: str, variant: str = "gross_and_net"
+) -> list[build.ModelSpec]:
+    """The models of a product for ``build_all``, with staging that is stored once and read from then on.
+
+    It is stored when its turn comes, so that a source that can't be staged is a failed model.
+    """
+    specs = build.product_models(name, variant)
+    joined = {build.INVOICES, build.PAYMENTS} <= {s.name for s in specs}
+
+    def kept(model: str) -> build.ModelSpec:
+        table = PAID if joined and model == build.PAYMENTS else model
+        return build.ModelSpec(
+            model, (build.STAGING[model],), lambda _: stage(spark, tables, {table}, folder)[table]
+        )
+
+    return [kept(s.name) if s.name in build.STAGING else s for s in specs]
+
+
 def product(
     spark: SparkSession, tables: dict[str, DataFrame], name: str, folder: str, variant: str = "gross_and_net"
 ) -> dict[str, DataFrame]:

@@ -825,10 +825,13 @@ def _figures(df: DataFrame, product: str, model: str) -> DataFrame:
 
 @query("build_all_models")
 def _(spark, d):
+    """All products; they share the stored staging, so each source is cleaned once."""
     parts = []
     for product, marts in PRODUCTS.items():
         folder = run_folder(spark, "build")
-        status = build.build_all(spark, src(spark, d), build.product_models(product), folder)
+        tables = src(spark, d)
+        specs = staged.specs_of(spark, tables, product, application_folder(spark, "staged"))
+        status = build.build_all(spark, tables, specs, folder)
         parts.append(
             status.select(
                 F.lit(product).alias("product"), "model", F.coalesce("error", "status").alias("key"),

@@ -277,6 +277,33 @@ def test_staged_once_and_joined_without_a_shuffle_of_keys(spark, tables, tmp_pat
         spark.sql(f"DROP TABLE {name}")
 
 
+def test_products_built_together_clean_each_source_once(spark, tables, tmp_path, monkeypatch):
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp_path}/in/{name}")
+    given = {n: spark.read.parquet(f"{tmp_path}/in/{n}") for n in tables}
+    cleaned, plain = [], m.clean
+    monkeypatch.setattr(m, "clean", lambda df, contract: cleaned.append(contract.name) or plain(df, contract))
+    for product in ("subscription_revenue_360", "stripe_billing_reconciliation", "subscription_collection_health"):
+        specs = staged.specs_of(spark, given, product, f"{tmp_path}/staged")
+        status = build.build_all(spark, given, specs, f"{tmp_path}/{product}")
+        count = len(cleaned)
+        live = build.compose(tables, build.product_models(product))
+        del cleaned[count:]
+        assert as_set(status, "model", "status") == {
+            (s.name, "composed" if any(s.name in o.parents for o in specs) else "completed") for s in specs
+        }
+        for mart in (r.model for r in status.where("status = 'completed'").collect()):
+            assert as_set(spark.read.parquet(f"{tmp_path}/{product}/{mart}")) == as_set(live[mart])
+    assert sorted(cleaned) == sorted(build.STAGING.values())
+    broken = {**given, "stripe_payments": given["stripe_payments"].drop("refund_amount")}
+    specs = staged.specs_of(spark, broken, "stripe_billing_reconciliation", f"{tmp_path}/staged")
+    failed = build.build_all(spark, broken, specs, f"{tmp_path}/broken").where("status = 'failed'").first()
+    assert failed.model == "stg_stripe__payments" and "refund_amount" in failed.error
+    for table in spark.catalog.listTables():
+        if table.name.startswith(("stg_", "int_")):
+            spark.sql(f"DROP TABLE {table.name}")
+
+
 def test_lineage_reads_calls_once_in_order(spark):
     text = (
         "select * from bare ref('z') join {{ ref( 'a' ) }} join {{REF(\"b\")}} join {{ ref('a') }} "
