@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgergrain.functions.columns import as_double, or_zero
@@ -34,20 +34,33 @@ def clean(df: DataFrame, contract: SourceContract) -> DataFrame:
             columns.append((F.substring(trimmed, 1, 7) if c.logical_type == "month" else trimmed).alias(c.name))
         else:
             columns.append(F.col(c.name))
-    rows = df.select(*columns)
+    rows, valid = df.select(*columns), F.lit(True)
     for c in contract.columns:
         if not c.nullable:
-            rows = rows.where(F.col(c.name).isNotNull())
+            valid = valid & F.col(c.name).isNotNull()
         if c.valid_values:
-            rows = rows.where(F.col(c.name).isNull() | F.col(c.name).isin(*[v for v in c.valid_values if v]))
+            valid = valid & (F.col(c.name).isNull() | F.col(c.name).isin(*[v for v in c.valid_values if v]))
     keys = list(contract.primary_keys)
-    order = [F.col(c.name) for c in contract.columns if c.name not in keys]
     if not any(contract.column(k).nullable for k in keys):
-        return first_per_group(rows, keys, order)
+        return _first_valid(rows, valid, contract)
     filled = F.lit(True)
     for k in keys:
         filled = filled & F.col(k).isNotNull()
-    return first_per_group(rows.where(filled), keys, order).unionByName(rows.where(~filled))
+    return _first_valid(rows.where(filled), valid, contract).unionByName(rows.where(valid & ~filled))
+
+
+def _first_valid(rows: DataFrame, valid: Column, contract: SourceContract) -> DataFrame:
+    """The first valid row per key. Valid rows come first and the others go after the cut: a filter before it would be
+    pushed below the columns that it reads, and what computes them would run once more for it.
+
+    A first column that may not be null says which rows are invalid, being null there; else one more column does.
+    """
+    keys, others = list(contract.primary_keys), [c for c in contract.columns if not c.primary_key]
+    mark = others[0].name if others and not others[0].nullable else "_valid"
+    marked = rows.withColumn(mark, F.when(valid, F.lit(True) if mark == "_valid" else F.col(mark)))
+    order = [F.col(c.name) for c in others if c.name != mark]
+    kept = first_per_group(marked, keys, [F.col(mark).asc_nulls_last(), *order]).where(F.col(mark).isNotNull())
+    return kept.select(*rows.columns)
 
 
 def monthly_metric(staged: DataFrame, spec: MonthlyMetricMart) -> DataFrame:

@@ -243,6 +243,26 @@ def test_models_that_nobody_reads_never_meet_themselves(spark, monkeypatch):
     assert all(stuck[m] is None for m, p in edges if p.startswith("int"))
 
 
+def test_cleaning_computes_each_column_once_and_keeps_the_first_valid_row(spark):
+    rows = [
+        ("p1", "i1", None, 1.0, 0.0), ("p1", "i2", "2025-02-03", 2.0, 0.0), ("p1", "i3", "2025-01", 3.0, 0.0),
+        ("p2", "i1", None, 1.0, 0.0), (None, "i1", "2025-01", 1.0, 0.0), (" p3 ", "i4", "2025-01", 4.0, 1.0),
+    ]
+    names = "payment_id", "invoice_id", "payment_month", "successful_amount", "refund_amount"
+    given = spark.createDataFrame(rows, "a string, b string, c string, d double, e double")
+    df = given.selectExpr(
+        "a as payment_id", "b as invoice_id", "c as payment_month", "cast(d as decimal(12,2)) as successful_amount",
+        "cast(e as decimal(13,2)) as refund_amount",
+    )
+    cleaned = m.clean(df, fixed.STRIPE_PAYMENTS)
+    plan = plan_of(cleaned)
+    assert plan.count("as decimal(12,2))") == plan.count("as decimal(13,2))") == 1
+    assert as_set(cleaned, *names[:4]) == {("p1", "i2", "2025-02", *cash("2.00")), ("p3", "i4", "2025-01", *cash("4.00"))}
+    first, *columns = fixed.STRIPE_PAYMENTS.columns
+    loose = replace(fixed.STRIPE_PAYMENTS, columns=(first, replace(columns[0], nullable=True), *columns[1:]))
+    assert as_set(m.clean(df, loose)) == as_set(cleaned)
+
+
 def test_staged_once_and_joined_without_a_shuffle_of_keys(spark, tables, tmp_path):
     """Marts of stored staging equal those of live staging; invoices and paid sums meet in their buckets."""
     for name, df in tables.items():
