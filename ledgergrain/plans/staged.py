@@ -19,6 +19,8 @@ from ledgergrain.plans import models as m
 from ledgergrain.plans.rebuild import definition, fingerprint, source_fingerprint
 from ledgergrain.sources.sinks import save_as_table
 
+#: Of bucketed tables, whose tasks are buckets. Others are split by bytes, so denser files would put more rows in a task.
+CODEC = "zstd"
 #: Payments summed by invoice.
 PAID = "int_stripe__paid"
 BUCKETED = {build.SUBSCRIPTIONS: "subscription_id", build.INVOICES: "invoice_id", PAID: "invoice_id"}
@@ -32,7 +34,7 @@ def stored(
     if not spark.catalog.tableExists(table):
         key = BUCKETED.get(name)
         count = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        save_as_table(make(), table, (count, key) if key else None, f"{folder}/{table}")
+        save_as_table(make(), table, (count, key) if key else None, f"{folder}/{table}", CODEC if key else None)
     return spark.table(table)
 
 

@@ -18,15 +18,19 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
     return int(seen.get["rows"])
 
 
-def save_as_table(df: DataFrame, name: str, bucket_by: tuple[int, str] | None = None, path: str | None = None) -> int:
+def save_as_table(
+    df: DataFrame, name: str, bucket_by: tuple[int, str] | None = None, path: str | None = None, codec: str | None = None
+) -> int:
     """Replace a catalog table; bucketing on a join key lets later joins on it skip the shuffle.
 
-    Rows are dealt by the key first, so each bucket is one file. With a ``path`` the table lies there.
+    Rows are dealt by the key first, so each bucket is one file. With a ``path`` the table lies there. ``codec`` is that
+    of Parquet, else the session's.
     """
     seen = Observation("saved")
     dealt = df.repartition(*bucket_by) if bucket_by else df
     writer = dealt.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").format("parquet")
     writer = writer.option("path", path) if path else writer
+    writer = writer.option("compression", codec) if codec else writer
     (writer.bucketBy(*bucket_by).sortBy(bucket_by[1]) if bucket_by else writer).saveAsTable(name)
     return int(seen.get["rows"])
 

@@ -297,6 +297,18 @@ def test_staged_once_and_joined_without_a_shuffle_of_keys(spark, tables, tmp_pat
         spark.sql(f"DROP TABLE {name}")
 
 
+def test_buckets_are_stored_denser_and_split_tables_are_not(spark, tables, tmp_path):
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp_path}/in/{name}")
+    given = {n: spark.read.parquet(f"{tmp_path}/in/{n}") for n in tables}
+    frames = staged.stage(spark, given, {build.INVOICES, build.PAYMENTS, staged.PAID}, f"{tmp_path}/staged")
+    dense = {name: all(".zstd." in f for f in df.inputFiles()) for name, df in frames.items()}
+    assert dense == {build.INVOICES: True, build.PAYMENTS: False, staged.PAID: True}
+    for table in spark.catalog.listTables():
+        if table.name.startswith(("stg_", "int_")):
+            spark.sql(f"DROP TABLE {table.name}")
+
+
 def test_products_built_together_clean_each_source_once(spark, tables, tmp_path, monkeypatch):
     for name, df in tables.items():
         df.write.parquet(f"{tmp_path}/in/{name}")
