@@ -9,12 +9,14 @@ when ``100 * |A and B| >= threshold * |A or B|``. The join is exact:
    a text with fewer n-grams that occur elsewhere has no partner and leaves. Equal sets become one class.
 2. Classes that agree in a min-hash meet in groups; each group stores its globally ordered sets in a prefix tree.
    A set walks the tree once: overlaps of a shared path are counted once, and a subtree is left as soon as the overlap
-   so far and the lengths that remain can't reach the limit. Sets that are in one component already aren't compared.
+   so far and the lengths that remain can't reach the limit. Sets that are in one component already aren't compared,
+   nor those whose rows of bits bound the overlap below the limit.
    This finds nearly all links, in groups of bounded size.
 3. What may be missing: if two classes link, they share one of their first ``m - need + 1`` shared n-grams in the
    global order (the prefix filter). An n-gram whose classes all lie in one component is settled. The classes of every
    other one meet in prefix trees again, by pairs of pieces of bounded size, so no link is lost. N-grams that have
-   just the same classes are asked once.
+   just the same classes are asked once. Those of many near copies that don't link have nearly the same ones: they are
+   asked together by their least class, where that makes fewer pairs.
 
 No group emits all its pairs: classes already connected are skipped, and links leave a group as a spanning forest.
 Texts of any length are read whole, each in one task, with some fifty bytes of work memory a byte. Null and empty texts
@@ -38,6 +40,9 @@ from ledgergrain.llm.components import components, stored
 WIDTH = 5
 THRESHOLD = 80
 PIECE = 256
+#: Most places of a set's row of bits, a power of two of 64 at least. A row has 32 to 64 times as many as the longest set
+#: of its group has members, if no more than these.
+BITS = 1 << 16
 SEEDS = (0x1B873593A5A5A5A5, 0x2545F4914F6CDD1D)
 #: Bits of an n-gram's hash that are counted over the corpus. Two n-grams that agree in them count as one that occurs
 #: twice, which only keeps a text in the running; links are decided on 60 bits.
@@ -137,6 +142,23 @@ class Tree:
             k = min(len(a), len(b))
             off = np.flatnonzero(a[:k] != b[:k])
             self.path[i] = off[0] if len(off) else k
+        self._map()
+
+    def _map(self) -> None:
+        """A row of bits per set, with a place for each member by the last bits of its hash."""
+        width = min(BITS, max(64, 32 << self.longest.bit_length()))
+        self.bits = np.zeros((len(self.sets), width // 64), np.uint64)
+        self.folded = np.zeros(len(self.sets), np.int64)
+        for i, own in enumerate(self.sets):
+            row = np.zeros(width, bool)
+            row[own & np.uint64(width - 1)] = True
+            self.bits[i] = np.packbits(row).view(np.uint64)
+            self.folded[i] = len(own) - np.count_nonzero(row)
+
+    def _most(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Bounds of the overlaps: common bits, and members that share a bit with one of the same set."""
+        both = np.bitwise_count(self.bits[others] & self.bits[i]).sum(axis=1, dtype=np.int64)
+        return both + np.minimum(self.folded[others], self.folded[i])
 
     def links(self, side: np.ndarray | None = None) -> list[tuple[int, int]]:
         """A spanning forest of the links between components; with sides, only between different ones."""
@@ -148,6 +170,9 @@ class Tree:
             if side is not None:
                 others &= side[self.order[i + 1 :]] != side[self.order[i]]
             others = np.flatnonzero(others) + i + 1
+            if len(others):
+                most = self._most(i, others)
+                others = others[100 * most >= self.threshold * (n + self.sizes[others] - most)]
             if len(others):
                 found += self._walk(i, others)
         return [(self.order[i], self.order[j]) for i, j in found]
@@ -210,6 +235,39 @@ def _first(threshold: int):
     return first
 
 
+def _meetings(first: DataFrame) -> DataFrame:
+    """Where the classes of contested n-grams meet: ``cls`` and ``comp`` with a group (``key``, ``band``, ``x``, ``y``).
+
+    ``first`` has ``key``, ``band``, ``cls`` and ``comp``. Any two classes of different components that share a key and
+    band meet in a group, on different sides if its pieces ``x`` and ``y`` are different ones.
+    """
+    face = F.xxhash64("cls")
+    # N-grams with the same classes ask the same question: one of them is enough.
+    open_keys = (
+        first.groupBy("key", "band").agg(
+            F.count(F.lit(1)).alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high"),
+            F.min(face).alias("star"), F.bit_xor(face).alias("x"), F.sum(F.shiftright(face, 16)).alias("s"),
+        )
+        .where("low < high").groupBy("c", "star", "x", "s").agg(F.min(F.struct("key", "band")).alias("k"))
+        .select("k.key", "k.band", "c", "star")
+    )
+    asked = stored(first.join(open_keys, ["key", "band"]).select("cls", "comp", "key", "band", "c", "star"), "contested")
+    # N-grams with nearly the same classes mostly have the same least class by hash. They ask together, unless their
+    # classes have more pairs together than n-gram by n-gram.
+    together = asked.groupBy("star", "cls", "comp").agg(F.sum("c").alias("met"))
+    gain = together.groupBy("star").agg(F.count(F.lit(1)).alias("held"), F.sum("met").alias("met")).where("held * held <= met")
+    gain = stored(gain.select("star", F.col("held").alias("c")), "together")
+    groups = together.join(gain, "star").select("cls", "comp", F.col("star").alias("key"), F.lit(-1).cast("long").alias("band"), "c")
+    single = asked.join(gain, "star", "left_anti").select("cls", "comp", "key", "band", "c")
+    pieces = F.ceil(F.col("c") / PIECE)
+    dealt = groups.union(single).withColumn("side", F.pmod(face, pieces)).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1))
+    )
+    return dealt.select(
+        "cls", "comp", "side", "key", "band", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y")
+    )
+
+
 def joined(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, threshold: int = THRESHOLD,
     **sizes: int,
@@ -255,23 +313,7 @@ def joined(
         .select("key", "cls", F.coalesce("component", "cls").alias("comp"), F.explode(F.array(band, band + 1)).alias("band"))
     )
     first = stored(first, "prefixes")
-    # N-grams with the same classes ask the same question: one of them is enough.
-    face = F.xxhash64("cls")
-    open_keys = (
-        first.groupBy("key", "band").agg(
-            F.count(F.lit(1)).alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high"),
-            F.min("cls").alias("least"), F.bit_xor(face).alias("x"), F.sum(F.shiftright(face, 16)).alias("s"),
-        )
-        .where("low < high").groupBy("c", "least", "x", "s").agg(F.min(F.struct("key", "band")).alias("k"))
-        .select("k.key", "k.band", F.ceil(F.col("c") / PIECE).alias("pieces"))
-    )
-    side = F.pmod(F.xxhash64("cls"), F.col("pieces"))
-    pairs = first.join(open_keys, ["key", "band"]).withColumn("side", side).withColumn(
-        "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1))
-    )
-    pairs = pairs.select(
-        "cls", "comp", "side", "key", "band", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y")
-    )
+    pairs = _meetings(first)
     rest = pairs.join(sets, "cls").withColumn("apart", F.col("x") != F.col("y"))
     more = rest.groupBy("key", "band", "x", "y").applyInArrow(_links(threshold), "a long, b long")
     final = components(near.union(more))

@@ -166,6 +166,74 @@ def test_ngram_join(spark, docs, no_docs, lone_docs, threshold, piece, monkeypat
         )
 
 
+@pytest.mark.parametrize("piece", [256, 7])
+def test_ngram_join_asks_nearly_equal_classes_together(spark, piece, monkeypatch):
+    monkeypatch.setattr(ngram_join, "PIECE", piece)
+    rng = random.Random(3)
+    keys = {k: [c for c in range(40) if rng.random() < 0.95] for k in range(60)}  # a family of copies that don't link
+    keys |= {100 + k: rng.sample(range(40, 60), 3) for k in range(20)}
+    keys |= {200: [*range(60, 70)], 201: [60, *range(80, 90)], 202: [60, *range(70, 80)], 300: [95, 96]}
+    comp = {c: c for own in keys.values() for c in own} | {96: 95}
+    rows = [(k, k % 2, c, comp[c]) for k, own in keys.items() for c in own]
+    first = spark.createDataFrame(rows, "key long, band long, cls long, comp long")
+    groups = defaultdict(lambda: defaultdict(list))
+    for r in ngram_join._meetings(first).collect():
+        groups[r.key, r.band, r.x, r.y][r.side].append(r.cls)
+    met = Counter()
+    for (_, _, x, y), sides in groups.items():
+        left, right = sides[x], sides[y]
+        pairs = [(a, b) for a in left for b in right if x != y or a < b]
+        met.update(tuple(sorted(p)) for p in pairs)
+    asked = {(a, b) for own in keys.values() for a in own for b in own if a < b and comp[a] != comp[b]}
+    assert asked <= set(met)
+    family = sum(n for (a, b), n in met.items() if b < 40)
+    assert family < 8 * 40 * 39 / 2  # n-gram by n-gram it is some 54 times as many pairs
+    assert met.total() <= sum(len(own) ** 2 for own in keys.values())
+
+
+@pytest.mark.parametrize("bits", [1 << 16, 128])
+def test_ngram_join_bits_spare_walks(bits, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BITS", bits)
+    rng, walked = random.Random(4), []
+    sets = []
+    for _ in range(60):  # copies of a base of which few link
+        gone, more = rng.sample(range(100), rng.randrange(5, 25)), rng.randrange(5)
+        sets.append(sorted({*range(100)} - {*gone} | {1000 + x for x in rng.sample(range(30), more)}))
+    walk = ngram_join.Tree._walk
+    monkeypatch.setattr(ngram_join.Tree, "_walk", lambda t, i, others: walked.extend(others) or walk(t, i, others))
+    tokens = [np.array(x, ">u8").tobytes() for x in sets]
+    tree = ngram_join.Tree(tokens, np.array([len(x) for x in sets]), np.arange(len(sets)), 80)
+    root = {i: i for i in range(len(sets))}
+    for a, b in tree.links():
+        root = {k: min(root[a], root[b]) if v in (root[a], root[b]) else v for k, v in root.items()}
+    want = {i: i for i in range(len(sets))}
+    alike = 0
+    for b, y in enumerate(sets):
+        for a, x in enumerate(sets[:b]):
+            both = len({*x} & {*y})
+            if 100 * both >= 80 * (len(x) + len(y) - both):
+                alike += 1
+                want = {k: min(want[a], want[b]) if v in (want[a], want[b]) else v for k, v in want.items()}
+    assert root == want
+    if bits > 128:
+        assert len(walked) <= alike < 60 * 59 / 4
+
+
+def test_ngram_join_family_that_hardly_links(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "PIECE", 5)
+    rng, texts = random.Random(6), []
+    base = prose(rng, 150).split(" ")
+    for i in range(45):
+        own = list(base)
+        for place in rng.sample(range(len(base)), rng.choice([1, 2, 3, 5, 6, 7, 8])):
+            own[place] = f"w{i}x{place}" if rng.random() < 0.5 else rng.choice(base)
+        texts.append(" ".join(own))
+    df = frame(spark, texts)
+    got = {tuple(r) for r in ngram_join.joined(df).collect()}
+    assert got == linked(table(df))
+    assert 5 < len({c for _, _, c in got}) < 45
+
+
 def test_kd_shards(spark, docs, no_docs, lone_docs):
     many = frame(spark, [f"text number {i} " * (i % 7 + 1) for i in range(3000)] + ["a hot text"] * 1500)
     for df in (many, docs, lone_docs):
